@@ -425,9 +425,9 @@ def service_suggestions(squads, players, scores, requests, top_n: int = 10) -> D
 
 
 def cli_suggestions(squads, players, scores, requests, top_n: int = 10) -> DataFrame:
-    """CLI shape: sell/buy ids and names (id text when the name is missing)."""
+    """CLI shape: sell/buy ids and names ('' when the name is missing)."""
     s = swap_suggestions(squads, players, scores, requests, "cli", top_n)
-    s = with_names(s, players, missing=None)
+    s = with_names(s, players, missing="")
     return s.select(
         "squad_id",
         "rank",
@@ -439,3 +439,28 @@ def cli_suggestions(squads, players, scores, requests, top_n: int = 10) -> DataF
         "new_team_xpts",
         "current_team_xpts",
     )
+
+
+# ------------------------------------------------------------------ squad facts
+def squad_team_counts(squads: DataFrame, players: DataFrame) -> DataFrame:
+    """Members per (squad, team)."""
+    info = players.select(F.col("id").alias("player_id"), F.col("team_id"))
+    return squads.join(info, "player_id").groupBy("squad_id", "team_id").agg(F.count(F.lit(1)).alias("n_players"))
+
+
+def squad_positions(squads: DataFrame, players: DataFrame) -> DataFrame:
+    """Members per position (goalkeepers, defenders, midfielders, forwards) per squad."""
+    info = players.select(F.col("id").alias("player_id"), F.col("element_type_id").alias("r"))
+    j = squads.join(info, "player_id")
+    return j.groupBy("squad_id").agg(
+        *[F.count_if(F.col("r") == r).alias(n) for r, n in zip(ROLES, ("n_gkp", "n_def", "n_mid", "n_fwd"))]
+    )
+
+
+def squad_value(squads: DataFrame, players: DataFrame, bank: DataFrame) -> DataFrame:
+    """Budget in tenths = bank + current cost of every known member."""
+    info = players.select(F.col("id").alias("player_id"), F.col("now_cost").cast("bigint").alias("cost"))
+    costs = squads.join(info, "player_id").groupBy("squad_id").agg(F.sum("cost").alias("_c"))
+    return bank.join(costs, "squad_id", "left").select(
+        "squad_id", (F.col("bank_tenths") + F.coalesce(F.col("_c"), F.lit(0).cast("bigint"))).cast("bigint").alias("budget_tenths")
+    )

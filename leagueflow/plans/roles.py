@@ -107,6 +107,17 @@ SELECT o_custkey AS player_id,
        CAST(o_orderkey % 13 AS DOUBLE) / 10 AS expected_goal_involvements,
        CAST(o_orderkey % 5 AS DOUBLE) / 10 AS expected_goals_conceded
 FROM {{orders}}""",
+    # upcoming fixtures per player <- unfinished orders of the customer
+    "player_future_fixtures": f"""
+SELECT o_custkey AS player_id,
+       o_orderkey AS fixture_id,
+       CAST({gameweek_sql('o_orderdate')} AS BIGINT) AS event_id,
+       (o_orderkey % 2 = 0) AS is_home,
+       CAST((o_custkey + 1 + o_orderkey % 24) % 25 AS BIGINT) AS opponent_team,
+       o_orderdate AS kickoff_time,
+       CAST(substr(o_orderpriority, 1, 1) AS INT) AS difficulty
+FROM {{orders}}
+WHERE year(o_orderdate) >= {FINISHED_BEFORE_YEAR} AND o_orderstatus <> 'F'""",
     # squad world: tradeable players <- parts
     "squad_players": """
 SELECT p_partkey AS id,
