@@ -464,3 +464,50 @@ def squad_value(squads: DataFrame, players: DataFrame, bank: DataFrame) -> DataF
     return bank.join(costs, "squad_id", "left").select(
         "squad_id", (F.col("bank_tenths") + F.coalesce(F.col("_c"), F.lit(0).cast("bigint"))).cast("bigint").alias("budget_tenths")
     )
+
+
+# ------------------------------------------------------------------ requests and documents
+def suggestion_requests(members: DataFrame, api_bank: DataFrame, given_bank: DataFrame, scores: DataFrame) -> DataFrame:
+    """Service request rules per squad: bank, status and pick count.
+
+    ``members``: (squad_id, player_id) picks; ``api_bank``: (squad_id,
+    bank_million) from the picks document; ``given_bank``: (squad_id,
+    bank_million) sent by the caller. An explicit bank wins unless it is 0 or
+    absent; a squad must have exactly 15 picks; some expected points must
+    exist (any period).
+    """
+    n = members.groupBy("squad_id").agg(F.count(F.lit(1)).alias("n_picks"))
+    has_scores = scores.select(F.lit(True).alias("_has")).limit(1)
+    g = given_bank.select("squad_id", F.col("bank_million").alias("_given"))
+    a = api_bank.select("squad_id", F.col("bank_million").alias("_api"))
+    r = n.join(a, "squad_id", "left").join(g, "squad_id", "left")
+    r = r.withColumn("_k", F.lit(1)).join(F.broadcast(has_scores.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
+    bank = F.when(F.coalesce(F.col("_given"), F.lit(0.0)) != 0.0, F.col("_given")).otherwise(F.coalesce(F.col("_api"), F.lit(0.0)))
+    status = (
+        F.when(F.col("n_picks") != 15, F.lit("bad_squad_size"))
+        .when(F.col("_has").isNull(), F.lit("no_scores"))
+        .otherwise(F.lit("ok"))
+    )
+    return r.select(
+        "squad_id",
+        F.col("n_picks").cast("int").alias("n_picks"),
+        bank.alias("bank_million"),
+        F.round(bank * F.lit(10.0)).cast("bigint").alias("bank_tenths"),
+        status.alias("status"),
+    )
+
+
+def suggestion_documents(suggestions: DataFrame) -> DataFrame:
+    """One JSON document per squad: ``{current_team_xpts, suggestions: [...]}`` ranked.
+
+    The per-squad list is bounded by ``top_n`` (≤ 50).
+    """
+    item = F.struct(
+        "rank", "out_player_id", "in_player_id", "out_web_name", "in_web_name",
+        "team_xpts_delta", "new_team_xpts", "cost_delta_million",
+    )
+    g = suggestions.groupBy("squad_id").agg(
+        F.first("current_team_xpts").alias("current_team_xpts"), F.array_sort(F.collect_list(item)).alias("_s")
+    )
+    s = F.transform("_s", lambda x: x.dropFields("rank"))
+    return g.select("squad_id", F.to_json(F.struct("current_team_xpts", s.alias("suggestions"))).alias("document"))
