@@ -72,6 +72,7 @@ PRESETS = {
 }
 
 _NONE = -100  # "total > -1.0" in hundredths
+PROBE = 64  # buyers per position used to bound each squad's top-n delta
 
 
 def to_cents(c):
@@ -324,7 +325,7 @@ def _role_join(sellers: DataFrame, cands: DataFrame, salt_buckets: int) -> DataF
     shuffle); otherwise both sides are salted into ``salt_buckets`` buckets.
     """
     if fits_broadcast(cands):
-        left = sellers.repartition("squad_id")
+        left = sellers  # already hash-partitioned by squad: the ranking window needs no shuffle
         return left.join(
             F.broadcast(cands), (left["o_role"] == cands["c_role"]) & (left["event_id"] == cands["c_event"])
         )
@@ -360,19 +361,38 @@ def swap_suggestions(
     sellers = _seller_rows(members, requests, ps).join(current, "squad_id")
     if preset == "cli":
         sellers = sellers.where(F.col("o_role").isin(*ROLES))
+    # small (≤ 15 rows per squad); one exchange shared by the probe and the main pairing
+    sellers = sellers.repartition("squad_id")
     cands = candidates(players, scores, requests, ps)
-    pairs = _role_join(sellers, cands, salt_buckets)
-    pairs = pairs.where(
-        (F.col("c_cost") <= F.col("o_cost") + F.col("bank_tenths"))
-        & ~F.array_contains("owned", F.col("c_id"))
-        & ~F.coalesce(F.array_contains("blocked", F.col("c_team")), F.lit(False))
-    )
     n_forms = len(ps.formations)
     in_play = F.col("o_role").isin(*ROLES)
     new_total = F.when(in_play, _new_total(ps, n_forms)).otherwise(F.col("cur"))
+
+    def feasible(df):
+        return df.where(
+            (F.col("c_cost") <= F.col("o_cost") + F.col("bank_tenths"))
+            & ~F.array_contains("owned", F.col("c_id"))
+            & ~F.coalesce(F.array_contains("blocked", F.col("c_team")), F.lit(False))
+        )
+
+    # Exact pre-filter. A probe pairs every seller with the PROBE best buyers
+    # of its position (a bounded, broadcast set); the top_n-th best delta of a
+    # squad's feasible probe pairs is a lower bound of its true top_n-th best
+    # delta, so pairs below it can never rank and are dropped before the
+    # ranking shuffle and sort (pairs equal to it are kept).
+    wb = Window.partitionBy("c_role", "c_event").orderBy(F.col("x").desc(), F.col("c_id").asc())
+    best = cands.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= PROBE).drop("_r")
+    probe = feasible(sellers.join(F.broadcast(best), (sellers["o_role"] == best["c_role"]) & (sellers["event_id"] == best["c_event"])))
+    probe = probe.select("squad_id", (new_total - F.col("cur")).alias("d"))
+    wp = Window.partitionBy("squad_id").orderBy(F.col("d").desc())
+    bound = probe.withColumn("_r", F.row_number().over(wp)).where(F.col("_r") == top_n).select("squad_id", F.col("d").alias("_lb"))
+    sellers = sellers.join(bound, "squad_id", "left")
+
+    pairs = feasible(_role_join(sellers, cands, salt_buckets))
     scored = pairs.select(
-        "squad_id", "o_slot", "o_id", "c_id", "o_cost", "c_cost", "cur", new_total.alias("new")
+        "squad_id", "o_slot", "o_id", "c_id", "o_cost", "c_cost", "cur", "_lb", new_total.alias("new")
     ).withColumn("delta", F.col("new") - F.col("cur"))
+    scored = scored.where(F.col("_lb").isNull() | (F.col("delta") >= F.col("_lb"))).drop("_lb")
     w = Window.partitionBy("squad_id").orderBy(F.col("delta").desc(), F.col("o_slot").asc(), F.col("c_id").asc())
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return top.select(

@@ -33,6 +33,10 @@ def get_spark(app: str = "leagueflow", cpus: int | str = "*", shuffle_partitions
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; a
+        # larger fused stage would run interpreted (10x slower on wide
+        # projections such as the swap evaluation), so split it instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LEAGUEFLOW_DRIVER_MEMORY", "16g"))
