@@ -159,12 +159,16 @@ def greedy(order, quotas, cap, track_role=None, require_gk=True):
 
 
 def _order(pdf):
-    m = pdf[pdf["role"].isin(ROLES)]
-    m = m.assign(_neg=-m["score"]).sort_values(["role", "_neg", "slot"], kind="mergesort")
-    return [
-        (int(r.role), int(r.score), int(r.slot), None if r.team != r.team or r.team is None else int(r.team), int(r.player_id))
-        for r in m.itertuples(index=False)
+    """Members of roles 1..4 as plain tuples in greedy order (role, -score, slot)."""
+    teams = pdf["team"].tolist()
+    out = [
+        (int(r), int(sc), int(sl), None if t is None or t != t else int(t), int(p))
+        for r, sc, sl, t, p in zip(pdf["role"].tolist(), pdf["score"].tolist(), pdf["slot"].tolist(), teams,
+                                   pdf["player_id"].tolist())
+        if r in ROLES
     ]
+    out.sort(key=lambda e: (e[0], -e[1], e[2]))
+    return out
 
 
 def _eleven_fn(ps: Preset):
@@ -192,47 +196,90 @@ def _eleven_fn(ps: Preset):
 ELEVEN_SCHEMA = "squad_id bigint, cur bigint, xi array<bigint>"
 
 
-def _fold_fn(ps: Preset):
-    """Per squad: one row per seller with, per formation, A/B totals and B's kth pick."""
+def _fold_fn(ps: Preset, cli: bool):
+    """Per squad, one row per seller: squad facts the buyer predicates need
+    (owned ids, blocked teams, bank, period), the squad's current total and,
+    per formation, A/B totals and B's kth pick."""
     import pandas as pd
 
     formations = list(ps.formations) + ([ps.fallback] if ps.fallback else [])
+    n = len(formations)
+    names = [f"{k}{i}" for i in range(n) for k in ("a", "b", "ks", "kslot")]
+    eleven = _eleven_fn(ps)
 
     def fn(pdf):
         order = _order(pdf)
-        rows = []
-        for o in pdf.itertuples(index=False):
-            row = {"squad_id": int(o.squad_id), "o_slot": int(o.slot)}
-            r = int(o.role)
-            others = [e for e in order if e[2] != int(o.slot)]
+        sid = int(pdf["squad_id"].iloc[0])
+        cur = int(eleven(pdf)["cur"].iloc[0])
+        owned = sorted({int(v) for v in pdf["player_id"].tolist()})
+        counts: dict = {}
+        for t in pdf["team"].tolist():
+            if t is not None and t == t:
+                counts[int(t)] = counts.get(int(t), 0) + 1
+        base = {k: [] for k in ("o_slot", "o_id", "o_role", "o_team", "o_cost", "blocked")}
+        cols = {c: [] for c in names}
+        for slot, pid, role, team, cost in zip(pdf["slot"].tolist(), pdf["player_id"].tolist(), pdf["role"].tolist(),
+                                               pdf["team"].tolist(), pdf["cost"].tolist()):
+            r, slot = int(role), int(slot)
+            team = None if team is None or team != team else int(team)
+            if cli and r not in ROLES:
+                continue
+            if ps.same_team_ok:
+                blocked = [t for t, c in counts.items() if c >= MAX_PER_TEAM and t != team]
+            else:
+                blocked = [t for t, c in counts.items() if c - (1 if t == team else 0) >= MAX_PER_TEAM]
+            for k, v in (("o_slot", slot), ("o_id", int(pid)), ("o_role", r), ("o_team", team), ("o_cost", int(cost)),
+                         ("blocked", sorted(blocked))):
+                base[k].append(v)
+            others = [e for e in order if e[2] != slot]
             for i, f in enumerate(formations):
-                is_fb = ps.fallback is not None and i == len(formations) - 1
                 if r not in ROLES:
-                    row.update({f"a{i}": None, f"b{i}": None, f"ks{i}": None, f"kslot{i}": None})
+                    for k in ("a", "b", "ks", "kslot"):
+                        cols[f"{k}{i}"].append(None)
                     continue
+                is_fb = ps.fallback is not None and i == n - 1
                 cap = None if is_fb else ps.cap
                 qa = tuple(q - 1 if k + 1 == r else q for k, q in enumerate(f))
                 ok_a, tot_a, _, _, _ = greedy(others, qa, cap, require_gk=ps.require_gk)
                 ok_b, tot_b, _, ks, kslot = greedy(others, f, cap, track_role=r, require_gk=ps.require_gk)
-                row[f"a{i}"] = tot_a if (ok_a or is_fb) else None
-                row[f"b{i}"] = tot_b if (ok_b or is_fb) else None
-                row[f"ks{i}"] = ks
-                row[f"kslot{i}"] = kslot
-            rows.append(row)
-        cols = ["squad_id", "o_slot"] + [f"{k}{i}" for i in range(len(formations)) for k in ("a", "b", "ks", "kslot")]
-        out = pd.DataFrame(rows, columns=cols)
-        for c in cols[2:]:
-            out[c] = out[c].astype("Int64")
-        return out
-
-    schema = "squad_id bigint, o_slot int, " + ", ".join(
-        f"a{i} bigint, b{i} bigint, ks{i} bigint, kslot{i} bigint" for i in range(len(formations))
+                cols[f"a{i}"].append(tot_a if (ok_a or is_fb) else None)
+                cols[f"b{i}"].append(tot_b if (ok_b or is_fb) else None)
+                cols[f"ks{i}"].append(ks)
+                cols[f"kslot{i}"].append(kslot)
+        m = len(base["o_slot"])
+        data = {
+            "squad_id": [sid] * m,
+            "event_id": [int(pdf["event_id"].iloc[0])] * m,
+            "bank_tenths": [int(pdf["bank_tenths"].iloc[0])] * m,
+            "o_slot": base["o_slot"],
+            "o_id": base["o_id"],
+            "o_role": base["o_role"],
+            "o_team": pd.array(base["o_team"], dtype="Int64"),
+            "o_cost": base["o_cost"],
+            "owned": [owned] * m,
+            "blocked": base["blocked"],
+            "cur": [cur] * m,
+        }
+        data.update({c: pd.array(v, dtype="Int64") for c, v in cols.items()})
+        return pd.DataFrame(data)
+
+    schema = (
+        "squad_id bigint, event_id bigint, bank_tenths bigint, o_slot int, o_id bigint, o_role bigint, o_team bigint, "
+        "o_cost bigint, owned array<bigint>, blocked array<bigint>, cur bigint, "
+        + ", ".join(f"a{i} bigint, b{i} bigint, ks{i} bigint, kslot{i} bigint" for i in range(n))
     )
-    return fn, schema, len(formations)
+    return fn, schema, n
 
 
 def _member_cols(members: DataFrame) -> DataFrame:
-    return members.select("squad_id", "slot", "player_id", "role", "team", "score")
+    """Members hash-partitioned by squad into an explicit number of partitions.
+
+    The grouped-map work is CPU-bound while the rows are few; an explicit
+    partition count keeps AQE from coalescing it into one task.
+    """
+    sc = members.sparkSession.sparkContext
+    n = max(2 * sc.defaultParallelism, 2)
+    return members.select("squad_id", "slot", "player_id", "role", "team", "score").repartition(n, "squad_id")
 
 
 def best_eleven(
@@ -253,60 +300,23 @@ def best_eleven(
 
 
 # ------------------------------------------------------------------ swaps
-def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset) -> DataFrame:
-    """One row per (squad, seller) with the A/B folds of every formation and
-    the squad-level facts the candidate predicates need."""
-    fn, schema, n = _fold_fn(ps)
-    folds = _member_cols(members).groupBy("squad_id").applyInPandas(fn, schema)
-    ids = members.groupBy("squad_id").agg(F.collect_set("player_id").alias("owned"))
-    team_counts = (
-        members.where(F.col("team").isNotNull())
-        .groupBy("squad_id", "team")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("squad_id")
-        .agg(F.collect_list(F.struct("team", "n")).alias("team_counts"))
-    )
-    sellers = members.select(
-        "squad_id",
-        F.col("slot").alias("o_slot"),
-        F.col("player_id").alias("o_id"),
-        F.col("role").alias("o_role"),
-        F.col("team").alias("o_team"),
-        F.col("cost").alias("o_cost"),
-    )
-    rows = (
-        sellers.join(folds, ["squad_id", "o_slot"])
-        .join(ids, "squad_id")
-        .join(team_counts, "squad_id", "left")
-        .join(requests.select("squad_id", "event_id", "bank_tenths"), "squad_id")
-    )
-    # Teams a buyer may not come from (at most 5 per squad).
-    if ps.same_team_ok:
-        blocked = f"filter(coalesce(team_counts, array()), c -> c.n >= {MAX_PER_TEAM} AND NOT (c.team <=> o_team))"
-    else:
-        blocked = f"filter(coalesce(team_counts, array()), c -> c.n - IF(c.team <=> o_team, 1, 0) >= {MAX_PER_TEAM})"
-    rows = rows.withColumn("blocked", F.expr(f"transform({blocked}, c -> c.team)"))
-    keep = ["squad_id", "event_id", "bank_tenths", "o_slot", "o_id", "o_role", "o_team", "o_cost", "owned", "blocked"]
-    cols = [
-        F.struct(
-            F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b"), F.col(f"ks{i}").alias("ks"), F.col(f"kslot{i}").alias("kslot")
-        ).alias(f"f{i}")
-        for i in range(n)
-    ]
-    return rows.select(*keep, *cols)
+def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset, cli: bool) -> tuple[DataFrame, int]:
+    """One row per (squad, seller), from a single shuffle of the members by squad."""
+    fn, schema, n = _fold_fn(ps, cli)
+    m = members.join(requests.select("squad_id", "bank_tenths"), "squad_id")
+    cols = ["squad_id", "slot", "player_id", "role", "team", "cost", "score", "event_id", "bank_tenths"]
+    sc = m.sparkSession.sparkContext
+    grouped = m.select(*cols).repartition(max(2 * sc.defaultParallelism, 2), "squad_id")
+    return grouped.groupBy("squad_id").applyInPandas(fn, schema), n
 
 
 def _new_total(ps: Preset, n_forms: int) -> F.Column:
     """Total of the best eleven after the swap, from the A/B folds and buyer score ``x``."""
 
     def total_of(i: int) -> F.Column:
-        f = F.col(f"f{i}")
-        before_kth = (
-            f["ks"].isNull()
-            | (F.col("x") > f["ks"])
-            | ((F.col("x") == f["ks"]) & (F.col("o_slot") < f["kslot"]))
-        )
-        return F.when(before_kth, f["a"] + F.col("x")).otherwise(f["b"])
+        ks, kslot, a, b = F.col(f"ks{i}"), F.col(f"kslot{i}"), F.col(f"a{i}"), F.col(f"b{i}")
+        before_kth = ks.isNull() | (F.col("x") > ks) | ((F.col("x") == ks) & (F.col("o_slot") < kslot))
+        return F.when(before_kth, a + F.col("x")).otherwise(b)
 
     totals = [total_of(i) for i in range(n_forms)]
     valid = [F.when(t > _NONE, t) for t in totals]
@@ -357,12 +367,7 @@ def swap_suggestions(
     """
     ps = PRESETS[preset]
     members = squad_members(squads, players, scores, requests, ps)
-    current = _member_cols(members).groupBy("squad_id").applyInPandas(_eleven_fn(ps), ELEVEN_SCHEMA).select("squad_id", "cur")
-    sellers = _seller_rows(members, requests, ps).join(current, "squad_id")
-    if preset == "cli":
-        sellers = sellers.where(F.col("o_role").isin(*ROLES))
-    # small (≤ 15 rows per squad); one exchange shared by the probe and the main pairing
-    sellers = sellers.repartition("squad_id")
+    sellers, _ = _seller_rows(members, requests, ps, cli=(preset == "cli"))
     cands = candidates(players, scores, requests, ps)
     n_forms = len(ps.formations)
     in_play = F.col("o_role").isin(*ROLES)
