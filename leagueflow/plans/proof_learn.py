@@ -128,3 +128,47 @@ def q_suggestion_requests(spark, sf):
     members, bank = payloads.squad_from_picks(docs, ["squad_id"])
     given = bank.select("squad_id", F.when(F.col("squad_id") % 3 == 0, F.lit(0.0)).otherwise(F.lit(1.5)).alias("bank_million"))
     return sq.suggestion_requests(members, bank, given, role(spark, sf, "squad_scores"))
+
+
+@proof("scores_refresh")
+def q_scores_refresh(spark, sf):
+    """End to end over a fresh store: core documents → summaries → expected points."""
+    from leagueflow import jobs
+    from leagueflow.plans import proof_ingest as pi
+
+    r = _roles(spark, sf, "teams", "element_types", "events", "players", "fixtures", "player_match_history",
+               "player_future_fixtures")
+
+    def doc(df, key, fields):
+        return df.groupBy(F.floor(F.col("id") / pi.DOC_ROWS).alias("doc")).agg(
+            F.to_json(F.struct(F.collect_list(F.struct(*fields)).alias(key))).alias("payload")
+        ).select("payload")
+
+    boot = (
+        doc(r["teams"], "teams", ["id", "name", "short_name", "strength"])
+        .unionByName(doc(r["element_types"], "element_types", ["id", "singular_name_short", "singular_name", "squad_select"]))
+        .unionByName(doc(r["events"], "events", ["id", "name", pi._iso(F.col("deadline_time")).alias("deadline_time"),
+                                                 "finished", "is_current", "is_next"]))
+        .unionByName(pi.player_docs(r["players"]).select("payload"))
+    )
+    fx = F.struct("id", F.col("event_id").alias("event"), "team_h", "team_a", pi._iso(F.col("kickoff_time")).alias("kickoff_time"),
+                  "finished", "team_h_difficulty", "team_a_difficulty")
+    fixture_docs = r["fixtures"].groupBy(F.floor(F.col("id") / pi.DOC_ROWS)).agg(F.to_json(F.collect_list(fx)).alias("payload"))
+    h = r["player_match_history"]
+    he = F.struct(F.abs("fixture_id_effective").alias("_ord"), F.col("fixture_id").alias("fixture"), F.col("event_id").alias("round"),
+                  *[F.col(c) for c in pi.HIST_COLS])
+    hist_docs = h.groupBy("player_id", F.floor(F.abs("fixture_id_effective") / pi.CHUNK)).agg(
+        F.to_json(F.struct(F.array_sort(F.collect_list(he)).alias("history"))).alias("payload"))
+    fu = r["player_future_fixtures"]
+    fe = F.struct(F.col("fixture_id").alias("id"), F.col("event_id").alias("event"), "is_home", "opponent_team",
+                  pi._iso(F.col("kickoff_time")).alias("kickoff_time"), "difficulty")
+    fut_docs = fu.groupBy("player_id", F.floor(F.col("fixture_id") / pi.CHUNK)).agg(
+        F.to_json(F.struct(F.collect_list(fe).alias("fixtures"))).alias("payload"))
+    summaries = hist_docs.select("player_id", "payload").unionByName(fut_docs.select("player_id", "payload"))
+
+    store = TableStore(spark, _scratch(spark, "store"))
+    as_of = "2024-01-31 00:00:00"
+    jobs.update_core(spark, store, boot, fixture_docs.select("payload"), as_of, level="warn")
+    jobs.update_summaries(spark, store, summaries, as_of, level="warn")
+    jobs.build_xpts(spark, store, as_of, horizon=HORIZON, level="warn")
+    return store.read("player_expected_points").drop("computed_at_utc")
