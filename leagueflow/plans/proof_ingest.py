@@ -482,9 +482,9 @@ def q_select_incremental(spark, sf):
     return _sel(spark, sf, None, since_hours=36)
 
 
-@proof("select_incremental_max_age", _sel_sql(ALL_C, 240, 36))
+@proof("select_incremental_max_age", _sel_sql(ALL_C, 240, 12))
 def q_select_incremental_max_age(spark, sf):
-    return _sel(spark, sf, None, since_hours=240, max_age_hours=36)
+    return _sel(spark, sf, None, since_hours=240, max_age_hours=12)
 
 
 @proof("select_top_incremental", _sel_sql(TOP_C, 36, None))
