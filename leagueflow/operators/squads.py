@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leagueflow.functions.casts import round2
-from leagueflow.session import fits_broadcast
+from leagueflow.session import cut_lineage, fits_broadcast
 
 MAX_PER_TEAM = 3
 # Formations (GK, DEF, MID, FWD) of the capped rule set, in try order.
@@ -72,6 +72,7 @@ PRESETS = {
 }
 
 _NONE = -100  # "total > -1.0" in hundredths
+_NO_KTH = -(1 << 62)  # threshold when B has no kth pick: every buyer sorts before it
 PROBE = 64  # buyers per position used to bound each squad's top-n delta
 
 
@@ -204,7 +205,7 @@ def _fold_fn(ps: Preset, cli: bool):
 
     formations = list(ps.formations) + ([ps.fallback] if ps.fallback else [])
     n = len(formations)
-    names = [f"{k}{i}" for i in range(n) for k in ("a", "b", "ks", "kslot")]
+    names = [f"{k}{i}" for i in range(n) for k in ("a", "b", "t")]
     eleven = _eleven_fn(ps)
 
     def fn(pdf):
@@ -234,7 +235,7 @@ def _fold_fn(ps: Preset, cli: bool):
             others = [e for e in order if e[2] != slot]
             for i, f in enumerate(formations):
                 if r not in ROLES:
-                    for k in ("a", "b", "ks", "kslot"):
+                    for k in ("a", "b", "t"):
                         cols[f"{k}{i}"].append(None)
                     continue
                 is_fb = ps.fallback is not None and i == n - 1
@@ -244,8 +245,8 @@ def _fold_fn(ps: Preset, cli: bool):
                 ok_b, tot_b, _, ks, kslot = greedy(others, f, cap, track_role=r, require_gk=ps.require_gk)
                 cols[f"a{i}"].append(tot_a if (ok_a or is_fb) else None)
                 cols[f"b{i}"].append(tot_b if (ok_b or is_fb) else None)
-                cols[f"ks{i}"].append(ks)
-                cols[f"kslot{i}"].append(kslot)
+                # the buyer (taking this seller's slot) sorts before B's kth pick iff x >= t
+                cols[f"t{i}"].append(_NO_KTH if ks is None else ks + (0 if slot < kslot else 1))
         m = len(base["o_slot"])
         data = {
             "squad_id": [sid] * m,
@@ -266,7 +267,7 @@ def _fold_fn(ps: Preset, cli: bool):
     schema = (
         "squad_id bigint, event_id bigint, bank_tenths bigint, o_slot int, o_id bigint, o_role bigint, o_team bigint, "
         "o_cost bigint, owned array<bigint>, blocked array<bigint>, cur bigint, "
-        + ", ".join(f"a{i} bigint, b{i} bigint, ks{i} bigint, kslot{i} bigint" for i in range(n))
+        + ", ".join(f"a{i} bigint, b{i} bigint, t{i} bigint" for i in range(n))
     )
     return fn, schema, n
 
@@ -311,19 +312,21 @@ def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset, cli: bool)
 
 
 def _new_total(ps: Preset, n_forms: int) -> F.Column:
-    """Total of the best eleven after the swap, from the A/B folds and buyer score ``x``."""
+    """Total of the best eleven after the swap, from the A/B passes and buyer score ``x``.
+
+    Per formation: ``x >= t ? A + x : B``. The best valid total is the max of
+    all totals when that max exceeds -1.00 (a smaller max means none is
+    valid), so one ``greatest`` and one comparison suffice.
+    """
 
     def total_of(i: int) -> F.Column:
-        ks, kslot, a, b = F.col(f"ks{i}"), F.col(f"kslot{i}"), F.col(f"a{i}"), F.col(f"b{i}")
-        before_kth = ks.isNull() | (F.col("x") > ks) | ((F.col("x") == ks) & (F.col("o_slot") < kslot))
-        return F.when(before_kth, a + F.col("x")).otherwise(b)
+        return F.when(F.col("x") >= F.col(f"t{i}"), F.col(f"a{i}") + F.col("x")).otherwise(F.col(f"b{i}"))
 
     totals = [total_of(i) for i in range(n_forms)]
-    valid = [F.when(t > _NONE, t) for t in totals]
-    best = F.greatest(*valid) if len(valid) > 1 else valid[0]
+    best = F.greatest(*totals) if len(totals) > 1 else totals[0]
     if ps.floor_zero:
         return F.greatest(F.lit(0).cast("bigint"), F.coalesce(best, F.lit(0).cast("bigint")))
-    return F.coalesce(best, total_of(n_forms))  # fallback is the last fold
+    return F.when(best > _NONE, best).otherwise(total_of(n_forms))  # fallback is the last pass
 
 
 def _role_join(sellers: DataFrame, cands: DataFrame, salt_buckets: int) -> DataFrame:
@@ -368,6 +371,9 @@ def swap_suggestions(
     ps = PRESETS[preset]
     members = squad_members(squads, players, scores, requests, ps)
     sellers, _ = _seller_rows(members, requests, ps, cli=(preset == "cli"))
+    # Seller rows (≤ 15 per squad) feed both the probe and the main pairing:
+    # materialise them once, reliably, in the shared checkpoint folder.
+    sellers = cut_lineage(sellers)
     cands = candidates(players, scores, requests, ps)
     n_forms = len(ps.formations)
     in_play = F.col("o_role").isin(*ROLES)
