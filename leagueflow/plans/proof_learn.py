@@ -172,3 +172,45 @@ def q_scores_refresh(spark, sf):
     jobs.update_summaries(spark, store, summaries, as_of, level="warn")
     jobs.build_xpts(spark, store, as_of, horizon=HORIZON, level="warn")
     return store.read("player_expected_points").drop("computed_at_utc")
+
+
+@proof(
+    "marts_registered",
+    role_cte("players", "teams", "element_types", "fixtures", "events", "player_match_history")
+    + ", " + _w(FORM_SQL, UPCOMING_SQL, PERIODS_SQL, SIDES_SQL, XPTS_SQL)
+    + """
+SELECT 'v_player_latest' AS view_name, CAST(count(*) AS BIGINT) AS n FROM players
+UNION ALL SELECT 'v_fixture_upcoming', CAST(count(*) AS BIGINT) FROM fixtures WHERE finished = FALSE OR finished IS NULL
+UNION ALL SELECT 'v_player_form', CAST(count(*) AS BIGINT) FROM form
+UNION ALL SELECT 'v_player_xpts_next', CAST(count(*) AS BIGINT) FROM xpts x JOIN players p ON x.player_id = p.id
+          WHERE x.event_id = (SELECT min(event_id) FROM xpts)""",
+)
+def q_marts_registered(spark, sf):
+    from leagueflow.plans.proof import _xpts_frame
+
+    r = _roles(spark, sf, "players", "teams", "element_types", "fixtures", "events", "player_match_history")
+    r["player_expected_points"] = _xpts_frame(spark, sf)
+    views = marts.register_marts(r)
+    out = None
+    for name in views:
+        c = spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view_name"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@proof("bronze_roundtrip", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q_bronze_roundtrip(spark, sf):
+    """Events as fetches → bronze JSON Lines (partitioned) → envelope parse → payload field back."""
+    from leagueflow.plans.roles import read_table
+
+    root = _scratch(spark, "bronze")
+    ev = read_table(spark, sf, "events")
+    fetches = ev.select(
+        F.lit("element-summary").alias("endpoint"),
+        F.concat(F.lit("element-summary:"), F.col("event_id").cast("string")).alias("request_key"),
+        F.col("ts").alias("fetched_at_utc"),
+        F.col("props").alias("payload"),
+    )
+    payloads.write_bronze(fetches, root)
+    env = ingest.envelope(spark.read.text(root))
+    return env.select(F.col("player_id").alias("event_id"), F.get_json_object("payload", "$.k").cast("bigint").alias("k"))

@@ -252,3 +252,30 @@ def parse_id_list(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(ids).alias("pos", "player_id")).select(
         *keep, F.col("pos").cast("int").alias("pos"), "player_id"
     )
+
+
+def write_bronze(fetches: DataFrame, root: str) -> None:
+    """Append raw fetches as JSON Lines partitioned by endpoint and fetch date.
+
+    ``fetches``: (endpoint, request_key, fetched_at_utc, payload). Many fetches
+    share a file (no small-file explosion); partition folders keep per-endpoint
+    and per-day reads pruned. The per-fetch file path of the source system is
+    available as :func:`leagueflow.functions.keys.bronze_path` for lineage.
+    """
+    (
+        fetches.withColumn("fetch_date", F.date_format("fetched_at_utc", "yyyy-MM-dd"))
+        .select(
+            "endpoint",
+            "fetch_date",
+            F.to_json(
+                F.struct(
+                    "request_key",
+                    F.date_format("fetched_at_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at_utc"),
+                    F.col("payload"),
+                )
+            ).alias("value"),
+        )
+        .write.mode("append")
+        .partitionBy("endpoint", "fetch_date")
+        .text(root)
+    )
