@@ -1,9 +1,9 @@
 """Jobs: the operators chained over the versioned table store.
 
 Each job reads documents or silver tables, writes new table versions, and
-runs the quality gate after the commit (the default; ``gate_before=True``
-checks the staged result first instead). ``as_of`` stamps written rows, so
-reruns are reproducible.
+runs the quality gate after the commit, as the source system does (level
+hard | strict | warn). ``as_of`` stamps written rows, so reruns are
+reproducible.
 """
 
 from __future__ import annotations
@@ -128,14 +128,12 @@ def suggest_transfers(
     No stored scores → empty result.
     """
     scores_df = store.read("player_expected_points")
-    nxt = F.broadcast(marts.next_period_id(scores_df))
+    nxt = marts.next_period_id(scores_df).scalar()
     requests = (
         squads.select("squad_id").distinct()
         .join(bank_tenths, "squad_id", "left")
-        .withColumn("_k", F.lit(1))
-        .join(nxt.withColumn("_k", F.lit(1)), "_k")
-        .where(F.col("next_event_id").isNotNull())
-        .select("squad_id", F.col("next_event_id").alias("event_id"), F.coalesce("bank_tenths", F.lit(0)).cast("bigint").alias("bank_tenths"))
+        .select("squad_id", nxt.alias("event_id"), F.coalesce("bank_tenths", F.lit(0)).cast("bigint").alias("bank_tenths"))
+        .where(F.col("event_id").isNotNull())
     )
     players = store.read("players")
     if preset == "cli":

@@ -130,11 +130,10 @@ def next_period_id(expected_points: DataFrame, period: str = "event_id") -> Data
 def xpts_next(expected_points: DataFrame, latest: DataFrame, period: str = "event_id") -> DataFrame:
     """Expected points of the next period joined to the denormalised player.
 
-    The scalar ``MIN`` subquery is a one-row aggregate joined by broadcast
-    (its size is one row by construction).
+    The ``MIN`` over the whole table is a scalar subquery (computed once).
     """
-    nxt = F.broadcast(next_period_id(expected_points, period))
-    x = expected_points.join(nxt, F.col(period) == F.col("next_event_id"), "inner").drop("next_event_id").alias("x")
+    nxt = next_period_id(expected_points, period).scalar()
+    x = expected_points.where(F.col(period) == nxt).alias("x")
     p = latest.alias("p")
     return x.join(p, F.col("x.player_id") == F.col("p.id"), "inner").select(
         F.col("x.player_id"),

@@ -99,11 +99,6 @@ def finished_period_count(events: DataFrame, finished: str = "finished") -> Data
     return events.agg(F.count_if(F.coalesce(F.col(finished), F.lit(False))).alias("finished_events"))
 
 
-def _with_context(df: DataFrame, context: DataFrame) -> DataFrame:
-    """Attach a one-row context frame to every row by a constant-key broadcast hash join."""
-    return df.withColumn("_ctx", F.lit(1)).join(F.broadcast(context.withColumn("_ctx", F.lit(1))), "_ctx").drop("_ctx")
-
-
 def attach_periods(
     players: DataFrame,
     upcoming: DataFrame,
@@ -113,13 +108,17 @@ def attach_periods(
     """Players with a team, each carrying the array of the next ``horizon``
     periods (``_periods``) and the finished-period count.
 
-    The periods are gathered into one array (at most ``horizon`` elements, a
-    proven bound) and attached by a one-row broadcast; exploding it later
-    builds the (player × period) grid without a cross join.
+    Both are one-row aggregates used as scalar subqueries (computed once,
+    shipped as values; the period array has at most ``horizon`` elements), so
+    exploding ``_periods`` later builds the (player × period) grid without
+    any join.
     """
     periods = next_periods(upcoming, horizon).agg(F.sort_array(F.collect_list("event_id")).alias("_periods"))
-    ctx = _with_context(periods, finished_period_count(events))
-    return _with_context(players.where(F.col("team_id").isNotNull()), ctx)
+    return (
+        players.where(F.col("team_id").isNotNull())
+        .withColumn("_periods", periods.scalar())
+        .withColumn("finished_events", finished_period_count(events).scalar())
+    )
 
 
 def baseline_scores(
@@ -173,10 +172,5 @@ def baseline_scores(
 
 def top_scores(scores: DataFrame, k: int = 10, period: str = "event_id") -> DataFrame:
     """Top ``k`` rows of the earliest period in ``scores`` by xpts desc, player id asc."""
-    first = F.broadcast(scores.agg(F.min(period).alias("_first")))
-    return (
-        scores.join(first, F.col(period) == F.col("_first"))
-        .drop("_first")
-        .orderBy(F.col("xpts").desc(), F.col("player_id").asc())
-        .limit(k)
-    )
+    first = scores.agg(F.min(period)).scalar()
+    return scores.where(F.col(period) == first).orderBy(F.col("xpts").desc(), F.col("player_id").asc()).limit(k)

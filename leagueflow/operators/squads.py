@@ -111,13 +111,12 @@ def candidates(players: DataFrame, scores: DataFrame, requests: DataFrame, prese
     """Buyers per requested period: (c_id, c_role, c_team, c_cost, c_event, x).
 
     The requested periods are a handful (one per gameweek at most), gathered
-    into one array and attached by a one-row broadcast, so the candidate side
-    is players × requested periods, scored before any pairing.
+    into one array by a scalar subquery, so the candidate side is players ×
+    requested periods, scored before any pairing.
     """
     info = player_info(players, preset)
-    evs = requests.agg(F.array_sort(F.collect_set("event_id")).alias("_evs")).withColumn("_k", F.lit(1))
-    c = info.withColumn("_k", F.lit(1)).join(F.broadcast(evs), "_k").drop("_k")
-    c = c.withColumn("c_event", F.explode("_evs")).drop("_evs")
+    evs = requests.agg(F.array_sort(F.collect_set("event_id"))).scalar()
+    c = info.withColumn("c_event", F.explode(evs))
     sc = scores.select(F.col("player_id").alias("_sp"), F.col("event_id").alias("_se"), to_cents(F.col("xpts")).alias("x"))
     how = "inner" if preset.require_score else "left"
     c = c.join(sc, (c["player_id"] == sc["_sp"]) & (c["c_event"] == sc["_se"]), how).drop("_sp", "_se")
@@ -508,11 +507,10 @@ def suggestion_requests(members: DataFrame, api_bank: DataFrame, given_bank: Dat
     exist (any period).
     """
     n = members.groupBy("squad_id").agg(F.count(F.lit(1)).alias("n_picks"))
-    has_scores = scores.select(F.lit(True).alias("_has")).limit(1)
+    has_scores = scores.select(F.lit(True)).limit(1).scalar()
     g = given_bank.select("squad_id", F.col("bank_million").alias("_given"))
     a = api_bank.select("squad_id", F.col("bank_million").alias("_api"))
-    r = n.join(a, "squad_id", "left").join(g, "squad_id", "left")
-    r = r.withColumn("_k", F.lit(1)).join(F.broadcast(has_scores.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
+    r = n.join(a, "squad_id", "left").join(g, "squad_id", "left").withColumn("_has", has_scores)
     bank = F.when(F.coalesce(F.col("_given"), F.lit(0.0)) != 0.0, F.col("_given")).otherwise(F.coalesce(F.col("_api"), F.lit(0.0)))
     status = (
         F.when(F.col("n_picks") != 15, F.lit("bad_squad_size"))
