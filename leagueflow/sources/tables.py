@@ -109,8 +109,10 @@ def upsert(
     the source are kept. ``order_cols`` decide the winner among source rows of
     one key; ``stamp`` = (column, timestamp literal) stamps written rows.
 
-    Plan: one window over the source, one anti-join of the target on the keys
-    (shuffle-hash/sort-merge on the key, no broadcast of either side), one union.
+    Plan: one window over the source (a partial ``WindowGroupLimit`` keeps one
+    row per key per map task, so a hot key does not land whole in one task),
+    one anti-join of the target on the keys (Spark broadcasts the batch's keys
+    only under its size threshold, else sort-merge on the keys), one union.
     """
     src = latest_per_key(source, keys, order_cols) if order_cols else source.dropDuplicates(keys)
     if stamp is not None:
@@ -198,19 +200,25 @@ class TableStore:
         Empty input → no write. With ``check_fk`` a batch holding orphan child
         rows is rejected before anything is written.
         """
-        if source.isEmpty():
-            return 0
-        self.init([table])
-        if check_fk:
-            for child, fk, parent, pk in FOREIGN_KEYS:
-                if child == table and fk in source.columns and self.exists(parent):
-                    if not fk_violations(source, fk, self.read(parent), pk).isEmpty():
-                        raise IntegrityError(f"{table}.{fk} has values missing from {parent}.{pk}")
-        n = source.count()
-        stamp = (STAMP[table], as_of) if as_of is not None and STAMP.get(table) else None
-        merged = upsert(self.read(table), source, KEYS[table], order_cols, stamp)
-        self.write(table, merged)
-        return n
+        # the batch is read three times (count, FK check, merge): keep it for
+        # this write only (recomputed from lineage if an executor is lost)
+        source = source.persist()
+        try:
+            n = source.count()
+            if n == 0:
+                return 0
+            self.init([table])
+            if check_fk:
+                for child, fk, parent, pk in FOREIGN_KEYS:
+                    if child == table and fk in source.columns and self.exists(parent):
+                        if not fk_violations(source, fk, self.read(parent), pk).isEmpty():
+                            raise IntegrityError(f"{table}.{fk} has values missing from {parent}.{pk}")
+            stamp = (STAMP[table], as_of) if as_of is not None and STAMP.get(table) else None
+            merged = upsert(self.read(table), source, KEYS[table], order_cols, stamp)
+            self.write(table, merged)
+            return n
+        finally:
+            source.unpersist()
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Append-only tables (the ingestion log): add a new part folder."""
