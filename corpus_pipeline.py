@@ -11,16 +11,36 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leagueflow.llm import exact_dedup
+from leagueflow.llm import decontaminate, exact_dedup, langid, mixing, simhash
 from leagueflow.session import ensure_checkpoint_dir
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which language ID recognises a language."""
+    return langid.keep_identified(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest id."""
+    return simhash.keep_one_of_each(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: the documents' columns, ``size``, ``source_size``, ``target``, ``copies`` and ``taken``."""
+    return mixing.mixture(docs)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_neardup", near), ("decontaminate", clean), ("mix_sources", mix)]
 
 #: Language ID has no SQL form; the tests hold the pipeline against brute force.
 ORACLE_SQL = None

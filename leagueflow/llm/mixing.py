@@ -33,6 +33,8 @@ MOST_COPIES = 2
 #: Bins of the rank. A bin holds about 1 / BINS of a source's documents.
 BINS = 65536
 SEED = "mix-1"
+#: Tables by source are broadcast up to so many rows (about 10 MB) and shuffled beyond.
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -59,6 +61,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return per.select("source", "source_size", F.when(F.col("capped"), cap).otherwise(F.col("weight") * level["left"] / level["rest"]).alias("target"))
 
 
+def _small(per_source: DataFrame) -> DataFrame:
+    """A table with a row per source, written once; it goes to every task if it is counted to be short."""
+    rows = checkpointed(per_source)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_SOURCES else rows
+
+
 def uniform(id_col: str, seed: str) -> Column:
     """A number in (0, 1) that depends on the id and the seed alone."""
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10)
@@ -77,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(text_or_empty(text)).alias("size"), *[F.col(f"`{c}`").alias(f"in_{c}") for c in keep])
     )
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = (
+    targets = _small(
         source_targets(rows)
         .withColumn("whole", F.floor(ratio))
         .withColumn("inclusion", ratio - F.floor(ratio))
@@ -102,7 +110,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         .agg(F.max_by(F.struct("bin", "below"), "bin").alias("at"))
         .select(F.col("source").alias("cut_source"), F.col("at.bin").alias("cut_bin"), F.col("at.below").alias("cut_below"))
     )
-    marked = ranked.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    marked = ranked.join(_small(cut), F.col("source").eqNullSafe(F.col("cut_source")), "left")
     at_cut = F.col("bin") == F.col("cut_bin")
     in_order = Window.partitionBy("source", "bin").orderBy("rank", "id", "size")
     inside = (
@@ -125,6 +133,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     )
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+
+    Rows that agree in id, source and text are told apart by number only: so
+    many of them as the sample took get the additional copy.
+    """
+    added = ["size", "source_size", "target", "copies", "taken"]
+    keys = {"__id": F.col(id_col), "__source": F.col(source), "__body": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
+    rows = mix(docs.select("*", keys["__body"].alias("__body")), id_col, text, source, ["__body", source], seed)
+    per = rows.groupBy(F.col(id_col).alias("__id"), F.col(f"in_{source}").alias("__source"), F.col("in___body").alias("__body")).agg(
+        F.first("size").alias("__size"),
+        F.first("source_size").alias("__source_size"),
+        F.first("target").alias("__target"),
+        F.min("copies").alias("__least"),
+        (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("__more"),
+    )
+    per = per.filter("__least + __more > 0")
+    same = [keys[k].eqNullSafe(F.col(k)) for k in keys]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__id"))
+    joined = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).join(per, same[0] & same[1] & same[2])
+    copies = F.col("__least") + (nth <= F.col("__more")).cast("long")
+    out = joined.withColumn("copies", copies).filter("copies > 0")
+    return out.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in added],
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        "copies",
+        (F.col("copies") * F.col("__size")).alias("taken"),
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
