@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from leagueflow.llm import decontaminate, exact_dedup, langid, licenses, mixing, secrets, simhash
+from leagueflow.llm import decontaminate, exact_dedup, langid, licenses, lmscore, mixing, secrets, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op5_language_id": langid.op5_language_id,
+    "op6_lm_score": lmscore.op6_lm_score,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash_neardup": simhash.op9_simhash_neardup,
     "op10_license_scan": licenses.op10_license_scan,
