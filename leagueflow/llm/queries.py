@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leagueflow.llm import decontaminate, exact_dedup, langid, licenses, lmscore, mixing, secrets, simhash
+from leagueflow.llm import decontaminate, exact_dedup, extract, langid, licenses, lmscore, mixing, secrets, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_html_extract": extract.op4_html_extract,
     "op5_language_id": langid.op5_language_id,
     "op6_lm_score": lmscore.op6_lm_score,
     "op8_decontaminate": decontaminate.op8_decontaminate,
