@@ -92,7 +92,7 @@ def test_broken_markup():
     text = lambda page: [b.text for b in dom.blocks(page)]
     assert text(None) == text("") == text("<p>") == text("<script>var a = '<p>x</p>'") == []
     assert text("plain < text & more &lt;b&gt;") == ["plain < text & more <b>"]
-    assert text('<p title="a > b">x<p>y</div>z') == ["x", "yz"]
+    assert text('<p title="a > b">x<p>y</div>z') == ["x", "y", "z"]
     assert text("<p>cut <b") == ["cut"]
     assert text("<!-- never ends <p>x</p>") == []
     assert text('<p "unbalanced>x</p>y') == ["x", "y"]
