@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leagueflow.llm import decontaminate, exact_dedup, extract, langid, licenses, lmscore, mixing, secrets, simhash
+from leagueflow.llm import decontaminate, exact_dedup, extract, langid, licenses, lmscore, mixing, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_extract": extract.op4_html_extract,
     "op5_language_id": langid.op5_language_id,
     "op6_lm_score": lmscore.op6_lm_score,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash_neardup": simhash.op9_simhash_neardup,
     "op10_license_scan": licenses.op10_license_scan,
