@@ -9,19 +9,28 @@ Two rule sets (``PRESETS``) cover the two engines of the source system:
   cap inside the eleven; goalkeeper optional; buyer without a score counts 0;
   a fallback 1-3-4-3 of whatever exists when nothing is feasible.
 
-Set-based plan (no per-swap re-solve):
+Set-based plan (no per-swap re-solve, no Python):
 
 1. members: squads ⋈ player info ⋈ scores of the requested period (≤ 15 rows
-   per squad, a bounded group by the game's rules).
-2. per (squad, seller, formation) two greedy passes over the 14 others: **A**
-   with one slot fewer in the seller's position, **B** with the full quota,
-   remembering B's last pick in that position (``kth``). A buyer that sorts
-   before ``kth`` takes the seller's slot: total = A + x; otherwise total = B.
-   This holds with the team cap too, because the swap rule only admits a
-   buyer whose team has room, so the buyer never blocks or is blocked.
-3. candidates: (squad, seller) rows ⋈ players on position, plus budget,
-   ownership and team-count predicates; one linear expression per candidate.
-4. ``row_number() <= top_n`` per squad.
+   per squad, a bounded group by the game's rules), gathered into one array
+   per squad in greedy order.
+2. per (squad, seller, formation) two greedy folds (``aggregate``) over the 14
+   others: **A** with one slot fewer in the seller's position, **B** with the
+   full quota, remembering B's last pick in that position (``kth``). A buyer
+   that sorts before ``kth`` takes the seller's slot: total = A + x; otherwise
+   total = B. This holds with the team cap too, because the swap rule only
+   admits a buyer whose team has room, so the buyer never blocks or is blocked.
+3. short lists. As a function of the buyer's score x a seller's total is flat
+   and then strictly rising (``A + t >= B`` in every formation). Ranking is by
+   total, then buyer id, so a seller's best ``top_n`` swaps are among its first
+   ``top_n`` feasible buyers by (score desc, id) or by id. Feasibility depends
+   on the price limit, on the ≤ m ids owned and on the ≤ m/3 teams that are
+   full (m: squad size). With K = top_n + m, a buyer with K cheap enough
+   buyers of its own team before it can go, and of the rest the first
+   (m/3 + 1)·K suffice. These lists exist once per (period, position, price
+   limit), so a seller meets a bounded number of buyers however many there are.
+4. sellers whose total could fall as x rises (rare) meet all buyers.
+5. ``row_number() <= top_n`` per squad.
 
 Scores are carried as integer hundredths so sums, deltas and ties are exact.
 """
@@ -30,11 +39,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leagueflow.functions.casts import round2
-from leagueflow.session import cut_lineage, fits_broadcast
+from leagueflow.session import BROADCAST_MAX_ROWS, cut_lineage
 
 MAX_PER_TEAM = 3
 # Formations (GK, DEF, MID, FWD) of the capped rule set, in try order.
@@ -73,7 +82,6 @@ PRESETS = {
 
 _NONE = -100  # "total > -1.0" in hundredths
 _NO_KTH = -(1 << 62)  # threshold when B has no kth pick: every buyer sorts before it
-PROBE = 64  # buyers per position used to bound each squad's top-n delta
 
 
 def to_cents(c):
@@ -93,6 +101,17 @@ def player_info(players: DataFrame, preset: Preset) -> DataFrame:
     )
 
 
+def _requested(requests: DataFrame) -> Column:
+    """The requested periods (a handful: one per gameweek at most) as an array, computed once."""
+    return requests.agg(F.array_sort(F.collect_set("event_id"))).scalar()
+
+
+def _scores(scores: DataFrame, requests: DataFrame, name: str) -> DataFrame:
+    """Scores of the requested periods in hundredths; the filter reaches below an aggregate that makes the scores."""
+    sc = scores.where(F.array_contains(_requested(requests), F.col("event_id")))
+    return sc.select(F.col("player_id").alias("_sp"), F.col("event_id").alias("_se"), to_cents(F.col("xpts")).alias(name))
+
+
 def squad_members(squads: DataFrame, players: DataFrame, scores: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
     """Known squad members with role, team, cost and score (0 when missing).
 
@@ -102,22 +121,16 @@ def squad_members(squads: DataFrame, players: DataFrame, scores: DataFrame, requ
     info = player_info(players, preset)
     m = squads.select("squad_id", "slot", "player_id").join(requests.select("squad_id", "event_id"), "squad_id")
     m = m.join(info, "player_id", "inner")
-    sc = scores.select("player_id", "event_id", to_cents(F.col("xpts")).alias("score"))
-    m = m.join(sc, ["player_id", "event_id"], "left")
+    sc = _scores(scores, requests, "score")
+    m = m.join(sc, (m["player_id"] == sc["_sp"]) & (m["event_id"] == sc["_se"]), "left").drop("_sp", "_se")
     return m.withColumn("score", F.coalesce(F.col("score"), F.lit(0).cast("bigint")))
 
 
 def candidates(players: DataFrame, scores: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
-    """Buyers per requested period: (c_id, c_role, c_team, c_cost, c_event, x).
-
-    The requested periods are a handful (one per gameweek at most), gathered
-    into one array by a scalar subquery, so the candidate side is players ×
-    requested periods, scored before any pairing.
-    """
+    """Buyers per requested period: (c_id, c_role, c_team, c_cost, c_event, x)."""
     info = player_info(players, preset)
-    evs = requests.agg(F.array_sort(F.collect_set("event_id"))).scalar()
-    c = info.withColumn("c_event", F.explode(evs))
-    sc = scores.select(F.col("player_id").alias("_sp"), F.col("event_id").alias("_se"), to_cents(F.col("xpts")).alias("x"))
+    c = info.withColumn("c_event", F.explode(_requested(requests)))
+    sc = _scores(scores, requests, "x")
     how = "inner" if preset.require_score else "left"
     c = c.join(sc, (c["player_id"] == sc["_sp"]) & (c["c_event"] == sc["_se"]), how).drop("_sp", "_se")
     return c.select(
@@ -131,155 +144,84 @@ def candidates(players: DataFrame, scores: DataFrame, requests: DataFrame, prese
 
 
 # ------------------------------------------------------------------ folds
-# The greedy eleven is sequential (a pick depends on earlier picks' teams), so
-# it runs per squad in a grouped-map pandas function: groups are one squad
-# (at most a few dozen rows), and everything around it stays in Spark.
-
-
-def greedy(order, quotas, cap, track_role=None, require_gk=True):
-    """One greedy eleven over ``order`` (tuples role, score, slot, team, id sorted
-    by role, -score, slot). Returns (feasible, total, ids, kth score, kth slot)."""
-    counts = [0, 0, 0, 0, 0]
-    used: dict = {}
-    total, ids, ks, kslot = 0, [], None, None
-    for role, score, slot, team, pid in order:
-        q = quotas[role - 1]
-        if counts[role] >= q:
-            continue
-        if cap is not None and used.get(team, 0) >= cap:
-            continue
-        counts[role] += 1
-        used[team] = used.get(team, 0) + 1
-        total += score
-        ids.append(pid)
-        if role == track_role and counts[role] == q:
-            ks, kslot = score, slot
-    feasible = all(counts[r] == quotas[r - 1] for r in ROLES if r != 1 or require_gk)
-    return feasible, total, ids, ks, kslot
-
-
-def _order(pdf):
-    """Members of roles 1..4 as plain tuples in greedy order (role, -score, slot)."""
-    teams = pdf["team"].tolist()
-    out = [
-        (int(r), int(sc), int(sl), None if t is None or t != t else int(t), int(p))
-        for r, sc, sl, t, p in zip(pdf["role"].tolist(), pdf["score"].tolist(), pdf["slot"].tolist(), teams,
-                                   pdf["player_id"].tolist())
-        if r in ROLES
-    ]
-    out.sort(key=lambda e: (e[0], -e[1], e[2]))
-    return out
-
-
-def _eleven_fn(ps: Preset):
-    import pandas as pd
+# The greedy eleven is sequential (a pick depends on earlier picks' teams): an
+# ``aggregate`` over the squad's array, evaluated in the JVM.
 
-    def fn(pdf):
-        order = _order(pdf)
-        best = None
-        for i, f in enumerate(ps.formations):
-            ok, tot, ids, _, _ = greedy(order, f, ps.cap, require_gk=ps.require_gk)
-            if ok and tot > _NONE and (best is None or tot > best[0]):
-                best = (tot, ids)
-        if best is None:
-            if ps.floor_zero:
-                best = (0, [])
-            else:
-                _, tot, ids, _, _ = greedy(order, ps.fallback, None)
-                best = (tot, ids)
-        total = max(0, best[0]) if ps.floor_zero else best[0]
-        return pd.DataFrame({"squad_id": [int(pdf["squad_id"].iloc[0])], "cur": [total], "xi": [best[1]]})
 
-    return fn
-
-
-ELEVEN_SCHEMA = "squad_id bigint, cur bigint, xi array<bigint>"
-
-
-def _fold_fn(ps: Preset, cli: bool):
-    """Per squad, one row per seller: squad facts the buyer predicates need
-    (owned ids, blocked teams, bank, period), the squad's current total and,
-    per formation, A/B totals and B's kth pick."""
-    import pandas as pd
-
-    formations = list(ps.formations) + ([ps.fallback] if ps.fallback else [])
-    n = len(formations)
-    names = [f"{k}{i}" for i in range(n) for k in ("a", "b", "t")]
-    eleven = _eleven_fn(ps)
-
-    def fn(pdf):
-        order = _order(pdf)
-        sid = int(pdf["squad_id"].iloc[0])
-        cur = int(eleven(pdf)["cur"].iloc[0])
-        owned = sorted({int(v) for v in pdf["player_id"].tolist()})
-        counts: dict = {}
-        for t in pdf["team"].tolist():
-            if t is not None and t == t:
-                counts[int(t)] = counts.get(int(t), 0) + 1
-        base = {k: [] for k in ("o_slot", "o_id", "o_role", "o_team", "o_cost", "blocked")}
-        cols = {c: [] for c in names}
-        for slot, pid, role, team, cost in zip(pdf["slot"].tolist(), pdf["player_id"].tolist(), pdf["role"].tolist(),
-                                               pdf["team"].tolist(), pdf["cost"].tolist()):
-            r, slot = int(role), int(slot)
-            team = None if team is None or team != team else int(team)
-            if cli and r not in ROLES:
-                continue
-            if ps.same_team_ok:
-                blocked = [t for t, c in counts.items() if c >= MAX_PER_TEAM and t != team]
-            else:
-                blocked = [t for t, c in counts.items() if c - (1 if t == team else 0) >= MAX_PER_TEAM]
-            for k, v in (("o_slot", slot), ("o_id", int(pid)), ("o_role", r), ("o_team", team), ("o_cost", int(cost)),
-                         ("blocked", sorted(blocked))):
-                base[k].append(v)
-            others = [e for e in order if e[2] != slot]
-            for i, f in enumerate(formations):
-                if r not in ROLES:
-                    for k in ("a", "b", "t"):
-                        cols[f"{k}{i}"].append(None)
-                    continue
-                is_fb = ps.fallback is not None and i == n - 1
-                cap = None if is_fb else ps.cap
-                qa = tuple(q - 1 if k + 1 == r else q for k, q in enumerate(f))
-                ok_a, tot_a, _, _, _ = greedy(others, qa, cap, require_gk=ps.require_gk)
-                ok_b, tot_b, _, ks, kslot = greedy(others, f, cap, track_role=r, require_gk=ps.require_gk)
-                cols[f"a{i}"].append(tot_a if (ok_a or is_fb) else None)
-                cols[f"b{i}"].append(tot_b if (ok_b or is_fb) else None)
-                # the buyer (taking this seller's slot) sorts before B's kth pick iff x >= t
-                cols[f"t{i}"].append(_NO_KTH if ks is None else ks + (0 if slot < kslot else 1))
-        m = len(base["o_slot"])
-        data = {
-            "squad_id": [sid] * m,
-            "event_id": [int(pdf["event_id"].iloc[0])] * m,
-            "bank_tenths": [int(pdf["bank_tenths"].iloc[0])] * m,
-            "o_slot": base["o_slot"],
-            "o_id": base["o_id"],
-            "o_role": base["o_role"],
-            "o_team": pd.array(base["o_team"], dtype="Int64"),
-            "o_cost": base["o_cost"],
-            "owned": [owned] * m,
-            "blocked": base["blocked"],
-            "cur": [cur] * m,
-        }
-        data.update({c: pd.array(v, dtype="Int64") for c, v in cols.items()})
-        return pd.DataFrame(data)
-
-    schema = (
-        "squad_id bigint, event_id bigint, bank_tenths bigint, o_slot int, o_id bigint, o_role bigint, o_team bigint, "
-        "o_cost bigint, owned array<bigint>, blocked array<bigint>, cur bigint, "
-        + ", ".join(f"a{i} bigint, b{i} bigint, t{i} bigint" for i in range(n))
-    )
-    return fn, schema, n
+def _by_role(role: Column, values: list[Column]) -> Column:
+    out = F.when(role == ROLES[0], values[0])
+    for r, v in zip(ROLES[1:], values[1:]):
+        out = out.when(role == r, v)
+    return out
 
 
-def _member_cols(members: DataFrame) -> DataFrame:
-    """Members hash-partitioned by squad into an explicit number of partitions.
+def greedy(order: Column, quotas: list[Column], ps_cap: int | None, require_gk: bool, track: Column | None = None, with_ids: bool = False) -> Column:
+    """One greedy eleven over ``order`` (structs in pick order).
 
-    The grouped-map work is CPU-bound while the rows are few; an explicit
-    partition count keeps AQE from coalescing it into one task.
+    Returns a struct: ``ok`` (every quota met), ``total``, and where asked for
+    ``ids`` in pick order, or score and slot of the last pick in role ``track``.
+    """
+    none = F.lit(None).cast("bigint")
+    fields = {f"c{r}": F.lit(0) for r in ROLES} | {"total": F.lit(0).cast("bigint")}
+    if ps_cap is not None:
+        fields["teams"] = F.array().cast("array<bigint>")
+    if with_ids:
+        fields["ids"] = F.array().cast("array<bigint>")
+    if track is not None:
+        fields |= {"ks": none, "kslot": none}
+
+    def pick(acc: Column, e: Column) -> Column:
+        count, quota = _by_role(e["role"], [acc[f"c{r}"] for r in ROLES]), _by_role(e["role"], quotas)
+        take = count < quota
+        if ps_cap is not None:
+            take = take & (F.size(F.filter(acc["teams"], lambda t: t.eqNullSafe(e["team"]))) < ps_cap)
+        new = {f"c{r}": acc[f"c{r}"] + (e["role"] == r).cast("int") for r in ROLES} | {"total": acc["total"] + e["score"]}
+        if ps_cap is not None:
+            new["teams"] = F.array_append(acc["teams"], e["team"])
+        if with_ids:
+            new["ids"] = F.array_append(acc["ids"], e["player_id"])
+        if track is not None:
+            last = (e["role"] == track) & (count + 1 == quota)
+            new["ks"] = F.when(last, e["score"]).otherwise(acc["ks"])
+            new["kslot"] = F.when(last, e["slot"].cast("bigint")).otherwise(acc["kslot"])
+        return F.when(take, F.struct(*[v.alias(k) for k, v in new.items()])).otherwise(acc)
+
+    def finish(acc: Column) -> Column:
+        met = F.lit(True)
+        for r, q in zip(ROLES, quotas):
+            if r != 1 or require_gk:
+                met = met & (acc[f"c{r}"] == q)
+        kept = [acc[k].alias(k) for k in ("total", "ids", "ks", "kslot") if k in fields]
+        return F.struct(met.alias("ok"), *kept)
+
+    return F.aggregate(order, F.struct(*[v.alias(k) for k, v in fields.items()]), pick, finish)
+
+
+def _squad_arrays(members: DataFrame) -> DataFrame:
+    """One row per squad: ``known`` (all known members) and ``order`` (positions 1 to 4 in greedy order).
+
+    Both arrays hold the members of one squad, at most a squad's size.
     """
-    sc = members.sparkSession.sparkContext
-    n = max(2 * sc.defaultParallelism, 2)
-    return members.select("squad_id", "slot", "player_id", "role", "team", "score").repartition(n, "squad_id")
+    e = F.struct("role", (-F.col("score")).alias("neg"), "slot", "score", "team", "player_id", "cost")
+    g = members.groupBy("squad_id", "event_id").agg(F.array_sort(F.collect_list(e)).alias("known"))
+    return g.withColumn("order", F.filter("known", lambda m: m["role"].isin(*ROLES)))
+
+
+def _eleven(order: Column, ps: Preset) -> Column:
+    """Struct of ``total`` and ``ids`` of the best eleven; ties go to the first formation."""
+    tried = []
+    for i, f in enumerate(ps.formations):
+        g = greedy(order, [F.lit(q) for q in f], ps.cap, ps.require_gk, with_ids=True)
+        tried.append(F.transform(F.array(g), lambda g, i=i: F.struct(g["ok"].alias("ok"), g["total"].alias("total"), F.lit(-i).alias("first"), g["ids"].alias("ids"))))
+    valid = F.filter(F.concat(*tried), lambda t: t["ok"] & (t["total"] > _NONE))
+    best = F.array_max(F.transform(valid, lambda t: F.struct(t["total"], t["first"], t["ids"])))
+    if ps.floor_zero:
+        nothing = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("ids"))
+        return F.when(best.isNull(), nothing).otherwise(F.struct(F.greatest(best["total"], F.lit(0).cast("bigint")).alias("total"), best["ids"].alias("ids")))
+    fallback = greedy(order, [F.lit(q) for q in ps.fallback], None, False, with_ids=True)
+    return F.when(best.isNull(), F.struct(fallback["total"].alias("total"), fallback["ids"].alias("ids"))).otherwise(
+        F.struct(best["total"].alias("total"), best["ids"].alias("ids"))
+    )
 
 
 def best_eleven(
@@ -287,30 +229,65 @@ def best_eleven(
 ) -> DataFrame:
     """Best eleven per squad: ``squad_id, event_id, team_xpts, xi`` (ids in pick order)."""
     ps = PRESETS[preset]
-    members = squad_members(squads, players, scores, requests, ps)
-    out = _member_cols(members).groupBy("squad_id").applyInPandas(_eleven_fn(ps), ELEVEN_SCHEMA)
+    out = _squad_arrays(squad_members(squads, players, scores, requests, ps)).select("squad_id", _eleven(F.col("order"), ps).alias("best"))
     # Squads without any known member still get a row (total 0, empty eleven).
     req = requests.select("squad_id", "event_id")
     return req.join(out, "squad_id", "left").select(
         "squad_id",
         "event_id",
-        (F.coalesce(F.col("cur"), F.lit(0).cast("bigint")).cast("double") / F.lit(100.0)).alias("team_xpts"),
-        F.coalesce(F.col("xi"), F.expr("CAST(array() AS ARRAY<BIGINT>)")).alias("xi"),
+        (F.coalesce(F.col("best.total"), F.lit(0).cast("bigint")).cast("double") / F.lit(100.0)).alias("team_xpts"),
+        F.coalesce(F.col("best.ids"), F.expr("CAST(array() AS ARRAY<BIGINT>)")).alias("xi"),
     )
 
 
 # ------------------------------------------------------------------ swaps
-def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset, cli: bool) -> tuple[DataFrame, int]:
-    """One row per (squad, seller), from a single shuffle of the members by squad."""
-    fn, schema, n = _fold_fn(ps, cli)
-    m = members.join(requests.select("squad_id", "bank_tenths"), "squad_id")
-    cols = ["squad_id", "slot", "player_id", "role", "team", "cost", "score", "event_id", "bank_tenths"]
-    sc = m.sparkSession.sparkContext
-    grouped = m.select(*cols).repartition(max(2 * sc.defaultParallelism, 2), "squad_id")
-    return grouped.groupBy("squad_id").applyInPandas(fn, schema), n
+def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset, cli: bool) -> DataFrame:
+    """One row per (squad, seller) with the squad facts the buyer predicates need (owned ids, full teams,
+    bank, period), the squad's current total and, per formation, A/B totals and B's kth pick."""
+    arrays = _squad_arrays(members).withColumn("cur", _eleven(F.col("order"), ps)["total"])
+    teams = F.array_compact(F.transform("known", lambda m: m["team"]))
+    s = (
+        arrays.join(requests.select("squad_id", "bank_tenths"), "squad_id")
+        .withColumn("owned", F.array_sort(F.array_distinct(F.transform("known", lambda m: m["player_id"]))))
+        .withColumn("_teams", teams)
+        .withColumn("o", F.explode("known"))
+    )
+    if cli:
+        s = s.where(F.col("o.role").isin(*ROLES))
+    held = lambda t: F.size(F.filter("_teams", lambda x: x == t))
+    own = lambda t: F.col("o.team").eqNullSafe(t)
+    if ps.same_team_ok:
+        blocked = F.filter(F.array_distinct("_teams"), lambda t: (held(t) >= MAX_PER_TEAM) & ~own(t))
+    else:
+        blocked = F.filter(F.array_distinct("_teams"), lambda t: held(t) - own(t).cast("int") >= MAX_PER_TEAM)
+    s = s.withColumn("blocked", blocked).withColumn("_others", F.filter("order", lambda m: m["slot"] != F.col("o.slot")))
+    passes, plays = [], F.col("o.role").isin(*ROLES)
+    formations = list(ps.formations) + ([ps.fallback] if ps.fallback else [])
+    for i, f in enumerate(formations):
+        is_fallback = ps.fallback is not None and i == len(formations) - 1
+        cap, need_gk = (None if is_fallback else ps.cap), ps.require_gk
+        full = [F.lit(q) for q in f]
+        fewer = [F.lit(q) - (F.col("o.role") == r).cast("int") for r, q in zip(ROLES, f)]
+        a = greedy(F.col("_others"), fewer, cap, need_gk)
+        b = greedy(F.col("_others"), full, cap, need_gk, track=F.col("o.role"))
+        s = s.withColumn("_a", F.when(plays, a)).withColumn("_b", F.when(plays, b))
+        valid = (lambda g: F.lit(True)) if is_fallback else (lambda g: g["ok"])
+        # the buyer (taking this seller's slot) sorts before B's kth pick iff x >= t
+        t = F.coalesce(F.col("_b.ks") + F.when(F.col("o.slot") < F.col("_b.kslot"), 0).otherwise(1), F.lit(_NO_KTH))
+        s = s.withColumns({
+            f"a{i}": F.when(valid(F.col("_a")), F.col("_a.total")),
+            f"b{i}": F.when(valid(F.col("_b")), F.col("_b.total")),
+            f"t{i}": F.when(plays, t),
+        }).drop("_a", "_b")
+        passes += [f"a{i}", f"b{i}", f"t{i}"]
+    return s.select(
+        "squad_id", "event_id", "bank_tenths", F.col("o.slot").alias("o_slot"), F.col("o.player_id").alias("o_id"),
+        F.col("o.role").alias("o_role"), F.col("o.cost").alias("o_cost"),
+        (F.col("o.cost") + F.col("bank_tenths")).alias("price_limit"), "owned", "blocked", "cur", *passes,
+    )
 
 
-def _new_total(ps: Preset, n_forms: int) -> F.Column:
+def _new_total(ps: Preset, n_forms: int) -> Column:
     """Total of the best eleven after the swap, from the A/B passes and buyer score ``x``.
 
     Per formation: ``x >= t ? A + x : B``. The best valid total is the max of
@@ -318,7 +295,7 @@ def _new_total(ps: Preset, n_forms: int) -> F.Column:
     valid), so one ``greatest`` and one comparison suffice.
     """
 
-    def total_of(i: int) -> F.Column:
+    def total_of(i: int) -> Column:
         return F.when(F.col("x") >= F.col(f"t{i}"), F.col(f"a{i}") + F.col("x")).otherwise(F.col(f"b{i}"))
 
     totals = [total_of(i) for i in range(n_forms)]
@@ -328,27 +305,49 @@ def _new_total(ps: Preset, n_forms: int) -> F.Column:
     return F.when(best > _NONE, best).otherwise(total_of(n_forms))  # fallback is the last pass
 
 
-def _role_join(sellers: DataFrame, cands: DataFrame, salt_buckets: int) -> DataFrame:
-    """Join sellers to candidates on position.
+def _rises(ps: Preset, n_forms: int) -> Column:
+    """The seller's total never falls as the buyer's score rises."""
+    ok, level = F.lit(True), F.lit(False)
+    for i in range(n_forms):
+        a, b, t = (F.col(f"{k}{i}") for k in "abt")
+        flat = (t != _NO_KTH) & b.isNotNull()  # B applies to low scores
+        ok = ok & (~flat | F.coalesce(a + t >= b, F.lit(False)))
+        level = level | (flat & (b > _NONE))
+    if not ps.floor_zero:
+        ok = ok & level  # else low scores fall back to another eleven
+    return ~F.col("o_role").isin(*ROLES) | F.coalesce(ok, F.lit(False))
+
+
+def short_lists(cands: DataFrame, sellers: DataFrame, top_n: int, squad_size: int) -> DataFrame:
+    """Buyers that can rank for some seller, per (period, position, price limit): see the module's plan, step 3.
 
-    Position has ~4 values, so it is never used alone as a shuffle key: a
-    candidate side with a proven small size is broadcast and the seller side
-    stays partitioned by squad (the later per-squad ranking needs no
-    shuffle); otherwise both sides are salted into ``salt_buckets`` buckets.
+    First a cut per exact price, which bounds the table by the number of
+    prices; then the buyers up to each limit that some seller has.
     """
-    if fits_broadcast(cands):
-        left = sellers  # already hash-partitioned by squad: the ranking window needs no shuffle
-        return left.join(
-            F.broadcast(cands), (left["o_role"] == cands["c_role"]) & (left["event_id"] == cands["c_event"])
-        )
-    salted_c = cands.withColumn("_salt", F.pmod(F.xxhash64("c_id"), F.lit(salt_buckets)))
-    salted_s = sellers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    cond = (
-        (salted_s["o_role"] == salted_c["c_role"])
-        & (salted_s["event_id"] == salted_c["c_event"])
-        & (salted_s["_salt"] == salted_c["_salt"])
-    )
-    return salted_s.join(salted_c, cond).drop("_salt")
+    k = top_n + squad_size
+    orders = ([F.col("x").desc(), F.col("c_id").asc()], [F.col("c_id").asc()])
+    limits = sellers.select(F.col("event_id").alias("_le"), F.col("o_role").alias("_lr"), "price_limit").distinct()
+    out = None
+    for order in orders:
+        first = cands.withColumn("_r", F.row_number().over(Window.partitionBy("c_event", "c_role", "c_team", "c_cost").orderBy(*order))).where(F.col("_r") <= k)
+        upto = first.join(limits, (F.col("c_event") == F.col("_le")) & (F.col("c_role") == F.col("_lr")) & (F.col("c_cost") <= F.col("price_limit")))
+        team = Window.partitionBy("c_event", "c_role", "price_limit", "c_team").orderBy(*order)
+        every = Window.partitionBy("c_event", "c_role", "price_limit").orderBy(*order)
+        kept = upto.withColumn("_r", F.row_number().over(team)).where(F.col("_r") <= k)
+        kept = kept.withColumn("_r", F.row_number().over(every)).where(F.col("_r") <= (squad_size // MAX_PER_TEAM + 1) * k)
+        kept = kept.select("c_event", "c_role", "price_limit", "c_id", "c_team", "c_cost", "x")
+        out = kept if out is None else out.unionByName(kept)
+    return out.distinct()
+
+
+def _salted(sellers: DataFrame, buyers: DataFrame, on: list[tuple[str, str]], salts: int) -> DataFrame:
+    """Equi-join whose keys have few values: the buyer side goes to every salt."""
+    left = sellers.withColumn("_salt", F.pmod(F.xxhash64("squad_id", "o_slot"), F.lit(salts)))
+    right = buyers.withColumn("_bsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cond = F.col("_salt") == F.col("_bsalt")
+    for a, b in on:
+        cond = cond & (left[a] == right[b])
+    return left.join(right, cond).drop("_salt", "_bsalt")
 
 
 def swap_suggestions(
@@ -358,55 +357,47 @@ def swap_suggestions(
     requests: DataFrame,
     preset: str = "cli",
     top_n: int = 10,
-    salt_buckets: int = 64,
+    salts: int = 64,
 ) -> DataFrame:
     """Top ``top_n`` one-for-one swaps per squad, best delta first.
 
     ``requests``: (squad_id, event_id, bank_tenths). Ties rank by squad slot of
-    the seller, then buyer id. Columns: squad_id, rank, out_player_id,
+    the seller, then buyer id. Columns: squad_id, event_id, rank, out_player_id,
     in_player_id, out_cost, in_cost, team_xpts_delta, new_team_xpts,
     current_team_xpts (hundredths converted back to two-decimal doubles).
+
+    Seller rows (≤ 15 per squad) and the short lists are checkpointed in the
+    shared folder: both are read more than once.
     """
     ps = PRESETS[preset]
     members = squad_members(squads, players, scores, requests, ps)
-    sellers, _ = _seller_rows(members, requests, ps, cli=(preset == "cli"))
-    # Seller rows (≤ 15 per squad) feed both the probe and the main pairing:
-    # materialise them once, reliably, in the shared checkpoint folder.
-    sellers = cut_lineage(sellers)
-    cands = candidates(players, scores, requests, ps)
     n_forms = len(ps.formations)
-    in_play = F.col("o_role").isin(*ROLES)
-    new_total = F.when(in_play, _new_total(ps, n_forms)).otherwise(F.col("cur"))
-
-    def feasible(df):
-        return df.where(
-            (F.col("c_cost") <= F.col("o_cost") + F.col("bank_tenths"))
-            & ~F.array_contains("owned", F.col("c_id"))
-            & ~F.coalesce(F.array_contains("blocked", F.col("c_team")), F.lit(False))
-        )
-
-    # Exact pre-filter. A probe pairs every seller with the PROBE best buyers
-    # of its position (a bounded, broadcast set); the top_n-th best delta of a
-    # squad's feasible probe pairs is a lower bound of its true top_n-th best
-    # delta, so pairs below it can never rank and are dropped before the
-    # ranking shuffle and sort (pairs equal to it are kept).
-    wb = Window.partitionBy("c_role", "c_event").orderBy(F.col("x").desc(), F.col("c_id").asc())
-    best = cands.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= PROBE).drop("_r")
-    probe = feasible(sellers.join(F.broadcast(best), (sellers["o_role"] == best["c_role"]) & (sellers["event_id"] == best["c_event"])))
-    probe = probe.select("squad_id", (new_total - F.col("cur")).alias("d"))
-    wp = Window.partitionBy("squad_id").orderBy(F.col("d").desc())
-    bound = probe.withColumn("_r", F.row_number().over(wp)).where(F.col("_r") == top_n).select("squad_id", F.col("d").alias("_lb"))
-    sellers = sellers.join(bound, "squad_id", "left")
-
-    pairs = feasible(_role_join(sellers, cands, salt_buckets))
-    scored = pairs.select(
-        "squad_id", "o_slot", "o_id", "c_id", "o_cost", "c_cost", "cur", "_lb", new_total.alias("new")
+    sellers = cut_lineage(_seller_rows(members, requests, ps, cli=(preset == "cli")).withColumn("_rises", _rises(ps, n_forms)))
+    size = sellers.agg(F.coalesce(F.max(F.size("owned")), F.lit(0))).first()[0]
+    cands = candidates(players, scores, requests, ps)
+    rising, other = sellers.where(F.col("_rises")), sellers.where(~F.col("_rises"))
+    lists = cut_lineage(short_lists(cands, rising, top_n, size)).withColumnRenamed("price_limit", "_limit")
+    on = [("event_id", "c_event"), ("o_role", "c_role"), ("price_limit", "_limit")]
+    if lists.count() <= BROADCAST_MAX_ROWS:
+        cond = (rising["event_id"] == lists["c_event"]) & (rising["o_role"] == lists["c_role"]) & (rising["price_limit"] == lists["_limit"])
+        near = rising.join(F.broadcast(lists), cond)
+    else:
+        near = _salted(rising, lists, on, salts)
+    pairs = near.drop("_limit").unionByName(_salted(other, cands, on[:2], salts))
+    feasible = pairs.where(
+        (F.col("c_cost") <= F.col("price_limit"))
+        & ~F.array_contains("owned", F.col("c_id"))
+        & ~F.coalesce(F.array_contains("blocked", F.col("c_team")), F.lit(False))
+    )
+    new_total = F.when(F.col("o_role").isin(*ROLES), _new_total(ps, n_forms)).otherwise(F.col("cur"))
+    scored = feasible.select(
+        "squad_id", "event_id", "o_slot", "o_id", "c_id", "o_cost", "c_cost", "cur", new_total.alias("new")
     ).withColumn("delta", F.col("new") - F.col("cur"))
-    scored = scored.where(F.col("_lb").isNull() | (F.col("delta") >= F.col("_lb"))).drop("_lb")
     w = Window.partitionBy("squad_id").orderBy(F.col("delta").desc(), F.col("o_slot").asc(), F.col("c_id").asc())
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return top.select(
         "squad_id",
+        "event_id",
         F.col("rank").cast("int").alias("rank"),
         F.col("o_id").alias("out_player_id"),
         F.col("c_id").alias("in_player_id"),
@@ -442,6 +433,7 @@ def service_suggestions(squads, players, scores, requests, top_n: int = 10) -> D
     s = with_names(s, players, missing="")
     return s.select(
         "squad_id",
+        "event_id",
         "rank",
         "out_player_id",
         "in_player_id",
@@ -460,6 +452,7 @@ def cli_suggestions(squads, players, scores, requests, top_n: int = 10) -> DataF
     s = with_names(s, players, missing="")
     return s.select(
         "squad_id",
+        "event_id",
         "rank",
         F.col("out_player_id").alias("sell_id"),
         F.col("in_player_id").alias("buy_id"),

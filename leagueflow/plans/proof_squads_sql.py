@@ -87,7 +87,7 @@ scored AS (
   FROM pairs p JOIN cur ON cur.squad_id = p.squad_id LEFT JOIN newt n ON n.squad_id = p.squad_id AND n.o_slot = p.o_slot AND n.c_id = p.c_id
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY squad_id ORDER BY new - cur DESC, o_slot, c_id) AS rank FROM scored)
-SELECT r.squad_id, CAST(r.rank AS INT) AS rank, r.o_id AS out_player_id, r.c_id AS in_player_id,
+SELECT r.squad_id, (SELECT event_id FROM nxt) AS event_id, CAST(r.rank AS INT) AS rank, r.o_id AS out_player_id, r.c_id AS in_player_id,
        coalesce(io.web_name, '') AS out_web_name, coalesce(ii.web_name, '') AS in_web_name,
        CAST(r.new - r.cur AS DOUBLE) / CAST(100.0 AS DOUBLE) AS team_xpts_delta,
        CAST(r.new AS DOUBLE) / CAST(100.0 AS DOUBLE) AS new_team_xpts,
@@ -192,7 +192,7 @@ tots AS (
 ),
 scored AS (SELECT t.*, greatest(0, coalesce(t.best, 0)) AS new, cur.cur FROM tots t JOIN cur ON cur.squad_id = t.squad_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY squad_id ORDER BY new - cur DESC, o_slot, c_id) AS rank FROM scored)
-SELECT r.squad_id, CAST(r.rank AS INT) AS rank, r.o_id AS sell_id, r.c_id AS buy_id,
+SELECT r.squad_id, (SELECT event_id FROM nxt) AS event_id, CAST(r.rank AS INT) AS rank, r.o_id AS sell_id, r.c_id AS buy_id,
        coalesce(io.web_name, '') AS sell_name, coalesce(ii.web_name, '') AS buy_name,
        CAST(r.new - r.cur AS DOUBLE) / CAST(100.0 AS DOUBLE) AS expected_points_difference,
        CAST(r.new AS DOUBLE) / CAST(100.0 AS DOUBLE) AS new_team_xpts,

@@ -7,11 +7,11 @@ import squad_bruteforce as bf
 from leagueflow.operators import squads as sq
 
 
-def _world(spark, seed, n_squads=40, pool=120, scores_neg=False):
+def _world(spark, seed, n_squads=40, pool=120, scores_neg=False, teams=6, coarse=False):
     rnd = random.Random(seed)
     players = []
     for pid in range(1, pool + 1):
-        players.append((pid, f"p{pid}", rnd.choice([1, 2, 2, 3, 3, 4]), rnd.randrange(6), rnd.randrange(40, 131)))
+        players.append((pid, f"p{pid}", rnd.choice([1, 2, 2, 3, 3, 4]), rnd.randrange(teams), rnd.randrange(40, 131)))
     by_role = defaultdict(list)
     for p in players:
         by_role[p[2]].append(p[0])
@@ -22,13 +22,12 @@ def _world(spark, seed, n_squads=40, pool=120, scores_neg=False):
         squads += [(s, pid, i + 1) for i, pid in enumerate(ids)]
         bank.append((s, 1, rnd.randrange(0, 30)))
     lo = -300 if scores_neg else 0
-    scores = [(pid, 1, rnd.randrange(lo, 900) / 100) for pid in range(1, pool + 1) if rnd.random() < 0.9]
+    scores = [(pid, 1, rnd.randrange(4) / 2 if coarse else rnd.randrange(lo, 900) / 100) for pid in range(1, pool + 1) if rnd.random() < 0.9]
     return players, squads, bank, scores
 
 
-@pytest.mark.parametrize("seed,neg", [(1, False), (2, False), (3, True)])
-def test_swaps_match_brute_force(spark, seed, neg):
-    players, squads, bank, scores = _world(spark, seed, scores_neg=neg)
+def _check(spark, world, presets, top_n):
+    players, squads, bank, scores = world
     P = spark.createDataFrame(players, "id bigint, web_name string, element_type_id bigint, team_id bigint, now_cost bigint")
     S = spark.createDataFrame(squads, "squad_id bigint, player_id bigint, slot int")
     R = spark.createDataFrame(bank, "squad_id bigint, event_id bigint, bank_tenths bigint")
@@ -39,13 +38,42 @@ def test_swaps_match_brute_force(spark, seed, neg):
     for s, pid, slot in squads:
         members[s].append(dict(info[pid], slot=slot))
     banks = {s: b for s, _, b in bank}
-    for preset in ("cli", "service"):
+    for preset in presets:
         got = defaultdict(list)
-        for r in sq.swap_suggestions(S, P, X, R, preset, 10).orderBy("squad_id", "rank").collect():
+        for r in sq.swap_suggestions(S, P, X, R, preset, top_n).orderBy("squad_id", "rank").collect():
             got[r.squad_id].append((r.out_player_id, r.in_player_id, round(r.team_xpts_delta * 100), round(r.new_team_xpts * 100)))
-        eleven = {r.squad_id: round(r.team_xpts * 100) for r in sq.best_eleven(S, P, X, R, preset).collect()}
+        eleven = {r.squad_id: r for r in sq.best_eleven(S, P, X, R, preset).collect()}
         for s, mem in members.items():
             solve = bf.eleven_capped if preset == "cli" else bf.eleven_uncapped
-            assert eleven[s] == solve(mem, lambda m: cents.get(m["id"], 0)), (preset, s)
-            _, exp = bf.swaps(mem, list(info.values()), cents, banks[s], preset, 10)
+            score = lambda m: cents.get(m["id"], 0)
+            assert round(eleven[s].team_xpts * 100) == solve(mem, score), (preset, s)
+            if eleven[s].team_xpts > 0:
+                assert sum(cents.get(i, 0) for i in eleven[s].xi) == solve(mem, score) and len(set(eleven[s].xi)) == len(eleven[s].xi)
+            _, exp = bf.swaps(mem, list(info.values()), cents, banks[s], preset, top_n)
             assert got[s] == exp, (preset, s)
+
+
+@pytest.mark.parametrize("seed,neg", [(1, False), (2, False), (3, True)])
+def test_swaps_match_brute_force(spark, seed, neg):
+    _check(spark, _world(spark, seed, scores_neg=neg), ("cli", "service"), 10)
+
+
+@pytest.mark.parametrize("seed,preset,top_n,coarse", [(4, "cli", 1, True), (5, "service", 1, False), (6, "service", 50, True), (7, "cli", 4, False)])
+def test_short_lists_lose_no_swap(spark, seed, preset, top_n, coarse):
+    """Many more buyers than a short list holds, with ties; few teams, so that squads have full teams."""
+    world = _world(spark, seed, n_squads=3, pool=1600, teams=5, coarse=coarse)
+    _check(spark, world, (preset,), top_n)
+
+
+def test_a_seller_meets_a_bounded_number_of_buyers(spark):
+    """The short lists have the same size for 5,000 and for 20,000 buyers."""
+    from pyspark.sql import functions as F
+
+    sizes = []
+    for n in (5000, 20000):
+        ids = spark.range(n).withColumn("h", F.abs(F.xxhash64("id")))
+        buyers = ids.select(F.col("id").alias("c_id"), F.lit(2).cast("bigint").alias("c_role"), (F.col("h") % 20).alias("c_team"),
+                            (40 + F.col("h") % 31).alias("c_cost"), F.lit(1).cast("bigint").alias("c_event"), (F.col("h") % 900).alias("x"))
+        sellers = spark.createDataFrame([(1, 2, 55), (1, 2, 90)], "event_id bigint, o_role bigint, price_limit bigint")
+        sizes.append(sq.short_lists(buyers, sellers, 10, 15).groupBy("price_limit").count().agg(F.max("count")).first()[0])
+    assert max(sizes) <= 2 * 6 * 25
