@@ -32,7 +32,7 @@ def suffix_array(s: Strings) -> tuple[np.ndarray, np.ndarray]:
     place where it begins. Sorting the groups by the rank of the suffix h bytes
     further on doubles h. Groups of one are done and not touched again.
     """
-    sa = np.argsort(s.packed, kind="stable")
+    sa = np.argsort(s.packed)
     n = len(sa)
     first = np.ones(n, bool)
     first[1:] = s.packed[sa[1:]] != s.packed[sa[:-1]]
@@ -44,12 +44,13 @@ def suffix_array(s: Strings) -> tuple[np.ndarray, np.ndarray]:
     while len(open_):
         p = sa[open_]
         group, after = rank[p], p + h
-        key = np.where(after < s.end[p], rank[np.minimum(after, n - 1)], -1 - p)
-        order = np.lexsort((key, group))
-        p, group, key = p[order], group[order], key[order]
+        # group and rank in one number; a string that has ended comes first, each end for itself
+        key = group * (2 * n) + np.where(after < s.end[p], n + rank[np.minimum(after, n - 1)], p)
+        order = np.argsort(key)
+        p, key = p[order], key[order]
         sa[open_] = p
         new = np.ones(len(p), bool)
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        new[1:] = key[1:] != key[:-1]
         rank[p] = np.maximum.accumulate(np.where(new, open_, 0))
         open_ = open_[~(new & np.append(new[1:], True))]
         h *= 2
