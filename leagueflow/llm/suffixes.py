@@ -13,16 +13,26 @@ class Strings:
 
     def __init__(self, parts: list[bytes]):
         self.text = np.frombuffer(b"".join(parts), np.uint8)
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.end = np.repeat(self.begins + self.sizes, self.sizes)
         n = len(self.text)
-        here = np.arange(n)
+        if n >= 1 << 30:
+            raise ValueError("places and their sums are 32-bit numbers: make the shards smaller")
+        sizes = np.array([len(p) for p in parts], np.int32)
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        self.end = np.repeat(begins + sizes, sizes)
+        self.begins = np.zeros(n, bool)
+        self.begins[begins[sizes > 0]] = True
+        left = self.end - np.arange(n, dtype=np.int32)
         padded = np.zeros(n + PACKED, np.int64)
         padded[:n] = self.text
+        padded[:n] += 1
         self.packed = np.zeros(n, np.int64)
         for k in range(PACKED):
-            self.packed = self.packed << 9 | np.where(here + k < self.end, padded[k : k + n] + 1, 0)
+            self.packed <<= 9
+            self.packed |= padded[k : k + n]
+        # nothing of the next string: only the last places of a string see it
+        last = np.flatnonzero(left < PACKED)
+        beyond = 9 * (PACKED - left[last].astype(np.int64))
+        self.packed[last] = self.packed[last] >> beyond << beyond
 
 
 def suffix_array(s: Strings) -> tuple[np.ndarray, np.ndarray]:
@@ -32,59 +42,59 @@ def suffix_array(s: Strings) -> tuple[np.ndarray, np.ndarray]:
     place where it begins. Sorting the groups by the rank of the suffix h bytes
     further on doubles h. Groups of one are done and not touched again.
     """
-    sa = np.argsort(s.packed)
+    place = np.int32
+    sa = np.argsort(s.packed).astype(place)
     n = len(sa)
     first = np.ones(n, bool)
-    first[1:] = s.packed[sa[1:]] != s.packed[sa[:-1]]
-    place = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = place
-    open_ = np.flatnonzero(~(first & np.append(first[1:], True)))
+    sorted_ = s.packed[sa]
+    first[1:] = sorted_[1:] != sorted_[:-1]
+    rank = np.empty(n, place)
+    rank[sa] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=place), place(0)))
+    open_ = np.flatnonzero(~(first & np.append(first[1:], True))).astype(place)
     h = PACKED
     while len(open_):
         p = sa[open_]
-        group, after = rank[p], p + h
+        after = p + place(h)
         # group and rank in one number; a string that has ended comes first, each end for itself
-        key = group * (2 * n) + np.where(after < s.end[p], n + rank[np.minimum(after, n - 1)], p)
+        then = np.where(after < s.end[p], rank[np.minimum(after, n - 1)] + place(n), p)
+        key = rank[p].astype(np.int64) * (2 * n) + then
         order = np.argsort(key)
         p, key = p[order], key[order]
         sa[open_] = p
         new = np.ones(len(p), bool)
         new[1:] = key[1:] != key[:-1]
-        rank[p] = np.maximum.accumulate(np.where(new, open_, 0))
+        rank[p] = np.maximum.accumulate(np.where(new, open_, place(0)))
         open_ = open_[~(new & np.append(new[1:], True))]
         h *= 2
     return sa, rank
 
 
 def common_prefixes(s: Strings, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """``out[r]``: length of the common prefix of the suffixes of rank ``r - 1`` and ``r``.
+    """``out[r]``: length of the common prefix of the suffixes of rank ``r - 1`` and ``r``; 0 at either end.
 
-    Kasai's walk: from one suffix to the next in the text the length falls by
-    one at most. All strings are walked at once, one step of each at a time.
+    Kasai's observation, for all places at once: where the bytes before two
+    neighbouring suffixes are equal, those longer suffixes are neighbours too,
+    and the common prefix is one shorter than theirs. So bytes are compared only
+    where they differ, and the lengths in between count down from there.
     """
-    out = np.zeros(len(sa) + 1, np.int64)
-    lane = np.argsort(-s.sizes, kind="stable")  # longest first, so the strings that go on are the first ones
-    begins, sizes = s.begins[lane], s.sizes[lane]
-    length = np.zeros(len(lane), np.int64)
-    for step in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -step))
-        at = begins[:live] + step
-        r = rank[at]
-        other = sa[r - 1]  # the suffix of rank 0 has none; its length is put right below
-        now = np.maximum(length[:live] - 1, 0)
-        most = np.minimum(s.end[at] - at, s.end[other] - other)
-        most[r == 0] = 0
-        now = np.minimum(now, most)
-        go = np.flatnonzero(now < most)
-        while len(go):
-            a, b = at[go] + now[go], other[go] + now[go]
-            differ = s.packed[a] ^ s.packed[b]
-            same = sum((differ >> 9 * (PACKED - k) == 0).astype(np.int64) for k in range(1, PACKED + 1))
-            now[go] = np.minimum(now[go] + same, most[go])
-            go = go[(same == PACKED) & (now[go] < most[go])]
-        length[:live] = now
-        out[r] = now
+    n = len(sa)
+    out = np.zeros(n + 1, np.int32)
+    here = np.arange(n, dtype=np.int32)
+    other = sa[rank - 1]  # the suffix of rank 0 has none; its length stays 0
+    compared = (rank == 0) | s.begins | s.begins[other] | (s.text[here - 1] != s.text[other - 1])
+    a = np.flatnonzero(compared).astype(np.int32)
+    b = other[a]
+    most = np.minimum(s.end[a] - a, s.end[b] - b)
+    most[rank[a] == 0] = 0
+    length = np.zeros(len(a), np.int32)
+    go = np.flatnonzero(length < most)
+    while len(go):
+        differ = s.packed[a[go] + length[go]] ^ s.packed[b[go] + length[go]]
+        same = sum((differ >> 9 * (PACKED - k) == 0).astype(np.int32) for k in range(1, PACKED + 1))
+        length[go] = np.minimum(length[go] + same, most[go])
+        go = go[(same == PACKED) & (length[go] < most[go])]
+    at = np.cumsum(compared) - 1
+    out[rank] = length[at] - (here - a[at])
     return out
 
 
