@@ -17,8 +17,9 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 NAN_WORDS = ("nan", "+nan", "-nan")
 POS_INF_WORDS = ("inf", "+inf", "infinity", "+infinity")
 NEG_INF_WORDS = ("-inf", "-infinity")
-# Zone designator at the end of an ISO-8601 string: Z or +hh:mm / +hhmm / +hh.
-ZONE_PATTERN = r"(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)$"
+INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+# Zone designator after the time of an ISO-8601 string: Z or +hh:mm / +hhmm / +hh.
+ZONE_PATTERN = r"[T ][0-9:.,]+\s*(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)$"
 
 
 def _col(c: Column | str) -> Column:
@@ -40,12 +41,14 @@ def safe_float(c: Column | str) -> Column:
 def safe_int(c: Column | str, dtype: str = "bigint") -> Column:
     """Text or number → integer, truncating toward zero ('12.9' → 12, '-1.5' → -1).
 
-    NaN, infinities, blanks and garbage become NULL.
+    NaN, infinities, blanks and garbage become NULL. Plain integers are read
+    as such, so ids above 2^53 keep their value; only a fraction or an exponent
+    goes through DOUBLE.
     """
     s = F.trim(_col(c).cast("string"))
     d = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
     finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
-    return F.when(finite, d.try_cast(dtype))
+    return F.when(s.rlike(INTEGER_PATTERN), s.try_cast(dtype)).when(finite, d.try_cast(dtype))
 
 
 def safe_bool(c: Column | str) -> Column:
@@ -57,11 +60,14 @@ def safe_bool(c: Column | str) -> Column:
 def safe_ts_utc(c: Column | str) -> Column:
     """ISO-8601 text → TIMESTAMP_NTZ holding UTC wall time.
 
-    An explicit zone (``Z`` or ``±hh:mm``) is converted to UTC; a naive string is
-    taken as UTC. The result does not depend on the session time zone.
+    An explicit zone (``Z`` or ``±hh:mm``) is converted to UTC; a naive string or
+    a date alone is taken as UTC. The result does not depend on the session time
+    zone: a zone is only looked for after a time, so the day of a date is none.
     """
     s = F.trim(_col(c).cast("string"))
-    instant = F.try_to_timestamp(s)
+    # the parser wants the minutes of an offset and a colon before them
+    whole = F.regexp_replace(s, r"([T ][0-9:.,]+)\s*([+-][0-9]{2})$", "$1$2:00")
+    instant = F.try_to_timestamp(F.regexp_replace(whole, r"([T ][0-9:.,]+)\s*([+-][0-9]{2})([0-9]{2})$", "$1$2:$3"))
     as_utc_ntz = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(instant).cast("decimal(38,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
     )

@@ -22,7 +22,7 @@ def request_key(url: Column | str, base: str) -> tuple[Column, Column]:
     """
     u = _col(url)
     rest = F.when(
-        u.startswith(base), F.regexp_replace(F.substring(u, len(base) + 1, 1 << 20), "/+$", "")
+        u.startswith(base), F.regexp_replace(F.substring(u, F.lit(len(base) + 1), F.length(u)), "/+$", "")
     ).otherwise(u)
     summary = F.regexp_extract(rest, r"^element-summary/([0-9]+)", 1)
     picks_team = F.regexp_extract(rest, r"^entry/([0-9]+)/event/([0-9]+)/picks", 1)

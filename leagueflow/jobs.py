@@ -1,9 +1,13 @@
-"""Jobs: the operators chained over the versioned table store.
+"""Jobs: the operators chained over the table store.
 
-Each job reads documents or silver tables, writes new table versions, and
-runs the quality gate after the commit, as the source system does (level
-hard | strict | warn). ``as_of`` stamps written rows, so reruns are
-reproducible.
+Each job reads documents or silver tables, upserts, logs its fetches and runs
+the quality gate after the commit, as the source system does (level hard |
+strict | warn). ``as_of`` stamps written rows, so reruns are reproducible.
+Rows whose parent does not exist are rejected; ``orphans="quarantine"`` sets
+them aside and stores the rest.
+
+Documents are rows of ``payload`` and, where they have them, ``request_key``
+and ``fetched_at_utc``; what is missing is filled in from the job.
 """
 
 from __future__ import annotations
@@ -11,22 +15,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leagueflow.operators import learn, marts, quality, scoring
+from leagueflow.operators import incremental, learn, marts, quality, scoring
 from leagueflow.operators import squads as sq
+from leagueflow.session import cut_lineage
 from leagueflow.sources import payloads
 from leagueflow.sources.tables import TableStore
+from leagueflow.streaming.ingest import ORDER, fetch_log, ordered
 
 CORE = ("teams", "element_types", "events", "players", "fixtures")
 
 
 def _gate(spark: SparkSession, store: TableStore, level: str) -> DataFrame:
-    store.init()
-    tables = {t: store.read(t) for t in quality.CORE_TABLES}
+    """Gate over the tables that exist; one that does not is an error of the report."""
+    tables = {t: store.read(t) for t in quality.CORE_TABLES if store.exists(t)}
     report = quality.quality_report(spark, tables)
     quality.enforce(report, level)
     return report
 
 
+def _documents(docs: DataFrame, key, as_of: str) -> DataFrame:
+    """Documents with key, fetch time and digest."""
+    if "request_key" not in docs.columns:
+        docs = docs.withColumn("request_key", key)
+    if "fetched_at_utc" not in docs.columns:
+        docs = docs.withColumn("fetched_at_utc", F.lit(as_of).cast("timestamp_ntz"))
+    return ordered(docs)
+
+
 def update_core(
     spark: SparkSession,
     store: TableStore,
@@ -34,48 +49,86 @@ def update_core(
     fixture_docs: DataFrame,
     as_of: str,
     level: str = "hard",
-    log: DataFrame | None = None,
+    run_id: str | None = None,
+    orphans: str = "reject",
 ) -> dict[str, int]:
-    """Core snapshot + fixtures → five upserts (+ log), then the quality gate.
+    """Core snapshot + fixtures → five upserts and the log, then the quality gate.
 
     Each document set is parsed once (persisted) and fanned out to its tables.
     """
     store.init()
-    boot = bootstrap_docs.persist()
+    boot = _documents(bootstrap_docs, F.lit("bootstrap-static"), as_of).persist()
+    fixtures = _documents(fixture_docs, F.lit("fixtures"), as_of).persist()
+    parse = {
+        "teams": (payloads.parse_teams, boot),
+        "element_types": (payloads.parse_positions, boot),
+        "events": (payloads.parse_events, boot),
+        "players": (payloads.parse_players, boot),
+        "fixtures": (payloads.parse_fixtures, fixtures),
+    }
     try:
         counts = {
-            "teams": store.upsert("teams", payloads.parse_teams(boot), as_of=as_of),
-            "element_types": store.upsert("element_types", payloads.parse_positions(boot), as_of=as_of),
-            "events": store.upsert("events", payloads.parse_events(boot), as_of=as_of),
-            "players": store.upsert("players", payloads.parse_players(boot), as_of=as_of),
+            t: store.upsert(t, f(docs, keep=ORDER[:2], pos="_pos"), ORDER, as_of=as_of, orphans=orphans) for t, (f, docs) in parse.items()
         }
+        log = fetch_log(boot, "bootstrap-static", run_id).unionByName(fetch_log(fixtures, "fixtures", run_id))
+        store.append("meta_ingestions", log, part=run_id and f"core-{run_id}")
     finally:
         boot.unpersist()
-    counts["fixtures"] = store.upsert("fixtures", payloads.parse_fixtures(fixture_docs), as_of=as_of)
-    if log is not None:
-        store.append("meta_ingestions", log)
+        fixtures.unpersist()
     _gate(spark, store, level)
     return counts
 
 
 def update_summaries(
-    spark: SparkSession, store: TableStore, summary_docs: DataFrame, as_of: str, level: str = "hard", player: str = "player_id"
+    spark: SparkSession,
+    store: TableStore,
+    summary_docs: DataFrame,
+    as_of: str,
+    level: str = "hard",
+    player: str = "player_id",
+    run_id: str | None = None,
+    orphans: str = "reject",
 ) -> dict[str, int]:
-    """Per-player summary documents → history and future-fixture upserts, then the gate."""
-    docs = summary_docs.persist()
+    """Per-player summary documents → history and future-fixture upserts and the log, then the gate."""
+    store.init()
+    key = F.concat(F.lit("element-summary:"), F.col(player).cast("string"))
+    docs = _documents(summary_docs, key, as_of).persist()
     try:
+        parse = {"player_match_history": payloads.parse_history, "player_future_fixtures": payloads.parse_future}
         counts = {
-            "player_match_history": store.upsert("player_match_history", payloads.parse_history(docs, player), as_of=as_of),
-            "player_future_fixtures": store.upsert("player_future_fixtures", payloads.parse_future(docs, player), as_of=as_of),
+            t: store.upsert(t, f(docs, player, keep=ORDER[:2], pos="_pos").withColumnRenamed(player, "player_id"), ORDER, as_of=as_of, orphans=orphans)
+            for t, f in parse.items()
         }
+        store.append("meta_ingestions", fetch_log(docs, "element-summary", run_id), part=run_id and f"summaries-{run_id}")
     finally:
         docs.unpersist()
     _gate(spark, store, level)
     return counts
 
 
+def refresh_summaries(
+    spark: SparkSession,
+    store: TableStore,
+    available_docs: DataFrame,
+    as_of: str,
+    top_n: int | None = None,
+    since_hours: float | None = None,
+    max_age_hours: float | None = None,
+    force: bool = False,
+    player: str = "player_id",
+    **kw,
+) -> dict[str, int]:
+    """Selection, then ingest: of the documents that could be fetched, those of players that the log says are due."""
+    candidates = incremental.top_candidates(store.read("players"), top_n)
+    due = incremental.select_incremental(candidates, store.read("meta_ingestions"), as_of, since_hours, max_age_hours, force)
+    # written once: the ingest changes the log that the selection reads
+    due = cut_lineage(due.select(F.col("player_id").alias("_due")))
+    docs = available_docs.join(due, available_docs[player] == due["_due"], "left_semi")
+    return update_summaries(spark, store, docs, as_of, player=player, **kw)
+
+
 def register_views(store: TableStore, n: int = 5) -> dict[str, DataFrame]:
-    """Publish the four analytics views over the latest table versions."""
+    """Publish the four analytics views over the current tables."""
     store.init()
     names = list(CORE) + ["player_match_history", "player_expected_points"]
     return marts.register_marts({t: store.read(t) for t in names}, n=n)
@@ -102,12 +155,13 @@ def build_xpts(
     method: str = "baseline",
     model_path: str | None = None,
     level: str = "hard",
+    orphans: str = "reject",
 ) -> DataFrame:
-    """Compute, upsert into ``player_expected_points``, gate; returns the top-10 report."""
-    scores_df = compute_scores(spark, store, horizon, method, model_path)
-    store.upsert("player_expected_points", scores_df, as_of=as_of)
+    """Compute, upsert into ``player_expected_points``, gate; returns the top-10 report of this run's scores."""
+    scores = cut_lineage(compute_scores(spark, store, horizon, method, model_path))
+    store.upsert("player_expected_points", scores, ["player_id"], as_of=as_of, orphans=orphans)
     _gate(spark, store, level)
-    return scoring.top_scores(store.read("player_expected_points").drop("computed_at_utc"), 10)
+    return scoring.top_scores(scores, 10)
 
 
 def train_xpts(spark: SparkSession, store: TableStore, model_path: str, validation_fraction: float = 0.2) -> float:
@@ -119,23 +173,51 @@ def train_xpts(spark: SparkSession, store: TableStore, model_path: str, validati
     return mae
 
 
+def _requests(store: TableStore, squads: DataFrame, bank_tenths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    scores = store.read("player_expected_points")
+    nxt = marts.next_period_id(scores).scalar()
+    requests = (
+        squads.select("squad_id").distinct()
+        .join(bank_tenths, "squad_id", "left")
+        .select("squad_id", nxt.alias("event_id"), F.coalesce("bank_tenths", F.lit(0)).cast("bigint").alias("bank_tenths"))
+        .where(F.col("event_id").isNotNull())
+    )
+    return scores, requests
+
+
 def suggest_transfers(
     spark: SparkSession, store: TableStore, squads: DataFrame, bank_tenths: DataFrame, top_n: int = 10, preset: str = "cli"
 ) -> DataFrame:
     """Suggestions for many squads against the next period in ``player_expected_points``.
 
     ``squads``: (squad_id, slot, player_id); ``bank_tenths``: (squad_id, bank_tenths).
-    No stored scores → empty result.
+    A squad without a feasible swap has one row with its current total and no
+    rank. No stored scores → empty result.
     """
-    scores_df = store.read("player_expected_points")
-    nxt = marts.next_period_id(scores_df).scalar()
-    requests = (
-        squads.select("squad_id").distinct()
-        .join(bank_tenths, "squad_id", "left")
-        .select("squad_id", nxt.alias("event_id"), F.coalesce("bank_tenths", F.lit(0)).cast("bigint").alias("bank_tenths"))
-        .where(F.col("event_id").isNotNull())
-    )
+    scores, requests = _requests(store, squads, bank_tenths)
+    players = store.read("players")
+    suggest = sq.cli_suggestions if preset == "cli" else sq.service_suggestions
+    found = suggest(squads, players, scores, requests, top_n)
+    current = sq.best_eleven(squads, players, scores, requests, preset)
+    none = current.join(found.select("squad_id").distinct(), "squad_id", "left_anti")
+    return found.unionByName(none.select("squad_id", "event_id", F.col("team_xpts").alias("current_team_xpts")), allowMissingColumns=True)
+
+
+def answer_requests(
+    spark: SparkSession, store: TableStore, picks_docs: DataFrame, given_bank: DataFrame, top_n: int = 10
+) -> DataFrame:
+    """The service end to end: picks documents → request rules → suggestions → one document per accepted squad.
+
+    ``picks_docs``: (squad_id, payload); ``given_bank``: (squad_id, bank_million).
+    Returns ``squad_id, status, document``; squads that the rules refuse have
+    their status and no document.
+    """
+    members, bank = payloads.squad_from_picks(picks_docs, ["squad_id"])
+    asked = sq.suggestion_requests(members, bank, given_bank, store.read("player_expected_points"))
+    ok = asked.where(F.col("status") == "ok")
+    squads = members.join(ok.select("squad_id"), "squad_id", "left_semi").select("squad_id", F.col("pick_index").cast("int").alias("slot"), "player_id")
+    scores, requests = _requests(store, squads, ok.select("squad_id", "bank_tenths"))
     players = store.read("players")
-    if preset == "cli":
-        return sq.cli_suggestions(squads, players, scores_df, requests, top_n)
-    return sq.service_suggestions(squads, players, scores_df, requests, top_n)
+    current = sq.best_eleven(squads, players, scores, requests, "service")
+    documents = sq.suggestion_documents(sq.service_suggestions(squads, players, scores, requests, top_n), current)
+    return asked.join(documents, "squad_id", "left").select("squad_id", "status", "document")

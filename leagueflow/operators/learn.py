@@ -20,7 +20,7 @@ from leagueflow.functions.casts import round2
 from leagueflow.functions.scoring import NEUTRAL_DIFFICULTY, att_def_share, expected_minutes, status_key
 from leagueflow.operators.marts import not_finished
 from leagueflow.operators.scoring import attach_periods, next_periods, side_lookup
-from leagueflow.session import maybe_broadcast
+from leagueflow.session import cut_lineage, maybe_broadcast
 
 # Feature names and order (training and inference must agree).
 FEATURES = [
@@ -69,6 +69,7 @@ def training_features(history: DataFrame, fixtures: DataFrame, players: DataFram
     return j.select(
         "player_id",
         "event_id",
+        F.col("fixture_id_effective").alias("game_id"),
         F.coalesce(F.col("element_type_id"), F.lit(DEFAULT_POSITION)).cast("int").alias("element_type_id"),
         F.coalesce(F.col("own._s"), F.lit(DEFAULT_STRENGTH)).cast("int").alias("team_strength"),
         F.coalesce(opp, F.lit(DEFAULT_STRENGTH)).cast("int").alias("opponent_strength"),
@@ -127,15 +128,25 @@ def scoring_features(
     )
 
 
+def in_validation(fraction: float, player: str = "player_id", game: str = "game_id"):
+    """Whether a row is held out: by a hash of player and game, so the split does not depend on the layout."""
+    text = F.concat_ws(":", F.col(player).cast("string"), F.col(game).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") < int(fraction * 2**32)
+
+
 def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0, max_iter: int = N_TREES):
-    """Fit the pipeline on a random split; returns (model, validation MAE, n_train, n_val).
+    """Fit the pipeline; returns (model, validation MAE, n_train, n_val).
 
-    Raises ``ValueError`` with fewer than 10 rows.
+    The features are checkpointed once: the joins behind them run once, not
+    for the counts, the fit and the evaluation each. Raises ``ValueError`` with
+    fewer than 10 rows.
     """
-    n = features.count()
-    if n < MIN_ROWS:
-        raise ValueError(f"not enough training rows ({n}); need at least {MIN_ROWS}: ingest history first")
-    train_df, val_df = features.randomSplit([1.0 - validation_fraction, validation_fraction], seed=seed)
+    rows = cut_lineage(features.withColumn("_val", in_validation(validation_fraction)))
+    sizes = {r["_val"]: r["count"] for r in rows.groupBy("_val").count().collect()}
+    n_train, n_val = sizes.get(False, 0), sizes.get(True, 0)
+    if n_train + n_val < MIN_ROWS:
+        raise ValueError(f"not enough training rows ({n_train + n_val}); need at least {MIN_ROWS}: ingest history first")
+    train_df, val_df = rows.where(~F.col("_val")), rows.where("_val")
     pipe = Pipeline(
         stages=[
             VectorAssembler(inputCols=FEATURES, outputCol="_x"),
@@ -146,7 +157,7 @@ def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0,
     model = pipe.fit(train_df.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL)))
     scored = model.transform(val_df.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL)))
     mae = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mae").evaluate(scored)
-    return model, mae, train_df.count(), val_df.count()
+    return model, mae, n_train, n_val
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -47,6 +47,7 @@ def player_latest(players: DataFrame, teams: DataFrame, positions: DataFrame) ->
             F.col("p.points_per_game"),
             F.col("p.expected_goals"),
             F.col("p.expected_assists"),
+            F.col("p.ingested_at_utc"),
         )
     )
 
@@ -143,6 +144,7 @@ def xpts_next(expected_points: DataFrame, latest: DataFrame, period: str = "even
         F.col("x.xpts_att"),
         F.col("x.xpts_def"),
         F.col("x.xpts_app"),
+        F.col("x.computed_at_utc"),
         F.col("p.web_name"),
         F.col("p.team_name"),
         F.col("p.team_short_name"),

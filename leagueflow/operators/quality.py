@@ -129,19 +129,24 @@ def sample_anomalies(history: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
+LEVELS = ("hard", "strict", "warn")
+
+
+def gate_levels(report: DataFrame) -> DataFrame:
+    """A row per level: ``level``, ``errors``, ``warnings``, ``should_fail``, all from one pass over the report."""
+    counts = report.agg(
+        F.count_if(F.col("failed") & (F.col("severity") == "error")).alias("errors"),
+        F.count_if(F.col("failed") & (F.col("severity") == "warn")).alias("warnings"),
+    )
+    fails = {"hard": F.col("errors") > 0, "strict": (F.col("errors") > 0) | (F.col("warnings") > 0), "warn": F.lit(False)}
+    return _stack(counts, [[F.lit(x).alias("level"), F.col("errors").alias("errors"), F.col("warnings").alias("warnings"), fails[x].alias("should_fail")] for x in LEVELS])
+
+
 def gate(report: DataFrame, level: str = "hard") -> DataFrame:
     """One row: ``errors``, ``warnings``, ``should_fail`` for level hard | strict | warn."""
-    if level not in ("hard", "strict", "warn"):
+    if level not in LEVELS:
         raise ValueError(f"unknown level {level}")
-    errors = F.count_if(F.col("failed") & (F.col("severity") == "error"))
-    warnings = F.count_if(F.col("failed") & (F.col("severity") == "warn"))
-    if level == "hard":
-        fail = errors > 0
-    elif level == "strict":
-        fail = (errors > 0) | (warnings > 0)
-    else:
-        fail = F.lit(False)
-    return report.agg(errors.alias("errors"), warnings.alias("warnings"), fail.alias("should_fail"))
+    return gate_levels(report).where(F.col("level") == level).drop("level")
 
 
 def enforce(report: DataFrame, level: str = "hard") -> None:

@@ -207,12 +207,16 @@ def _squad_arrays(members: DataFrame) -> DataFrame:
     return g.withColumn("order", F.filter("known", lambda m: m["role"].isin(*ROLES)))
 
 
+def _numbered(i: int):
+    return lambda g: F.struct(g["ok"].alias("ok"), g["total"].alias("total"), F.lit(-i).alias("first"), g["ids"].alias("ids"))
+
+
 def _eleven(order: Column, ps: Preset) -> Column:
     """Struct of ``total`` and ``ids`` of the best eleven; ties go to the first formation."""
     tried = []
     for i, f in enumerate(ps.formations):
         g = greedy(order, [F.lit(q) for q in f], ps.cap, ps.require_gk, with_ids=True)
-        tried.append(F.transform(F.array(g), lambda g, i=i: F.struct(g["ok"].alias("ok"), g["total"].alias("total"), F.lit(-i).alias("first"), g["ids"].alias("ids"))))
+        tried.append(F.transform(F.array(g), _numbered(i)))
     valid = F.filter(F.concat(*tried), lambda t: t["ok"] & (t["total"] > _NONE))
     best = F.array_max(F.transform(valid, lambda t: F.struct(t["total"], t["first"], t["ids"])))
     if ps.floor_zero:
@@ -514,22 +518,24 @@ def suggestion_requests(members: DataFrame, api_bank: DataFrame, given_bank: Dat
         "squad_id",
         F.col("n_picks").cast("int").alias("n_picks"),
         bank.alias("bank_million"),
-        F.round(bank * F.lit(10.0)).cast("bigint").alias("bank_tenths"),
+        F.bround((bank * F.lit(10.0)).cast("decimal(20,6)"), 0).cast("bigint").alias("bank_tenths"),
         status.alias("status"),
     )
 
 
-def suggestion_documents(suggestions: DataFrame) -> DataFrame:
-    """One JSON document per squad: ``{current_team_xpts, suggestions: [...]}`` ranked.
+def suggestion_documents(suggestions: DataFrame, current: DataFrame) -> DataFrame:
+    """One JSON document per squad: ``{event_id, current_team_xpts, suggestions: [...]}`` ranked.
 
-    The per-squad list is bounded by ``top_n`` (≤ 50).
+    ``current``: one row per squad (``squad_id, event_id, team_xpts``, as
+    :func:`best_eleven` gives); a squad without a feasible swap has an empty
+    list. The list of a squad is bounded by ``top_n`` (≤ 50).
     """
     item = F.struct(
         "rank", "out_player_id", "in_player_id", "out_web_name", "in_web_name",
         "team_xpts_delta", "new_team_xpts", "cost_delta_million",
     )
-    g = suggestions.groupBy("squad_id").agg(
-        F.first("current_team_xpts").alias("current_team_xpts"), F.array_sort(F.collect_list(item)).alias("_s")
-    )
-    s = F.transform("_s", lambda x: x.dropFields("rank"))
-    return g.select("squad_id", F.to_json(F.struct("current_team_xpts", s.alias("suggestions"))).alias("document"))
+    g = suggestions.groupBy("squad_id").agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    none = F.array().cast(g.schema["_s"].dataType)
+    s = F.transform(F.coalesce("_s", none), lambda x: x.dropFields("rank"))
+    doc = F.struct("event_id", F.col("team_xpts").alias("current_team_xpts"), s.alias("suggestions"))
+    return current.join(g, "squad_id", "left").select("squad_id", F.to_json(doc).alias("document"))

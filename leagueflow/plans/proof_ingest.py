@@ -13,11 +13,11 @@ from leagueflow.functions.casts import safe_float, safe_int, safe_ts_utc
 from leagueflow.operators import incremental, quality
 from leagueflow.operators import squads as sq
 from leagueflow.plans.proof import D, HORIZON, FORM_SQL, PERIODS_SQL, SIDES_SQL, UPCOMING_SQL, XPTS_SQL, _roles, _w, _xpts_frame, proof
-from leagueflow.plans.roles import AS_OF, read_table, role, role_cte
+from leagueflow.plans.roles import AS_OF, BASE_YEAR, read_table, role, role_cte
 from leagueflow.sources import payloads, tables
+from leagueflow.streaming import ingest
 
 DOC_ROWS = 64  # rows per generated bronze document (bounded documents)
-CHUNK = 1024  # history keys per per-player document chunk
 BASE = "https://fantasy.example/api/"
 
 
@@ -102,45 +102,33 @@ def q_parse_fixtures(spark, sf):
 HIST_COLS = ("minutes", "total_points", "goals_scored", "assists", "clean_sheets", "goals_conceded",
              "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded")
 
-
-@proof(
-    "parse_history",
-    role_cte("player_match_history")
-    + f"""
+# A game without a fixture id gets its key from its place in the document of its player and season.
+HISTORY_BODY = f"""
 SELECT player_id,
        coalesce(fixture_id, -(coalesce(event_id, 0) * 1000
-                + (row_number() OVER (PARTITION BY player_id, CAST(floor(abs(fixture_id_effective) / {CHUNK}) AS BIGINT)
+                + (row_number() OVER (PARTITION BY player_id, floor((event_id - 1) / {ingest.SEASON_PERIODS})
                                       ORDER BY abs(fixture_id_effective)) - 1))) AS fixture_id_effective,
        fixture_id, event_id, {', '.join(HIST_COLS)}
-FROM player_match_history""",
+FROM player_match_history"""
+HISTORY_SQL = role_cte("player_match_history") + HISTORY_BODY
+FUTURE_SQL = role_cte("player_future_fixtures") + (
+    "SELECT player_id, fixture_id, event_id, is_home, opponent_team, kickoff_time, difficulty FROM player_future_fixtures"
 )
+
+
+def summary_docs(spark, sf):
+    r = _roles(spark, sf, "player_match_history", "player_future_fixtures")
+    return ingest.summary_docs(r["player_match_history"], r["player_future_fixtures"])
+
+
+@proof("parse_history", HISTORY_SQL)
 def q_parse_history(spark, sf):
-    h = role(spark, sf, "player_match_history")
-    e = F.struct(
-        F.abs("fixture_id_effective").alias("_ord"), F.col("fixture_id").alias("fixture"), F.col("event_id").alias("round"),
-        *[F.col(c) for c in HIST_COLS],
-    )
-    docs = h.groupBy("player_id", F.floor(F.abs("fixture_id_effective") / CHUNK).alias("chunk")).agg(
-        F.to_json(F.struct(F.array_sort(F.collect_list(e)).alias("history"))).alias("payload")
-    )
-    return payloads.parse_history(docs)
+    return payloads.parse_history(summary_docs(spark, sf))
 
 
-@proof(
-    "parse_future",
-    role_cte("player_future_fixtures")
-    + "SELECT player_id, fixture_id, event_id, is_home, opponent_team, kickoff_time, difficulty FROM player_future_fixtures",
-)
+@proof("parse_future", FUTURE_SQL)
 def q_parse_future(spark, sf):
-    f = role(spark, sf, "player_future_fixtures")
-    e = F.struct(
-        F.col("fixture_id").alias("id"), F.col("event_id").alias("event"), "is_home", "opponent_team",
-        _iso(F.col("kickoff_time")).alias("kickoff_time"), "difficulty",
-    )
-    docs = f.groupBy("player_id", F.floor(F.col("fixture_id") / CHUNK).alias("chunk")).agg(
-        F.to_json(F.struct(F.collect_list(e).alias("fixtures"))).alias("payload")
-    )
-    return payloads.parse_future(docs)
+    return payloads.parse_future(summary_docs(spark, sf))
 
 
 # ---------------------------------------------------------------- squads as documents
@@ -196,36 +184,36 @@ def q_parse_entry(spark, sf):
 
 
 def _entry_history_docs(spark, sf):
-    o = read_table(spark, sf, "orders")
-    cur = F.struct(
-        F.col("o_orderkey").alias("_ord"), F.month("o_orderdate").alias("event"),
-        F.floor(F.col("o_totalprice") / 10000).alias("points"), F.floor(F.col("o_totalprice")).alias("total_points"),
-        F.col("o_orderkey").alias("rank"), (F.col("o_orderkey") % 3).alias("event_transfers"),
-        (F.col("o_orderkey") % 2 * 4).alias("event_transfers_cost"), F.floor(F.col("o_totalprice") / 1000).alias("value"),
-        (F.col("o_orderkey") % 9).alias("points_on_bench"),
-    )
-    current = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(cur)).alias("current"))
-    yearly = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(
-        F.sum(F.floor(F.col("o_totalprice") / 10000)).alias("tp"), F.min("o_orderkey").alias("rk")
-    )
-    past = yearly.groupBy("o_custkey").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("y").alias("_ord"), F.concat(F.lit("S"), F.col("y").cast("string")).alias("season_name"),
-                                             F.col("tp").alias("total_points"), F.col("rk").alias("rank")))).alias("past")
+    """One document per customer: an entry per month of orders and one per year, so both lists are bounded by the calendar."""
+    o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.floor("o_totalprice").alias("price"))
+    month = ((F.year("o_orderdate") - BASE_YEAR) * 12 + F.month("o_orderdate")).alias("event")
+    monthly = o.groupBy("o_custkey", month).agg(
+        F.max(F.floor(F.col("price") / 10000)).alias("points"), F.sum("price").alias("total_points"), F.min("o_orderkey").alias("rank"),
+        F.sum(F.col("o_orderkey") % 3).alias("event_transfers"), F.sum(F.col("o_orderkey") % 2 * 4).alias("event_transfers_cost"),
+        F.max(F.floor(F.col("price") / 1000)).alias("value"), F.sum(F.col("o_orderkey") % 9).alias("points_on_bench"),
     )
+    yearly = o.groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum("price").alias("total_points"), F.min("o_orderkey").alias("rank"))
+    current = monthly.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(*[c for c in monthly.columns if c != "o_custkey"]))).alias("current"))
+    season = F.struct("y", F.concat(F.lit("S"), F.col("y").cast("string")).alias("season_name"), "total_points", "rank")
+    past = yearly.groupBy("o_custkey").agg(F.array_sort(F.collect_list(season)).alias("past"))
     return current.join(past, "o_custkey").select(
         F.col("o_custkey").alias("entry_id"), F.to_json(F.struct("current", "past")).alias("payload")
     )
 
 
+MONTHLY_SQL = f"""
+monthly AS (
+  SELECT o_custkey AS entry_id, CAST((year(o_orderdate) - {BASE_YEAR}) * 12 + month(o_orderdate) AS BIGINT) AS event,
+         CAST(max(floor(floor(o_totalprice) / 10000)) AS BIGINT) AS points, CAST(sum(floor(o_totalprice)) AS BIGINT) AS total_points,
+         min(o_orderkey) AS rank, CAST(sum(o_orderkey % 3) AS BIGINT) AS event_transfers,
+         CAST(sum(o_orderkey % 2 * 4) AS BIGINT) AS event_transfers_cost, CAST(max(floor(floor(o_totalprice) / 1000)) AS BIGINT) AS value,
+         CAST(sum(o_orderkey % 9) AS BIGINT) AS points_on_bench
+  FROM orders GROUP BY 1, 2)"""
+
+
 @proof(
     "parse_entry_history",
-    """
-SELECT o_custkey AS entry_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS idx,
-       CAST(month(o_orderdate) AS BIGINT) AS event, CAST(floor(o_totalprice / 10000) AS BIGINT) AS points,
-       CAST(floor(o_totalprice) AS BIGINT) AS total_points, o_orderkey AS rank,
-       CAST(o_orderkey % 3 AS BIGINT) AS event_transfers, CAST(o_orderkey % 2 * 4 AS BIGINT) AS event_transfers_cost,
-       CAST(floor(o_totalprice / 1000) AS BIGINT) AS value, CAST(o_orderkey % 9 AS BIGINT) AS points_on_bench
-FROM orders""",
+    f"WITH {MONTHLY_SQL.strip()}\nSELECT *, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY event) - 1 AS INT) AS idx FROM monthly",
 )
 def q_parse_entry_history(spark, sf):
     cur, _ = payloads.parse_entry_history(_entry_history_docs(spark, sf), ["entry_id"])
@@ -237,7 +225,7 @@ def q_parse_entry_history(spark, sf):
     """
 SELECT o_custkey AS entry_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY y) - 1 AS INT) AS idx,
        concat('S', CAST(y AS STRING)) AS season_name, CAST(tp AS BIGINT) AS total_points, rk AS rank
-FROM (SELECT o_custkey, year(o_orderdate) AS y, sum(floor(o_totalprice / 10000)) AS tp, min(o_orderkey) AS rk
+FROM (SELECT o_custkey, year(o_orderdate) AS y, sum(floor(o_totalprice)) AS tp, min(o_orderkey) AS rk
       FROM orders GROUP BY o_custkey, year(o_orderdate)) AS t""",
 )
 def q_parse_entry_past(spark, sf):
@@ -247,13 +235,12 @@ def q_parse_entry_past(spark, sf):
 
 @proof(
     "entry_latest",
-    """
-SELECT c.o_custkey AS entry_id, CAST(c.n AS INT) AS n_current, CAST(month(l.o_orderdate) AS BIGINT) AS latest_event,
-       CAST(floor(l.o_totalprice / 10000) AS BIGINT) AS latest_points, CAST(floor(l.o_totalprice) AS BIGINT) AS latest_total_points,
-       CAST(floor(l.o_totalprice / 1000) AS BIGINT) AS latest_value, CAST(l.o_orderkey % 3 AS BIGINT) AS latest_event_transfers,
-       CAST(c.ny AS INT) AS n_past
-FROM (SELECT o_custkey, count(*) AS n, count(DISTINCT year(o_orderdate)) AS ny, max(o_orderkey) AS mk FROM orders GROUP BY o_custkey) AS c
-JOIN orders l ON l.o_orderkey = c.mk""",
+    f"""
+WITH {MONTHLY_SQL.strip()}
+SELECT entry_id, CAST(count(*) AS INT) AS n_current, max(event) AS latest_event, arg_max(points, event) AS latest_points,
+       arg_max(total_points, event) AS latest_total_points, arg_max(value, event) AS latest_value,
+       arg_max(event_transfers, event) AS latest_event_transfers, CAST(count(DISTINCT floor((event - 1) / 12)) AS INT) AS n_past
+FROM monthly GROUP BY entry_id""",
 )
 def q_entry_latest(spark, sf):
     return payloads.entry_summary(_entry_history_docs(spark, sf), ["entry_id"])
@@ -343,11 +330,15 @@ def q_bronze_path(spark, sf):
 
 @proof(
     "payload_sha",
-    "SELECT event_id, sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') AS payload_sha256 FROM events",
+    "SELECT event_id, sha256('{\"k\":' || json_extract_string(props, '$.k') || ',\"z\":{\"a\":1,\"b\":2}}') AS payload_sha256 FROM events",
 )
 def q_payload_sha(spark, sf):
+    """The digest does not depend on white space or on the order of keys, at any depth."""
     ev = read_table(spark, sf, "events")
-    return ev.select("event_id", keys.payload_digest("props").alias("payload_sha256"))
+    k = F.get_json_object("props", "$.k")
+    one = F.concat(F.lit('{"k":'), k, F.lit(',"z":{"a":1,"b":2}}'))
+    other = F.concat(F.lit('{ "z": {"b": 2, "a": 1}, "k": '), k, F.lit("}"))
+    return ev.select("event_id", keys.payload_digest(F.when(F.col("event_id") % 2 == 0, one).otherwise(other)).alias("payload_sha256"))
 
 
 # ---------------------------------------------------------------- safe casts over event props
@@ -361,11 +352,13 @@ def _cast_inputs(df, k, eid):
         F.concat(F.lit("-"), k, F.lit(".5")).alias("s3"),
         F.when(eid % 6 == 0, F.lit("")).when(eid % 6 == 1, F.lit("abc")).when(eid % 6 == 2, F.concat(F.lit("1e"), k % 3))
         .when(eid % 6 == 3, F.concat(F.lit(" "), k, F.lit(" "))).when(eid % 6 == 4, F.lit("inf")).otherwise(F.lit("1_000")).alias("s4"),
+        F.concat(F.lit("90071992547409"), F.lpad((eid % 100).cast("string"), 2, "0")).alias("s5"),
     ]
 
 
 def _sql_int(s):
-    return (f"CASE WHEN regexp_full_match(trim({s}), '{_NUM}') AND isfinite(TRY_CAST(trim({s}) AS DOUBLE)) "
+    return (f"CASE WHEN regexp_full_match(trim({s}), '[+-]?[0-9]+') THEN TRY_CAST(trim({s}) AS BIGINT) "
+            f"WHEN regexp_full_match(trim({s}), '{_NUM}') AND isfinite(TRY_CAST(trim({s}) AS DOUBLE)) "
             f"THEN CAST(trunc(TRY_CAST(trim({s}) AS DOUBLE)) AS BIGINT) END")
 
 
@@ -382,13 +375,14 @@ WITH c AS (
 ), s AS (
   SELECT event_id, ts, k AS s1, k || '.75' AS s2, '-' || k || '.5' AS s3,
          CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '1e' || CAST(CAST(k AS BIGINT) % 3 AS STRING)
-              WHEN 3 THEN ' ' || k || ' ' WHEN 4 THEN 'inf' ELSE '1_000' END AS s4
+              WHEN 3 THEN ' ' || k || ' ' WHEN 4 THEN 'inf' ELSE '1_000' END AS s4,
+         '90071992547409' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') AS s5
   FROM c
 )
 SELECT event_id, """
-    + ", ".join(f"{_sql_int(f's{i}')} AS i{i}, {_sql_float(f's{i}')} AS f{i}" for i in range(1, 5))
+    + ", ".join(f"{_sql_int(f's{i}')} AS i{i}, {_sql_float(f's{i}')} AS f{i}" for i in range(1, 6))
     + """,
-       date_trunc('second', ts) AS t_utc, date_trunc('second', ts) - INTERVAL 2 HOUR AS t_offset
+       date_trunc('second', ts) AS t_utc, date_trunc('second', ts) - INTERVAL 2 HOUR AS t_offset, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS t_day
 FROM s""",
 )
 def q_safe_casts(spark, sf):
@@ -398,9 +392,10 @@ def q_safe_casts(spark, sf):
     base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     return s.select(
         "event_id",
-        *[x for i in range(1, 5) for x in (safe_int(f"s{i}").alias(f"i{i}"), safe_float(f"s{i}").alias(f"f{i}"))],
+        *[x for i in range(1, 6) for x in (safe_int(f"s{i}").alias(f"i{i}"), safe_float(f"s{i}").alias(f"f{i}"))],
         safe_ts_utc(F.concat(base, F.lit("Z"))).alias("t_utc"),
         safe_ts_utc(F.concat(base, F.lit("+02:00"))).alias("t_offset"),
+        safe_ts_utc(F.date_format("ts", "yyyy-MM-dd")).alias("t_day"),
     )
 
 
@@ -432,23 +427,61 @@ def q_upsert_latest(spark, sf):
     return tables.upsert(target, source, ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@proof(
-    "fk_orphans",
-    role_cte("players", "teams", "fixtures", "events")
-    + """
-SELECT 'players.team_id' AS fk, p.id AS child_id, p.team_id AS value FROM players p
-WHERE p.team_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM teams t WHERE t.id = p.team_id)
-UNION ALL
-SELECT 'fixtures.event_id' AS fk, f.id AS child_id, f.event_id AS value FROM fixtures f
-WHERE f.event_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM events e WHERE e.id = f.event_id)""",
-)
+ALL_ROLES = ("teams", "element_types", "events", "players", "fixtures", "player_match_history", "player_future_fixtures")
+XPTS_CTES = _w(FORM_SQL, UPCOMING_SQL, PERIODS_SQL, SIDES_SQL, XPTS_SQL, "player_expected_points AS (SELECT * FROM xpts)")
+
+
+def _orphan_sql(child: str, fk: str, parent: str, pk: str) -> str:
+    key = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in tables.KEYS[child])
+    return f"SELECT '{child}.{fk}' AS fk, {key} AS child_key, CAST({fk} AS BIGINT) AS value FROM {child} WHERE {fk} NOT IN (SELECT {pk} FROM {parent})"
+
+
+@proof("fk_orphans", role_cte(*ALL_ROLES) + ", " + XPTS_CTES + "\n" + "\nUNION ALL ".join(_orphan_sql(*k) for k in tables.FOREIGN_KEYS))
 def q_fk_orphans(spark, sf):
-    r = _roles(spark, sf, "players", "teams", "fixtures", "events")
-    a = tables.fk_violations(r["players"], "team_id", r["teams"]).select(
-        F.lit("players.team_id").alias("fk"), F.col("id").alias("child_id"), F.col("team_id").alias("value"))
-    b = tables.fk_violations(r["fixtures"], "event_id", r["events"]).select(
-        F.lit("fixtures.event_id").alias("fk"), F.col("id").alias("child_id"), F.col("event_id").alias("value"))
-    return a.unionByName(b)
+    """All nine foreign keys."""
+    r = _roles(spark, sf, *ALL_ROLES)
+    r["player_expected_points"] = _xpts_frame(spark, sf)
+    return tables.all_orphans(r)
+
+
+#: A column of each table that the second batch of the store proof changes.
+CHANGED = {"teams": "strength", "element_types": "squad_select", "events": "name", "players": "minutes", "fixtures": "team_h_difficulty",
+           "player_match_history": "minutes", "player_future_fixtures": "difficulty", "player_expected_points": "xmins"}
+
+
+def _store_proof(table: str):
+    """Two upserts into a fresh store: all rows; then every third key twice, of which the later row wins."""
+    columns = [c for c in tables.SCHEMAS[table].names if c != tables.STAMP[table]]
+    keys_, col = tables.KEYS[table], CHANGED[table]
+    third = f"{keys_[-1]} % 3 = 0"
+    new = f"concat({col}, '!')" if table == "events" else f"{col} + 1"
+    listed = ", ".join(columns)
+    changed = listed.replace(f"{col}", f"CASE WHEN {third} THEN {new} ELSE {col} END AS {col}") if listed.count(col) == 1 else None
+    if changed is None:
+        changed = ", ".join(f"CASE WHEN {third} THEN {new} ELSE {col} END AS {col}" if c == col else c for c in columns)
+    kinds = {f.name: f.dataType.simpleString().upper().replace("TIMESTAMP_NTZ", "TIMESTAMP") for f in tables.SCHEMAS[table]}
+    typed = ", ".join(f"CAST({c} AS {kinds[c]}) AS {c}" for c in columns)
+    ctes = role_cte(*ALL_ROLES) + (", " + XPTS_CTES if table == "player_expected_points" else "")
+
+    @proof(f"store_{table}", f"{ctes}\nSELECT {typed} FROM (SELECT {changed} FROM {table}) AS c")
+    def q(spark, sf):
+        from leagueflow.plans.proof_learn import _scratch
+
+        rows = _xpts_frame(spark, sf) if table == "player_expected_points" else role(spark, sf, table)
+        store = tables.TableStore(spark, _scratch(spark, f"store-{table}"))
+        store.upsert(table, rows, keys_, as_of=AS_OF, orphans="ignore")
+        again = rows.where(third)
+        other = F.lit("older") if table == "events" else F.lit(-5)
+        older = again.withColumn(col, other.cast(rows.schema[col].dataType)).withColumn("_o", F.lit(1))
+        newer = again.withColumn(col, F.expr(new)).withColumn("_o", F.lit(2))
+        store.upsert(table, newer.unionByName(older), ["_o"], as_of=AS_OF, orphans="ignore")
+        return store.read(table).drop(tables.STAMP[table])
+
+    return q
+
+
+for _t in tables.KEYS:
+    _store_proof(_t)
 
 
 # ---------------------------------------------------------------- incremental selection
@@ -518,10 +551,10 @@ def q_log_append(spark, sf):
     store = tables.TableStore(spark, root)
     log = role(spark, sf, "meta_ingestions")
     cut = F.lit(CUT).cast("timestamp_ntz")
-    for part in (log.where(F.col("fetched_at_utc") < cut), log.where(F.col("fetched_at_utc") >= cut)):
-        store.append("meta_ingestions", part)  # two appends that together hold the whole log
-    back = spark.read.parquet(f"{root}/meta_ingestions/v=0")
-    return back.groupBy("endpoint", "run_id").agg(
+    for name, part in (("a", log.where(F.col("fetched_at_utc") < cut)), ("b", log.where(F.col("fetched_at_utc") >= cut)), ("b", log.where(F.col("fetched_at_utc") >= cut))):
+        store.append("meta_ingestions", part, part=name)  # the last part twice, as a replay does
+        store.init()  # leaves what exists alone
+    return store.read("meta_ingestions").groupBy("endpoint", "run_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("request_key").alias("keys")
     )
 
@@ -589,12 +622,18 @@ FROM report CROSS JOIN (SELECT 'hard' AS lvl UNION ALL SELECT 'strict' UNION ALL
 GROUP BY lvl""",
 )
 def q_dq_gate(spark, sf):
-    rep = quality.quality_report(spark, _dq_tables(spark, sf))
-    out = None
-    for lvl in ("hard", "strict", "warn"):
-        g = quality.gate(rep, lvl).select(F.lit(lvl).alias("level"), "errors", "warnings", "should_fail")
-        out = g if out is None else out.unionByName(g)
-    return out
+    return quality.gate_levels(quality.quality_report(spark, _dq_tables(spark, sf)))
+
+
+@proof(
+    "dq_missing_table",
+    DQ_ORACLE_PREFIX
+    + """
+SELECT * FROM report WHERE subject NOT IN ('teams', 'players.team_id->teams.id')
+UNION ALL SELECT 'table_exists', 'teams', 'error', NULL, NULL, TRUE""",
+)
+def q_dq_missing_table(spark, sf):
+    return quality.quality_report(spark, {k: v for k, v in _dq_tables(spark, sf).items() if k != "teams"})
 
 
 @proof(

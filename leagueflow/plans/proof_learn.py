@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from leagueflow.operators import learn, marts
 from leagueflow.operators import squads as sq
+from leagueflow.plans import proof_ingest as pi
 from leagueflow.plans.proof import (
-    D, FORM_N, FORM_SQL, HORIZON, PERIODS_SQL, SIDES_SQL, TOP_N, UPCOMING_SQL, XPTS_SQL, _roles, _w, proof, squad_inputs,
+    D, FORM_N, FORM_SQL, HORIZON, ORACLES, PERIODS_SQL, SIDES_SQL, TOP_N, UPCOMING_SQL, XPTS_SQL, _roles, _w, _xpts_frame, proof, round2_sql,
+    squad_inputs,
 )
-from leagueflow.plans.roles import role, role_cte
+from leagueflow.plans.proof_ingest import FUTURE_SQL, HISTORY_BODY, HISTORY_SQL, pick_docs
+from leagueflow.plans.proof_squads_sql import suggestion_docs_sql, suggestion_requests_sql
+from leagueflow.plans.roles import AS_OF, role, role_cte
 from leagueflow.session import ensure_checkpoint_dir
 from leagueflow.sources import payloads
 from leagueflow.sources.tables import TableStore
@@ -32,24 +36,27 @@ def _train_features(spark, sf):
 @proof(
     "train_features",
     role_cte("player_match_history", "fixtures", "players", "teams")
-    + f"""
-SELECT h.player_id, h.event_id,
-       CAST(coalesce(p.element_type_id, 3) AS INT) AS element_type_id,
-       CAST(coalesce(t.strength, 3) AS INT) AS team_strength,
-       CAST(coalesce(CASE WHEN p.team_id = f.team_h THEN ta.strength ELSE th.strength END, 3) AS INT) AS opponent_strength,
-       CAST(p.team_id = f.team_h AS INT) AS is_home,
-       CAST(greatest(1, least(5, coalesce(CASE WHEN p.team_id = f.team_h THEN f.team_h_difficulty ELSE f.team_a_difficulty END, 3))) AS INT) AS difficulty,
-       coalesce(p.form, {D(0.0)}) AS form, coalesce(p.points_per_game, {D(0.0)}) AS points_per_game,
-       least(CAST(coalesce(p.minutes, 0) AS DOUBLE) / {D(38.0)}, {D(90.0)}) AS minutes_per_game,
-       CAST(lower(trim(coalesce(p.status, ''))) = 'a' AS INT) AS status_available,
-       CAST(h.total_points AS INT) AS total_points
-FROM player_match_history h
-JOIN fixtures f ON f.id = h.fixture_id_effective
-JOIN players p ON p.id = h.player_id
-JOIN teams t ON t.id = p.team_id
-LEFT JOIN teams th ON th.id = f.team_h
-LEFT JOIN teams ta ON ta.id = f.team_a
-WHERE h.total_points IS NOT NULL AND p.team_id IS NOT NULL AND f.team_h IS NOT NULL AND f.team_a IS NOT NULL""",
+    + f""",
+game AS (SELECT player_id, event_id, fixture_id_effective AS game_id, total_points FROM player_match_history WHERE total_points IS NOT NULL),
+strength_of AS (SELECT id, coalesce(strength, 3) AS strength FROM teams),
+side AS (SELECT id AS game_id, team_h AS team_id, team_a AS opponent, 1 AS is_home, team_h_difficulty AS d FROM fixtures WHERE team_a IS NOT NULL
+         UNION ALL SELECT id, team_a, team_h, 0, team_a_difficulty FROM fixtures WHERE team_h IS NOT NULL AND team_h IS DISTINCT FROM team_a),
+-- a player whose team plays in neither side counts as away, against the home side
+of_player AS (
+  SELECT g.*, p.id, p.team_id, p.element_type_id, p.form, p.points_per_game, p.minutes, p.status,
+         coalesce(s.is_home, 0) AS is_home, CASE WHEN s.is_home = 1 THEN f.team_a ELSE f.team_h END AS opponent,
+         CASE WHEN s.is_home = 1 THEN f.team_h_difficulty ELSE f.team_a_difficulty END AS d
+  FROM game g JOIN players p ON p.id = g.player_id AND p.team_id IN (SELECT id FROM strength_of)
+  JOIN fixtures f ON f.id = g.game_id AND f.team_h IS NOT NULL AND f.team_a IS NOT NULL
+  LEFT JOIN side s ON s.game_id = g.game_id AND s.team_id = p.team_id)
+SELECT player_id, event_id, game_id, CAST(coalesce(element_type_id, 3) AS INT) AS element_type_id,
+       CAST((SELECT max(strength) FROM strength_of WHERE strength_of.id = of_player.team_id) AS INT) AS team_strength,
+       CAST(coalesce((SELECT max(strength) FROM strength_of WHERE strength_of.id = of_player.opponent), 3) AS INT) AS opponent_strength,
+       CAST(is_home AS INT) AS is_home, CAST(greatest(1, least(5, coalesce(d, 3))) AS INT) AS difficulty,
+       coalesce(form, {D(0.0)}) AS form, coalesce(points_per_game, {D(0.0)}) AS points_per_game,
+       least(CAST(coalesce(minutes, 0) AS DOUBLE) / {D(38.0)}, {D(90.0)}) AS minutes_per_game,
+       CAST(lower(trim(coalesce(status, ''))) = 'a' AS INT) AS status_available, CAST(total_points AS INT) AS total_points
+FROM of_player""",
 )
 def q_train_features(spark, sf):
     return _train_features(spark, sf)
@@ -85,56 +92,91 @@ def q_score_features(spark, sf):
     return _score_features(spark, sf)
 
 
-@proof("train_mae")
+# the oracle repeats the split, not the fit; the error only has to be a number
+@proof(
+    "train_mae",
+    role_cte("player_match_history", "fixtures", "players", "teams")
+    + """,
+kept AS (SELECT h.player_id, h.fixture_id_effective AS game_id FROM player_match_history h, fixtures f, players p
+         WHERE f.id = h.fixture_id_effective AND p.id = h.player_id AND h.total_points IS NOT NULL
+           AND f.team_h IS NOT NULL AND f.team_a IS NOT NULL AND p.team_id IN (SELECT id FROM teams)),
+split AS (SELECT CAST('0x' || substr(md5(CAST(player_id AS VARCHAR) || ':' || CAST(game_id AS VARCHAR)), 1, 8) AS BIGINT) < CAST(0.2 * 4294967296 AS BIGINT) AS val FROM kept)
+SELECT CAST(sum(CASE WHEN val THEN 0 ELSE 1 END) AS BIGINT) AS n_train, CAST(sum(CASE WHEN val THEN 1 ELSE 0 END) AS BIGINT) AS n_val, TRUE AS mae_is_finite FROM split""",
+)
 def q_train_mae(spark, sf):
     model, mae, n_train, n_val = learn.train(_train_features(spark, sf))
-    return spark.createDataFrame([(float(mae), int(n_train), int(n_val))], "mae double, n_train bigint, n_val bigint")
+    return spark.createDataFrame([(n_train, n_val, 0 <= float(mae) < float("inf"))], "n_train bigint, n_val bigint, mae_is_finite boolean")
 
 
-@proof("score_ml")
+# the oracle has the grid and what holds for every prediction
+@proof("score_ml", ORACLES["score_features"].split("\nSELECT xm.player_id", 1)[0] + f"""
+SELECT xm.player_id, periods.event_id, {round2_sql('xm.xmins')} AS xmins, TRUE AS not_negative, TRUE AS app_is_zero, TRUE AS parts_add_up
+FROM xm CROSS JOIN periods""")
 def q_score_ml(spark, sf):
     model, _, _, _ = learn.train(_train_features(spark, sf))
     path = _scratch(spark, "model")
     learn.save_model(model, path)
-    return learn.score(learn.load_model(spark, path), _score_features(spark, sf))
+    scored = learn.score(learn.load_model(spark, path), _score_features(spark, sf))
+    return scored.select(
+        "player_id", "event_id", "xmins", (F.col("xpts") >= 0).alias("not_negative"), (F.col("xpts_app") == 0).alias("app_is_zero"),
+        (F.abs(F.col("xpts_att") + F.col("xpts_def") - F.col("xpts")) < 0.011).alias("parts_add_up"),
+    )
 
 
-@proof("ingest_stream")
-def q_ingest_stream(spark, sf):
-    """Bronze JSON Lines from the whole history table → file stream → silver history."""
+def _streamed(spark, sf) -> TableStore:
+    """Bronze JSON Lines from the whole history and future tables → file stream → a fresh store."""
+    r = _roles(spark, sf, "player_match_history", "player_future_fixtures")
     root = _scratch(spark, "stream")
-    ingest.summary_lines(role(spark, sf, "player_match_history")).write.mode("overwrite").text(f"{root}/bronze")
+    lines = ingest.summary_lines(r["player_match_history"], r["player_future_fixtures"])
+    lines.write.text(f"{root}/bronze")
     ingest.ingest_stream(spark, f"{root}/bronze", f"{root}/silver", f"{root}/_checkpoint", files_per_batch=2)
-    return TableStore(spark, f"{root}/silver").read("player_match_history").drop("ingested_at_utc")
+    return TableStore(spark, f"{root}/silver")
+
+
+@proof("ingest_stream", HISTORY_SQL)
+def q_ingest_stream(spark, sf):
+    return _streamed(spark, sf).read("player_match_history").drop("ingested_at_utc")
 
 
-@proof("suggestion_docs")
+@proof("ingest_stream_future", FUTURE_SQL)
+def q_ingest_stream_future(spark, sf):
+    return _streamed(spark, sf).read("player_future_fixtures").drop("ingested_at_utc")
+
+
+@proof("suggestion_docs", suggestion_docs_sql(TOP_N))
 def q_suggestion_docs(spark, sf):
     i = squad_inputs(spark, sf)
     s = sq.service_suggestions(i["squads"], i["players"], i["scores"], i["requests"], TOP_N)
-    docs = sq.suggestion_documents(s)
+    docs = sq.suggestion_documents(s, sq.best_eleven(i["squads"], i["players"], i["scores"], i["requests"], "service"))
     item = "array<struct<out_player_id:bigint,in_player_id:bigint,out_web_name:string,in_web_name:string,team_xpts_delta:double,new_team_xpts:double,cost_delta_million:double>>"
-    parsed = docs.select("squad_id", F.from_json("document", f"struct<current_team_xpts:double,suggestions:{item}>").alias("d"))
-    return parsed.select("squad_id", "d.current_team_xpts", F.posexplode("d.suggestions").alias("pos", "s")).select(
-        "squad_id", "current_team_xpts", "pos", "s.*"
+    parsed = docs.select("squad_id", F.from_json("document", f"struct<event_id:bigint,current_team_xpts:double,suggestions:{item}>").alias("d"))
+    return parsed.select("squad_id", "d.event_id", "d.current_team_xpts", F.posexplode_outer("d.suggestions").alias("pos", "s")).select(
+        "squad_id", "event_id", "current_team_xpts", "pos", "s.*"
     )
 
 
-@proof("suggestion_requests")
+@proof("suggestion_requests", suggestion_requests_sql())
 def q_suggestion_requests(spark, sf):
-    from leagueflow.plans.proof_ingest import pick_docs
-
     docs = pick_docs(spark, sf)
     members, bank = payloads.squad_from_picks(docs, ["squad_id"])
-    given = bank.select("squad_id", F.when(F.col("squad_id") % 3 == 0, F.lit(0.0)).otherwise(F.lit(1.5)).alias("bank_million"))
-    return sq.suggestion_requests(members, bank, given, role(spark, sf, "squad_scores"))
+    given = F.when(F.col("squad_id") % 3 == 0, F.lit(0.0)).when(F.col("squad_id") % 3 == 1, F.lit(1.25)).otherwise(F.lit(1.35))
+    return sq.suggestion_requests(members, bank, bank.select("squad_id", given.alias("bank_million")), role(spark, sf, "squad_scores"))
 
 
-@proof("scores_refresh")
+# players whose team is unknown are set aside on the way in, so they have no scores
+@proof(
+    "scores_refresh",
+    role_cte("players", "fixtures", "events", "player_match_history", "teams", "element_types")
+    .replace("WITH players AS (", "WITH arrived AS (").replace("player_match_history AS (", "arrived_history AS (")
+    + ",\nplayer_match_history AS (" + HISTORY_BODY.replace("FROM player_match_history", "FROM arrived_history") + """),
+players AS (SELECT * FROM arrived WHERE (team_id IS NULL OR team_id IN (SELECT id FROM teams))
+                                    AND (element_type_id IS NULL OR element_type_id IN (SELECT id FROM element_types))), """
+    + _w(FORM_SQL, UPCOMING_SQL, PERIODS_SQL, SIDES_SQL, XPTS_SQL)
+    + "\nSELECT * FROM xpts",
+)
 def q_scores_refresh(spark, sf):
-    """End to end over a fresh store: core documents → summaries → expected points."""
+    """End to end over a fresh store: core documents → selected summaries → expected points."""
     from leagueflow import jobs
-    from leagueflow.plans import proof_ingest as pi
 
     r = _roles(spark, sf, "teams", "element_types", "events", "players", "fixtures", "player_match_history",
                "player_future_fixtures")
@@ -154,23 +196,10 @@ def q_scores_refresh(spark, sf):
     fx = F.struct("id", F.col("event_id").alias("event"), "team_h", "team_a", pi._iso(F.col("kickoff_time")).alias("kickoff_time"),
                   "finished", "team_h_difficulty", "team_a_difficulty")
     fixture_docs = r["fixtures"].groupBy(F.floor(F.col("id") / pi.DOC_ROWS)).agg(F.to_json(F.collect_list(fx)).alias("payload"))
-    h = r["player_match_history"]
-    he = F.struct(F.abs("fixture_id_effective").alias("_ord"), F.col("fixture_id").alias("fixture"), F.col("event_id").alias("round"),
-                  *[F.col(c) for c in pi.HIST_COLS])
-    hist_docs = h.groupBy("player_id", F.floor(F.abs("fixture_id_effective") / pi.CHUNK)).agg(
-        F.to_json(F.struct(F.array_sort(F.collect_list(he)).alias("history"))).alias("payload"))
-    fu = r["player_future_fixtures"]
-    fe = F.struct(F.col("fixture_id").alias("id"), F.col("event_id").alias("event"), "is_home", "opponent_team",
-                  pi._iso(F.col("kickoff_time")).alias("kickoff_time"), "difficulty")
-    fut_docs = fu.groupBy("player_id", F.floor(F.col("fixture_id") / pi.CHUNK)).agg(
-        F.to_json(F.struct(F.collect_list(fe).alias("fixtures"))).alias("payload"))
-    summaries = hist_docs.select("player_id", "payload").unionByName(fut_docs.select("player_id", "payload"))
-
     store = TableStore(spark, _scratch(spark, "store"))
-    as_of = "2024-01-31 00:00:00"
-    jobs.update_core(spark, store, boot, fixture_docs.select("payload"), as_of, level="warn")
-    jobs.update_summaries(spark, store, summaries, as_of, level="warn")
-    jobs.build_xpts(spark, store, as_of, horizon=HORIZON, level="warn")
+    jobs.update_core(spark, store, boot, fixture_docs.select("payload"), AS_OF, level="warn", orphans="quarantine")
+    jobs.refresh_summaries(spark, store, pi.summary_docs(spark, sf), AS_OF, since_hours=36, level="warn", orphans="quarantine")
+    jobs.build_xpts(spark, store, AS_OF, horizon=HORIZON, level="warn")
     return store.read("player_expected_points").drop("computed_at_utc")
 
 
@@ -179,21 +208,20 @@ def q_scores_refresh(spark, sf):
     role_cte("players", "teams", "element_types", "fixtures", "events", "player_match_history")
     + ", " + _w(FORM_SQL, UPCOMING_SQL, PERIODS_SQL, SIDES_SQL, XPTS_SQL)
     + """
-SELECT 'v_player_latest' AS view_name, CAST(count(*) AS BIGINT) AS n FROM players
-UNION ALL SELECT 'v_fixture_upcoming', CAST(count(*) AS BIGINT) FROM fixtures WHERE finished = FALSE OR finished IS NULL
-UNION ALL SELECT 'v_player_form', CAST(count(*) AS BIGINT) FROM form
-UNION ALL SELECT 'v_player_xpts_next', CAST(count(*) AS BIGINT) FROM xpts x JOIN players p ON x.player_id = p.id
+SELECT 'v_player_latest' AS view_name, CAST(count(*) AS BIGINT) AS n, 21 AS n_columns FROM players
+UNION ALL SELECT 'v_fixture_upcoming', CAST(count(*) AS BIGINT), 11 FROM fixtures WHERE finished = FALSE OR finished IS NULL
+UNION ALL SELECT 'v_player_form', CAST(count(*) AS BIGINT), 5 FROM form
+UNION ALL SELECT 'v_player_xpts_next', CAST(count(*) AS BIGINT), 19 FROM xpts x JOIN players p ON x.player_id = p.id
           WHERE x.event_id = (SELECT min(event_id) FROM xpts)""",
 )
 def q_marts_registered(spark, sf):
-    from leagueflow.plans.proof import _xpts_frame
-
     r = _roles(spark, sf, "players", "teams", "element_types", "fixtures", "events", "player_match_history")
-    r["player_expected_points"] = _xpts_frame(spark, sf)
+    r["player_expected_points"] = _xpts_frame(spark, sf, AS_OF)
     views = marts.register_marts(r)
     out = None
     for name in views:
-        c = spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view_name"), "n")
+        view = spark.table(name)
+        c = view.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view_name"), "n", F.lit(len(view.columns)).alias("n_columns"))
         out = c if out is None else out.unionByName(c)
     return out
 

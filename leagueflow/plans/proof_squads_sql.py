@@ -110,7 +110,7 @@ def _walk(src: str, keys: str, quota_sql: list[str], track: str | None, name: st
     hit = f"({take} AND s.role = {track} AND {cnt} + 1 = {quo})" if track else "FALSE"
     return f"""
   SELECT {keys}, 0 AS idx, CAST([] AS BIGINT[]) AS teams, 0 AS c1, 0 AS c2, 0 AS c3, 0 AS c4, CAST(0 AS BIGINT) AS tot,
-         CAST(NULL AS BIGINT) AS ks, CAST(NULL AS BIGINT) AS kslot
+         CAST(NULL AS BIGINT) AS ks, CAST(NULL AS BIGINT) AS kslot, CAST([] AS BIGINT[]) AS ids
   FROM (SELECT DISTINCT {keys} FROM {src}) AS g
   UNION ALL
   SELECT {wk}, s.idx,
@@ -121,7 +121,8 @@ def _walk(src: str, keys: str, quota_sql: list[str], track: str | None, name: st
          w.c4 + CASE WHEN {take} AND s.role = 4 THEN 1 ELSE 0 END,
          w.tot + CASE WHEN {take} THEN s.score ELSE 0 END,
          CASE WHEN {hit} THEN s.score ELSE w.ks END,
-         CASE WHEN {hit} THEN s.slot ELSE w.kslot END
+         CASE WHEN {hit} THEN s.slot ELSE w.kslot END,
+         CASE WHEN {take} THEN list_append(w.ids, s.player_id) ELSE w.ids END
   FROM {name} w JOIN {src} s ON {on} AND s.idx = w.idx + 1"""
 
 
@@ -131,7 +132,7 @@ def best_xi_capped_sql() -> str:
     )
     return _base("cli").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 forms AS ({forms}),
-seq AS (SELECT fo.f, fo.q1, fo.q2, fo.q3, fo.q4, m.squad_id, m.role, m.team, m.score, m.slot,
+seq AS (SELECT fo.f, fo.q1, fo.q2, fo.q3, fo.q4, m.squad_id, m.player_id, m.role, m.team, m.score, m.slot,
                row_number() OVER (PARTITION BY fo.f, m.squad_id ORDER BY m.role, m.score DESC, m.slot) AS idx
         FROM members m CROSS JOIN forms fo WHERE m.role IN (1, 2, 3, 4)),
 walk AS ({_walk('seq', 'f, squad_id', ['s.q1', 's.q2', 's.q3', 's.q4'], None)}),
@@ -155,7 +156,7 @@ def swaps_cli_sql(top_n: int = 10) -> str:
     return eleven + f""",
 cur AS (SELECT req.squad_id, greatest(0, coalesce(ok.best, 0)) AS cur FROM req LEFT JOIN ok ON ok.squad_id = req.squad_id),
 seq2 AS (
-  SELECT o.squad_id, o.slot AS o_slot, o.role AS o_role, fo.f, v.v, fo.q1, fo.q2, fo.q3, fo.q4, m.role, m.team, m.score, m.slot,
+  SELECT o.squad_id, o.slot AS o_slot, o.role AS o_role, fo.f, v.v, fo.q1, fo.q2, fo.q3, fo.q4, m.player_id, m.role, m.team, m.score, m.slot,
          row_number() OVER (PARTITION BY o.squad_id, o.slot, fo.f, v.v ORDER BY m.role, m.score DESC, m.slot) AS idx
   FROM members o JOIN members m ON m.squad_id = o.squad_id AND m.slot <> o.slot
   CROSS JOIN forms fo CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) AS v
@@ -199,3 +200,43 @@ SELECT r.squad_id, (SELECT event_id FROM nxt) AS event_id, CAST(r.rank AS INT) A
        CAST(r.cur AS DOUBLE) / CAST(100.0 AS DOUBLE) AS current_team_xpts
 FROM ranked r LEFT JOIN squad_players io ON io.id = r.o_id LEFT JOIN squad_players ii ON ii.id = r.c_id
 WHERE r.rank <= {top_n}"""
+
+
+def lineups_sql() -> str:
+    """The elevens themselves, both rule sets, in pick order (position, then score, then slot)."""
+    capped = best_xi_capped_sql().split("\nSELECT req.squad_id, req.event_id", 1)[0] + """,
+won AS (SELECT fin.squad_id, arg_max(fin.ids, fin.tot * 100 - fin.f) AS ids FROM fin JOIN forms fo ON fo.f = fin.f
+        WHERE fin.c1 = fo.q1 AND fin.c2 = fo.q2 AND fin.c3 = fo.q3 AND fin.c4 = fo.q4 AND fin.tot > -100 GROUP BY fin.squad_id)
+SELECT squad_id, 'cli' AS rules, CAST(unnest(range(len(ids))) AS INT) AS pick, unnest(ids) AS player_id FROM won"""
+    forms = " UNION ALL ".join(f"SELECT {i} AS f, {d} AS q2, {m} AS q3, {w} AS q4" for i, (_, d, m, w) in enumerate(PRESETS["service"].formations))
+    _, d, m, w = SERVICE_FALLBACK
+    free = _base("service") + f""",
+forms AS ({forms}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY squad_id, role ORDER BY score DESC, slot) AS rk FROM members WHERE role IN (1, 2, 3, 4)),
+tried AS (SELECT squad_id, f, q2, q3, q4,
+                 sum(CASE WHEN rk <= quota THEN score ELSE 0 END) AS tot,
+                 sum(CASE WHEN role > 1 AND rk <= quota THEN 1 ELSE 0 END) AS taken
+          FROM (SELECT placed.*, forms.*, CASE role WHEN 1 THEN 1 WHEN 2 THEN q2 WHEN 3 THEN q3 ELSE q4 END AS quota FROM placed, forms) AS g
+          GROUP BY squad_id, f, q2, q3, q4),
+best AS (SELECT squad_id, arg_max({{'q2': q2, 'q3': q3, 'q4': q4}}, tot * 100 - f) AS q FROM tried WHERE taken = q2 + q3 + q4 AND tot > -100 GROUP BY squad_id),
+picked AS (SELECT p.squad_id, p.player_id, p.role, p.rk FROM placed p LEFT JOIN best b ON b.squad_id = p.squad_id
+           WHERE p.rk <= CASE p.role WHEN 1 THEN 1 WHEN 2 THEN coalesce(b.q.q2, {d}) WHEN 3 THEN coalesce(b.q.q3, {m}) ELSE coalesce(b.q.q4, {w}) END)
+SELECT squad_id, 'service' AS rules, CAST(row_number() OVER (PARTITION BY squad_id ORDER BY role, rk) - 1 AS INT) AS pick, player_id FROM picked"""
+    return f"SELECT * FROM ({capped}) AS a UNION ALL SELECT * FROM ({free}) AS b"
+
+
+def suggestion_docs_sql(top_n: int) -> str:
+    """Every squad with its current total, and its swaps in rank order where it has any."""
+    return f"""
+SELECT b.squad_id, b.event_id, b.team_xpts AS current_team_xpts, CAST(r.rank - 1 AS INT) AS pos, r.out_player_id, r.in_player_id,
+       r.out_web_name, r.in_web_name, r.team_xpts_delta, r.new_team_xpts, r.cost_delta_million
+FROM ({best_xi_uncapped_sql()}) AS b LEFT JOIN ({swaps_service_sql(top_n)}) AS r ON r.squad_id = b.squad_id"""
+
+
+def suggestion_requests_sql() -> str:
+    return role_cte("squads", "squad_bank", "squad_scores") + """
+SELECT q.squad_id, CAST(q.n AS INT) AS n_picks,
+       CASE q.squad_id % 3 WHEN 0 THEN coalesce(CAST(b.bank_tenths AS DOUBLE) / 10, 0.0) WHEN 1 THEN CAST(1.25 AS DOUBLE) ELSE CAST(1.35 AS DOUBLE) END AS bank_million,
+       CASE q.squad_id % 3 WHEN 0 THEN coalesce(b.bank_tenths, 0) WHEN 1 THEN CAST(12 AS BIGINT) ELSE CAST(14 AS BIGINT) END AS bank_tenths,
+       CASE WHEN q.n <> 15 THEN 'bad_squad_size' WHEN NOT EXISTS (SELECT 1 FROM squad_scores) THEN 'no_scores' ELSE 'ok' END AS status
+FROM (SELECT squad_id, count(*) AS n FROM squads GROUP BY squad_id) AS q LEFT JOIN squad_bank b ON b.squad_id = q.squad_id"""

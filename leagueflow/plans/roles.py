@@ -75,7 +75,8 @@ SELECT c_custkey AS id,
        CAST(c_custkey % 7 AS DOUBLE) / 10 AS expected_goals,
        CAST(c_custkey % 5 AS DOUBLE) / 10 AS expected_assists,
        CAST(c_custkey % 11 AS DOUBLE) / 10 AS expected_goal_involvements,
-       CAST(c_custkey % 9 AS DOUBLE) / 10 AS expected_goals_conceded
+       CAST(c_custkey % 9 AS DOUBLE) / 10 AS expected_goals_conceded,
+       (SELECT max(o_orderdate) FROM {orders}) AS ingested_at_utc
 FROM {customer}""",
     # fixtures <- orders (home side from the customer, away side derived; some undated gameweeks)
     "fixtures": f"""

@@ -9,15 +9,15 @@ tests and scripts.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows below which a dimension side may be broadcast. The check is done on the
-# optimizer's size estimate first and on an exact (cheap, pruned) count only
-# when the estimate is unknown, so a side that grows with the data is shuffled
-# instead of being shipped to every executor.
+# Bounds under which a side may be broadcast: bytes by the optimizer's estimate,
+# rows where a table has been written and counted. A side that grows with the
+# data is shuffled instead of being shipped to every executor.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -50,8 +50,9 @@ def get_spark(app: str = "leagueflow", cpus: int | str = "*", shuffle_partitions
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) a
-    fresh scratch folder is created and registered.
+    The cluster's setting always wins. Only in a local session (tests) where it
+    is unset a fresh scratch folder is created and registered; a cluster without
+    the setting is an error, as a folder of the driver would not be shared.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -61,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
         return sc_dir
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="leagueflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -82,17 +85,15 @@ def _estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """True when ``df`` is provably small enough to broadcast.
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when the optimizer's size estimate is small enough to broadcast.
 
-    Uses the optimizer's size estimate (free); if that estimate is above the
-    byte bound, falls back to an exact row count of the pruned plan, which is
-    one cheap scan, never a collect.
+    Free: no job runs while a plan is built. A side whose estimate is unknown or
+    large gets no hint; adaptive execution still broadcasts it when its real
+    size, measured at run time, is under the session's threshold.
     """
     est = _estimated_bytes(df)
-    if est is not None and est <= max_bytes:
-        return True
-    return df.limit(max_rows + 1).count() <= max_rows
+    return est is not None and est <= max_bytes
 
 
 def maybe_broadcast(df: DataFrame, **kw) -> DataFrame:

@@ -8,7 +8,7 @@ is ``from_json`` + ``explode``/``posexplode`` + column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -57,58 +57,57 @@ ENTRY_HISTORY_SCHEMA = StructType(
 )
 
 
-def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Bronze files → ``(path, payload)``; one row per file, payload as text."""
-    reader = spark.read.option("wholetext", True)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+def _items(docs: DataFrame, payload: str, schema, field: str | None, keep: list[str]) -> DataFrame:
+    doc = F.from_json(F.col(payload), schema)
+    if field is None:  # the document itself is the array; an object would be read as an array of one
+        doc = F.when(F.ltrim(F.col(payload)).startswith("["), doc)
+    parsed = docs.select(*keep, doc.alias("_doc"))
+    arr = F.col("_doc") if field is None else F.col(f"_doc.{field}")
+    return parsed.select(*keep, F.posexplode(arr).alias("_i", "_e"))
 
 
-def _items(docs: DataFrame, payload: str, schema, field: str | None, keep: list[str], pos: bool = False) -> DataFrame:
-    parsed = docs.select(*keep, F.from_json(F.col(payload), schema).alias("_doc"))
-    arr = F.col("_doc") if field is None else F.col(f"_doc.{field}")
-    gen = F.posexplode(arr).alias("_i", "_e") if pos else F.explode(arr).alias("_e")
-    return parsed.select(*keep, gen)
+def _kept(keep: list[str] | None, pos: str | None) -> list[Column]:
+    """Document columns, and the item's place in its array under the name ``pos`` (the order of rows of one batch)."""
+    return [F.col(c) for c in keep or []] + ([F.col("_i").cast("int").alias(pos)] if pos else [])
 
 
 def _e(name: str) -> Column:
     return F.col(f"_e.{name}")
 
 
-def parse_teams(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def parse_teams(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
     return _items(docs, payload, BOOTSTRAP_SCHEMA, "teams", k).select(
-        *k, safe_int(_e("id")).alias("id"), _e("name").alias("name"), _e("short_name").alias("short_name"),
+        *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("name").alias("name"), _e("short_name").alias("short_name"),
         safe_int(_e("strength"), "int").alias("strength"),
     )
 
 
-def parse_positions(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def parse_positions(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
     return _items(docs, payload, BOOTSTRAP_SCHEMA, "element_types", k).select(
-        *k, safe_int(_e("id")).alias("id"), _e("singular_name_short").alias("singular_name_short"),
+        *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("singular_name_short").alias("singular_name_short"),
         _e("singular_name").alias("singular_name"), safe_int(_e("squad_select"), "int").alias("squad_select"),
     )
 
 
-def parse_events(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def parse_events(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
     return _items(docs, payload, BOOTSTRAP_SCHEMA, "events", k).select(
-        *k, safe_int(_e("id")).alias("id"), _e("name").alias("name"), safe_ts_utc(_e("deadline_time")).alias("deadline_time"),
+        *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("name").alias("name"), safe_ts_utc(_e("deadline_time")).alias("deadline_time"),
         safe_bool(_e("finished")).alias("finished"), safe_bool(_e("is_current")).alias("is_current"),
         safe_bool(_e("is_next")).alias("is_next"),
     )
 
 
-def parse_players(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def parse_players(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     """``elements`` → players; ``team``→team_id, ``element_type``→element_type_id."""
     k = keep or []
     ints = {"minutes": "int", "total_points": "int", "now_cost": "int"}
     floats = ("selected_by_percent", "form", "points_per_game", "expected_goals", "expected_assists",
               "expected_goal_involvements", "expected_goals_conceded")
     return _items(docs, payload, BOOTSTRAP_SCHEMA, "elements", k).select(
-        *k,
+        *_kept(k, pos),
         safe_int(_e("id")).alias("id"),
         _e("web_name").alias("web_name"),
         _e("first_name").alias("first_name"),
@@ -123,11 +122,11 @@ def parse_players(docs: DataFrame, payload: str = "payload", keep: list[str] | N
     )
 
 
-def parse_fixtures(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def parse_fixtures(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     """Top-level array of fixtures; ``event``→event_id."""
     k = keep or []
     return _items(docs, payload, FIXTURES_SCHEMA, None, k).select(
-        *k,
+        *_kept(k, pos),
         safe_int(_e("id")).alias("id"),
         safe_int(_e("event")).alias("event_id"),
         safe_int(_e("team_h")).alias("team_h"),
@@ -144,20 +143,22 @@ def effective_fixture_id(fixture_id: Column, event_id: Column, index: Column) ->
     return F.coalesce(fixture_id, -(F.coalesce(event_id, F.lit(0)) * F.lit(1000) + index.cast("bigint")))
 
 
-def parse_history(docs: DataFrame, player: str = "player_id", payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def parse_history(
+    docs: DataFrame, player: str = "player_id", payload: str = "payload", keep: list[str] | None = None, pos: str | None = None
+) -> DataFrame:
     """``history`` of a per-player document → match history rows.
 
     The player id comes from the document key, not the payload; the array
     position (0-based) feeds the synthetic key of games without a fixture id.
     """
     k = [player] + (keep or [])
-    rows = _items(docs, payload, SUMMARY_SCHEMA, "history", k, pos=True)
+    rows = _items(docs, payload, SUMMARY_SCHEMA, "history", k)
     fid = safe_int(_e("fixture"))
     eid = safe_int(_e("round"))
     ints = ("minutes", "total_points", "goals_scored", "assists", "clean_sheets", "goals_conceded")
     floats = ("expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded")
     return rows.select(
-        *k,
+        *_kept(k, pos),
         effective_fixture_id(fid, eid, F.col("_i")).alias("fixture_id_effective"),
         fid.alias("fixture_id"),
         eid.alias("event_id"),
@@ -166,11 +167,13 @@ def parse_history(docs: DataFrame, player: str = "player_id", payload: str = "pa
     )
 
 
-def parse_future(docs: DataFrame, player: str = "player_id", payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+def parse_future(
+    docs: DataFrame, player: str = "player_id", payload: str = "payload", keep: list[str] | None = None, pos: str | None = None
+) -> DataFrame:
     """``fixtures`` of a per-player document → upcoming fixtures of that player."""
     k = [player] + (keep or [])
     return _items(docs, payload, SUMMARY_SCHEMA, "fixtures", k).select(
-        *k,
+        *_kept(k, pos),
         safe_int(_e("id")).alias("fixture_id"),
         safe_int(_e("event")).alias("event_id"),
         safe_bool(_e("is_home")).alias("is_home"),
@@ -182,7 +185,7 @@ def parse_future(docs: DataFrame, player: str = "player_id", payload: str = "pay
 
 def parse_picks(docs: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """Squad picks in document order; vice-captain also flags ``multiplier = 0``."""
-    rows = _items(docs, payload, PICKS_SCHEMA, "picks", keep, pos=True)
+    rows = _items(docs, payload, PICKS_SCHEMA, "picks", keep)
     vice = F.coalesce(safe_bool(_e("is_vice_captain")), F.lit(False)) | F.coalesce(
         safe_int(_e("multiplier")) == 0, F.lit(False)
     )
@@ -219,10 +222,10 @@ def squad_from_picks(docs: DataFrame, keep: list[str], payload: str = "payload")
 
 def parse_entry_history(docs: DataFrame, keep: list[str], payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(current gameweeks, past seasons) of an entry history document."""
-    cur = _items(docs, payload, ENTRY_HISTORY_SCHEMA, "current", keep, pos=True).select(
+    cur = _items(docs, payload, ENTRY_HISTORY_SCHEMA, "current", keep).select(
         *keep, F.col("_i").cast("int").alias("idx"), *[safe_int(_e(f)).alias(f) for f in CURRENT_FIELDS]
     )
-    past = _items(docs, payload, ENTRY_HISTORY_SCHEMA, "past", keep, pos=True).select(
+    past = _items(docs, payload, ENTRY_HISTORY_SCHEMA, "past", keep).select(
         *keep, F.col("_i").cast("int").alias("idx"), _e("season_name").alias("season_name"),
         safe_int(_e("total_points")).alias("total_points"), safe_int(_e("rank")).alias("rank"),
     )

@@ -1,17 +1,24 @@
 """Silver tables on Parquet: schemas, idempotent keyed upsert, FK guard and
 the append-only ingestion log.
 
-No MERGE-capable table format is available, so a table is a directory of
-versions ``{path}/v={n}``; a write computes the merged table from the latest
-version and writes version ``n + 1`` (never overwriting the path it reads),
-which also makes a failed or retried write harmless: readers only see
-complete versions (a version is complete once its ``_SUCCESS`` marker exists).
+No MERGE-capable table format is available. A table is a folder of deltas,
+``{table}/delta={seq}-{id}/_bucket={k}``, each with at most one row per key,
+split by a hash of the key. An upsert writes its own rows as one more delta
+and touches nothing else, so it costs its own size. A read takes the latest
+row per key; :meth:`TableStore.compact` folds buckets with many deltas into a
+base, ``{table}/base={seq}-{id}/_bucket={k}``, that stands for everything
+before it in the buckets it has. Folders are never overwritten, their names
+are unique, and one counts only once its ``_SUCCESS`` marker exists, so a
+failed or repeated write does no harm and two writers cannot collide.
+
+Append-only tables are folders of parts, ``{table}/part={name}``; writing a
+part of the same name again (a replayed batch) replaces that part alone.
 """
 
 from __future__ import annotations
 
-import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,31 +109,32 @@ def upsert(
     target: DataFrame,
     source: DataFrame,
     keys: list[str],
-    order_cols: list[str] | None = None,
+    order_cols: list[str],
     stamp: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Insert, or replace every non-key column on key conflict; rows absent from
     the source are kept. ``order_cols`` decide the winner among source rows of
-    one key; ``stamp`` = (column, timestamp literal) stamps written rows.
+    one key (the later one, as in one batch); ``stamp`` = (column, timestamp
+    literal) stamps written rows.
 
     Plan: one window over the source (a partial ``WindowGroupLimit`` keeps one
     row per key per map task, so a hot key does not land whole in one task),
     one anti-join of the target on the keys (Spark broadcasts the batch's keys
     only under its size threshold, else sort-merge on the keys), one union.
     """
-    src = latest_per_key(source, keys, order_cols) if order_cols else source.dropDuplicates(keys)
-    if stamp is not None:
-        col, ts = stamp
-        src = src.withColumn(col, F.lit(ts).cast("timestamp_ntz"))
-    cols = target.columns
-    for c in cols:
-        if c not in src.columns:
-            src = src.withColumn(c, F.lit(None).cast(target.schema[c].dataType))
-    src = src.select(*[F.col(c).cast(target.schema[c].dataType) for c in cols])
+    src = conform(latest_per_key(source, keys, order_cols), target.schema, stamp)
     kept = target.join(src.select(*keys), keys, "left_anti")
     return kept.unionByName(src)
 
 
+def conform(rows: DataFrame, schema: StructType, stamp: tuple[str, str] | None = None) -> DataFrame:
+    """Rows with exactly the columns of ``schema``: cast, NULL where missing, stamped."""
+    if stamp is not None:
+        col, ts = stamp
+        rows = rows.withColumn(col, F.lit(ts).cast("timestamp_ntz"))
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def fk_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -> DataFrame:
     """Child rows whose non-NULL ``fk`` has no parent row (anti-join on the key)."""
     c = child.where(F.col(fk).isNotNull())
@@ -134,101 +142,159 @@ def fk_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id")
     return c.join(p, c[fk] == p["_pk"], "left_anti")
 
 
+def all_orphans(tables: dict[str, DataFrame]) -> DataFrame:
+    """Orphans of all foreign keys whose two tables are given: ``fk``, ``child_key`` (key columns, colon-joined), ``value``."""
+    out = None
+    for child, fk, parent, pk in FOREIGN_KEYS:
+        if child in tables and parent in tables:
+            key = F.concat_ws(":", *[F.col(k).cast("string") for k in KEYS[child]])
+            bad = fk_violations(tables[child], fk, tables[parent], pk)
+            bad = bad.select(F.lit(f"{child}.{fk}").alias("fk"), key.alias("child_key"), F.col(fk).cast("bigint").alias("value"))
+            out = bad if out is None else out.unionByName(bad)
+    return out
+
+
 # ------------------------------------------------------------------ table store
-_VERSION = re.compile(r"^v=(\d+)$")
+_FOLDER = re.compile(r"^(delta|base)=(\d{10}-[0-9a-f]{8})$")
+_SEQ = StructField("_seq", StringType())
 
 
 class TableStore:
-    """Versioned Parquet tables under one root folder (local or shared FS)."""
+    """Keyed and append-only Parquet tables under one root folder (local or shared FS)."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
+    # -------------------------------------------------------------- folders
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
-
-    def versions(self, table: str) -> list[int]:
-        fs, jvm = self._fs()
-        base = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not fs.exists(base):
-            return []
-        out = []
-        for st in fs.listStatus(base):
-            m = _VERSION.match(st.getPath().getName())
-            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{st.getPath().toString()}/_SUCCESS")):
-                out.append(int(m.group(1)))
-        return sorted(out)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _list(self, path: str) -> list[str]:
+        fs, to_path = self._fs()
+        p = to_path(path)
+        return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _complete(self, table: str) -> list[str]:
+        """Names of the table's finished folders, in order."""
+        fs, to_path = self._fs()
+        return [n for n in self._list(f"{self.root}/{table}") if "=" in n and fs.exists(to_path(f"{self.root}/{table}/{n}/_SUCCESS"))]
+
+    def _bucket_folders(self, table: str) -> dict[int, list[str]]:
+        """For each bucket the folders that make its state: the latest base and the deltas after it."""
+        held: dict[int, list[tuple[str, bool, str]]] = {}
+        for name in self._complete(table):
+            m = _FOLDER.match(name)
+            if m:
+                for sub in self._list(f"{self.root}/{table}/{name}"):
+                    if sub.startswith("_bucket="):
+                        held.setdefault(int(sub[8:]), []).append((m.group(2), m.group(1) == "base", f"{self.root}/{table}/{name}/{sub}"))
+        out = {}
+        for bucket, folders in held.items():
+            base = max((f for f in folders if f[1]), default=None)
+            out[bucket] = [f[2] for f in folders if base is None or f == base or (not f[1] and f[0][:10] > base[0][:10])]
+        return out
+
+    def _next(self, table: str) -> str:
+        last = max((m.group(2)[:10] for n in self._list(f"{self.root}/{table}") if (m := _FOLDER.match(n))), default="0" * 10)
+        return f"{int(last) + 1:010d}-{uuid.uuid4().hex[:8]}"
 
     def exists(self, table: str) -> bool:
-        return bool(self.versions(table))
+        fs, to_path = self._fs()
+        return fs.exists(to_path(f"{self.root}/{table}"))
 
-    def path(self, table: str, version: int | None = None) -> str:
-        v = version if version is not None else self.versions(table)[-1]
-        return f"{self.root}/{table}/v={v}"
+    def init(self, tables: list[str] | None = None) -> None:
+        """Create the folder of every missing table; what exists is left alone."""
+        fs, to_path = self._fs()
+        for t in tables or list(SCHEMAS):
+            fs.mkdirs(to_path(f"{self.root}/{t}"))
+
+    # -------------------------------------------------------------- reading
+    def _state(self, table: str, paths: list[str]) -> DataFrame:
+        schema = SCHEMAS[table]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(StructType([*schema.fields, _SEQ])).parquet(*paths)
+        return latest_per_key(rows, KEYS[table], ["_seq"]).drop("_seq")
 
     def read(self, table: str) -> DataFrame:
         if not self.exists(table):
             raise FileNotFoundError(f"table {table} not initialised under {self.root}")
-        return self.spark.read.schema(SCHEMAS.get(table)).parquet(self.path(table)) if table in SCHEMAS else \
-            self.spark.read.parquet(self.path(table))
+        if table in KEYS:
+            return self._state(table, [p for paths in self._bucket_folders(table).values() for p in paths])
+        parts = [f"{self.root}/{table}/{n}" for n in self._complete(table)]
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMAS[table])
 
-    def write(self, table: str, df: DataFrame) -> int:
-        vs = self.versions(table)
-        nxt = (vs[-1] + 1) if vs else 0
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={nxt}")
-        return nxt
-
-    def init(self, tables: list[str] | None = None) -> None:
-        """Create every missing table as an empty version 0 (idempotent)."""
-        for t in tables or list(SCHEMAS):
-            if not self.exists(t):
-                self.write(t, self.spark.createDataFrame([], SCHEMAS[t]))
+    # -------------------------------------------------------------- writing
+    def _write(self, table: str, kind: str, seq: str, rows: DataFrame) -> None:
+        bucket = F.pmod(F.xxhash64(*KEYS[table]), F.lit(self.buckets)).cast("int")
+        rows.withColumn("_seq", F.lit(seq)).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.root}/{table}/{kind}={seq}")
 
     def upsert(
         self,
         table: str,
         source: DataFrame,
-        order_cols: list[str] | None = None,
+        order_cols: list[str],
         as_of: str | None = None,
-        check_fk: bool = False,
+        orphans: str = "reject",
     ) -> int:
         """Keyed upsert into ``table``; returns the number of input rows.
 
-        Empty input → no write. With ``check_fk`` a batch holding orphan child
-        rows is rejected before anything is written.
+        Of source rows with one key the one that is last by ``order_cols``
+        wins; ties go by the whole row, so the result does not depend on the
+        layout. Empty input writes nothing. Rows whose parent does not exist:
+        ``reject`` raises :class:`IntegrityError` before anything is written,
+        ``quarantine`` writes them to ``_orphans/{table}`` and stores the rest,
+        ``ignore`` stores them.
         """
-        # the batch is read three times (count, FK check, merge): keep it for
-        # this write only (recomputed from lineage if an executor is lost)
-        source = source.persist()
+        stamp = (STAMP[table], as_of) if as_of is not None else None
+        columns = SCHEMAS[table].names
+        ties = [F.col(c) for c in source.columns if c in columns]
+        ranked = source.withColumn("_tie", F.struct(*ties))
+        # read by the count, the FK checks and the write: kept for this write only
+        source = ranked.persist()
         try:
             n = source.count()
             if n == 0:
                 return 0
             self.init([table])
-            if check_fk:
-                for child, fk, parent, pk in FOREIGN_KEYS:
-                    if child == table and fk in source.columns and self.exists(parent):
-                        if not fk_violations(source, fk, self.read(parent), pk).isEmpty():
-                            raise IntegrityError(f"{table}.{fk} has values missing from {parent}.{pk}")
-            stamp = (STAMP[table], as_of) if as_of is not None and STAMP.get(table) else None
-            merged = upsert(self.read(table), source, KEYS[table], order_cols, stamp)
-            self.write(table, merged)
+            rows = latest_per_key(source, KEYS[table], [*order_cols, "_tie"])
+            if orphans != "ignore":
+                rows = self._with_parents(table, rows, orphans)
+            self._write(table, "delta", self._next(table), conform(rows, SCHEMAS[table], stamp))
             return n
         finally:
             source.unpersist()
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Append-only tables (the ingestion log): add a new part folder."""
-        rows.write.mode("append").parquet(f"{self.root}/{table}/v=0")
-
-
-def register_tables(store: TableStore, tables: list[str] | None = None) -> dict[str, DataFrame]:
-    """Read the latest version of each table (SRC-6 scans with pruning left to Catalyst)."""
-    return {t: store.read(t) for t in (tables or list(SCHEMAS)) if store.exists(t)}
-
-
-def default_root() -> str:
-    return os.environ.get("LEAGUEFLOW_ROOT", "data/silver")
+    def _with_parents(self, table: str, rows: DataFrame, orphans: str) -> DataFrame:
+        for child, fk, parent, pk in FOREIGN_KEYS:
+            if child != table or fk not in rows.columns or not self.exists(parent):
+                continue
+            bad = fk_violations(rows, fk, self.read(parent), pk)
+            if bad.isEmpty():
+                continue
+            if orphans == "reject":
+                raise IntegrityError(f"{table}.{fk} has values missing from {parent}.{pk}")
+            conform(bad, SCHEMAS[table]).withColumn("_fk", F.lit(f"{fk}->{parent}.{pk}")).write.mode("append").parquet(f"{self.root}/_orphans/{table}")
+            rows = rows.join(bad.select(*KEYS[table]), KEYS[table], "left_anti")
+        return rows
+
+    def compact(self, table: str, most_deltas: int = 8) -> list[int]:
+        """Fold the buckets that have more than ``most_deltas`` folders into a base; returns those buckets.
+
+        The base has the number of the last folder it covers. Run it while
+        nobody writes to the table.
+        """
+        full = {b: p for b, p in self._bucket_folders(table).items() if len(p) > most_deltas}
+        if full:
+            last = max(m.group(2)[:10] for n in self._complete(table) if (m := _FOLDER.match(n)))
+            rows = self._state(table, [p for paths in full.values() for p in paths])
+            self._write(table, "base", f"{last}-{uuid.uuid4().hex[:8]}", rows)
+        return sorted(full)
+
+    def append(self, table: str, rows: DataFrame, part: str | None = None) -> None:
+        """Add rows to an append-only table; a ``part`` written before is replaced."""
+        conform(rows, SCHEMAS[table]).write.mode("overwrite").parquet(f"{self.root}/{table}/part={part or uuid.uuid4().hex}")

@@ -5,9 +5,10 @@ Bronze input is JSON Lines: one fetch per line,
 (many fetches per file avoids the small-files problem of one file per fetch).
 Each micro-batch (``maxFilesPerTrigger`` files, 20 by default) is parsed and
 upserted into the history and future-fixture tables, and its fetches are
-logged. Replays are harmless: the upserts are keyed and the log part of a
-batch is written to a folder named by the batch id (overwritten on retry).
-A malformed line goes to a quarantine folder instead of failing the batch.
+logged. A replayed batch stores the same rows again under the same keys and
+replaces its own log and quarantine parts, so it changes nothing. A line that
+is no envelope, or whose payload is no JSON object, goes to a quarantine folder
+instead of failing the batch.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ ENVELOPE = StructType(
 
 
 def envelope(lines: DataFrame) -> DataFrame:
-    """Text lines → (request_key, player_id, fetched_at_utc, payload, ok)."""
+    """Text lines → (request_key, player_id, fetched_at_utc, payload, ok).
+
+    ``ok``: the key names a player and the payload is a well-formed JSON object.
+    """
     e = lines.select(F.from_json(F.col("value"), ENVELOPE).alias("e"), F.col("value").alias("_raw"))
     out = e.select(
         F.col("e.request_key").alias("request_key"),
@@ -36,34 +40,43 @@ def envelope(lines: DataFrame) -> DataFrame:
         F.col("e.payload").alias("payload"),
         "_raw",
     )
-    return out.withColumn("ok", F.col("player_id").isNotNull() & F.col("payload").isNotNull())
+    is_object = F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{")
+    return out.withColumn("ok", F.coalesce(F.col("player_id").isNotNull() & is_object, F.lit(False)))
+
+
+def fetch_log(docs: DataFrame, endpoint: str, run_id: str | None = None) -> DataFrame:
+    """Ingestion log rows of fetched documents (``request_key``, ``fetched_at_utc``, ``payload``)."""
+    return docs.select(
+        F.lit(run_id).cast("string").alias("run_id"),
+        "request_key",
+        F.lit(endpoint).alias("endpoint"),
+        "fetched_at_utc",
+        F.lit(200).alias("http_status"),
+        payload_digest("payload").alias("payload_sha256"),
+    )
+
+
+#: Order of rows with one key: fetch time, then the document (by its digest), then the place in the document.
+ORDER = ["fetched_at_utc", "_doc_digest", "_pos"]
+
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """Documents with the digest that orders them when their fetch times are equal, whatever their layout."""
+    return docs.withColumn("_doc_digest", F.sha2("payload", 256))
 
-def process_batch(store: TableStore, batch: DataFrame, batch_id: int, run_id: str | None = None) -> None:
+
+def process_batch(store: TableStore, batch: DataFrame, batch_id: int, run_id: str | None = None, orphans: str = "ignore") -> None:
     """Parse one micro-batch, upsert history and future fixtures, log the fetches."""
     docs = envelope(batch).persist()
     try:
         bad = docs.where(~F.col("ok"))
         if not bad.isEmpty():
             bad.select("_raw").write.mode("overwrite").text(f"{store.root}/_quarantine/batch={batch_id}")
-        good = docs.where(F.col("ok"))
-        hist = payloads.parse_history(good, keep=["fetched_at_utc"])
-        fut = payloads.parse_future(good, keep=["fetched_at_utc"])
-        store.upsert("player_match_history", hist, order_cols=["fetched_at_utc"])
-        store.upsert("player_future_fixtures", fut, order_cols=["fetched_at_utc"])
-        log = good.select(
-            F.lit(None).cast("bigint").alias("id"),
-            F.lit(run_id).cast("string").alias("run_id"),
-            "request_key",
-            F.lit("element-summary").alias("endpoint"),
-            F.lit(None).cast("string").alias("url"),
-            "fetched_at_utc",
-            F.lit(200).alias("http_status"),
-            F.lit(None).cast("string").alias("etag"),
-            F.lit(None).cast("string").alias("payload_path"),
-            payload_digest("payload").alias("payload_sha256"),
-        )
-        log.write.mode("overwrite").parquet(f"{store.root}/meta_ingestions/v=0/batch={batch_id}")
+        good = ordered(docs.where(F.col("ok")))
+        keep = ORDER[:2]
+        store.upsert("player_match_history", payloads.parse_history(good, keep=keep, pos="_pos"), ORDER, orphans=orphans)
+        store.upsert("player_future_fixtures", payloads.parse_future(good, keep=keep, pos="_pos"), ORDER, orphans=orphans)
+        store.append("meta_ingestions", fetch_log(good, "element-summary", run_id), part=f"stream-{run_id or 0}-{batch_id}")
     finally:
         docs.unpersist()
 
@@ -75,13 +88,14 @@ def ingest_stream(
     checkpoint: str,
     files_per_batch: int = 20,
     run_id: str | None = None,
+    orphans: str = "ignore",
 ) -> None:
     """Drain everything currently in ``in_dir`` (``availableNow``) into the store."""
     store = TableStore(spark, store_root)
-    store.init(["player_match_history", "player_future_fixtures"])
+    store.init(["player_match_history", "player_future_fixtures", "meta_ingestions"])
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(in_dir)
     q = (
-        lines.writeStream.foreachBatch(lambda df, bid: process_batch(store, df, bid, run_id))
+        lines.writeStream.foreachBatch(lambda df, bid: process_batch(store, df, bid, run_id, orphans))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -89,26 +103,43 @@ def ingest_stream(
     q.awaitTermination()
 
 
-def summary_lines(history: DataFrame, future: DataFrame | None = None, chunk: int = 1024) -> DataFrame:
-    """Build bronze JSON Lines (one fetch per (player, key chunk)) from silver-shaped rows.
+#: Periods in a season, and thus in one document of a player.
+SEASON_PERIODS = 12
+
+
+def season(event: str = "event_id"):
+    """Season of a period; games without a period are in the document without a season."""
+    return F.floor((F.col(event) - 1) / SEASON_PERIODS)
+
 
-    Used to produce test input from the driver's tables; array order is the
-    key order so the synthetic keys are reproducible.
+def summary_docs(history: DataFrame, future: DataFrame) -> DataFrame:
+    """One document per (player, season) from silver-shaped rows: ``player_id``, ``payload``.
+
+    Items are in key order. All games of one period are in one document, so a
+    place in the array never repeats within a period and synthetic keys are
+    unique. A document holds the games of one player in one season.
     """
-    e = F.struct(
+    h = F.struct(
         F.abs("fixture_id_effective").alias("_ord"), F.col("fixture_id").alias("fixture"), F.col("event_id").alias("round"),
         "minutes", "total_points", "goals_scored", "assists", "clean_sheets", "goals_conceded",
         "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded",
     )
-    g = history.groupBy("player_id", F.floor(F.abs("fixture_id_effective") / chunk).alias("chunk")).agg(
-        F.array_sort(F.collect_list(e)).alias("history")
-    )
-    return g.select(
-        F.to_json(
-            F.struct(
-                F.concat(F.lit("element-summary:"), F.col("player_id").cast("string")).alias("request_key"),
-                F.lit("2024-01-31T00:00:00Z").alias("fetched_at_utc"),
-                F.struct("history").alias("payload"),
-            )
-        ).alias("value")
+    f = F.struct(
+        F.col("fixture_id").alias("id"), F.col("event_id").alias("event"), "is_home", "opponent_team",
+        F.concat(F.date_format("kickoff_time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("kickoff_time"), "difficulty",
     )
+    past = history.groupBy("player_id", season().alias("season")).agg(F.array_sort(F.collect_list(h)).alias("history"))
+    coming = future.groupBy("player_id", season().alias("season")).agg(F.array_sort(F.collect_list(f)).alias("fixtures"))
+    both = past.join(coming, past["player_id"].eqNullSafe(coming["player_id"]) & past["season"].eqNullSafe(coming["season"]), "full")
+    payload = F.to_json(F.struct("history", "fixtures"))
+    return both.select(F.coalesce(past["player_id"], coming["player_id"]).alias("player_id"), payload.alias("payload"))
+
+
+def summary_lines(history: DataFrame, future: DataFrame, fetched_at: str = "2024-01-31T00:00:00Z") -> DataFrame:
+    """Bronze JSON Lines, one fetch per document of :func:`summary_docs`."""
+    docs = summary_docs(history, future)
+    key = F.concat(F.lit("element-summary:"), F.col("player_id").cast("string")).alias("request_key")
+    # the payload is nested as JSON, as a fetch has it
+    head = F.to_json(F.struct(key, F.lit(fetched_at).alias("fetched_at_utc")))
+    opened = docs.withColumn("head", head).withColumn("head", F.expr("substring(head, 1, length(head) - 1)"))
+    return opened.select(F.concat("head", F.lit(',"payload":'), "payload", F.lit("}")).alias("value"))

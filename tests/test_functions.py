@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,40 @@ def test_request_keys(spark):
     ]
     ids = one(spark, key_id("k"), [("element-summary:5",), ("element-summary:x",), ("entry:1:2",)], "k string")
     assert ids == [5, None, None]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("9007199254740993", 9007199254740993), ("-9223372036854775808", -9223372036854775808), ("9223372036854775808", None), (" +17 ", 17),
+    ("7.999", 7), ("-7.999", -7), ("2.5e2", 250), ("1e400", None), ("0x10", None), ("--3", None), ("", None),
+])
+def test_integers_keep_their_value(spark, text, want):
+    assert spark.createDataFrame([(text,)], "s string").select(safe_int("s")).first()[0] == want
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    cases = {"2031-07-04": dt.datetime(2031, 7, 4), "2031-07-04T05:06:07": dt.datetime(2031, 7, 4, 5, 6, 7), "2031-07-04T05:06:07Z": dt.datetime(2031, 7, 4, 5, 6, 7),
+             "2031-07-04T05:06:07+09:30": dt.datetime(2031, 7, 3, 19, 36, 7), "2031-07-04 05:06-02": dt.datetime(2031, 7, 4, 7, 6), "2031-07-04T05:06:07.5+0100": dt.datetime(2031, 7, 4, 4, 6, 7, 500000), "noon": None, "2031-13-04": None}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", safe_ts_utc("s").alias("t")).collect()
+            assert {r.s: r.t for r in rows} == cases, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_bank_rounds_half_to_even(spark):
+    from leagueflow.operators import squads
+
+    banks = [(1, 0.25, 2), (2, 0.35, 4), (3, 1.25, 12), (4, 1.75, 18), (5, 2.04, 20)]
+    members = spark.createDataFrame([(b[0], 1) for b in banks], "squad_id bigint, player_id bigint")
+    api = spark.createDataFrame([(b[0], b[1]) for b in banks], "squad_id bigint, bank_million double")
+    scores = spark.createDataFrame([(1, 1, 1.0)], "player_id bigint, event_id bigint, xpts double")
+    got = squads.suggestion_requests(members, api, api, scores).collect()
+    assert {r.squad_id: r.bank_tenths for r in got} == {b[0]: b[2] for b in banks}
+
+
+@pytest.mark.parametrize("x,want", [(0.125, 0.13), (0.375, 0.38), (-0.125, -0.12), (3.14159, 3.14), (7.0, 7.0)])
+def test_round2_takes_halves_up(spark, x, want):
+    assert spark.createDataFrame([(x,)], "x double").select(round2("x")).first()[0] == want

@@ -1,44 +1,118 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from leagueflow import jobs
-from leagueflow.operators import learn
+from leagueflow.operators import learn, quality, scoring
 from leagueflow.plans.roles import role
+from leagueflow.sources import tables
 from leagueflow.sources.tables import TableStore
+from leagueflow.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 AS_OF = "2024-01-31 00:00:00"
+LOADED = ("teams", "element_types", "events", "players", "fixtures", "player_match_history", "player_future_fixtures")
 
 
 def _store(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "silver"))
-    for t in ("teams", "element_types", "events", "players", "fixtures", "player_match_history", "player_future_fixtures"):
-        assert store.upsert(t, role(spark, SF, t), as_of=AS_OF) > 0
+    store.init()
+    for t in LOADED:
+        assert store.upsert(t, role(spark, SF, t), tables.KEYS[t], as_of=AS_OF, orphans="ignore") > 0
     return store
 
 
-def test_build_views_and_suggest(spark, tmp_path):
-    store = _store(spark, tmp_path)
-    top = jobs.build_xpts(spark, store, AS_OF, horizon=3, level="warn")
-    assert 0 < top.count() <= 10
-    views = jobs.register_views(store)
-    assert set(views) == {"v_player_latest", "v_fixture_upcoming", "v_player_form", "v_player_xpts_next"}
-    assert spark.table("v_player_xpts_next").count() > 0
-    # two squads: 15 known players each (2/5/5/3 by position)
+def _squads(spark, store, sizes=((1, 15), (2, 15))):
     p = store.read("players").where(F.col("element_type_id").isNotNull() & F.col("team_id").isNotNull())
     picks = []
-    for sid in (1, 2):
+    for sid, size in sizes:
         slot = 0
         for role_id, need in ((1, 2), (2, 5), (3, 5), (4, 3)):
             ids = [r.id for r in p.where(F.col("element_type_id") == role_id).orderBy("id").limit(need + 5 * sid).collect()][-need:]
             for pid in ids:
                 slot += 1
-                picks.append((sid, slot, pid))
-    squads = spark.createDataFrame(picks, "squad_id bigint, slot int, player_id bigint")
-    bank = spark.createDataFrame([(1, 5), (2, 0)], "squad_id bigint, bank_tenths bigint")
-    cli = jobs.suggest_transfers(spark, store, squads, bank, top_n=5, preset="cli").collect()
-    svc = jobs.suggest_transfers(spark, store, squads, bank, top_n=5, preset="service").collect()
-    assert {r.squad_id for r in cli} <= {1, 2} and len(cli) <= 10 and len(svc) <= 10
-    assert all(r.expected_points_difference == round(r.new_team_xpts - r.current_team_xpts, 2) for r in cli)
+                if slot <= size:
+                    picks.append((sid, slot, pid))
+    return spark.createDataFrame(picks, "squad_id bigint, slot int, player_id bigint")
+
+
+def test_build_views_and_suggest(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    top = jobs.build_xpts(spark, store, AS_OF, horizon=3, level="warn", orphans="quarantine")
+    assert 0 < top.count() <= 10
+    views = jobs.register_views(store)
+    assert set(views) == {"v_player_latest", "v_fixture_upcoming", "v_player_form", "v_player_xpts_next"}
+    assert len(spark.table("v_player_latest").columns) == 21 and len(spark.table("v_player_xpts_next").columns) == 19
+    assert spark.table("v_player_xpts_next").where("computed_at_utc IS NULL").count() == 0
+    squads = _squads(spark, store)
+    # squad 3 has no money and one member that costs nothing: nobody can be bought for it
+    free = spark.createDataFrame([(10**6, "free", "a", "b", 1, 1, 0)], "id bigint, web_name string, first_name string, second_name string, team_id bigint, element_type_id bigint, now_cost int")
+    store.upsert("players", free, ["id"], as_of=AS_OF)
+    squads = squads.unionByName(spark.createDataFrame([(3, 1, 10**6)], "squad_id bigint, slot int, player_id bigint"))
+    bank = spark.createDataFrame([(1, 5), (2, 0), (3, -1)], "squad_id bigint, bank_tenths bigint")
+    period = store.read("player_expected_points").agg(F.min("event_id")).first()[0]
+    for preset in ("cli", "service"):
+        rows = jobs.suggest_transfers(spark, store, squads, bank, top_n=5, preset=preset).collect()
+        assert {r.event_id for r in rows} == {period}
+        assert [r["rank"] for r in rows if r.squad_id == 3] == [None]
+        assert sorted(r["rank"] for r in rows if r.squad_id == 1) == [1, 2, 3, 4, 5]
+
+
+def test_requests_lead_to_documents(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    jobs.build_xpts(spark, store, AS_OF, level="warn", orphans="quarantine")
+    squads = _squads(spark, store, ((1, 15), (2, 14)))
+    docs = [(s, json.dumps({"picks": [{"element": r.player_id} for r in squads.where(F.col("squad_id") == s).orderBy("slot").collect()], "entry_history": {"bank": 25}})) for s in (1, 2)]
+    given = spark.createDataFrame([(1, 0.0)], "squad_id bigint, bank_million double")
+    rows = {r.squad_id: r for r in jobs.answer_requests(spark, store, spark.createDataFrame(docs, "squad_id bigint, payload string"), given, 3).collect()}
+    assert rows[2].status == "bad_squad_size" and rows[2].document is None
+    answer = json.loads(rows[1].document)
+    assert rows[1].status == "ok" and len(answer["suggestions"]) == 3 and answer["current_team_xpts"] > 0
+
+
+def test_report_is_of_this_run(spark, tmp_path):
+    """Scores of earlier periods that lie in the table are not reported."""
+    store = _store(spark, tmp_path)
+    stale = spark.createDataFrame([(1, 1, 99.0)], "player_id bigint, event_id bigint, xpts double")
+    store.upsert("player_expected_points", stale, ["player_id"], as_of=AS_OF, orphans="ignore")
+    top = jobs.build_xpts(spark, store, AS_OF, level="warn", orphans="quarantine")
+    first = scoring.next_periods(store.read("fixtures").where("NOT coalesce(finished, false)"), 1).first()[0]
+    assert {r.event_id for r in top.collect()} == {first}
+
+
+def test_every_ingest_is_logged_and_selection_follows_the_log(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    docs = ingest.summary_docs(role(spark, SF, "player_match_history"), role(spark, SF, "player_future_fixtures"))
+    players = role(spark, SF, "players").select("id")
+    expected = docs.join(players, docs["player_id"] == players["id"], "left_semi").count()
+    kw = dict(since_hours=24, level="warn", orphans="quarantine")
+    jobs.refresh_summaries(spark, store, docs, AS_OF, run_id="one", **kw)
+    assert store.read("meta_ingestions").where("run_id = 'one'").count() == expected > 0
+    jobs.refresh_summaries(spark, store, docs, "2024-01-31 12:00:00", run_id="two", **kw)
+    never = docs.select("player_id").distinct().count()
+    assert store.read("meta_ingestions").where("run_id = 'two'").count() == 0 and never > 0
+    jobs.refresh_summaries(spark, store, docs, "2024-02-03 00:00:00", run_id="three", **kw)
+    assert store.read("meta_ingestions").where("run_id = 'three'").count() == expected
+
+
+def test_orphans_are_rejected_or_set_aside(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    docs = spark.createDataFrame([(10**9, json.dumps({"history": [{"fixture": 1, "round": 1, "minutes": 1}]}))], "player_id bigint, payload string")
+    before = store.read("player_match_history").count()
+    with pytest.raises(tables.IntegrityError):
+        jobs.update_summaries(spark, store, docs, AS_OF, level="warn")
+    assert store.read("player_match_history").count() == before
+    jobs.update_summaries(spark, store, docs, AS_OF, level="warn", orphans="quarantine")
+    assert store.read("player_match_history").count() == before
+    assert spark.read.parquet(f"{store.root}/_orphans/player_match_history").first()["_fk"] == "player_id->players.id"
+
+
+def test_gate_misses_a_table_that_is_gone(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "silver"))
+    store.init(["players"])
+    with pytest.raises(quality.QualityError):
+        jobs._gate(spark, store, "hard")
 
 
 def test_train_save_load_score(spark, tmp_path):
@@ -46,14 +120,10 @@ def test_train_save_load_score(spark, tmp_path):
     path = str(tmp_path / "model")
     mae = jobs.train_xpts(spark, store, path)
     assert mae == mae and mae >= 0
-    model = learn.load_model(spark, path)
-    assert model is not None
     scored = jobs.compute_scores(spark, store, horizon=2, method="ml", model_path=path)
     assert scored.where(F.col("xpts") < 0).count() == 0 and scored.where(F.col("xpts_app") != 0).count() == 0
 
 
 def test_missing_model_is_a_clear_error(spark, tmp_path):
-    import pytest
-
     with pytest.raises(FileNotFoundError):
         learn.load_model(spark, str(tmp_path / "nope"))

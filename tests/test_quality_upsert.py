@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from leagueflow.operators import quality
@@ -49,21 +50,81 @@ def test_upsert_replaces_and_keeps(spark):
     assert out == [(1, "a"), (2, "y"), (3, "z")]
 
 
+TEAM = "id bigint, name string, short_name string, strength int"
+
+
 def test_store_upsert_is_idempotent(spark, tmp_path):
     store = tables.TableStore(spark, str(tmp_path / "silver"))
-    rows = spark.createDataFrame([(1, "A", "AAA", 4)], "id bigint, name string, short_name string, strength int")
-    assert store.upsert("teams", rows, as_of="2024-01-01 00:00:00") == 1
-    store.upsert("teams", rows, as_of="2024-01-01 00:00:00")
+    rows = spark.createDataFrame([(1, "A", "AAA", 4)], TEAM)
+    for _ in range(2):
+        assert store.upsert("teams", rows, ["id"], as_of="2024-01-01 00:00:00") == 1
     got = store.read("teams").collect()
     assert len(got) == 1 and got[0].name == "A"
-    assert store.upsert("teams", rows.limit(0)) == 0
+    assert store.upsert("teams", rows.limit(0), ["id"]) == 0
 
 
-def test_fk_guard_rejects_orphans(spark, tmp_path):
-    import pytest
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_the_last_row_of_a_batch_wins_in_any_layout(spark, tmp_path, partitions):
+    store = tables.TableStore(spark, str(tmp_path / "silver"))
+    rows = [(i % 7, f"n{k}", "S", k, k) for k, i in enumerate(range(70))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        store.upsert("teams", spark.createDataFrame(rows, TEAM + ", pos int").repartition(5), ["pos"])
+        assert sorted((r.id, r.strength) for r in store.read("teams").collect()) == [(i, 63 + i) for i in range(7)]
+        # equal order values: the row itself decides, not the layout
+        ties = [(1, "b", "S", 1, 0), (1, "a", "S", 9, 0)]
+        store.upsert("teams", spark.createDataFrame(ties, TEAM + ", pos int").repartition(2), ["pos"])
+        assert store.read("teams").where("id = 1").first().name == "b"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_an_upsert_writes_its_own_buckets_only_and_compaction_changes_no_row(spark, tmp_path):
+    store = tables.TableStore(spark, str(tmp_path / "silver"))
+    store.upsert("teams", spark.createDataFrame([(i, f"t{i}", "S", 1) for i in range(200)], TEAM), ["id"])
+    whole = {b: len(p) for b, p in store._bucket_folders("teams").items()}
+    assert len(whole) == store.buckets
+    for k in range(3):
+        store.upsert("teams", spark.createDataFrame([(5, f"new{k}", "S", k)], TEAM), ["id"])
+    after = {b: p for b, p in store._bucket_folders("teams").items()}
+    touched = [b for b in after if len(after[b]) != whole[b]]
+    assert len(touched) == 1 and len(after[touched[0]]) == 4
+    rows = sorted(map(tuple, store.read("teams").collect()))
+    assert (5, "new2", "S", 2, None) in rows and len(rows) == 200
+    assert store.compact("teams", most_deltas=3) == touched
+    assert len(store._bucket_folders("teams")[touched[0]]) == 1
+    assert sorted(map(tuple, store.read("teams").collect())) == rows
+    store.upsert("teams", spark.createDataFrame([(5, "newest", "S", 9)], TEAM), ["id"])
+    assert store.read("teams").where("id = 5").first().name == "newest"
+
+
+def test_init_leaves_the_log_alone(spark, tmp_path):
+    store = tables.TableStore(spark, str(tmp_path / "silver"))
+    log = spark.createDataFrame([("element-summary:1",), ("element-summary:2",)], "request_key string")
+    store.append("meta_ingestions", log, part="a")
+    store.init()
+    store.append("meta_ingestions", log, part="b")
+    store.append("meta_ingestions", log, part="b")
+    store.init()
+    assert store.read("meta_ingestions").count() == 4
 
+
+def test_unfinished_folders_do_not_count(spark, tmp_path):
+    store = tables.TableStore(spark, str(tmp_path / "silver"))
+    store.upsert("teams", spark.createDataFrame([(1, "A", "AAA", 4)], TEAM), ["id"])
+    broken = tmp_path / "silver" / "teams" / "delta=0000000009-00000000" / "_bucket=0"
+    broken.mkdir(parents=True)
+    (broken / "part.parquet").write_bytes(b"cut off")
+    assert store.read("teams").count() == 1
+
+
+def test_fk_guard_rejects_orphans(spark, tmp_path):
     store = tables.TableStore(spark, str(tmp_path / "silver"))
-    store.upsert("teams", spark.createDataFrame([(1, "A", "AAA", 4)], "id bigint, name string, short_name string, strength int"))
-    bad = spark.createDataFrame([(10, 2)], "id bigint, team_id bigint")
+    store.upsert("teams", spark.createDataFrame([(1, "A", "AAA", 4)], TEAM), ["id"])
+    bad = spark.createDataFrame([(10, 2), (11, 1)], "id bigint, team_id bigint")
     with pytest.raises(tables.IntegrityError):
-        store.upsert("players", bad, check_fk=True)
+        store.upsert("players", bad, ["id"])
+    assert store.read("players").count() == 0
+    assert store.upsert("players", bad, ["id"], orphans="quarantine") == 2
+    assert [r.id for r in store.read("players").collect()] == [11]
