@@ -65,8 +65,9 @@ def safe_ts_utc(c: Column | str) -> Column:
     zone: a zone is only looked for after a time, so the day of a date is none.
     """
     s = F.trim(_col(c).cast("string"))
-    # the parser wants the minutes of an offset and a colon before them
-    whole = F.regexp_replace(s, r"([T ][0-9:.,]+)\s*([+-][0-9]{2})$", "$1$2:00")
+    # the parser wants seconds before a zone, the minutes of an offset, and a colon before them
+    timed = F.regexp_replace(s, r"([T ][0-9]{1,2}:[0-9]{2})\s*(Z|z|[+-])", "$1:00$2")
+    whole = F.regexp_replace(timed, r"([T ][0-9:.,]+)\s*([+-][0-9]{2})$", "$1$2:00")
     instant = F.try_to_timestamp(F.regexp_replace(whole, r"([T ][0-9:.,]+)\s*([+-][0-9]{2})([0-9]{2})$", "$1$2:$3"))
     as_utc_ntz = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(instant).cast("decimal(38,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
