@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leagueflow.llm.common import repeat_rows, table, text_or_empty
+from leagueflow.llm.common import checkpointed, repeat_rows, table, text_or_empty
 
 #: Characters of the text that the second key reads.
 PREFIX_CHARS = 256
@@ -36,18 +36,15 @@ def duplicate_groups(keyed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Groups of two or more equal texts: the keys, ``keep_id`` and ``group_size``.
 
     ``keyed`` has the id, the three keys and ``n`` (how often the row occurs).
-    Each step is a partial aggregate and a semi join, so a hot group is summed
-    before its shuffle and a hot key on the row side can be split.
+    The refinement works on counts per key, not on rows: a length (then a
+    prefix) that several rows share survives to the next, finer key. So a hot
+    key is one row with a count, summed before its shuffle, in every step.
     """
-    survivors = keyed
-    for keys in (["length_key"], ["length_key", "prefix_key"]):
-        shared = survivors.groupBy(*keys).agg(F.sum("n").alias("members")).filter("members > 1").select(*keys)
-        survivors = survivors.join(shared, keys, "left_semi")
-    return (
-        survivors.groupBy("length_key", "prefix_key", "text_sha256")
-        .agg(F.max(id_col).alias("keep_id"), F.sum("n").alias("group_size"))
-        .filter("group_size > 1")
-    )
+    lengths = keyed.groupBy("length_key").agg(F.sum("n").alias("members")).filter("members > 1").select("length_key")
+    prefixes = keyed.groupBy("length_key", "prefix_key").agg(F.sum("n").alias("members")).filter("members > 1")
+    prefixes = prefixes.join(lengths, "length_key", "left_semi").select("length_key", "prefix_key")
+    texts = keyed.groupBy("length_key", "prefix_key", "text_sha256").agg(F.max(id_col).alias("keep_id"), F.sum("n").alias("group_size"))
+    return texts.join(prefixes, ["length_key", "prefix_key"], "left_semi").filter("group_size > 1")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,12 +52,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     The row with the largest id of a group stays. The digest of every text is
     part of the result, so it is taken in the one scan that also makes the
-    cheaper keys; the grouping on it still sees the survivors only.
+    cheaper keys; the keys are checkpointed, and so are the groups, so that the
+    join back to the rows can split a group that a third of them belong to.
     """
     keyed = docs.select(F.col(id_col), *refinement_keys(docs, text))
     keys = ["length_key", "prefix_key", "text_sha256"]
-    rows = keyed.groupBy(id_col, *keys).agg(F.count(F.lit(1)).alias("n"))
-    groups = duplicate_groups(rows, id_col)
+    rows = checkpointed(keyed.groupBy(id_col, *keys).agg(F.count(F.lit(1)).alias("n")))
+    groups = checkpointed(duplicate_groups(rows, id_col))
     joined = rows.join(groups, keys, "left")
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
