@@ -9,7 +9,8 @@ from leagueflow.llm.common import checkpointed
 
 
 def _min_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Smallest neighbour of each node, written once: the join back on a node with very many edges can then be split."""
+    return checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,10 +28,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = checkpointed(both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = large.join(_min_neighbour(large), "u")
-        step = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = checkpointed(step.distinct())
+        # one pass gives both kinds of new edges: the neighbour and the node itself, each to the smallest
+        step = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        edges = checkpointed(step.filter("u <> v").distinct())
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state or seen[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
