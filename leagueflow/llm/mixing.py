@@ -30,8 +30,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 #: No document is taken more often than this.
 MOST_COPIES = 2
-#: Bins of the rank. A bin holds about 1 / BINS of a source's documents.
-BINS = 65536
+#: Bins of the rank: a source's running sum has so many rows at most, and its cut is sought in 1 / BINS of its documents.
+BINS = 4096
 SEED = "mix-1"
 #: Tables by source are broadcast up to so many rows (about 10 MB) and shuffled beyond.
 BROADCAST_SOURCES = 100_000
