@@ -7,7 +7,7 @@ neighbouring labels. The weights are trained by maximum likelihood (exact
 gradients by forward-backward) and pages are decoded by Viterbi.
 
 The labelled pages are layouts from a grammar plus a bounded sample of the
-table: at most ``SAMPLE_PAGES`` pages, chosen by a hash of the page id, that
+table: about ``SAMPLE_PAGES`` pages, chosen by a hash of the page id, that
 mark their article with semantic elements. Every page is extracted, whole.
 
 Defined results for odd input: null and empty pages have empty text and 0
@@ -189,14 +189,16 @@ def main_text(page: str | None, model: ChainModel) -> str:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> ChainModel:
-    """The model from the grammar's pages and a bounded sample of ``pages``."""
-    sample = (
-        pages.filter((F.length(html) > 0) & (F.length(html) <= SAMPLE_CHARS))
-        .orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(html))
-        .select(F.col(html).alias("html"))
-        .limit(SAMPLE_PAGES)
-        .collect()
-    )
+    """The model from the grammar's pages and a bounded sample of ``pages``.
+
+    The sample is drawn by a share of the hashes of the page ids, about
+    ``SAMPLE_PAGES`` of all pages; no more than that reaches the driver.
+    """
+    share = min(1.0, SAMPLE_PAGES / max(1, pages.count()))
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("pages")), F.lit(1 << 30))
+    small = (F.length(html) > 0) & (F.length(html) <= SAMPLE_CHARS)
+    sample = pages.filter((draw < int(share * (1 << 30))) & small).select(F.col(html).alias("html")).collect()
+    sample.sort(key=lambda r: r["html"])  # the same order in every run
     parsed = [blocks(r["html"]) for r in sample]
     words = sorted({w for page in parsed for b in page for w in b.text.split()[:20]})[:5000] or FALLBACK_WORDS
     weak = [(page, labels) for page in parsed if (labels := weak_labels(page))]
