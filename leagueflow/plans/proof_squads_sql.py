@@ -1,10 +1,9 @@
 """DuckDB oracles for the squad optimiser.
 
-The uncapped rule set and its swaps are checked by brute force: every
-feasible (squad, seller, buyer) builds its new squad and re-solves the eleven
-with prefix sums per formation. The capped rule set is a recursive greedy walk
-per (squad, formation) for the eleven, and per (squad, seller, formation,
-variant) for the swaps.
+Swaps are checked by brute force: every feasible (squad, seller, buyer) builds
+its new squad and re-solves the eleven, with prefix sums per formation in the
+uncapped rule set and position by position in the capped one. The capped
+eleven of a squad as it is comes from a recursive greedy walk per formation.
 """
 
 from __future__ import annotations
@@ -97,9 +96,9 @@ FROM ranked r LEFT JOIN squad_players io ON io.id = r.o_id LEFT JOIN squad_playe
 WHERE r.rank <= {top_n}"""
 
 
-def _walk(src: str, keys: str, quota_sql: list[str], track: str | None, name: str = "walk") -> str:
-    """Recursive greedy (cap 3 per team) over ``src`` rows (keys..., idx, role, team, score, slot)
-    in idx order; returns the final state per key group."""
+def _walk(src: str, keys: str, quota_sql: list[str], name: str = "walk") -> str:
+    """Recursive greedy (cap 3 per team) over ``src`` rows (keys..., idx, player_id, role, team, score)
+    in idx order; returns the state per key group and step."""
     k_list = [k.strip() for k in keys.split(",")]
     on = " AND ".join(f"s.{k} = w.{k}" for k in k_list)
     wk = ", ".join(f"w.{k}" for k in k_list)
@@ -107,10 +106,8 @@ def _walk(src: str, keys: str, quota_sql: list[str], track: str | None, name: st
     cnt = "CASE s.role WHEN 1 THEN w.c1 WHEN 2 THEN w.c2 WHEN 3 THEN w.c3 WHEN 4 THEN w.c4 END"
     quo = f"CASE s.role WHEN 1 THEN {q[0]} WHEN 2 THEN {q[1]} WHEN 3 THEN {q[2]} WHEN 4 THEN {q[3]} END"
     take = f"({cnt} < {quo} AND len(list_filter(w.teams, lambda t: t = s.team)) < 3)"
-    hit = f"({take} AND s.role = {track} AND {cnt} + 1 = {quo})" if track else "FALSE"
     return f"""
-  SELECT {keys}, 0 AS idx, CAST([] AS BIGINT[]) AS teams, 0 AS c1, 0 AS c2, 0 AS c3, 0 AS c4, CAST(0 AS BIGINT) AS tot,
-         CAST(NULL AS BIGINT) AS ks, CAST(NULL AS BIGINT) AS kslot, CAST([] AS BIGINT[]) AS ids
+  SELECT {keys}, 0 AS idx, CAST([] AS BIGINT[]) AS teams, 0 AS c1, 0 AS c2, 0 AS c3, 0 AS c4, CAST(0 AS BIGINT) AS tot, CAST([] AS BIGINT[]) AS ids
   FROM (SELECT DISTINCT {keys} FROM {src}) AS g
   UNION ALL
   SELECT {wk}, s.idx,
@@ -120,8 +117,6 @@ def _walk(src: str, keys: str, quota_sql: list[str], track: str | None, name: st
          w.c3 + CASE WHEN {take} AND s.role = 3 THEN 1 ELSE 0 END,
          w.c4 + CASE WHEN {take} AND s.role = 4 THEN 1 ELSE 0 END,
          w.tot + CASE WHEN {take} THEN s.score ELSE 0 END,
-         CASE WHEN {hit} THEN s.score ELSE w.ks END,
-         CASE WHEN {hit} THEN s.slot ELSE w.kslot END,
          CASE WHEN {take} THEN list_append(w.ids, s.player_id) ELSE w.ids END
   FROM {name} w JOIN {src} s ON {on} AND s.idx = w.idx + 1"""
 
@@ -135,7 +130,7 @@ forms AS ({forms}),
 seq AS (SELECT fo.f, fo.q1, fo.q2, fo.q3, fo.q4, m.squad_id, m.player_id, m.role, m.team, m.score, m.slot,
                row_number() OVER (PARTITION BY fo.f, m.squad_id ORDER BY m.role, m.score DESC, m.slot) AS idx
         FROM members m CROSS JOIN forms fo WHERE m.role IN (1, 2, 3, 4)),
-walk AS ({_walk('seq', 'f, squad_id', ['s.q1', 's.q2', 's.q3', 's.q4'], None)}),
+walk AS ({_walk('seq', 'f, squad_id', ['s.q1', 's.q2', 's.q3', 's.q4'])}),
 fin AS (SELECT w.* FROM walk w JOIN (SELECT f, squad_id, max(idx) AS mx FROM walk GROUP BY f, squad_id) AS l
         ON l.f = w.f AND l.squad_id = w.squad_id AND l.mx = w.idx),
 ok AS (SELECT fin.squad_id, max(fin.tot) AS best FROM fin JOIN forms fo ON fo.f = fin.f
@@ -145,53 +140,53 @@ FROM req LEFT JOIN ok ON ok.squad_id = req.squad_id"""
 
 
 def swaps_cli_sql(top_n: int = 10) -> str:
-    """Capped swaps: per (squad, seller, formation) recursive greedy walks A (one slot
-    fewer in the seller's position) and B (full quota, remembering its last pick
-    there); a buyer sorting before that pick scores A + x, otherwise B."""
-    forms = " UNION ALL ".join(
-        f"SELECT {i} AS f, {g} AS q1, {d} AS q2, {m} AS q3, {w} AS q4" for i, (g, d, m, w) in enumerate(CLI_FORMATIONS)
-    )
-    quota = [f"(s.q{r} - CASE WHEN s.v = 0 AND s.o_role = {r} THEN 1 ELSE 0 END)" for r in ROLES]
+    """Capped swaps by brute force: every feasible (squad, seller, buyer) re-solves the eleven in all formations.
+
+    Position by position: a player can be picked while its team has been
+    picked fewer than three times, counting the positions before and the
+    better players of its own team in this one; of those the quota's best are.
+    """
+    forms = ", ".join(f"({i}, {d}, {m}, {w})" for i, (_, d, m, w) in enumerate(CLI_FORMATIONS))
     eleven = best_xi_capped_sql().split("\nSELECT req.squad_id, req.event_id", 1)[0]
+    p = "squad_id, o_slot, c_id"
+    best_first = "ORDER BY score DESC, slot"
     return eleven + f""",
 cur AS (SELECT req.squad_id, greatest(0, coalesce(ok.best, 0)) AS cur FROM req LEFT JOIN ok ON ok.squad_id = req.squad_id),
-seq2 AS (
-  SELECT o.squad_id, o.slot AS o_slot, o.role AS o_role, fo.f, v.v, fo.q1, fo.q2, fo.q3, fo.q4, m.player_id, m.role, m.team, m.score, m.slot,
-         row_number() OVER (PARTITION BY o.squad_id, o.slot, fo.f, v.v ORDER BY m.role, m.score DESC, m.slot) AS idx
-  FROM members o JOIN members m ON m.squad_id = o.squad_id AND m.slot <> o.slot
-  CROSS JOIN forms fo CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) AS v
-  WHERE o.role IN (1, 2, 3, 4) AND m.role IN (1, 2, 3, 4)
-),
-walk2 AS ({_walk('seq2', 'squad_id, o_slot, o_role, f, v, q1, q2, q3, q4', quota, 's.o_role', name='walk2')}),
-fin2 AS (SELECT w.* FROM walk2 w JOIN (SELECT squad_id, o_slot, f, v, max(idx) AS mx FROM walk2 GROUP BY squad_id, o_slot, f, v) AS l
-         ON l.squad_id = w.squad_id AND l.o_slot = w.o_slot AND l.f = w.f AND l.v = w.v AND l.mx = w.idx),
-ab AS (
-  SELECT a.squad_id, a.o_slot, a.f,
-         CASE WHEN a.c1 = a.q1 - CASE WHEN a.o_role = 1 THEN 1 ELSE 0 END AND a.c2 = a.q2 - CASE WHEN a.o_role = 2 THEN 1 ELSE 0 END
-               AND a.c3 = a.q3 - CASE WHEN a.o_role = 3 THEN 1 ELSE 0 END AND a.c4 = a.q4 - CASE WHEN a.o_role = 4 THEN 1 ELSE 0 END
-              THEN a.tot END AS a_tot,
-         CASE WHEN b.c1 = b.q1 AND b.c2 = b.q2 AND b.c3 = b.q3 AND b.c4 = b.q4 THEN b.tot END AS b_tot,
-         b.ks, b.kslot
-  FROM fin2 a JOIN fin2 b ON a.squad_id = b.squad_id AND a.o_slot = b.o_slot AND a.f = b.f AND a.v = 0 AND b.v = 1
-),
 counts AS (SELECT squad_id, team, count(*) AS n FROM members GROUP BY squad_id, team),
 pairs AS (
-  SELECT m.squad_id, m.slot AS o_slot, m.player_id AS o_id, c.id AS c_id, sc.x
+  SELECT m.squad_id, m.slot AS o_slot, m.player_id AS o_id, m.role AS o_role, c.id AS c_id, c.team AS c_team, sc.x
   FROM members m JOIN req ON req.squad_id = m.squad_id JOIN info c ON c.role = m.role JOIN sc ON sc.player_id = c.id
   LEFT JOIN counts k ON k.squad_id = m.squad_id AND k.team = c.team
   WHERE m.role IN (1, 2, 3, 4) AND c.cost <= m.cost + req.bank_tenths
     AND NOT EXISTS (SELECT 1 FROM members o WHERE o.squad_id = m.squad_id AND o.player_id = c.id)
     AND coalesce(k.n, 0) - CASE WHEN c.team = m.team THEN 1 ELSE 0 END < 3
 ),
-tots AS (
-  SELECT p.squad_id, p.o_slot, p.o_id, p.c_id,
-         max(CASE WHEN t > -100 THEN t END) AS best
-  FROM (SELECT p.*, CASE WHEN ab.ks IS NULL OR p.x > ab.ks OR (p.x = ab.ks AND p.o_slot < ab.kslot)
-                         THEN ab.a_tot + p.x ELSE ab.b_tot END AS t
-        FROM pairs p JOIN ab ON ab.squad_id = p.squad_id AND ab.o_slot = p.o_slot) AS p
-  GROUP BY p.squad_id, p.o_slot, p.o_id, p.c_id
+fs(f, q2, q3, q4) AS (VALUES {forms}),
+vs AS (SELECT DISTINCT q2 FROM fs),
+newsq AS (
+  SELECT {", ".join("p." + c for c in p.split(", "))}, m.slot, m.role, m.team, m.score FROM pairs p JOIN members m ON m.squad_id = p.squad_id AND m.slot <> p.o_slot
+  UNION ALL SELECT {p}, o_slot AS slot, o_role AS role, c_team AS team, x AS score FROM pairs
 ),
-scored AS (SELECT t.*, greatest(0, coalesce(t.best, 0)) AS new, cur.cur FROM tots t JOIN cur ON cur.squad_id = t.squad_id),
+ranked_in_team AS (SELECT *, row_number() OVER (PARTITION BY {p}, role, team {best_first}) AS tr FROM newsq WHERE role IN (1, 2, 3, 4)),
+gk AS (SELECT *, row_number() OVER (PARTITION BY {p} {best_first}) AS er FROM ranked_in_team WHERE role = 1 AND tr <= 3),
+u1 AS (SELECT {p}, team, 1 AS n FROM gk WHERE er = 1),
+df AS (SELECT b.*, row_number() OVER (PARTITION BY {p} {best_first}) AS er FROM ranked_in_team b LEFT JOIN u1 USING ({p}, team)
+       WHERE role = 2 AND tr + coalesce(n, 0) <= 3),
+u2 AS (SELECT q2, {p}, team, count(*) AS n FROM (SELECT q2, {p}, team FROM df, vs WHERE er <= q2 UNION ALL SELECT q2, {p}, team FROM u1, vs) AS t GROUP BY ALL),
+md AS (SELECT q2, {p}, team, score, row_number() OVER (PARTITION BY q2, {p} {best_first}) AS er
+       FROM (SELECT * FROM ranked_in_team, vs WHERE role = 3) AS b LEFT JOIN u2 USING (q2, {p}, team) WHERE tr + coalesce(n, 0) <= 3),
+u3 AS (SELECT f, {p}, team, count(*) AS n FROM (
+         SELECT f, {p}, team FROM md JOIN fs USING (q2) WHERE er <= q3 UNION ALL SELECT f, {p}, team FROM df, fs WHERE er <= q2
+         UNION ALL SELECT f, {p}, team FROM u1, fs) AS t GROUP BY ALL),
+fw AS (SELECT f, {p}, score, row_number() OVER (PARTITION BY f, {p} {best_first}) AS er
+       FROM (SELECT * FROM ranked_in_team, fs WHERE role = 4) AS b LEFT JOIN u3 USING (f, {p}, team) WHERE tr + coalesce(n, 0) <= 3),
+eleven AS (SELECT f, {p}, sum(score) AS tot FROM (
+             SELECT f, {p}, score FROM gk, fs WHERE er = 1 UNION ALL SELECT f, {p}, score FROM df, fs WHERE er <= q2
+             UNION ALL SELECT f, {p}, score FROM md JOIN fs USING (q2) WHERE er <= q3 UNION ALL SELECT f, {p}, score FROM fw JOIN fs USING (f) WHERE er <= q4
+           ) AS t GROUP BY f, {p} HAVING count(*) = 11),
+solved AS (SELECT {p}, max(tot) AS best FROM eleven WHERE tot > -100 GROUP BY {p}),
+scored AS (SELECT p.*, CAST(greatest(0, coalesce(s.best, 0)) AS BIGINT) AS new, cur.cur
+           FROM pairs p JOIN cur ON cur.squad_id = p.squad_id LEFT JOIN solved s ON s.squad_id = p.squad_id AND s.o_slot = p.o_slot AND s.c_id = p.c_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY squad_id ORDER BY new - cur DESC, o_slot, c_id) AS rank FROM scored)
 SELECT r.squad_id, (SELECT event_id FROM nxt) AS event_id, CAST(r.rank AS INT) AS rank, r.o_id AS sell_id, r.c_id AS buy_id,
        coalesce(io.web_name, '') AS sell_name, coalesce(ii.web_name, '') AS buy_name,
