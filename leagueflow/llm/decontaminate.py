@@ -13,9 +13,9 @@ tasks and keeps windows that no item has out of the join; it saves work and
 decides nothing.
 
 Defined results for odd input: null and empty texts have no windows; an item
-of fewer words than a window is one window of its own length; windows with too
-few plain words are no evidence, so an item without others never matches;
-repeated rows give their pairs once; empty tables give no rows.
+of fewer words than a window is one window of its own length; windows of
+numbers are no evidence, so an item without others never matches; repeated rows
+give their pairs once; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from leagueflow.llm.tokens import slices, words
 
 #: Words in a window.
 WINDOW = 6
-#: Words of a window that must not be placeholders.
+#: Words of a window that must not be placeholders, so that it counts as a template.
 LEAST_PLAIN = 4
 #: Words of an item, in all, that its matched windows must reach (or the whole item, if it is shorter).
 LEAST_WORDS = 13
@@ -95,23 +95,35 @@ class Templates:
         after_number = np.zeros(len(number), bool)
         after_number[1:] = number[:-1] & (self.row[1:] == self.row[:-1])
         self.kind = np.where(number, NUM, np.where(unit & after_number, UNIT, np.where(name & ~start, NAME, PLAIN)))
-        self.code = np.where(self.kind == PLAIN, literal[self.numbers], PLACEHOLDERS[self.kind]) if len(forms) else np.zeros(0, np.uint64)
+        self.literal = literal[self.numbers] if len(forms) else np.zeros(0, np.uint64)
+        self.code = np.where(self.kind == PLAIN, self.literal, PLACEHOLDERS[self.kind])
         self.sizes = np.bincount(self.row, minlength=len(sizes))
         self.begins = np.cumsum(self.sizes) - self.sizes
 
     def windows(self, size: int, least_plain: int = LEAST_PLAIN) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each window that is evidence, and the place of its first word."""
+        """Hash of each window that is evidence, and the place of its first word.
+
+        A window with enough plain words counts as a template. One with many
+        placeholders says little as a template and counts word for word, if
+        enough of its words are no numbers.
+        """
         n = len(self.code) - size + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = np.full(n, size, np.uint64)
+
+        def enough(which: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(which)])
+            return total[size:] - total[:n] >= least_plain
+
+        as_template = enough(self.kind == PLAIN)
+        h, exact = np.full(n, size, np.uint64), np.full(n, size + 100, np.uint64)
         for k in range(size):
             h = h * _MULTIPLIER + self.code[k : k + n]
+            exact = exact * _MULTIPLIER + self.literal[k : k + n]
+        h = np.where(as_template, h, exact)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        plain = np.concatenate([[0], np.cumsum(self.kind == PLAIN)])
-        use = (self.row[:n] == self.row[size - 1 :]) & (plain[size:] - plain[: n] >= least_plain)
-        at = np.flatnonzero(use)
+        at = np.flatnonzero((self.row[:n] == self.row[size - 1 :]) & (as_template | enough(self.kind != NUM)))
         return h[at], at
 
     def slots(self, at: int, size: int) -> list[str]:
@@ -206,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``of`` (windows of the item), ``verbatim`` (no slot has another value).
     """
     items = item_windows(benchmark, item_col, item_text, window)
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` numbers
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
     totals = items.groupBy("item").agg(F.count_distinct("pos").alias("of"), F.first("size").alias("size"))
     found = document_windows(docs, sizes, _bit_map(items), id_col, text)
     known = items.select("item", F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))

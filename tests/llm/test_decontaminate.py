@@ -24,8 +24,11 @@ def plain_template(text, first_is_name=False):
 def plain_windows(t, n):
     for p in range(len(t) - n + 1):
         w = t[p : p + n]
+        slots = tuple(v for k, v in w if k != D.PLAIN)
         if sum(k == D.PLAIN for k, _ in w) >= D.LEAST_PLAIN:
-            yield p, tuple((k, v if k == D.PLAIN else "") for k, v in w), tuple(v for k, v in w if k != D.PLAIN)
+            yield p, tuple((k, v if k == D.PLAIN else "") for k, v in w), slots
+        elif sum(k != D.NUM for k, _ in w) >= D.LEAST_PLAIN:
+            yield p, tuple(v for _, v in w), slots
 
 
 def plain_pairs(docs, items):
@@ -82,6 +85,15 @@ def test_other_numbers_and_names_are_caught_if_consistent(spark, frame):
     assert verbatim[1, 7] and not verbatim[2, 7]
 
 
+def test_passages_full_of_names_are_caught_word_for_word(spark, frame):
+    names = "the Old King Henry met Queen Anne Stuart and Prince Rupert Palatine near Castle Windsor Great Park"
+    docs = [(1, f"so {names} yes"), (2, f"so {names.replace('Henry', 'Louis').replace('Anne', 'Mary').replace('Rupert', 'Eugene').replace('Windsor', 'Balmoral')} yes"), (3, "1 2 3 4 5 6 7 8")]
+    items = [(1, names), (2, "1 2 3 4 5 6 7 8")]
+    got, _ = run(frame, docs, items, spark)
+    assert got == plain_pairs(docs, items)
+    assert {p[:2] for p in got} == {(1, 1)}
+
+
 def test_odd_rows(spark, frame):
     docs = [(1, None), (2, ""), (3, "..."), (None, ITEM), (4, ITEM), (4, ITEM), (5, "tiny plain word item"), (6, "w " * 50000 + ITEM)]
     items = [(1, ITEM), (2, None), (3, ""), (4, "tiny plain word item"), (5, "1 2 3 4 5 6 7 8"), (6, ITEM)]
