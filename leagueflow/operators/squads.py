@@ -14,9 +14,12 @@ Set-based plan (no per-swap re-solve, no Python):
 1. members: squads ⋈ player info ⋈ scores of the requested period (≤ 15 rows
    per squad, a bounded group by the game's rules), gathered into one array
    per squad in greedy order.
-2. per (squad, seller, formation) two greedy folds (``aggregate``) over the 14
-   others: **A** with one slot fewer in the seller's position, **B** with the
-   full quota, remembering B's last pick in that position (``kth``). A buyer
+2. per (squad, seller, formation) two greedy elevens of the 14 others: **A**
+   with one slot fewer in the seller's position, **B** with the full quota,
+   remembering B's last pick in that position (``kth``). Where the team cap
+   cannot bind they are sums of the best of each role, read off prefix sums;
+   only for squads with more members of a team than the cap allows they are
+   folds (``aggregate``). A buyer
    that sorts before ``kth`` takes the seller's slot: total = A + x; otherwise
    total = B. This holds with the team cap too, because the swap rule only
    admits a buyer whose team has room, so the buyer never blocks or is blocked.
@@ -106,14 +109,14 @@ def _requested(requests: DataFrame) -> Column:
     return requests.agg(F.array_sort(F.collect_set("event_id"))).scalar()
 
 
-def _scores(scores: DataFrame, requests: DataFrame, name: str) -> DataFrame:
+def requested_scores(scores: DataFrame, requests: DataFrame) -> DataFrame:
     """Scores of the requested periods in hundredths; the filter reaches below an aggregate that makes the scores."""
     sc = scores.where(F.array_contains(_requested(requests), F.col("event_id")))
-    return sc.select(F.col("player_id").alias("_sp"), F.col("event_id").alias("_se"), to_cents(F.col("xpts")).alias(name))
+    return sc.select(F.col("player_id").alias("_sp"), F.col("event_id").alias("_se"), to_cents(F.col("xpts")).alias("x"))
 
 
-def squad_members(squads: DataFrame, players: DataFrame, scores: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
-    """Known squad members with role, team, cost and score (0 when missing).
+def squad_members(squads: DataFrame, players: DataFrame, sc: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
+    """Known squad members with role, team, cost and score (0 when missing); ``sc``: :func:`requested_scores`.
 
     Every join is keyed: squads ⋈ requests on squad, ⋈ info on player,
     ⋈ scores on (player, period).
@@ -121,16 +124,14 @@ def squad_members(squads: DataFrame, players: DataFrame, scores: DataFrame, requ
     info = player_info(players, preset)
     m = squads.select("squad_id", "slot", "player_id").join(requests.select("squad_id", "event_id"), "squad_id")
     m = m.join(info, "player_id", "inner")
-    sc = _scores(scores, requests, "score")
-    m = m.join(sc, (m["player_id"] == sc["_sp"]) & (m["event_id"] == sc["_se"]), "left").drop("_sp", "_se")
-    return m.withColumn("score", F.coalesce(F.col("score"), F.lit(0).cast("bigint")))
+    m = m.join(sc, (m["player_id"] == sc["_sp"]) & (m["event_id"] == sc["_se"]), "left")
+    return m.withColumn("score", F.coalesce(F.col("x"), F.lit(0).cast("bigint"))).drop("_sp", "_se", "x")
 
 
-def candidates(players: DataFrame, scores: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
+def candidates(players: DataFrame, sc: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
     """Buyers per requested period: (c_id, c_role, c_team, c_cost, c_event, x)."""
     info = player_info(players, preset)
     c = info.withColumn("c_event", F.explode(_requested(requests)))
-    sc = _scores(scores, requests, "x")
     how = "inner" if preset.require_score else "left"
     c = c.join(sc, (c["player_id"] == sc["_sp"]) & (c["c_event"] == sc["_se"]), how).drop("_sp", "_se")
     return c.select(
@@ -197,13 +198,43 @@ def greedy(order: Column, quotas: list[Column], ps_cap: int | None, require_gk:
     return F.aggregate(order, F.struct(*[v.alias(k) for k, v in fields.items()]), pick, finish)
 
 
+def _of_role(order: Column, r: int) -> Column:
+    return F.filter(order, lambda m: m["role"] == r)
+
+
+def prefix_sums(order: Column, r: int) -> Column:
+    """Sums of the best 0, 1, ... scores of a role, as many as it has members."""
+    return F.aggregate(_of_role(order, r), F.array(F.lit(0).cast("bigint")), lambda acc, m: F.array_append(acc, F.element_at(acc, -1) + m["score"]))
+
+
+def free_eleven(sums: list[Column], quotas: list[Column], require_gk: bool) -> tuple[Column, Column]:
+    """(every quota met, total) of an eleven in which no team cap binds: the best of each role, from the prefix sums."""
+    met, total = F.lit(True), F.lit(0).cast("bigint")
+    for r, p, q in zip(ROLES, sums, quotas):
+        if r != 1 or require_gk:
+            met = met & (F.size(p) > q)
+        total = total + F.element_at(p, F.least(F.size(p), q + 1))
+    return met, total
+
+
+def _cap_binds(known: Column, cap: int | None) -> Column:
+    """Some team has more members in the squad than the eleven may hold: only then is the eleven a sequential choice."""
+    if cap is None:
+        return F.lit(False)
+    teams = F.transform(known, lambda m: m["team"])
+    return F.exists(F.array_distinct(teams), lambda t: F.size(F.filter(teams, lambda x: x.eqNullSafe(t))) > cap)
+
+
 def _squad_arrays(members: DataFrame) -> DataFrame:
     """One row per squad: ``known`` (all known members) and ``order`` (positions 1 to 4 in greedy order).
 
-    Both arrays hold the members of one squad, at most a squad's size.
+    Both arrays hold the members of one squad, at most a squad's size. The folds
+    over them cost far more than their bytes show, so the squads keep the
+    session's number of shuffle partitions instead of being merged by size.
     """
     e = F.struct("role", (-F.col("score")).alias("neg"), "slot", "score", "team", "player_id", "cost")
     g = members.groupBy("squad_id", "event_id").agg(F.array_sort(F.collect_list(e)).alias("known"))
+    g = g.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "squad_id")
     return g.withColumn("order", F.filter("known", lambda m: m["role"].isin(*ROLES)))
 
 
@@ -211,21 +242,37 @@ def _numbered(i: int):
     return lambda g: F.struct(g["ok"].alias("ok"), g["total"].alias("total"), F.lit(-i).alias("first"), g["ids"].alias("ids"))
 
 
-def _eleven(order: Column, ps: Preset) -> Column:
-    """Struct of ``total`` and ``ids`` of the best eleven; ties go to the first formation."""
-    tried = []
-    for i, f in enumerate(ps.formations):
-        g = greedy(order, [F.lit(q) for q in f], ps.cap, ps.require_gk, with_ids=True)
-        tried.append(F.transform(F.array(g), _numbered(i)))
-    valid = F.filter(F.concat(*tried), lambda t: t["ok"] & (t["total"] > _NONE))
+def _best_of(tried: Column, ps: Preset, fallback: Column) -> Column:
+    """Struct of ``total`` and ``ids`` from tried elevens (``ok``, ``total``, ``first``, ``ids``); ties go to the first formation."""
+    valid = F.filter(tried, lambda t: t["ok"] & (t["total"] > _NONE))
     best = F.array_max(F.transform(valid, lambda t: F.struct(t["total"], t["first"], t["ids"])))
+    total = F.greatest(best["total"], F.lit(0).cast("bigint")) if ps.floor_zero else best["total"]
+    return F.when(best.isNull(), fallback).otherwise(F.struct(total.alias("total"), best["ids"].alias("ids")))
+
+
+def _with_eleven(arrays: DataFrame, ps: Preset) -> DataFrame:
+    """Adds ``best``: total and ids of the best eleven of each squad."""
+    order = F.col("order")
+    arrays = arrays.withColumn("_binds", _cap_binds(F.col("known"), ps.cap)).withColumns({f"_p{r}": prefix_sums(order, r) for r in ROLES})
+    sums = [F.col(f"_p{r}") for r in ROLES]
+
+    def ids(f) -> Column:
+        return F.concat(*[F.slice(F.transform(_of_role(order, r), lambda m: m["player_id"]), 1, q) for r, q in zip(ROLES, f)])
+
+    free, walked = [], []
+    for i, f in enumerate(ps.formations):
+        ok, total = free_eleven(sums, [F.lit(q) for q in f], ps.require_gk)
+        free.append(F.struct(ok.alias("ok"), total.alias("total"), F.lit(-i).alias("first"), ids(f).alias("ids")))
+        if ps.cap is not None:
+            walked.append(F.transform(F.array(greedy(order, [F.lit(q) for q in f], ps.cap, ps.require_gk, with_ids=True)), _numbered(i)))
     if ps.floor_zero:
-        nothing = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("ids"))
-        return F.when(best.isNull(), nothing).otherwise(F.struct(F.greatest(best["total"], F.lit(0).cast("bigint")).alias("total"), best["ids"].alias("ids")))
-    fallback = greedy(order, [F.lit(q) for q in ps.fallback], None, False, with_ids=True)
-    return F.when(best.isNull(), F.struct(fallback["total"].alias("total"), fallback["ids"].alias("ids"))).otherwise(
-        F.struct(best["total"].alias("total"), best["ids"].alias("ids"))
-    )
+        fallback = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("ids"))
+    else:
+        fallback = F.struct(free_eleven(sums, [F.lit(q) for q in ps.fallback], False)[1].alias("total"), ids(ps.fallback).alias("ids"))
+    tried = F.array(*free)
+    if walked:
+        tried = F.when(F.col("_binds"), F.concat(*walked)).otherwise(tried)
+    return arrays.withColumn("_tried", tried).withColumn("best", _best_of(F.col("_tried"), ps, fallback)).drop("_tried", *[f"_p{r}" for r in ROLES])
 
 
 def best_eleven(
@@ -233,7 +280,8 @@ def best_eleven(
 ) -> DataFrame:
     """Best eleven per squad: ``squad_id, event_id, team_xpts, xi`` (ids in pick order)."""
     ps = PRESETS[preset]
-    out = _squad_arrays(squad_members(squads, players, scores, requests, ps)).select("squad_id", _eleven(F.col("order"), ps).alias("best"))
+    members = squad_members(squads, players, requested_scores(scores, requests), requests, ps)
+    out = _with_eleven(_squad_arrays(members), ps).select("squad_id", "best")
     # Squads without any known member still get a row (total 0, empty eleven).
     req = requests.select("squad_id", "event_id")
     return req.join(out, "squad_id", "left").select(
@@ -248,7 +296,7 @@ def best_eleven(
 def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset, cli: bool) -> DataFrame:
     """One row per (squad, seller) with the squad facts the buyer predicates need (owned ids, full teams,
     bank, period), the squad's current total and, per formation, A/B totals and B's kth pick."""
-    arrays = _squad_arrays(members).withColumn("cur", _eleven(F.col("order"), ps)["total"])
+    arrays = _with_eleven(_squad_arrays(members), ps).withColumn("cur", F.col("best.total")).drop("best")
     teams = F.array_compact(F.transform("known", lambda m: m["team"]))
     s = (
         arrays.join(requests.select("squad_id", "bank_tenths"), "squad_id")
@@ -265,29 +313,44 @@ def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset, cli: bool)
     else:
         blocked = F.filter(F.array_distinct("_teams"), lambda t: held(t) - own(t).cast("int") >= MAX_PER_TEAM)
     s = s.withColumn("blocked", blocked).withColumn("_others", F.filter("order", lambda m: m["slot"] != F.col("o.slot")))
-    passes, plays = [], F.col("o.role").isin(*ROLES)
+    s = s.withColumns({f"_p{r}": prefix_sums(F.col("_others"), r) for r in ROLES})
+    s = s.withColumn("_mine", F.filter("_others", lambda m: m["role"] == F.col("o.role")))
+    sums = [F.col(f"_p{r}") for r in ROLES]
+    plays = F.col("o.role").isin(*ROLES)
     formations = list(ps.formations) + ([ps.fallback] if ps.fallback else [])
+    passes = {}
     for i, f in enumerate(formations):
         is_fallback = ps.fallback is not None and i == len(formations) - 1
-        cap, need_gk = (None if is_fallback else ps.cap), ps.require_gk
         full = [F.lit(q) for q in f]
         fewer = [F.lit(q) - (F.col("o.role") == r).cast("int") for r, q in zip(ROLES, f)]
-        a = greedy(F.col("_others"), fewer, cap, need_gk)
-        b = greedy(F.col("_others"), full, cap, need_gk, track=F.col("o.role"))
-        s = s.withColumn("_a", F.when(plays, a)).withColumn("_b", F.when(plays, b))
-        valid = (lambda g: F.lit(True)) if is_fallback else (lambda g: g["ok"])
+        ok_a, tot_a = free_eleven(sums, fewer, ps.require_gk)
+        ok_b, tot_b = free_eleven(sums, full, ps.require_gk)
+        kth = F.get("_mine", _by_role(F.col("o.role"), full) - 1)  # B's last pick in the seller's position, if there are so many
+        free = F.struct(
+            F.when(ok_a | F.lit(is_fallback), tot_a).alias("a"), F.when(ok_b | F.lit(is_fallback), tot_b).alias("b"),
+            kth["score"].alias("ks"), kth["slot"].cast("bigint").alias("kslot"),
+        )
+        if ps.cap is None or is_fallback:
+            passes[f"_f{i}"] = F.when(plays, free)
+        else:
+            walk = F.transform(
+                F.array(F.struct(greedy(F.col("_others"), fewer, ps.cap, ps.require_gk).alias("a"),
+                                 greedy(F.col("_others"), full, ps.cap, ps.require_gk, track=F.col("o.role")).alias("b"))),
+                lambda w: F.struct(F.when(w["a"]["ok"], w["a"]["total"]).alias("a"), F.when(w["b"]["ok"], w["b"]["total"]).alias("b"),
+                                   w["b"]["ks"].alias("ks"), w["b"]["kslot"].alias("kslot")),
+            )[0]
+            passes[f"_f{i}"] = F.when(plays & F.col("_binds"), walk).when(plays, free)
+    s = s.withColumns(passes)
+    out = []
+    for i in range(len(formations)):
+        f = F.col(f"_f{i}")
         # the buyer (taking this seller's slot) sorts before B's kth pick iff x >= t
-        t = F.coalesce(F.col("_b.ks") + F.when(F.col("o.slot") < F.col("_b.kslot"), 0).otherwise(1), F.lit(_NO_KTH))
-        s = s.withColumns({
-            f"a{i}": F.when(valid(F.col("_a")), F.col("_a.total")),
-            f"b{i}": F.when(valid(F.col("_b")), F.col("_b.total")),
-            f"t{i}": F.when(plays, t),
-        }).drop("_a", "_b")
-        passes += [f"a{i}", f"b{i}", f"t{i}"]
+        t = F.coalesce(f["ks"] + F.when(F.col("o.slot") < f["kslot"], 0).otherwise(1), F.lit(_NO_KTH))
+        out += [f["a"].alias(f"a{i}"), f["b"].alias(f"b{i}"), F.when(plays, t).alias(f"t{i}")]
     return s.select(
         "squad_id", "event_id", "bank_tenths", F.col("o.slot").alias("o_slot"), F.col("o.player_id").alias("o_id"),
         F.col("o.role").alias("o_role"), F.col("o.cost").alias("o_cost"),
-        (F.col("o.cost") + F.col("bank_tenths")).alias("price_limit"), "owned", "blocked", "cur", *passes,
+        (F.col("o.cost") + F.col("bank_tenths")).alias("price_limit"), "owned", "blocked", "cur", *out,
     )
 
 
@@ -370,15 +433,17 @@ def swap_suggestions(
     in_player_id, out_cost, in_cost, team_xpts_delta, new_team_xpts,
     current_team_xpts (hundredths converted back to two-decimal doubles).
 
-    Seller rows (≤ 15 per squad) and the short lists are checkpointed in the
-    shared folder: both are read more than once.
+    The scores of the requested periods, the buyers, the seller rows (≤ 15 per
+    squad) and the short lists are checkpointed in the shared folder: each is
+    read more than once.
     """
     ps = PRESETS[preset]
-    members = squad_members(squads, players, scores, requests, ps)
+    sc = cut_lineage(requested_scores(scores, requests))
+    members = squad_members(squads, players, sc, requests, ps)
     n_forms = len(ps.formations)
     sellers = cut_lineage(_seller_rows(members, requests, ps, cli=(preset == "cli")).withColumn("_rises", _rises(ps, n_forms)))
     size = sellers.agg(F.coalesce(F.max(F.size("owned")), F.lit(0))).first()[0]
-    cands = candidates(players, scores, requests, ps)
+    cands = cut_lineage(candidates(players, sc, requests, ps))
     rising, other = sellers.where(F.col("_rises")), sellers.where(~F.col("_rises"))
     lists = cut_lineage(short_lists(cands, rising, top_n, size)).withColumnRenamed("price_limit", "_limit")
     on = [("event_id", "c_event"), ("o_role", "c_role"), ("price_limit", "_limit")]
