@@ -15,7 +15,7 @@ from leagueflow.plans.proof import (
     squad_inputs,
 )
 from leagueflow.plans.proof_ingest import FUTURE_SQL, HISTORY_BODY, HISTORY_SQL, pick_docs
-from leagueflow.plans.proof_squads_sql import suggestion_docs_sql, suggestion_requests_sql
+from leagueflow.plans.proof_squads_sql import answers_sql, suggestion_docs_sql, suggestion_requests_sql
 from leagueflow.plans.roles import AS_OF, role, role_cte
 from leagueflow.session import ensure_checkpoint_dir
 from leagueflow.sources import payloads
@@ -143,24 +143,47 @@ def q_ingest_stream_future(spark, sf):
     return _streamed(spark, sf).read("player_future_fixtures").drop("ingested_at_utc")
 
 
+ITEM = "array<struct<out_player_id:bigint,in_player_id:bigint,out_web_name:string,in_web_name:string,team_xpts_delta:double,new_team_xpts:double,cost_delta_million:double>>"
+DOCUMENT = f"struct<event_id:bigint,current_team_xpts:double,suggestions:{ITEM}>"
+
+
 @proof("suggestion_docs", suggestion_docs_sql(TOP_N))
 def q_suggestion_docs(spark, sf):
     i = squad_inputs(spark, sf)
     s = sq.service_suggestions(i["squads"], i["players"], i["scores"], i["requests"], TOP_N)
     docs = sq.suggestion_documents(s, sq.best_eleven(i["squads"], i["players"], i["scores"], i["requests"], "service"))
-    item = "array<struct<out_player_id:bigint,in_player_id:bigint,out_web_name:string,in_web_name:string,team_xpts_delta:double,new_team_xpts:double,cost_delta_million:double>>"
-    parsed = docs.select("squad_id", F.from_json("document", f"struct<event_id:bigint,current_team_xpts:double,suggestions:{item}>").alias("d"))
+    parsed = docs.select("squad_id", F.from_json("document", DOCUMENT).alias("d"))
     return parsed.select("squad_id", "d.event_id", "d.current_team_xpts", F.posexplode_outer("d.suggestions").alias("pos", "s")).select(
         "squad_id", "event_id", "current_team_xpts", "pos", "s.*"
     )
 
 
+def _given_bank(squads):
+    """What the caller sends: nothing, or sums whose tenths are a half."""
+    given = F.when(F.col("squad_id") % 3 == 0, F.lit(0.0)).when(F.col("squad_id") % 3 == 1, F.lit(1.25)).otherwise(F.lit(1.35))
+    return squads.select("squad_id", given.alias("bank_million"))
+
+
 @proof("suggestion_requests", suggestion_requests_sql())
 def q_suggestion_requests(spark, sf):
+    members, bank = payloads.squad_from_picks(pick_docs(spark, sf), ["squad_id"])
+    return sq.suggestion_requests(members, bank, _given_bank(bank), role(spark, sf, "squad_scores"))
+
+
+@proof("service_answers", answers_sql(TOP_N))
+def q_service_answers(spark, sf):
+    """Picks documents → request rules → suggestions → response documents, over a store."""
+    from leagueflow import jobs
+
+    r = _roles(spark, sf, "squad_players", "squad_scores")
+    store = TableStore(spark, _scratch(spark, "service"))
+    store.upsert("players", r["squad_players"], ["id"], as_of=AS_OF, orphans="ignore")
+    store.upsert("player_expected_points", r["squad_scores"], ["player_id"], as_of=AS_OF, orphans="ignore")
     docs = pick_docs(spark, sf)
-    members, bank = payloads.squad_from_picks(docs, ["squad_id"])
-    given = F.when(F.col("squad_id") % 3 == 0, F.lit(0.0)).when(F.col("squad_id") % 3 == 1, F.lit(1.25)).otherwise(F.lit(1.35))
-    return sq.suggestion_requests(members, bank, bank.select("squad_id", given.alias("bank_million")), role(spark, sf, "squad_scores"))
+    answers = jobs.answer_requests(spark, store, docs, _given_bank(docs), TOP_N)
+    parsed = answers.withColumn("d", F.from_json("document", DOCUMENT))
+    listed = parsed.select("squad_id", "status", "d.event_id", "d.current_team_xpts", F.posexplode_outer("d.suggestions").alias("pos", "s"))
+    return listed.select("squad_id", "status", "event_id", "current_team_xpts", "pos", "s.out_player_id", "s.in_player_id", "s.team_xpts_delta", "s.cost_delta_million")
 
 
 # players whose team is unknown are set aside on the way in, so they have no scores

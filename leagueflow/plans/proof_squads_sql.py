@@ -15,13 +15,17 @@ ROLES = (1, 2, 3, 4)
 K = 5  # deepest prefix any formation needs
 
 
-def _base(preset: str) -> str:
+#: Money of a squad by the request rules of the proof: the picks document's bank, or what the caller gave, to whole tenths.
+GIVEN_BANK = "CASE s.squad_id % 3 WHEN 0 THEN coalesce(b.bank_tenths, 0) WHEN 1 THEN 12 ELSE 14 END"
+
+
+def _base(preset: str, bank: str = "coalesce(b.bank_tenths, 0)") -> str:
     info_where = "now_cost IS NOT NULL" + (
         " AND element_type_id IS NOT NULL AND team_id IS NOT NULL" if preset == "cli" else ""
     )
     return role_cte("squads", "squad_players", "squad_scores", "squad_bank") + f""",
 nxt AS (SELECT min(event_id) AS event_id FROM squad_scores),
-req AS (SELECT DISTINCT s.squad_id, nxt.event_id, CAST(coalesce(b.bank_tenths, 0) AS BIGINT) AS bank_tenths
+req AS (SELECT DISTINCT s.squad_id, nxt.event_id, CAST({bank} AS BIGINT) AS bank_tenths
         FROM squads s CROSS JOIN nxt LEFT JOIN squad_bank b ON s.squad_id = b.squad_id),
 sc AS (SELECT player_id, CAST(round(xpts * 100) AS BIGINT) AS x FROM squad_scores WHERE event_id = (SELECT event_id FROM nxt)),
 info AS (SELECT id, web_name, CAST(coalesce(element_type_id, 0) AS BIGINT) AS role, team_id AS team, CAST(now_cost AS BIGINT) AS cost
@@ -63,8 +67,8 @@ SELECT req.squad_id, req.event_id, CAST(coalesce({_uncapped_total()}, 0) AS DOUB
 FROM req LEFT JOIN piv ON piv.squad_id = req.squad_id"""
 
 
-def swaps_service_sql(top_n: int = 10) -> str:
-    return _base("service") + f""",
+def swaps_service_sql(top_n: int = 10, bank: str = "coalesce(b.bank_tenths, 0)") -> str:
+    return _base("service", bank) + f""",
 cur AS (SELECT squad_id, {_uncapped_total()} AS cur FROM ({_pivot('members', 'squad_id')}) AS a),
 counts AS (SELECT squad_id, team, count(*) AS n FROM members WHERE team IS NOT NULL GROUP BY squad_id, team),
 cands AS (SELECT i.*, coalesce(sc.x, 0) AS x FROM info i LEFT JOIN sc ON sc.player_id = i.id),
@@ -220,12 +224,19 @@ SELECT squad_id, 'service' AS rules, CAST(row_number() OVER (PARTITION BY squad_
     return f"SELECT * FROM ({capped}) AS a UNION ALL SELECT * FROM ({free}) AS b"
 
 
-def suggestion_docs_sql(top_n: int) -> str:
+def answers_sql(top_n: int) -> str:
+    """Requests by their rules: squads of 15 get their documents with the money that the rules give them."""
+    return f"""
+SELECT q.squad_id, q.status, d.event_id, d.current_team_xpts, d.pos, d.out_player_id, d.in_player_id, d.team_xpts_delta, d.cost_delta_million
+FROM ({suggestion_requests_sql()}) AS q LEFT JOIN ({suggestion_docs_sql(top_n, GIVEN_BANK)}) AS d ON d.squad_id = q.squad_id AND q.status = 'ok'"""
+
+
+def suggestion_docs_sql(top_n: int, bank: str = "coalesce(b.bank_tenths, 0)") -> str:
     """Every squad with its current total, and its swaps in rank order where it has any."""
     return f"""
 SELECT b.squad_id, b.event_id, b.team_xpts AS current_team_xpts, CAST(r.rank - 1 AS INT) AS pos, r.out_player_id, r.in_player_id,
        r.out_web_name, r.in_web_name, r.team_xpts_delta, r.new_team_xpts, r.cost_delta_million
-FROM ({best_xi_uncapped_sql()}) AS b LEFT JOIN ({swaps_service_sql(top_n)}) AS r ON r.squad_id = b.squad_id"""
+FROM ({best_xi_uncapped_sql()}) AS b LEFT JOIN ({swaps_service_sql(top_n, bank)}) AS r ON r.squad_id = b.squad_id"""
 
 
 def suggestion_requests_sql() -> str:

@@ -77,3 +77,13 @@ def test_a_seller_meets_a_bounded_number_of_buyers(spark):
         sellers = spark.createDataFrame([(1, 2, 55), (1, 2, 90)], "event_id bigint, o_role bigint, price_limit bigint")
         sizes.append(sq.short_lists(buyers, sellers, 10, 15).groupBy("price_limit").count().agg(F.max("count")).first()[0])
     assert max(sizes) <= 2 * 6 * 25
+
+
+@pytest.mark.parametrize("asked,given", [(0, 1), (-3, 1), (99, 50)])
+def test_the_service_answers_with_1_to_50_suggestions(spark, asked, given):
+    players, squads, bank, scores = _world(spark, 9, n_squads=1, pool=400, teams=40)
+    P = spark.createDataFrame(players, "id bigint, web_name string, element_type_id bigint, team_id bigint, now_cost bigint")
+    S = spark.createDataFrame(squads, "squad_id bigint, player_id bigint, slot int")
+    R = spark.createDataFrame([(s, e, 90) for s, e, _ in bank], "squad_id bigint, event_id bigint, bank_tenths bigint")
+    X = spark.createDataFrame(scores, "player_id bigint, event_id bigint, xpts double")
+    assert sq.service_suggestions(S, P, X, R, asked).count() == given
