@@ -26,7 +26,6 @@ rows.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,13 +50,9 @@ START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (" start", " end"))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def lower_ascii(column: pa.Array) -> pa.Array:
-    return pc.ascii_lower(column)
-
-
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token (the words of each text, then its end) and the tokens of each text."""
-    numbers, dictionary, sizes = words(lower_ascii(column))
+    numbers, dictionary, sizes = words(pc.ascii_lower(column))
     codes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in dictionary.to_pylist()), np.uint64, len(dictionary))
     out = np.full(len(numbers) + len(sizes), END)
     place = np.arange(len(numbers)) + np.repeat(np.arange(len(sizes)), sizes)
