@@ -12,7 +12,7 @@ from leagueflow.functions import keys
 from leagueflow.functions.casts import safe_float, safe_int, safe_ts_utc
 from leagueflow.operators import incremental, quality
 from leagueflow.operators import squads as sq
-from leagueflow.plans.proof import D, HORIZON, FORM_SQL, PERIODS_SQL, SIDES_SQL, UPCOMING_SQL, XPTS_SQL, _roles, _w, _xpts_frame, proof
+from leagueflow.plans.proof import D, FORM_SQL, PERIODS_SQL, SIDES_SQL, UPCOMING_SQL, XPTS_SQL, _roles, _w, _xpts_frame, proof
 from leagueflow.plans.roles import AS_OF, BASE_YEAR, read_table, role, role_cte
 from leagueflow.sources import payloads, tables
 from leagueflow.streaming import ingest
