@@ -7,12 +7,14 @@ distance 4 are that one, or that one and five more. Two words that differ in
 at most 2 bits have a word between them, 1 bit from either, and its codeword
 is within distance 4 of both. So they share an entry of their lists.
 
-Of three segments with at most 5 errors in all, the two with fewest errors
-have at most 2 each (three or more twice would be six). A fingerprint's keys
-are therefore, for each two of the three segments, all pairs of an index from
-the one list and an index from the other: 24 bits, at most 36 keys for each of
-the three choices. Any two fingerprints to be linked share a key. The pairs
-within a key are verified by their distance.
+Four errors fall on the three segments in one of two ways. Either a segment
+has none, and then one of the other two has at most 2: keys of the first kind
+are the bits of one segment with an entry of another's list (34 bits, 6 x at
+most 6 keys). Or every segment has one, and then none has more than 2: keys of
+the second kind are an entry of each of the three lists (36 bits, at most 216
+keys). Any two fingerprints to be linked share a key, and of those that are far
+apart about 3 in 10 million pairs do. The pairs within a key are verified by
+their distance.
 
 Fingerprints are made distinct first, so copies of a text meet as one row.
 Within a key the verified pairs are folded into stars at once (each
@@ -27,7 +29,7 @@ is the smallest; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import permutations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,6 @@ HASH_SEED = 42
 
 #: Segments of the fingerprint: lowest bit and length. The code word has 23 bits.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 #: Shingles of one text that are held as bits at a time.
@@ -98,23 +99,31 @@ def golay_patterns() -> np.ndarray:
     return out
 
 
-def segment_indices(fingerprints: np.ndarray, segment: int, patterns: np.ndarray) -> np.ndarray:
-    """For each fingerprint the indices (12 bits) of the codewords near a segment; -1 fills up."""
+def segment_words(fingerprints: np.ndarray, segment: int) -> np.ndarray:
     low, size = SEGMENTS[segment]
-    word = (fingerprints >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64)
-    errors = patterns[_remainder(word)]
-    return np.where(errors >= 0, (word[:, None] ^ errors) >> 11, -1)
+    return (fingerprints >> np.uint64(low) & np.uint64((1 << size) - 1)).astype(np.int64)
+
+
+def near_indices(words: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """For each word the indices (12 bits) of the codewords near it; -1 fills up."""
+    errors = patterns[_remainder(words)]
+    return np.where(errors >= 0, (words[:, None] ^ errors) >> 11, -1)
 
 
 def fuzzy_keys(fingerprints: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys, and for each the place of its fingerprint."""
-    near = [segment_indices(fingerprints, s, patterns) for s in range(3)]
+    words = [segment_words(fingerprints, k) for k in range(3)]
+    near = [near_indices(w, patterns) for w in words]
     keys, places = [], []
-    for number, (i, j) in enumerate(PAIRS):
-        both = (near[i] >= 0)[:, :, None] & (near[j] >= 0)[:, None, :]
-        key = number << 24 | near[i][:, :, None] << 12 | near[j][:, None, :]
-        keys.append(key[both])
-        places.append(np.nonzero(both)[0])
+
+    def add(kind: int, key: np.ndarray, real: np.ndarray) -> None:
+        keys.append(kind << 40 | key[real])
+        places.append(np.nonzero(real)[0])
+
+    for kind, (i, j) in enumerate(permutations(range(3), 2)):
+        add(kind, words[i][:, None] << 12 | near[j], near[j] >= 0)
+    a, b, c = near[0][:, :, None, None], near[1][:, None, :, None], near[2][:, None, None, :]
+    add(6, a << 24 | b << 12 | c, (a >= 0) & (b >= 0) & (c >= 0))
     return np.concatenate(keys), np.concatenate(places)
 
 
@@ -196,11 +205,10 @@ def _fingerprints(words_in_shingle: int, keep: int):
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     patterns = golay_patterns()
     for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False)
-        keys, places = fuzzy_keys(prints.view(np.uint64), patterns)
-        for at in range(0, len(keys), 1 << 17):
-            part = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(prints[places[part]])], ["key", "fp"])
+        for part in range(0, batch.num_rows, 1000):
+            prints = batch.column(0).slice(part, 1000).to_numpy(zero_copy_only=False)
+            keys, places = fuzzy_keys(prints.view(np.uint64), patterns)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[places])], ["key", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -212,8 +220,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
 
 def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``fp`` and ``root`` of all distinct fingerprints that hang together with a smaller one."""
-    if max_bits > 5:
-        raise ValueError("two of three segments have at most 2 errors each only up to 5 bits in all")
+    if max_bits > 4:
+        raise ValueError("the keys find all pairs only up to 4 differing bits")
     distinct = prints.select("fp").distinct()
     keyed = distinct.mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     links = keyed.mapInArrow(_links(max_bits), "a long, b long")

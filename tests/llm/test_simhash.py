@@ -60,8 +60,8 @@ def test_every_pair_within_reach_shares_a_key():
     patterns = S.golay_patterns()
     assert set((patterns >= 0).sum(axis=1)) == {1, 6}
     rng = random.Random(5)
-    for bits in range(6):
-        for _ in range(300):
+    for bits in range(5):
+        for _ in range(500):
             a = rng.getrandbits(64)
             b = a
             for k in rng.sample(range(64), bits):
@@ -70,6 +70,16 @@ def test_every_pair_within_reach_shares_a_key():
             assert set(keys[places == 0]) & set(keys[places == 1])
 
 
+def test_far_fingerprints_seldom_share_a_key():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 6000, dtype=np.int64).astype(np.uint64)
+    keys, places = S.fuzzy_keys(prints, S.golay_patterns())
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    assert 100 < len(keys) / len(prints) < 253
+    assert same.sum() / (len(prints) * (len(prints) - 1) / 2) < 2e-6
+
+
 def test_hot_group_of_near_fingerprints_equals_brute_force(spark):
     rng = random.Random(1)
     prints = {0}
@@ -115,4 +125,4 @@ def test_one_of_each_group_stays(frame):
 
 def test_distance_beyond_the_proof_is_refused(spark):
     with pytest.raises(ValueError):
-        S.fingerprint_components(spark.createDataFrame([(1,)], "fp long"), 6)
+        S.fingerprint_components(spark.createDataFrame([(1,)], "fp long"), 5)
