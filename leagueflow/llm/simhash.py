@@ -12,9 +12,8 @@ has none, and then one of the other two has at most 2: keys of the first kind
 are the bits of one segment with an entry of another's list (34 bits, 6 x at
 most 6 keys). Or every segment has one, and then none has more than 2: keys of
 the second kind are an entry of each of the three lists (36 bits, at most 216
-keys). Any two fingerprints to be linked share a key, and of those that are far
-apart about 3 in 10 million pairs do. The pairs within a key are verified by
-their distance.
+keys). Any two fingerprints to be linked share a key; far ones meet in about 2
+keys for a million pairs. The pairs within a key are verified by their distance.
 
 Fingerprints are made distinct first, so copies of a text meet as one row.
 Within a key the verified pairs are folded into stars at once (each
