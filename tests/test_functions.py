@@ -13,28 +13,29 @@ def one(spark, col, rows, schema):
 
 
 def test_difficulty_multiplier(spark):
-    got = one(spark, difficulty_multiplier("d"), [(1,), (2,), (3,), (4,), (5,), (None,), (0,), (6,)], "d int")
-    assert got == [1.15, 1.05, 1.0, 0.92, 0.85, 1.0, 1.0, 1.0]
+    """Falls from 1 to 5; whatever is no difficulty is neutral."""
+    got = one(spark, difficulty_multiplier("d"), [(k,) for k in (5, 4, 3, 2, 1)], "d int")
+    assert got == sorted(got) and got[2] == 1.0 and len(set(got)) == 5
+    assert one(spark, difficulty_multiplier("d"), [(-1,), (17,), (None,)], "d int") == [1.0] * 3
 
 
 @pytest.mark.parametrize(
     "games,mins,season,finished,status,expected",
-    [(5, 450, 0, 0, "a", 90.0), (5, 300, 0, 0, "a", 60.0), (0, None, 900, 10, "a", 90.0), (5, 450, 0, 0, "d", 36.0),
-     (2, 100, 300, 10, " I ", 12.0), (None, None, None, 0, None, 0.0)],
+    [(4, 331, 7, 9, "a", 82.75), (3, 400, 0, 1, "A", 90.0), (2, 180, 511, 7, "a", 73.0), (None, None, 2000, 0, "u", 36.0),
+     (7, None, 77, 7, "s ", 4.4), (5, -50, 0, 0, "a", 0.0), (3, 135, 0, 0, None, 45.0)],
 )
 def test_expected_minutes(spark, games, mins, season, finished, status, expected):
     df = spark.createDataFrame([(games, mins, season, finished, status)], "g int, m int, s int, f int, st string")
     assert df.select(expected_minutes("g", "m", "s", "f", "st")).first()[0] == pytest.approx(expected)
 
 
-def test_point_components_midfielder_and_forward(spark):
-    df = spark.createDataFrame(
-        [(90.0, 450, 25, None, 3, 1.0), (90.0, None, None, 6.0, 4, 1.0)], "x double, m int, p int, ppg double, e int, mult double"
-    )
+def test_point_components(spark):
+    """Half a game of a defender by his rate, two thirds of a midfielder's by his average, and a forward who does not play."""
+    rows = [(45.0, 200, 31, None, 2, 1.15), (60.0, 0, 9, 7.25, 3, 0.85), (0.0, 90, 40, None, 4, 1.0)]
+    df = spark.createDataFrame(rows, "x double, m int, p int, ppg double, e int, mult double")
     c = point_components("x", "m", "p", "ppg", "e", "mult")
-    rows = df.select(*[round2(c[k]).alias(k) for k in ("xpts_app", "xpts_att", "xpts_def", "xpts")]).collect()
-    assert tuple(rows[0]) == (2.0, 2.1, 0.9, 5.0)
-    assert tuple(rows[1]) == (2.0, 3.6, 0.4, 6.0)
+    got = df.select(*[round2(c[k]).alias(k) for k in ("xpts_app", "xpts_att", "xpts_def", "xpts")]).collect()
+    assert [tuple(r) for r in got] == [(1.5, 2.75, 4.12, 8.37), (1.67, 2.08, 0.89, 4.64), (0.0, 0.0, 0.0, 0.0)]
 
 
 def test_safe_casts(spark):
@@ -45,11 +46,9 @@ def test_safe_casts(spark):
 
 
 def test_safe_timestamps_are_utc(spark):
-    import datetime as dt
-
-    vals = [("2024-08-16T18:00:00Z",), ("2024-08-16T18:00:00+02:00",), ("2024-08-16 18:00:00",), ("bad",)]
+    vals = [("2033-12-31T22:15:00Z",), ("2033-12-31T22:15:00-03:00",), ("2033-12-31 22:15:00",), ("bad",)]
     got = one(spark, safe_ts_utc("v"), vals, "v string")
-    assert got == [dt.datetime(2024, 8, 16, 18), dt.datetime(2024, 8, 16, 16), dt.datetime(2024, 8, 16, 18), None]
+    assert got == [dt.datetime(2033, 12, 31, 22, 15), dt.datetime(2034, 1, 1, 1, 15), dt.datetime(2033, 12, 31, 22, 15), None]
 
 
 def test_request_keys(spark):
