@@ -6,6 +6,8 @@ import numpy as np
 
 #: Bytes that are packed into one sort key: 9 bits each, so that the end of a string sorts before every byte.
 PACKED = 7
+#: So many packed keys are compared for all pairs at once; the few pairs that are alike for longer go one by one.
+STEPS_TOGETHER = 128
 
 
 class Strings:
@@ -88,16 +90,30 @@ def common_prefixes(s: Strings, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
     most[rank[a] == 0] = 0
     length = np.zeros(len(a), np.int32)
     go = np.flatnonzero(length < most)
-    while len(go):
+    for _ in range(STEPS_TOGETHER):
         differ = s.packed[a[go] + length[go]] ^ s.packed[b[go] + length[go]]
         same = sum((differ >> 9 * (PACKED - k) == 0).astype(np.int32) for k in range(1, PACKED + 1))
         length[go] = np.minimum(length[go] + same, most[go])
         go = go[(same == PACKED) & (length[go] < most[go])]
+    for k in go.tolist():
+        length[k] += _equal_bytes(s.text, int(a[k] + length[k]), int(b[k] + length[k]), int(most[k] - length[k]))
     at = np.cumsum(compared) - 1
     out[rank] = length[at] - (here - a[at])
     return out
 
 
+def _equal_bytes(text: np.ndarray, a: int, b: int, most: int) -> int:
+    """Length of the common prefix from two places on, in pieces that double."""
+    done, piece = 0, 1 << 12
+    while done < most:
+        n = min(piece, most - done)
+        differ = text[a + done : a + done + n] != text[b + done : b + done + n]
+        if differ.any():
+            return done + int(differ.argmax())
+        done, piece = done + n, piece * 2
+    return most
+
+
 def repeated_starts(parts: list[bytes], size: int) -> np.ndarray:
     """For every byte of the joined parts, whether the ``size`` bytes from there on also start elsewhere in the parts."""
     s = Strings(parts)

@@ -44,6 +44,17 @@ def test_suffix_array_and_prefixes_equal_sorting():
             assert lcp[r] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
+def test_long_runs_and_long_copies():
+    rng = random.Random(6)
+    copy = bytes(rng.choice(b"abc") for _ in range(30000))
+    got = X.repeated_starts([b"z" * 200000, copy + b"!", b"?" + copy[5000:], b"z" * 399], 400)
+    want = [True] * (200000 - 400) + [False] * 400  # the last window of a run starts one earlier, too
+    want[200000 - 400] = True
+    assert got[:200000].tolist() == want
+    at = 200000
+    assert not got[at : at + 5000].any() and got[at + 5000 : at + 30000 - 399].all() and not got[at + 30000 - 399 : at + 30001].any()
+
+
 def test_query_matches_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = S.op7_suffix_dedup(spark, SF)
