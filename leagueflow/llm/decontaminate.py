@@ -4,9 +4,11 @@ Words lose their case and outer punctuation. Numbers, names and units become
 typed placeholders, so a question keeps its template when someone puts in
 other values. Templates are cut into windows of words; windows of documents
 and of benchmark items meet in a hash join. Along one alignment of a document
-and an item the values in the slots must be consistent: one value of the item
-always stands for one value of the document. A document is contaminated by an
-item when consistent alignments cover enough of the item's windows.
+and an item a window counts if its values are the item's own, or if each other
+value is the one that most windows of the alignment have for that value of the
+item; windows with a conflicting value are left out, the rest of the alignment
+stays. A document is contaminated by an item when the windows that count reach
+enough of the item's windows.
 
 A bit map of fixed size, made of the benchmark's window hashes, goes to the
 tasks and keeps windows that no item has out of the join; it saves work and
@@ -206,16 +208,27 @@ def _bit_map(items: DataFrame) -> np.ndarray:
     return out
 
 
-def _consistent(pairs: Column) -> Column:
-    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"]))) == F.size(pairs)
+def _agreed(windows: Column) -> Column:
+    """The pairs of an alignment: for each value of the item the document's value that most windows have, of equals the item's own, then the largest."""
+    pairs = F.flatten(F.transform(windows, lambda w: w["pairs"]))
+    distinct = F.array_distinct(pairs)
+
+    def best(value: Column) -> Column:
+        of_value = F.filter(distinct, lambda p: p["item"] == value)
+        ranked = F.transform(of_value, lambda p: F.struct(F.size(F.filter(pairs, lambda q: q == p)), p["item"] == p["doc"], p.alias("pair")))
+        return F.array_max(ranked)["pair"]
+
+    values = F.array_distinct(F.transform(distinct, lambda p: p["item"]))
+    return F.when(F.size(values) == F.size(distinct), distinct).otherwise(F.transform(values, best))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """Pairs of a document and an item that it contains.
 
     Columns: ``id``, ``body`` (hash of the document's text), ``item``,
-    ``matched`` (windows of the item found in consistent alignments),
-    ``of`` (windows of the item), ``verbatim`` (no slot has another value).
+    ``matched`` (windows of the item that count in some alignment), ``of``
+    (windows of the item), ``verbatim`` (no slot of a window that was found has
+    another value, whether the window counts or not).
     """
     items = item_windows(benchmark, item_col, item_text, window)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
@@ -224,15 +237,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     known = items.select("item", F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))
     hits = found.select("id", "body", "pos", "window", "slots").join(known, "window")
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("item"), z["slots"].alias("doc")))
+    # an alignment has at most a few windows for each place of the item
     aligned = (
         hits.withColumn("pairs", pairs)
         .groupBy("id", "body", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-        .filter(_consistent(F.col("pairs")))
+        .agg(F.collect_set(F.struct("item_pos", "pairs")).alias("windows"))
+        .withColumn("agreed", _agreed(F.col("windows")))
     )
-    verbatim = F.forall("pairs", lambda p: p["item"] == p["doc"])
-    matched = aligned.groupBy("id", "body", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.bool_and(verbatim).alias("verbatim")
+    own = lambda p: p["item"] == p["doc"]
+    counts = F.filter("windows", lambda w: F.forall(w["pairs"], lambda p: own(p) | F.array_contains(F.col("agreed"), p)))
+    matched = (
+        aligned.select("id", "body", "item", F.array_distinct(counts["item_pos"]).alias("places"), F.forall("windows", lambda w: F.forall(w["pairs"], own)).alias("verbatim"))
+        .groupBy("id", "body", "item")
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.bool_and("verbatim").alias("verbatim"))
     )
     # so many windows of one length span the least number of words
     needed = F.least(F.col("of"), F.greatest(F.lit(1), F.lit(least_words + 1) - F.col("size")))
