@@ -7,8 +7,9 @@ and of benchmark items meet in a hash join. Along one alignment of a document
 and an item a window counts if its values are the item's own, or if each other
 value is the one that most windows of the alignment have for that value of the
 item; windows with a conflicting value are left out, the rest of the alignment
-stays. A document is contaminated by an item when the windows that count reach
-enough of the item's windows.
+stays. A document is contaminated by an item when the windows that count, of
+all its alignments, cover enough of the item's words; so an edit costs the
+words that only its windows cover.
 
 A bit map of fixed size, made of the benchmark's window hashes, goes to the
 tasks and keeps windows that no item has out of the join; it saves work and
@@ -38,8 +39,11 @@ from leagueflow.llm.tokens import slices, words
 WINDOW = 6
 #: Words of a window that must not be placeholders, so that it counts as a template.
 LEAST_PLAIN = 4
-#: Words of an item, in all, that its matched windows must reach (or the whole item, if it is shorter).
+#: Words of an item that its matched windows must cover; of items with few words a share, but never fewer than the floor (or the whole item, if it is shorter).
 LEAST_WORDS = 13
+#: With windows of 6 words, one edit of an item of 14 words leaves 8 covered in the worst place.
+LEAST_SHARE = 0.55
+FLOOR_WORDS = 8
 #: The bit map has 2 ** MAP_BITS bits.
 MAP_BITS = 22
 
@@ -222,6 +226,13 @@ def _agreed(windows: Column) -> Column:
     return F.when(F.size(values) == F.size(distinct), distinct).otherwise(F.transform(values, best))
 
 
+def _covered(places: Column, size: Column) -> Column:
+    """Words that windows of a size at these places cover."""
+    step = lambda acc, p: F.struct((acc["words"] + p + size - F.greatest(p, acc["end"])).alias("words"), (p + size).alias("end"))
+    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("end"))
+    return F.aggregate(F.array_sort(F.array_distinct(places)), start, step, lambda acc: acc["words"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """Pairs of a document and an item that it contains.
 
@@ -232,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = item_windows(benchmark, item_col, item_text, window)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
-    totals = items.groupBy("item").agg(F.count_distinct("pos").alias("of"), F.first("size").alias("size"))
+    totals = items.groupBy("item").agg(F.count_distinct("pos").alias("of"), F.collect_set("pos").alias("all"), F.max("size").alias("size"))
     found = document_windows(docs, sizes, _bit_map(items), id_col, text)
     known = items.select("item", F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))
     hits = found.select("id", "body", "pos", "window", "slots").join(known, "window")
@@ -249,11 +260,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     matched = (
         aligned.select("id", "body", "item", F.array_distinct(counts["item_pos"]).alias("places"), F.forall("windows", lambda w: F.forall(w["pairs"], own)).alias("verbatim"))
         .groupBy("id", "body", "item")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.bool_and("verbatim").alias("verbatim"))
+        .agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.bool_and("verbatim").alias("verbatim"))
     )
-    # so many windows of one length span the least number of words
-    needed = F.least(F.col("of"), F.greatest(F.lit(1), F.lit(least_words + 1) - F.col("size")))
-    return matched.join(totals, "item").filter(F.col("matched") >= needed).select("id", "body", "item", "matched", "of", "verbatim")
+    # words that no window of evidence covers can't be asked for
+    words = _covered(F.col("all"), F.col("size"))
+    needed = F.least(F.col("words"), F.greatest(F.lit(FLOOR_WORDS), F.least(F.lit(least_words), F.ceil(F.lit(LEAST_SHARE) * F.col("words")))))
+    totals = totals.select("item", "of", "size", words.alias("words")).withColumn("needed", needed)
+    enough = matched.join(totals, "item").filter(_covered(F.col("places"), F.col("size")) >= F.col("needed"))
+    return enough.select("id", "body", "item", F.size("places").alias("matched"), "of", "verbatim")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

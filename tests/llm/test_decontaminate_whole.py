@@ -21,3 +21,26 @@ def test_one_inconsistent_slot_costs_only_its_windows(spark, frame):
     assert {d: got[d, 7].verbatim for d in (1, 2, 3, 4)} == {1: False, 2: False, 3: False, 4: True}
     kept = D.drop_contaminated(frame(docs), spark.createDataFrame([(7, ITEM)], "item_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [5]
+
+
+def test_one_edit_of_a_short_item_is_caught_wherever_it_is(spark, frame):
+    plain = "some people say that green birds often sing along quiet rivers while grey foxes rest under old trees".split()
+    items = [(n, " ".join(plain[:n])) for n in range(13, 19)]
+    docs, edits = [], {}
+    for n in range(13, 19):
+        for at in range(n):
+            copy = plain[:n]
+            copy[at] = "changed"
+            edits[len(docs)] = n, at
+            docs.append((len(docs), "Before it " + " ".join(copy) + " comes more"))
+    docs += [(1000, "Before it " + " ".join(plain[:7]) + " comes more"), (1001, " ".join(plain[:6] + ["changed"] + plain[8:9]))]
+    got = {edits.get(d): i for d, i in found(spark, frame, docs, items) if edits.get(d, (i,))[0] == i}
+    # only the sixth word from an end of an item of 13 words leaves fewer words than the floor
+    missed = set(edits.values()) - set(got)
+    assert missed == {(13, 5), (13, 7)} and None not in got
+
+
+def test_covered_words(spark):
+    cases = [([], 0), ([0], 6), ([0, 1, 2], 8), ([0, 0, 9, 10], 13), ([20, 3], 12)]
+    rows = spark.createDataFrame(cases, "places array<long>, want long")
+    assert [r[0] for r in rows.select(D._covered(rows.places, D.F.lit(6))).collect()] == [w for _, w in cases]
