@@ -2,7 +2,10 @@
 
 Words lose their case and outer punctuation. Numbers, names and units become
 typed placeholders, so a question keeps its template when someone puts in
-other values. Templates are cut into windows of words; windows of documents
+other values. What is a name shows in the case of the words, so a window with
+names has a second form in which they are words like others and their case is
+lost; a document in title case or capitals meets the item in that form, which
+needs the same names. Templates are cut into windows of words; windows of documents
 and of benchmark items meet in a hash join. Along one alignment of a document
 and an item a window counts if its values are the item's own, or if each other
 value is the one that most windows of the alignment have for that value of the
@@ -63,16 +66,17 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:%|st|nd|rd|th)?")
 OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 
 PLAIN, NUM, NAME, UNIT = range(4)
+EXACT, NUMBERS, NAMES = range(3)
 PLACEHOLDERS = np.array([xxhash.xxh64_intdigest(f"<{k}>") for k in ("plain", "num", "name", "unit")], np.uint64)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_form(word: str) -> tuple[str, bool, bool, bool, bool]:
-    """The bare word in lower case; whether it is a number, might be a name, might be a unit, and ends a sentence."""
+    """The bare word without its case; whether it is a number, might be a name, might be a unit, and ends a sentence."""
     ends = word.endswith((".", "!", "?", ":")) or word[:-1].endswith((".", "!", "?"))
     bare = OUTER.sub("", word)
-    low = bare.lower()
-    number = bool(NUMBER.fullmatch(bare)) or low in NUMBER_WORDS
+    low = bare.casefold()
+    number = bool(NUMBER.fullmatch(low)) or low in NUMBER_WORDS
     name = not number and len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
     return low, number, name, low in UNITS, ends
 
@@ -106,48 +110,57 @@ class Templates:
         self.sizes = np.bincount(self.row, minlength=len(sizes))
         self.begins = np.cumsum(self.sizes) - self.sizes
 
-    def windows(self, size: int, least_plain: int = LEAST_PLAIN) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each window that is evidence, and the place of its first word.
+    def windows(self, size: int, least_plain: int = LEAST_PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each window that is evidence, the place of its first word, and its form (EXACT, NUMBERS or NAMES: what has slots in it).
 
-        A window with enough plain words counts as a template. One with many
-        placeholders says little as a template and counts word for word, if
-        enough of its words are no numbers.
+        A window with names counts as a template with slots for them if it has
+        enough plain words. Each window counts with its names as words: with
+        slots for numbers and units if enough other words are left, else word
+        for word if enough of its words are no numbers. That form does not
+        depend on the case of the words.
         """
         n = len(self.code) - size + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
 
-        def enough(which: np.ndarray) -> np.ndarray:
+        def count(which: np.ndarray) -> np.ndarray:
             total = np.concatenate([[0], np.cumsum(which)])
-            return total[size:] - total[:n] >= least_plain
-
-        as_template = enough(self.kind == PLAIN)
-        h, exact = np.full(n, size, np.uint64), np.full(n, size + 100, np.uint64)
-        for k in range(size):
-            h = h * _MULTIPLIER + self.code[k : k + n]
-            exact = exact * _MULTIPLIER + self.literal[k : k + n]
-        h = np.where(as_template, h, exact)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        at = np.flatnonzero((self.row[:n] == self.row[size - 1 :]) & (as_template | enough(self.kind != NUM)))
-        return h[at], at
-
-    def slots(self, at: int, size: int) -> list[str]:
+            return total[size:] - total[:n]
+
+        def hashed(code: np.ndarray, seed: int) -> np.ndarray:
+            h = np.full(n, seed, np.uint64)
+            for k in range(size):
+                h = h * _MULTIPLIER + code[k : k + n]
+            h ^= h >> np.uint64(29)
+            return h * np.uint64(0xBF58476D1CE4E5B9)
+
+        is_name = self.kind == NAME
+        one_row = self.row[:n] == self.row[size - 1 :]
+        named = np.flatnonzero(one_row & (count(is_name) > 0) & (count(self.kind == PLAIN) >= least_plain))
+        folded = np.flatnonzero(one_row & (count(self.kind != NUM) >= least_plain))
+        template = hashed(np.where(is_name, self.literal, self.code), size)
+        with_slots = count((self.kind == PLAIN) | is_name) >= least_plain
+        h = np.where(with_slots, template, hashed(self.literal, size + 100))
+        return np.concatenate([h[folded], hashed(self.code, size)[named]]), np.concatenate([folded, named]), np.concatenate([np.where(with_slots, NUMBERS, EXACT)[folded], np.full(len(named), NAMES)])
+
+    def slots(self, at: int, size: int, form: int) -> list[str]:
         """Values in the slots of the window at a place."""
-        return [self.bare[self.numbers[i]] for i in range(at, at + size) if self.kind[i] != PLAIN]
+        if form == EXACT:
+            return []
+        return [self.bare[self.numbers[i]] for i in range(at, at + size) if self.kind[i] != PLAIN and (form == NAMES or self.kind[i] != NAME)]
 
 
-def _emit(columns: list[pa.Array], names: list[str], found: list[tuple[Templates, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _emit(columns: list[pa.Array], names: list[str], found: list[tuple[Templates, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Rows of the given columns with the windows found in their texts."""
     row, pos, size, h, slots, total = [], [], [], [], [], []
-    for t, n, hashes, at in found:
+    for t, n, hashes, at, form in found:
         r = t.row[at]
         row.append(r)
         pos.append(at - t.begins[r])
         size.append(np.full(len(at), n))
         h.append(hashes.view(np.int64))
         total.append(t.sizes[r])
-        slots += [t.slots(a, n) for a in at.tolist()]
+        slots += [t.slots(a, n, f) for a, f in zip(at.tolist(), form.tolist())]
     take = pa.array(np.concatenate(row))
     arrays = [c.take(take) for c in columns]
     arrays += [pa.array(np.concatenate(x).astype(np.int64)) for x in (pos, size, total)] + [pa.array(np.concatenate(h)), pa.array(slots, pa.list_(pa.string()))]
@@ -171,13 +184,13 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text: str = "tex
                 for first_is_name in (False, True):
                     t = Templates(part.column(1), first_is_name)
                     for n in range(1, window + 1):
-                        h, at = t.windows(n)
+                        h, at, form = t.windows(n)
                         full = t.sizes[t.row[at]]
                         use = (n == window) | (full == n)
                         if first_is_name:
-                            use &= at == t.begins[t.row[at]]
+                            use &= (form == NAMES) & (at == t.begins[t.row[at]])
                             use &= t.kind[at] == NAME
-                        found.append((t, n, h[use], at[use]))
+                        found.append((t, n, h[use], at[use], form[use]))
                 yield _emit([part.column(0)], ["item"], found)
 
     rows = benchmark.select(F.col(id_col).alias("item"), F.col(text).alias("text"))
@@ -195,10 +208,10 @@ def document_windows(docs: DataFrame, sizes: list[int], bit_map: np.ndarray, id_
                 t = Templates(part.column(2))
                 found = []
                 for n in sizes:
-                    h, at = t.windows(n)
+                    h, at, form = t.windows(n)
                     place = h >> np.uint64(64 - MAP_BITS)
                     hit = bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
-                    found.append((t, n, h[hit], at[hit]))
+                    found.append((t, n, h[hit], at[hit], form[hit]))
                 yield _emit([part.column(0), part.column(1)], ["id", "body"], found)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.col(text).alias("text"))

@@ -44,3 +44,12 @@ def test_covered_words(spark):
     cases = [([], 0), ([0], 6), ([0, 1, 2], 8), ([0, 0, 9, 10], 13), ([20, 3], 12)]
     rows = spark.createDataFrame(cases, "places array<long>, want long")
     assert [r[0] for r in rows.select(D._covered(rows.places, D.F.lit(6))).collect()] == [w for _, w in cases]
+
+
+def test_copies_in_another_case_are_caught(spark, frame):
+    plain = "some people say that green birds often sing along quiet rivers while 12 foxes rest under old trees"
+    german = "Im Garten hinter der Straße wächst ein großer Baum mit Äpfeln und die Kinder spielen dort nach der Schule bis zum Abend"
+    items = [(1, ITEM), (2, plain), (3, german)]
+    docs = [(10 * c + i, "before it " + case(text) + " after it") for i, text in items for c, case in enumerate((str.title, str.upper, str.lower, str.swapcase))]
+    docs += [(100, plain.title().replace("12", "40")), (101, ITEM.upper().replace("12", "40")), (102, "clean words with Names In Title Case and 12 apples")]
+    assert set(found(spark, frame, docs, items)) == {(10 * c + i, i) for i, _ in items for c in range(4)} | {(100, 2), (101, 1)}
