@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leagueflow.llm import decontaminate, exact_dedup, extract, langid, licenses, lmscore, mixing, secrets, simhash, suffix_dedup
+from leagueflow.llm import decontaminate, exact_dedup, extract, langid, licenses, lmscore, mixing, packing, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash_neardup": simhash.op9_simhash_neardup,
     "op10_license_scan": licenses.op10_license_scan,
+    "op12_packing": packing.op12_packing,
 }
 
 ORACLES = {
