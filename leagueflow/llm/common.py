@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,24 @@ def repeat_rows(df: DataFrame, n: str) -> DataFrame:
     first = F.col("__chunk") * step
     inner = F.explode(F.sequence(first, F.least(first + step, F.col(n)) - 1))
     return df.withColumn("__chunk", outer).withColumn("occurrence", inner).drop("__chunk")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: like a checkpoint, but columns can be left unread."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def query_blocks(queries: DataFrame, key: str, size: Column, most_rows: int, most_bytes: int) -> Iterator[DataFrame]:
+    """The rows of a stated query set in blocks that each fit a task and the driver.
+
+    ``queries`` is a written table with a unique ``key``; ``size`` is a row's
+    bytes. Blocks are as many as the counted rows and bytes need, by the hash
+    of the key, so that each has about its share.
+    """
+    n, total = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(-(-n // most_rows), -(-total // most_bytes))
+    for k in range(blocks):
+        yield queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == k) if blocks > 1 else queries
