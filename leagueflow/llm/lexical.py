@@ -51,7 +51,7 @@ TOP = 20
 #: Postings in a block.
 BLOCK = 64
 #: Bytes of text in a segment; a longer text is a segment of its own.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Items, and bytes of their texts, that are searched for in one pass over the index.
 ITEMS, ITEM_BYTES = 4096, 8 << 20
 
@@ -161,7 +161,7 @@ def _index(corpus: Corpus, segment_bytes: int):
         held: list[tuple] = []
         size, made = 0, 0
         for batch in batches:
-            for part in slices(batch, 1, min(segment_bytes, 4 << 20)):
+            for part in slices(batch, 1, min(segment_bytes, 1 << 20)):
                 texts = folded(part.column(1))
                 some = pa.array(term_counts(texts) > 0)
                 held.append((part.column(0).filter(some), texts.filter(some)))
@@ -180,8 +180,9 @@ def _index(corpus: Corpus, segment_bytes: int):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = term_counts(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["documents", "terms"])
+        for part in slices(batch, 0, 1 << 20):
+            n = term_counts(part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["documents", "terms"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> tuple[DataFrame, Corpus]:
