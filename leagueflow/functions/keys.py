@@ -68,8 +68,12 @@ def bronze_path(root: str, endpoint: Column | str, fetched_at: Column | str, pla
     return F.when((ep == "element-summary") & pid.isNotNull(), per_player).otherwise(other)
 
 
-def payload_digest(payload: Column | str) -> Column:
-    """SHA-256 of the payload's canonical JSON (object keys sorted at every level,
-    no whitespace), so reordered keys give the same digest; malformed → NULL."""
-    v = F.try_parse_json(_col(payload))
+def variant_digest(document: Column | str) -> Column:
+    """SHA-256 of a VARIANT's canonical JSON (object keys sorted at every level, no whitespace); NULL → NULL."""
+    v = _col(document)
     return F.when(v.isNotNull(), F.sha2(F.to_json(v), 256))
+
+
+def payload_digest(payload: Column | str) -> Column:
+    """The digest of a document's text: reordered keys give the same one; malformed → NULL."""
+    return variant_digest(F.try_parse_json(_col(payload)))

@@ -2,7 +2,8 @@
 
 Each job reads documents or silver tables, upserts, logs its fetches and runs
 the quality gate after the commit, as the source system does (level hard |
-strict | warn). ``as_of`` stamps written rows, so reruns are reproducible.
+strict | warn), and with ``gate_first`` also before it. Buckets with more than
+``most_deltas`` folders are compacted after the write. ``as_of`` stamps written rows, so reruns are reproducible.
 Rows whose parent does not exist are rejected; ``orphans="quarantine"`` sets
 them aside and stores the rest.
 
@@ -19,12 +20,16 @@ from leagueflow.operators import incremental, learn, marts, quality, scoring
 from leagueflow.operators import squads as sq
 from leagueflow.session import cut_lineage
 from leagueflow.sources import payloads
-from leagueflow.sources.tables import TableStore
+from leagueflow.sources.tables import MOST_DELTAS, TableStore
 from leagueflow.streaming.ingest import ORDER, fetch_log, ordered
 
 CORE = ("teams", "element_types", "events", "players", "fixtures")
 
 
+def _batch_gate(spark: SparkSession, level: str, before: bool) -> quality.BatchGate | None:
+    return quality.BatchGate(spark, level) if before else None
+
+
 def _gate(spark: SparkSession, store: TableStore, level: str) -> DataFrame:
     """Gate over the tables that exist; one that does not is an error of the report."""
     tables = {t: store.read(t) for t in quality.CORE_TABLES if store.exists(t)}
@@ -34,7 +39,7 @@ def _gate(spark: SparkSession, store: TableStore, level: str) -> DataFrame:
 
 
 def _documents(docs: DataFrame, key, as_of: str) -> DataFrame:
-    """Documents with key, fetch time and digest."""
+    """Documents with key, fetch time and digests, parsed once."""
     if "request_key" not in docs.columns:
         docs = docs.withColumn("request_key", key)
     if "fetched_at_utc" not in docs.columns:
@@ -51,10 +56,14 @@ def update_core(
     level: str = "hard",
     run_id: str | None = None,
     orphans: str = "reject",
+    gate_first: bool = False,
+    most_deltas: int = MOST_DELTAS,
 ) -> dict[str, int]:
     """Core snapshot + fixtures → five upserts and the log, then the quality gate.
 
-    Each document set is parsed once (persisted) and fanned out to its tables.
+    Each document is parsed once; the variant is kept and fanned out to its
+    tables. ``gate_first`` also holds every batch against ``level`` before it
+    counts: the first one that fails leaves its table as it was.
     """
     store.init()
     boot = _documents(bootstrap_docs, F.lit("bootstrap-static"), as_of).persist()
@@ -66,15 +75,18 @@ def update_core(
         "players": (payloads.parse_players, boot),
         "fixtures": (payloads.parse_fixtures, fixtures),
     }
+    check = _batch_gate(spark, level, gate_first)
     try:
         counts = {
-            t: store.upsert(t, f(docs, keep=ORDER[:2], pos="_pos"), ORDER, as_of=as_of, orphans=orphans) for t, (f, docs) in parse.items()
+            t: store.upsert(t, f(docs, keep=ORDER[:2], pos="_pos"), ORDER, as_of=as_of, orphans=orphans, check=check) for t, (f, docs) in parse.items()
         }
         log = fetch_log(boot, "bootstrap-static", run_id).unionByName(fetch_log(fixtures, "fixtures", run_id))
-        store.append("meta_ingestions", log, part=run_id and f"core-{run_id}")
+        store.log_fetches(log, part=run_id and f"core-{run_id}")
     finally:
         boot.unpersist()
         fixtures.unpersist()
+    for t in [*parse, "last_fetches"]:
+        store.compact(t, most_deltas)
     _gate(spark, store, level)
     return counts
 
@@ -88,20 +100,25 @@ def update_summaries(
     player: str = "player_id",
     run_id: str | None = None,
     orphans: str = "reject",
+    gate_first: bool = False,
+    most_deltas: int = MOST_DELTAS,
 ) -> dict[str, int]:
     """Per-player summary documents → history and future-fixture upserts and the log, then the gate."""
     store.init()
     key = F.concat(F.lit("element-summary:"), F.col(player).cast("string"))
     docs = _documents(summary_docs, key, as_of).persist()
+    check = _batch_gate(spark, level, gate_first)
+    parse = {"player_match_history": payloads.parse_history, "player_future_fixtures": payloads.parse_future}
     try:
-        parse = {"player_match_history": payloads.parse_history, "player_future_fixtures": payloads.parse_future}
         counts = {
-            t: store.upsert(t, f(docs, player, keep=ORDER[:2], pos="_pos").withColumnRenamed(player, "player_id"), ORDER, as_of=as_of, orphans=orphans)
+            t: store.upsert(t, f(docs, player, keep=ORDER[:2], pos="_pos").withColumnRenamed(player, "player_id"), ORDER, as_of=as_of, orphans=orphans, check=check)
             for t, f in parse.items()
         }
-        store.append("meta_ingestions", fetch_log(docs, "element-summary", run_id), part=run_id and f"summaries-{run_id}")
+        store.log_fetches(fetch_log(docs, "element-summary", run_id), part=run_id and f"summaries-{run_id}")
     finally:
         docs.unpersist()
+    for t in [*parse, "last_fetches"]:
+        store.compact(t, most_deltas)
     _gate(spark, store, level)
     return counts
 
@@ -118,10 +135,10 @@ def refresh_summaries(
     player: str = "player_id",
     **kw,
 ) -> dict[str, int]:
-    """Selection, then ingest: of the documents that could be fetched, those of players that the log says are due."""
+    """Selection, then ingest: of the documents that could be fetched, those of players whose last fetch makes them due."""
     candidates = incremental.top_candidates(store.read("players"), top_n)
-    due = incremental.select_incremental(candidates, store.read("meta_ingestions"), as_of, since_hours, max_age_hours, force)
-    # written once: the ingest changes the log that the selection reads
+    due = incremental.select_incremental(candidates, store.read("last_fetches"), as_of, since_hours, max_age_hours, force)
+    # written once: the ingest changes the fetches that the selection reads
     due = cut_lineage(due.select(F.col("player_id").alias("_due")))
     docs = available_docs.join(due, available_docs[player] == due["_due"], "left_semi")
     return update_summaries(spark, store, docs, as_of, player=player, **kw)
@@ -156,10 +173,13 @@ def build_xpts(
     model_path: str | None = None,
     level: str = "hard",
     orphans: str = "reject",
+    gate_first: bool = False,
+    most_deltas: int = MOST_DELTAS,
 ) -> DataFrame:
     """Compute, upsert into ``player_expected_points``, gate; returns the top-10 report of this run's scores."""
     scores = cut_lineage(compute_scores(spark, store, horizon, method, model_path))
-    store.upsert("player_expected_points", scores, ["player_id"], as_of=as_of, orphans=orphans)
+    store.upsert("player_expected_points", scores, ["player_id"], as_of=as_of, orphans=orphans, check=_batch_gate(spark, level, gate_first))
+    store.compact("player_expected_points", most_deltas)
     _gate(spark, store, level)
     return scoring.top_scores(scores, 10)
 
@@ -168,19 +188,22 @@ def train_xpts(spark: SparkSession, store: TableStore, model_path: str, validati
     """Train the model from stored history and save it; returns the validation MAE."""
     t = {name: store.read(name) for name in ("player_match_history", "fixtures", "players", "teams")}
     feats = learn.training_features(t["player_match_history"], t["fixtures"], t["players"], t["teams"])
-    model, mae, _, _ = learn.train(feats, validation_fraction)
-    learn.save_model(model, model_path)
-    return mae
+    fit = learn.train(feats, validation_fraction)
+    learn.save_model(fit.model, model_path)
+    return fit.mae
 
 
-def _requests(store: TableStore, squads: DataFrame, bank_tenths: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _requests(store: TableStore, squads: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores, and the requests: each squad with its money and the period that the caller names, else the next one."""
     scores = store.read("player_expected_points")
     nxt = marts.next_period_id(scores).scalar()
+    period = F.coalesce(F.col("event_id").cast("bigint"), nxt) if "event_id" in asked.columns else nxt
     requests = (
         squads.select("squad_id").distinct()
-        .join(bank_tenths, "squad_id", "left")
-        .select("squad_id", nxt.alias("event_id"), F.coalesce("bank_tenths", F.lit(0)).cast("bigint").alias("bank_tenths"))
-        .where(F.col("event_id").isNotNull())
+        .join(asked, "squad_id", "left")
+        .withColumn("_next", nxt)
+        .where(F.col("_next").isNotNull())
+        .select("squad_id", period.alias("event_id"), F.coalesce("bank_tenths", F.lit(0)).cast("bigint").alias("bank_tenths"))
     )
     return scores, requests
 
@@ -188,9 +211,11 @@ def _requests(store: TableStore, squads: DataFrame, bank_tenths: DataFrame) -> t
 def suggest_transfers(
     spark: SparkSession, store: TableStore, squads: DataFrame, bank_tenths: DataFrame, top_n: int = 10, preset: str = "cli"
 ) -> DataFrame:
-    """Suggestions for many squads against the next period in ``player_expected_points``.
+    """Suggestions for many squads, each for the period it asks for.
 
-    ``squads``: (squad_id, slot, player_id); ``bank_tenths``: (squad_id, bank_tenths).
+    ``squads``: (squad_id, slot, player_id); ``bank_tenths``: (squad_id,
+    bank_tenths) and, if callers name a period, ``event_id`` (NULL: the next
+    period in ``player_expected_points``).
     A squad without a feasible swap has one row with its current total and no
     rank. No stored scores → empty result.
     """
@@ -208,16 +233,25 @@ def answer_requests(
 ) -> DataFrame:
     """The service end to end: picks documents → request rules → suggestions → one document per accepted squad.
 
-    ``picks_docs``: (squad_id, payload); ``given_bank``: (squad_id, bank_million).
-    Returns ``squad_id, status, document``; squads that the rules refuse have
-    their status and no document.
+    ``picks_docs``: (squad_id, payload); ``given_bank``: what the caller sends,
+    (squad_id, bank_million) and, if named, the period ``event_id`` (NULL: the
+    next one). Returns ``squad_id, event_id, status, document``; squads that
+    the rules refuse have their status and no document.
     """
-    members, bank = payloads.squad_from_picks(picks_docs, ["squad_id"])
+    members, bank = payloads.squad_from_picks(payloads.parsed(picks_docs), ["squad_id"])
     asked = sq.suggestion_requests(members, bank, given_bank, store.read("player_expected_points"))
     ok = asked.where(F.col("status") == "ok")
     squads = members.join(ok.select("squad_id"), "squad_id", "left_semi").select("squad_id", F.col("pick_index").cast("int").alias("slot"), "player_id")
-    scores, requests = _requests(store, squads, ok.select("squad_id", "bank_tenths"))
+    money = ok.select("squad_id", "bank_tenths")
+    if "event_id" in given_bank.columns:
+        money = money.join(given_bank.select("squad_id", "event_id"), "squad_id", "left")
+    scores, requests = _requests(store, squads, money)
     players = store.read("players")
     current = sq.best_eleven(squads, players, scores, requests, "service")
     documents = sq.suggestion_documents(sq.service_suggestions(squads, players, scores, requests, top_n), current)
-    return asked.join(documents, "squad_id", "left").select("squad_id", "status", "document")
+    return asked.join(documents, "squad_id", "left").select("squad_id", "event_id", "status", "document")
+
+
+def publish_documents(answers: DataFrame, root: str) -> None:
+    """Write the answers of accepted squads as JSON Lines, one folder per period; a period written again is replaced alone."""
+    sq.write_documents(answers.where(F.col("status") == "ok").select("squad_id", "event_id", "document"), root)

@@ -1,8 +1,8 @@
-"""Which entities need refreshing, from an append-only ingestion log.
+"""Which entities need refreshing, from the table of last fetches.
 
-One aggregate over the log (last fetch per key), one left join to the
-candidates and one boolean column: no driver-side sets, and the clock
-(``as_of``) is always a parameter.
+One row per key, kept beside the ingestion log (or aggregated from the log
+where there is no such table), one left join to the candidates and one boolean
+column: no driver-side sets, and the clock (``as_of``) is always a parameter.
 """
 
 from __future__ import annotations
@@ -27,13 +27,18 @@ def top_candidates(players: DataFrame, n: int | None, by: str = "total_points",
 
 
 def last_fetch(log: DataFrame, prefix: str = "element-summary:") -> DataFrame:
-    """(player_id, last_fetched) from log rows whose key has the prefix and a valid id."""
+    """(player_id, last_fetched) of the keys that have the prefix and a valid id.
+
+    ``log`` is the table of last fetches, one row per key, or the ingestion log
+    itself. Keys that name the same id in other ways meet in the aggregate.
+    """
+    when = "last_fetched" if "last_fetched" in log.columns else "fetched_at_utc"
     return (
         log.where(F.col("request_key").startswith(prefix))
-        .select(key_id("request_key", prefix).alias("player_id"), "fetched_at_utc")
+        .select(key_id("request_key", prefix).alias("player_id"), F.col(when).alias("_when"))
         .where(F.col("player_id").isNotNull())
         .groupBy("player_id")
-        .agg(F.max("fetched_at_utc").alias("last_fetched"))
+        .agg(F.max("_when").alias("last_fetched"))
     )
 
 

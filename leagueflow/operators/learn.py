@@ -5,10 +5,19 @@ current snapshot and both teams' strengths; scoring rows are the same
 (player × next period) grid as the explainable formula. The model is a Spark
 ML ``Pipeline`` (``VectorAssembler`` → ``GBTRegressor``), so training and
 inference run distributed; inference is one ``transform`` over the grid.
+
+The fit sees each distinct feature vector once, with the mean of its labels
+and their number as weight. Squared loss splits by sums of labels and weights
+alone, in every boosting round, so the trees are those of the single rows; the
+error is measured on the single rows. Games outnumber the vectors more the
+longer they are collected: features are a player's snapshot, two strengths,
+side and difficulty.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -134,8 +143,28 @@ def in_validation(fraction: float, player: str = "player_id", game: str = "game_
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") < int(fraction * 2**32)
 
 
-def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0, max_iter: int = N_TREES):
-    """Fit the pipeline; returns (model, validation MAE, n_train, n_val).
+#: Vectors in a partition of the fit; every boosting round runs jobs over all of them, so few partitions cost little.
+VECTORS_PER_PARTITION = 100_000
+
+
+@dataclass(frozen=True)
+class Fit:
+    """A fitted pipeline, its error on the held-out rows, and what went in."""
+
+    model: PipelineModel
+    mae: float
+    n_train: int
+    n_val: int
+    n_vectors: int
+
+
+def weighted_vectors(rows: DataFrame) -> DataFrame:
+    """Distinct feature vectors with the mean label and the number of rows (``_weight``); summed before the shuffle."""
+    return rows.groupBy(*FEATURES).agg(F.avg(F.col(LABEL).cast("double")).alias(LABEL), F.count(F.lit(1)).cast("double").alias("_weight"))
+
+
+def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0, max_iter: int = N_TREES) -> Fit:
+    """Fit the pipeline on the rows that are not held out.
 
     The features are checkpointed once: the joins behind them run once, not
     for the counts, the fit and the evaluation each. Raises ``ValueError`` with
@@ -146,18 +175,20 @@ def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0,
     n_train, n_val = sizes.get(False, 0), sizes.get(True, 0)
     if n_train + n_val < MIN_ROWS:
         raise ValueError(f"not enough training rows ({n_train + n_val}); need at least {MIN_ROWS}: ingest history first")
-    train_df, val_df = rows.where(~F.col("_val")), rows.where("_val")
+    vectors = cut_lineage(weighted_vectors(rows.where(~F.col("_val"))))
+    n_vectors = vectors.count()
     pipe = Pipeline(
         stages=[
             VectorAssembler(inputCols=FEATURES, outputCol="_x"),
-            GBTRegressor(featuresCol="_x", labelCol=LABEL, maxIter=max_iter, maxDepth=MAX_DEPTH,
+            GBTRegressor(featuresCol="_x", labelCol=LABEL, weightCol="_weight", maxIter=max_iter, maxDepth=MAX_DEPTH,
                          stepSize=LEARNING_RATE, seed=seed),
         ]
     )
-    model = pipe.fit(train_df.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL)))
-    scored = model.transform(val_df.select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL)))
+    parts = -(-n_vectors // VECTORS_PER_PARTITION)
+    model = pipe.fit(vectors.coalesce(max(1, parts)))
+    scored = model.transform(rows.where("_val").select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL)))
     mae = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mae").evaluate(scored)
-    return model, mae, n_train, n_val
+    return Fit(model, mae, n_train, n_val, n_vectors)
 
 
 def save_model(model: PipelineModel, path: str) -> str:

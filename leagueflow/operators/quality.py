@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leagueflow.functions.casts import round2
-from leagueflow.sources.tables import fk_violations
+from leagueflow.sources.tables import Check, fk_violations
 
 
 class QualityError(RuntimeError):
@@ -69,6 +69,45 @@ def _stack(one_row: DataFrame, rows: list[list]) -> DataFrame:
     return one_row.select(F.inline(F.array(*structs)))
 
 
+def _null_checks(table: str) -> list[tuple[str, str]]:
+    return [(c, severity) for t, c, severity in NULL_CHECKS if t == table]
+
+
+def metrics(table: str, rules: Rules = Rules()) -> list:
+    """Everything one pass over a table has to count."""
+    out = [F.count(F.lit(1)).alias("total")]
+    out += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c, _ in _null_checks(table)]
+    if table == "player_match_history":
+        for name, c, lo, hi in (("bad_minutes", "minutes", rules.minutes_lo, rules.minutes_hi), ("bad_points", "total_points", rules.points_lo, rules.points_hi)):
+            out.append(F.count_if(F.col(c).isNotNull() & ((F.col(c) < lo) | (F.col(c) > hi))).alias(name))
+    return out
+
+
+def _checks(table: str, rules: Rules, whole_table: bool = True) -> list[list]:
+    """Report rows over the one row of :func:`metrics`; bounds on the number of rows hold for whole tables only."""
+    total = F.col("total")
+    rows = [_row("count", table, "info", total, None, F.lit(False))]
+    if table == "players" and whole_table:
+        rows.append(_row("row_count_range", table, "warn", total, None, total <= rules.min_players))
+    if table == "fixtures" and whole_table:
+        rows.append(_row("row_count_range", table, "warn", total, None, ~total.between(rules.fixtures_lo, rules.fixtures_hi)))
+    for c, severity in _null_checks(table):
+        n = F.col(f"null_{c}")
+        pct = round2(F.lit(100.0) * n.cast("double") / total.cast("double"))
+        # an empty table is skipped, like the source system does
+        rows.append(_row("null_pct", f"{table}.{c}", severity, F.when(total > 0, n), F.when(total > 0, pct),
+                         (total > 0) & (n > 0) & F.lit(severity == "error")))
+    if table == "player_match_history":
+        rows.append(_row("minutes_range", f"{table}.minutes", "error", F.col("bad_minutes"), None, F.col("bad_minutes") > 0))
+        rows.append(_row("points_range", f"{table}.total_points", "warn", F.col("bad_points"), None, F.col("bad_points") > 0))
+    return rows
+
+
+def _without_empty(report: DataFrame) -> DataFrame:
+    """NULL-check rows of empty tables are not reported."""
+    return report.where(~((F.col("check") == "null_pct") & F.col("n").isNull()))
+
+
 def quality_report(spark: SparkSession, tables: dict[str, DataFrame], rules: Rules = Rules()) -> DataFrame:
     """All checks over the given tables (missing core tables become hard errors)."""
     parts: list[DataFrame] = []
@@ -78,31 +117,7 @@ def quality_report(spark: SparkSession, tables: dict[str, DataFrame], rules: Rul
             spark.createDataFrame([("table_exists", t, "error", None, None, True) for t in missing], REPORT_SCHEMA)
         )
     for t in [t for t in CORE_TABLES if t in tables]:
-        df = tables[t]
-        aggs = [F.count(F.lit(1)).alias("total")]
-        nulls = [(c, sev) for tt, c, sev in NULL_CHECKS if tt == t]
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c, _ in nulls]
-        if t == "player_match_history":
-            mins, pts = F.col("minutes"), F.col("total_points")
-            aggs.append(F.count_if(mins.isNotNull() & ((mins < rules.minutes_lo) | (mins > rules.minutes_hi))).alias("bad_minutes"))
-            aggs.append(F.count_if(pts.isNotNull() & ((pts < rules.points_lo) | (pts > rules.points_hi))).alias("bad_points"))
-        a = df.agg(*aggs)
-        total = F.col("total")
-        rows = [_row("count", t, "info", total, None, F.lit(False))]
-        if t == "players":
-            rows.append(_row("row_count_range", t, "warn", total, None, total <= rules.min_players))
-        if t == "fixtures":
-            rows.append(_row("row_count_range", t, "warn", total, None, ~total.between(rules.fixtures_lo, rules.fixtures_hi)))
-        for c, sev in nulls:
-            n = F.col(f"null_{c}")
-            pct = round2(F.lit(100.0) * n.cast("double") / total.cast("double"))
-            # an empty table is skipped, like the source system does
-            rows.append(_row("null_pct", f"{t}.{c}", sev, F.when(total > 0, n), F.when(total > 0, pct),
-                             (total > 0) & (n > 0) & F.lit(sev == "error")))
-        if t == "player_match_history":
-            rows.append(_row("minutes_range", f"{t}.minutes", "error", F.col("bad_minutes"), None, F.col("bad_minutes") > 0))
-            rows.append(_row("points_range", f"{t}.total_points", "warn", F.col("bad_points"), None, F.col("bad_points") > 0))
-        parts.append(_stack(a, rows))
+        parts.append(_stack(tables[t].agg(*metrics(t, rules)), _checks(t, rules)))
     for child, fk, parent, name in (("players", "team_id", "teams", "players.team_id->teams.id"),
                                    ("fixtures", "event_id", "events", "fixtures.event_id->events.id")):
         if child in tables and parent in tables:
@@ -111,8 +126,28 @@ def quality_report(spark: SparkSession, tables: dict[str, DataFrame], rules: Rul
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # NULL-check rows of empty tables are not reported
-    return out.where(~((F.col("check") == "null_pct") & F.col("n").isNull()))
+    return _without_empty(out)
+
+
+class BatchGate(Check):
+    """Gate before a batch counts: the checks on its rows, from metrics that the writing pass observes.
+
+    Orphans are looked for before the write, and bounds on a table's number of
+    rows belong to the gate over whole tables. ``reports`` keeps the figures of
+    every batch, of refused ones too.
+    """
+
+    def __init__(self, spark: SparkSession, level: str = "hard", rules: Rules = Rules()):
+        if level not in LEVELS:
+            raise ValueError(f"unknown level {level}")
+        self._spark, self.level, self.rules = spark, level, rules
+        self.reports: dict[str, DataFrame] = {}
+        super().__init__(lambda t: metrics(t, rules) if t in CORE_TABLES else [], self._accept)
+
+    def _accept(self, table: str, seen: dict) -> None:
+        one = self._spark.createDataFrame([tuple(seen.values())], ", ".join(f"{c} bigint" for c in seen))
+        self.reports[table] = _without_empty(_stack(one, _checks(table, self.rules, whole_table=False)))
+        enforce(self.reports[table], self.level)
 
 
 def sample_anomalies(history: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -42,7 +42,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leagueflow.functions.casts import round2
@@ -603,4 +603,23 @@ def suggestion_documents(suggestions: DataFrame, current: DataFrame) -> DataFram
     none = F.array().cast(g.schema["_s"].dataType)
     s = F.transform(F.coalesce("_s", none), lambda x: x.dropFields("rank"))
     doc = F.struct("event_id", F.col("team_xpts").alias("current_team_xpts"), s.alias("suggestions"))
-    return current.join(g, "squad_id", "left").select("squad_id", F.to_json(doc).alias("document"))
+    return current.join(g, "squad_id", "left").select("squad_id", "event_id", F.to_json(doc).alias("document"))
+
+
+def write_documents(documents: DataFrame, root: str) -> None:
+    """JSON Lines ``{squad_id, document}`` under ``{root}/event_id={period}``.
+
+    Only the periods that ``documents`` has are replaced, so a run that is
+    repeated leaves what it left before and the other periods stay.
+    """
+    line = F.to_json(F.struct("squad_id", "document"))
+    documents.select(F.col("event_id").cast("bigint").alias("event_id"), line.alias("value")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("event_id").text(root)
+
+
+def read_documents(spark: SparkSession, root: str) -> DataFrame:
+    """``squad_id, event_id, document`` of everything that is published."""
+    lines = spark.read.schema("value string, event_id bigint").format("text").load(root)
+    d = F.from_json("value", "squad_id bigint, document string")
+    return lines.select(d.alias("d"), "event_id").select("d.squad_id", "event_id", "d.document")

@@ -6,6 +6,8 @@ is the plain role rows.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from leagueflow.functions import keys
@@ -480,7 +482,7 @@ def _store_proof(table: str):
     return q
 
 
-for _t in tables.KEYS:
+for _t in CHANGED:
     _store_proof(_t)
 
 
@@ -504,10 +506,21 @@ TOP_C = ("c AS (SELECT id AS player_id, CAST(row_number() OVER (ORDER BY total_p
          "FROM players ORDER BY total_points DESC NULLS LAST, id LIMIT 250)")
 
 
+def _logged(spark, sf) -> tables.TableStore:
+    """A store whose log has come in parts, the later first and one of them twice."""
+    from leagueflow.plans.proof_learn import _scratch
+
+    store = tables.TableStore(spark, _scratch(spark, "log"))
+    log, cut = role(spark, sf, "meta_ingestions"), F.lit(CUT).cast("timestamp_ntz")
+    parts = {"late": log.where(F.col("fetched_at_utc") >= cut), "early": log.where(F.col("fetched_at_utc") < cut)}
+    for name in ("late", "early", "late"):
+        store.log_fetches(parts[name], part=name)
+    return store
+
+
 def _sel(spark, sf, n, **kw):
-    r = _roles(spark, sf, "players", "meta_ingestions")
-    cands = incremental.top_candidates(r["players"], n)
-    return incremental.select_incremental(cands, r["meta_ingestions"], AS_OF, **kw)
+    cands = incremental.top_candidates(role(spark, sf, "players"), n)
+    return incremental.select_incremental(cands, _logged(spark, sf).read("last_fetches"), AS_OF, **kw)
 
 
 @proof("select_incremental", _sel_sql(ALL_C, 36, None))
@@ -532,30 +545,20 @@ def q_select_force(spark, sf):
 
 @proof("last_fetch", role_cte("meta_ingestions") + ", " + LAST_FETCH_SQL.strip() + "\nSELECT * FROM lf WHERE player_id IS NOT NULL")
 def q_last_fetch(spark, sf):
-    return incremental.last_fetch(role(spark, sf, "meta_ingestions"))
+    return incremental.last_fetch(_logged(spark, sf).read("last_fetches"))
 
 
 @proof(
     "log_append",
     role_cte("meta_ingestions")
-    + "SELECT endpoint, run_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT request_key) AS BIGINT) AS keys "
-    "FROM meta_ingestions GROUP BY endpoint, run_id",
+    + "SELECT endpoint, run_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT request_key) AS BIGINT) AS keys, "
+    "CAST(count(DISTINCT url) AS BIGINT) AS urls FROM meta_ingestions GROUP BY endpoint, run_id",
 )
 def q_log_append(spark, sf):
-    import uuid
-
-    from leagueflow.session import ensure_checkpoint_dir
-
-    # a fresh folder under the shared checkpoint location (never machine-local on a cluster)
-    root = ensure_checkpoint_dir(spark).rstrip("/") + "/log-" + uuid.uuid4().hex
-    store = tables.TableStore(spark, root)
-    log = role(spark, sf, "meta_ingestions")
-    cut = F.lit(CUT).cast("timestamp_ntz")
-    for name, part in (("a", log.where(F.col("fetched_at_utc") < cut)), ("b", log.where(F.col("fetched_at_utc") >= cut)), ("b", log.where(F.col("fetched_at_utc") >= cut))):
-        store.append("meta_ingestions", part, part=name)  # the last part twice, as a replay does
-        store.init()  # leaves what exists alone
+    store = _logged(spark, sf)
+    store.init()  # leaves what exists alone
     return store.read("meta_ingestions").groupBy("endpoint", "run_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("request_key").alias("keys")
+        F.count(F.lit(1)).alias("n"), F.countDistinct("request_key").alias("keys"), F.countDistinct("url").alias("urls")
     )
 
 
@@ -625,6 +628,28 @@ def q_dq_gate(spark, sf):
     return quality.gate_levels(quality.quality_report(spark, _dq_tables(spark, sf)))
 
 
+@proof(
+    "dq_before_publish",
+    DQ_ORACLE_PREFIX
+    + """
+SELECT report.*, NOT bool_or(failed AND severity = 'error') OVER (PARTITION BY split_part(subject, '.', 1)) AS published FROM report
+WHERE "check" NOT IN ('row_count_range', 'orphans', 'table_exists')""",
+)
+def q_dq_before_publish(spark, sf):
+    """The figures that the writing passes observe, and whether the table has its rows afterwards: one that fails has none."""
+    from leagueflow.plans.proof_learn import _scratch
+
+    store = tables.TableStore(spark, _scratch(spark, "publish"))
+    gate = quality.BatchGate(spark, "hard")
+    out = None
+    for table, rows in _dq_tables(spark, sf).items():
+        with contextlib.suppress(quality.QualityError):
+            store.upsert(table, rows, tables.KEYS[table], as_of=AS_OF, orphans="ignore", check=gate)
+        part = gate.reports[table].withColumn("published", F.lit(not store.read(table).isEmpty()))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @proof(
     "dq_missing_table",
     DQ_ORACLE_PREFIX

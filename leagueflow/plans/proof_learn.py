@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leagueflow.operators import learn, marts
@@ -17,7 +18,7 @@ from leagueflow.plans.proof import (
 from leagueflow.plans.proof_ingest import FUTURE_SQL, HISTORY_BODY, HISTORY_SQL, pick_docs
 from leagueflow.plans.proof_squads_sql import answers_sql, suggestion_docs_sql, suggestion_requests_sql
 from leagueflow.plans.roles import AS_OF, role, role_cte
-from leagueflow.session import ensure_checkpoint_dir
+from leagueflow.session import cut_lineage, ensure_checkpoint_dir
 from leagueflow.sources import payloads
 from leagueflow.sources.tables import TableStore
 from leagueflow.streaming import ingest
@@ -92,45 +93,76 @@ def q_score_features(spark, sf):
     return _score_features(spark, sf)
 
 
-# the oracle repeats the split, not the fit; the error only has to be a number
-@proof(
-    "train_mae",
-    role_cte("player_match_history", "fixtures", "players", "teams")
-    + """,
-kept AS (SELECT h.player_id, h.fixture_id_effective AS game_id FROM player_match_history h, fixtures f, players p
-         WHERE f.id = h.fixture_id_effective AND p.id = h.player_id AND h.total_points IS NOT NULL
-           AND f.team_h IS NOT NULL AND f.team_a IS NOT NULL AND p.team_id IN (SELECT id FROM teams)),
-split AS (SELECT CAST('0x' || substr(md5(CAST(player_id AS VARCHAR) || ':' || CAST(game_id AS VARCHAR)), 1, 8) AS BIGINT) < CAST(0.2 * 4294967296 AS BIGINT) AS val FROM kept)
-SELECT CAST(sum(CASE WHEN val THEN 0 ELSE 1 END) AS BIGINT) AS n_train, CAST(sum(CASE WHEN val THEN 1 ELSE 0 END) AS BIGINT) AS n_val, TRUE AS mae_is_finite FROM split""",
-)
+TRAIN_SQL = ORACLES["train_features"].rsplit("\nSELECT player_id, event_id, game_id", 1)
+SPLIT_SQL = f"""{TRAIN_SQL[0]},
+vectors AS (SELECT player_id, event_id, game_id{TRAIN_SQL[1]}),
+split AS (SELECT *, CAST('0x' || substr(md5(CAST(player_id AS VARCHAR) || ':' || CAST(game_id AS VARCHAR)), 1, 8) AS BIGINT) < CAST(0.2 * 4294967296 AS BIGINT) AS val FROM vectors)"""
+SIZES_SQL = f"""
+SELECT CAST(sum(CASE WHEN val THEN 0 ELSE 1 END) AS BIGINT) AS n_train, CAST(sum(CASE WHEN val THEN 1 ELSE 0 END) AS BIGINT) AS n_val,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT {', '.join(learn.FEATURES)} FROM split WHERE NOT val) AS v) AS n_vectors"""
+
+
+# the oracle repeats the split and the grouping, not the fit; train_step and score_ml check values
+@proof("train_mae", SPLIT_SQL + SIZES_SQL + ", TRUE AS mae_is_finite FROM split")
 def q_train_mae(spark, sf):
-    model, mae, n_train, n_val = learn.train(_train_features(spark, sf))
-    return spark.createDataFrame([(n_train, n_val, 0 <= float(mae) < float("inf"))], "n_train bigint, n_val bigint, mae_is_finite boolean")
+    fit = learn.train(_train_features(spark, sf))
+    return spark.createDataFrame([(fit.n_train, fit.n_val, fit.n_vectors, 0 <= float(fit.mae) < float("inf"))], "n_train bigint, n_val bigint, n_vectors bigint, mae_is_finite boolean")
+
+
+#: Labels with a known answer: points that depend on nothing but the difficulty. One split of one feature gives them exactly.
+EASY, HARD, STEP_AT = 6, 2, 2
+STEP_SQL = f"CASE WHEN difficulty <= {STEP_AT} THEN {D(EASY)} ELSE {D(HARD)} END"
+
 
+def _step_model(spark, sf):
+    step = F.when(F.col("difficulty") <= STEP_AT, F.lit(EASY)).otherwise(F.lit(HARD))
+    return learn.train(_train_features(spark, sf).withColumn(learn.LABEL, step))
 
-# the oracle has the grid and what holds for every prediction
-@proof("score_ml", ORACLES["score_features"].split("\nSELECT xm.player_id", 1)[0] + f"""
-SELECT xm.player_id, periods.event_id, {round2_sql('xm.xmins')} AS xmins, TRUE AS not_negative, TRUE AS app_is_zero, TRUE AS parts_add_up
-FROM xm CROSS JOIN periods""")
+
+@proof("train_step", SPLIT_SQL + SIZES_SQL + f", {D(0.0)} AS mae FROM split")
+def q_train_step(spark, sf):
+    """A model of labels with a known answer has no error at all."""
+    fit = _step_model(spark, sf)
+    return spark.createDataFrame([(fit.n_train, fit.n_val, fit.n_vectors, round(float(fit.mae), 9))], "n_train bigint, n_val bigint, n_vectors bigint, mae double")
+
+
+@proof("score_ml", f"""
+WITH grid AS ({ORACLES["score_features"]}),
+shares AS (SELECT *, {STEP_SQL} AS points,
+                  CASE WHEN coalesce(position, 0) IN (1, 2) THEN {D(0.4)} WHEN coalesce(position, 0) = 3 THEN {D(0.7)} ELSE {D(0.9)} END AS att_share,
+                  CASE WHEN coalesce(position, 0) IN (1, 2) THEN {D(0.6)} WHEN coalesce(position, 0) = 3 THEN {D(0.3)} ELSE {D(0.1)} END AS def_share
+           FROM grid)
+SELECT player_id, event_id, {round2_sql('xmins')} AS xmins, points AS xpts, {round2_sql('points * att_share')} AS xpts_att,
+       {round2_sql('points * def_share')} AS xpts_def, {D(0.0)} AS xpts_app FROM shares""")
 def q_score_ml(spark, sf):
-    model, _, _, _ = learn.train(_train_features(spark, sf))
+    """Trained, saved, loaded, applied to the grid: every predicted value against the known answer."""
     path = _scratch(spark, "model")
-    learn.save_model(model, path)
-    scored = learn.score(learn.load_model(spark, path), _score_features(spark, sf))
-    return scored.select(
-        "player_id", "event_id", "xmins", (F.col("xpts") >= 0).alias("not_negative"), (F.col("xpts_app") == 0).alias("app_is_zero"),
-        (F.abs(F.col("xpts_att") + F.col("xpts_def") - F.col("xpts")) < 0.011).alias("parts_add_up"),
-    )
+    learn.save_model(_step_model(spark, sf).model, path)
+    return learn.score(learn.load_model(spark, path), _score_features(spark, sf))
 
 
-def _streamed(spark, sf) -> TableStore:
-    """Bronze JSON Lines from the whole history and future tables → file stream → a fresh store."""
+def _streamed(spark, sf, prepare=None) -> TableStore:
+    """Bronze JSON Lines from the whole history and future tables → file stream → a store, fresh unless ``prepare`` fills it."""
     r = _roles(spark, sf, "player_match_history", "player_future_fixtures")
     root = _scratch(spark, "stream")
     lines = ingest.summary_lines(r["player_match_history"], r["player_future_fixtures"])
     lines.write.text(f"{root}/bronze")
-    ingest.ingest_stream(spark, f"{root}/bronze", f"{root}/silver", f"{root}/_checkpoint", files_per_batch=2)
-    return TableStore(spark, f"{root}/silver")
+    store = TableStore(spark, f"{root}/silver")
+    if prepare:
+        prepare(store)
+    ingest.ingest_stream(spark, f"{root}/bronze", store.root, f"{root}/_checkpoint", files_per_batch=2)
+    return store
+
+
+@proof("stream_orphans", f"""{role_cte("player_match_history")}, all_rows AS ({HISTORY_BODY})
+SELECT * FROM all_rows WHERE player_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)""")
+def q_stream_orphans(spark, sf):
+    """The stream over a store that lacks every fifth player: what has no player is set aside."""
+    def players(store):
+        known = role(spark, sf, "players").where("id % 5 <> 0")
+        store.upsert("players", known, ["id"], as_of=AS_OF, orphans="ignore")
+
+    return _streamed(spark, sf, players).read("player_match_history").drop("ingested_at_utc")
 
 
 @proof("ingest_stream", HISTORY_SQL)
@@ -164,14 +196,14 @@ def _given_bank(squads):
     return squads.select("squad_id", given.alias("bank_million"))
 
 
-@proof("suggestion_requests", suggestion_requests_sql())
-def q_suggestion_requests(spark, sf):
-    members, bank = payloads.squad_from_picks(pick_docs(spark, sf), ["squad_id"])
-    return sq.suggestion_requests(members, bank, _given_bank(bank), role(spark, sf, "squad_scores"))
+def _sent(docs, scores):
+    """Money and period that the callers send: half of them name no period, the others one of the two after the next."""
+    nxt = marts.next_period_id(scores).scalar()
+    named = F.when(F.col("squad_id") % 4 == 2, nxt + 1).when(F.col("squad_id") % 4 == 3, nxt + 2)
+    return _given_bank(docs).withColumn("event_id", named)
 
 
-@proof("service_answers", answers_sql(TOP_N))
-def q_service_answers(spark, sf):
+def _service(spark, sf) -> tuple[TableStore, DataFrame]:
     """Picks documents → request rules → suggestions → response documents, over a store."""
     from leagueflow import jobs
 
@@ -180,10 +212,43 @@ def q_service_answers(spark, sf):
     store.upsert("players", r["squad_players"], ["id"], as_of=AS_OF, orphans="ignore")
     store.upsert("player_expected_points", r["squad_scores"], ["player_id"], as_of=AS_OF, orphans="ignore")
     docs = pick_docs(spark, sf)
-    answers = jobs.answer_requests(spark, store, docs, _given_bank(docs), TOP_N)
-    parsed = answers.withColumn("d", F.from_json("document", DOCUMENT))
-    listed = parsed.select("squad_id", "status", "d.event_id", "d.current_team_xpts", F.posexplode_outer("d.suggestions").alias("pos", "s"))
-    return listed.select("squad_id", "status", "event_id", "current_team_xpts", "pos", "s.out_player_id", "s.in_player_id", "s.team_xpts_delta", "s.cost_delta_million")
+    return store, jobs.answer_requests(spark, store, docs, _sent(docs, r["squad_scores"]), TOP_N)
+
+
+ANSWER = ["squad_id", "status", "event_id", "current_team_xpts", "pos", "out_player_id", "in_player_id", "team_xpts_delta", "cost_delta_million"]
+
+
+def _listed(answers):
+    parsed = answers.drop("event_id").withColumn("d", F.from_json("document", DOCUMENT))
+    return parsed.select("squad_id", "status", "d.event_id", "d.current_team_xpts", F.posexplode_outer("d.suggestions").alias("pos", "s")).select(
+        "squad_id", "status", "event_id", "current_team_xpts", "pos", "s.*"
+    ).select(*ANSWER)
+
+
+@proof("suggestion_requests", suggestion_requests_sql())
+def q_suggestion_requests(spark, sf):
+    members, bank = payloads.squad_from_picks(pick_docs(spark, sf), ["squad_id"])
+    return sq.suggestion_requests(members, bank, _given_bank(bank), role(spark, sf, "squad_scores"))
+
+
+@proof("service_answers", answers_sql(TOP_N))
+def q_service_answers(spark, sf):
+    return _listed(_service(spark, sf)[1])
+
+
+@proof("documents_sink", answers_sql(TOP_N) + "\nWHERE q.status = 'ok'")
+def q_documents_sink(spark, sf):
+    """Published, one period published again with other content and then as it was, read back."""
+    from leagueflow import jobs
+
+    root = _scratch(spark, "documents")
+    _, answers = _service(spark, sf)
+    answers = cut_lineage(answers)
+    jobs.publish_documents(answers, root)
+    last = answers.where(F.col("event_id") == answers.agg(F.max("event_id")).scalar())
+    jobs.publish_documents(last.withColumn("document", F.lit("{}")), root)
+    jobs.publish_documents(last, root)
+    return _listed(sq.read_documents(spark, root).withColumn("status", F.lit("ok")))
 
 
 # players whose team is unknown are set aside on the way in, so they have no scores
@@ -226,6 +291,18 @@ def q_scores_refresh(spark, sf):
     return store.read("player_expected_points").drop("computed_at_utc")
 
 
+def _registered(spark, sf, view: str) -> DataFrame:
+    """What SQL on the session sees under the name of a registered view."""
+    r = _roles(spark, sf, "players", "teams", "element_types", "fixtures", "events", "player_match_history")
+    r["player_expected_points"] = _xpts_frame(spark, sf, AS_OF)
+    marts.register_marts(r)
+    return spark.sql(f"SELECT * FROM {view}")
+
+
+for _view, _row in (("v_player_latest", "player_latest"), ("v_fixture_upcoming", "fixture_upcoming"), ("v_player_form", "form_last5"), ("v_player_xpts_next", "xpts_next")):
+    proof(f"registered_{_row}", ORACLES[_row])(lambda spark, sf, view=_view: _registered(spark, sf, view))
+
+
 @proof(
     "marts_registered",
     role_cte("players", "teams", "element_types", "fixtures", "events", "player_match_history")
@@ -249,19 +326,61 @@ def q_marts_registered(spark, sf):
     return out
 
 
-@proof("bronze_roundtrip", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def q_bronze_roundtrip(spark, sf):
-    """Events as fetches → bronze JSON Lines (partitioned) → envelope parse → payload field back."""
+def _bronze(spark, sf) -> str:
+    """Events as fetches → bronze JSON Lines, partitioned."""
     from leagueflow.plans.roles import read_table
 
     root = _scratch(spark, "bronze")
     ev = read_table(spark, sf, "events")
     fetches = ev.select(
-        F.lit("element-summary").alias("endpoint"),
+        F.when(F.col("event_id") % 7 == 0, F.lit("fixtures")).otherwise(F.lit("element-summary")).alias("endpoint"),
         F.concat(F.lit("element-summary:"), F.col("event_id").cast("string")).alias("request_key"),
         F.col("ts").alias("fetched_at_utc"),
+        F.concat(F.lit(pi.BASE), F.lit("element-summary/"), F.col("event_id").cast("string"), F.lit("/")).alias("url"),
         F.col("props").alias("payload"),
     )
     payloads.write_bronze(fetches, root)
-    env = ingest.envelope(spark.read.text(root))
+    return root
+
+
+@proof("bronze_roundtrip", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q_bronze_roundtrip(spark, sf):
+    """Bronze files → envelope parse → payload field back."""
+    env = ingest.envelope(payloads.read_bronze(spark, _bronze(spark, sf)))
     return env.select(F.col("player_id").alias("event_id"), F.get_json_object("payload", "$.k").cast("bigint").alias("k"))
+
+
+FIRST_DAY, LAST_DAY = "2024-01-05", "2024-01-20"
+IN_PATH = r"/endpoint=([^/]*)/fetch_date=([^/]*)/[^/]+$"
+
+
+@proof(
+    "bronze_lineage",
+    f"""
+SELECT event_id, 'element-summary' AS endpoint, strftime(ts, '%Y-%m-%d') AS fetch_date, '{pi.BASE}element-summary/' || CAST(event_id AS VARCHAR) || '/' AS url,
+       TRUE AS written_before_now
+FROM events WHERE event_id % 7 <> 0 AND strftime(ts, '%Y-%m-%d') BETWEEN '{FIRST_DAY}' AND '{LAST_DAY}'""",
+)
+def q_bronze_lineage(spark, sf):
+    """One endpoint and some days of the bronze files, with the file of every fetch; endpoint and day come from its path."""
+    lines = payloads.read_bronze(spark, _bronze(spark, sf), "element-summary", FIRST_DAY, LAST_DAY)
+    env = ingest.envelope(lines)
+    path = F.col("payload_path")
+    times = lines.agg(F.max("file_time_utc") <= F.to_timestamp_ntz(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))).scalar()
+    return env.select(F.col("player_id").alias("event_id"), F.regexp_extract(path, IN_PATH, 1).alias("endpoint"), F.regexp_extract(path, IN_PATH, 2).alias("fetch_date"), "url", times.alias("written_before_now"))
+
+
+@proof(
+    "log_lineage",
+    f"""
+SELECT 'element-summary:' || CAST(event_id AS VARCHAR) AS request_key, 'element-summary' AS endpoint, ts_s AS fetched_at_utc,
+       '{pi.BASE}element-summary/' || CAST(event_id AS VARCHAR) || '/' AS url, strftime(ts_s, '%Y-%m-%d') AS path_day,
+       sha256('{{"k":' || json_extract_string(props, '$.k') || '}}') AS payload_sha256
+FROM (SELECT *, date_trunc('second', ts) AS ts_s FROM events) AS e WHERE event_id % 7 <> 0""",
+)
+def q_log_lineage(spark, sf):
+    """A stream over one endpoint of the bronze files: its log says where every fetch came from and lies."""
+    root = _bronze(spark, sf)
+    ingest.ingest_stream(spark, root, f"{root}-silver", f"{root}-checkpoint", files_per_batch=64, endpoint="element-summary")
+    log = TableStore(spark, f"{root}-silver").read("meta_ingestions")
+    return log.select("request_key", "endpoint", "fetched_at_utc", "url", F.regexp_extract("payload_path", IN_PATH, 2).alias("path_day"), "payload_sha256")

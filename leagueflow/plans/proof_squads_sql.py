@@ -19,6 +19,10 @@ K = 5  # deepest prefix any formation needs
 GIVEN_BANK = "CASE s.squad_id % 3 WHEN 0 THEN coalesce(b.bank_tenths, 0) WHEN 1 THEN 12 ELSE 14 END"
 
 
+#: Periods that the callers of the proof name, by how far they are from the next one: squads of the first kind name none.
+ASKED_PERIODS = {0: "squad_id % 4 < 2", 1: "squad_id % 4 = 2", 2: "squad_id % 4 = 3"}
+
+
 def _base(preset: str, bank: str = "coalesce(b.bank_tenths, 0)") -> str:
     info_where = "now_cost IS NOT NULL" + (
         " AND element_type_id IS NOT NULL AND team_id IS NOT NULL" if preset == "cli" else ""
@@ -224,11 +228,18 @@ SELECT squad_id, 'service' AS rules, CAST(row_number() OVER (PARTITION BY squad_
     return f"SELECT * FROM ({capped}) AS a UNION ALL SELECT * FROM ({free}) AS b"
 
 
+def _later(sql: str, periods: int) -> str:
+    """The same question about a later period, for the squads that ask for it."""
+    mine = f"squads AS (SELECT * FROM all_squads WHERE {ASKED_PERIODS[periods]}),\nnxt AS (SELECT min(event_id) + {periods} AS event_id FROM squad_scores),"
+    return sql.replace("squads AS (", "all_squads AS (").replace("nxt AS (SELECT min(event_id) AS event_id FROM squad_scores),", mine)
+
+
 def answers_sql(top_n: int) -> str:
-    """Requests by their rules: squads of 15 get their documents with the money that the rules give them."""
+    """Requests by their rules: squads of 15 get their documents, for the period they name, with the money that the rules give them."""
+    docs = " UNION ALL ".join(f"SELECT * FROM ({_later(suggestion_docs_sql(top_n, GIVEN_BANK), k)}) AS d{k}" for k in ASKED_PERIODS)
     return f"""
 SELECT q.squad_id, q.status, d.event_id, d.current_team_xpts, d.pos, d.out_player_id, d.in_player_id, d.team_xpts_delta, d.cost_delta_million
-FROM ({suggestion_requests_sql()}) AS q LEFT JOIN ({suggestion_docs_sql(top_n, GIVEN_BANK)}) AS d ON d.squad_id = q.squad_id AND q.status = 'ok'"""
+FROM ({suggestion_requests_sql()}) AS q LEFT JOIN ({docs}) AS d ON d.squad_id = q.squad_id AND q.status = 'ok'"""
 
 
 def suggestion_docs_sql(top_n: int, bank: str = "coalesce(b.bank_tenths, 0)") -> str:

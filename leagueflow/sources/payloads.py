@@ -1,24 +1,25 @@
 """Bronze JSON documents → typed silver rows.
 
-Documents are rows ``(key columns..., payload STRING)``. Every JSON leaf is
-read as STRING with a constant schema (numbers arrive as numbers or as
-strings), then safe-cast; a missing or null array yields no rows. All parsing
-is ``from_json`` + ``explode``/``posexplode`` + column expressions.
+Documents are rows ``(key columns..., payload)``, the payload as text or, if
+it has been parsed already (:func:`parsed`), as VARIANT; a job parses a document
+once and fans the variant out to its tables. Every leaf is read as STRING
+(numbers arrive as numbers or as strings), then safe-cast. A missing or null
+array, one with an element that is no object, and a document that is no JSON or
+repeats a key yield no rows.
+
+Bronze files hold one fetch per line; readers keep the file and its time with
+each line, and prune by the partition folders ``endpoint`` and ``fetch_date``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, VariantType
 
 from leagueflow.functions.casts import safe_bool, safe_float, safe_int, safe_ts_utc
 
 
-def _obj(*names: str) -> StructType:
-    return StructType([StructField(n, StringType()) for n in names])
-
-
 # Field names of the source API's documents.
 TEAM_FIELDS = ("id", "name", "short_name", "strength")
 POSITION_FIELDS = ("id", "singular_name_short", "singular_name", "squad_select")
@@ -39,31 +40,31 @@ ENTRY_FIELDS = ("bank", "value", "event_transfers", "event_transfers_cost")
 CURRENT_FIELDS = ("event", "points", "total_points", "rank", "event_transfers", "event_transfers_cost", "value", "points_on_bench")
 PAST_FIELDS = ("season_name", "total_points", "rank")
 
-BOOTSTRAP_SCHEMA = StructType(
-    [
-        StructField("teams", ArrayType(_obj(*TEAM_FIELDS))),
-        StructField("element_types", ArrayType(_obj(*POSITION_FIELDS))),
-        StructField("events", ArrayType(_obj(*EVENT_FIELDS))),
-        StructField("elements", ArrayType(_obj(*ELEMENT_FIELDS))),
-    ]
-)
-FIXTURES_SCHEMA = ArrayType(_obj(*FIXTURE_FIELDS))
-SUMMARY_SCHEMA = StructType(
-    [StructField("history", ArrayType(_obj(*HISTORY_FIELDS))), StructField("fixtures", ArrayType(_obj(*FUTURE_FIELDS)))]
-)
-PICKS_SCHEMA = StructType([StructField("picks", ArrayType(_obj(*PICK_FIELDS))), StructField("entry_history", _obj(*ENTRY_FIELDS))])
-ENTRY_HISTORY_SCHEMA = StructType(
-    [StructField("current", ArrayType(_obj(*CURRENT_FIELDS))), StructField("past", ArrayType(_obj(*PAST_FIELDS)))]
-)
+#: Elements of an array in a document, with their leaves unread.
+_ELEMENTS = "array<map<string,variant>>"
+
+
+def parsed(docs: DataFrame, payload: str = "payload") -> DataFrame:
+    """Documents whose payload is a VARIANT: one parse, whatever is read from it afterwards."""
+    return docs.withColumn(payload, _document(docs, payload))
+
 
+def _document(docs: DataFrame, payload: str) -> Column:
+    return F.col(payload) if isinstance(docs.schema[payload].dataType, VariantType) else F.try_parse_json(F.col(payload))
 
-def _items(docs: DataFrame, payload: str, schema, field: str | None, keep: list[str]) -> DataFrame:
-    doc = F.from_json(F.col(payload), schema)
-    if field is None:  # the document itself is the array; an object would be read as an array of one
-        doc = F.when(F.ltrim(F.col(payload)).startswith("["), doc)
-    parsed = docs.select(*keep, doc.alias("_doc"))
-    arr = F.col("_doc") if field is None else F.col(f"_doc.{field}")
-    return parsed.select(*keep, F.posexplode(arr).alias("_i", "_e"))
+
+def _leaf(docs: DataFrame, payload: str, path: str) -> Column:
+    return F.try_variant_get(_document(docs, payload), path, "string")
+
+
+def _array(docs: DataFrame, payload: str, field: str | None) -> Column:
+    """The array of objects in a field, or the document itself if it is one."""
+    found = F.try_variant_get(_document(docs, payload), "$" if field is None else f"$.{field}", _ELEMENTS)
+    return F.when(F.forall(found, lambda x: x.isNotNull()), found)  # what is no object has become NULL
+
+
+def _items(docs: DataFrame, payload: str, field: str | None, keep: list[str]) -> DataFrame:
+    return docs.select(*keep, F.posexplode(_array(docs, payload, field)).alias("_i", "_e"))
 
 
 def _kept(keep: list[str] | None, pos: str | None) -> list[Column]:
@@ -71,13 +72,17 @@ def _kept(keep: list[str] | None, pos: str | None) -> list[Column]:
     return [F.col(c) for c in keep or []] + ([F.col("_i").cast("int").alias(pos)] if pos else [])
 
 
+def _text(element: Column, name: str) -> Column:
+    return F.try_variant_get(element[name], "$", "string")
+
+
 def _e(name: str) -> Column:
-    return F.col(f"_e.{name}")
+    return _text(F.col("_e"), name)
 
 
 def parse_teams(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
-    return _items(docs, payload, BOOTSTRAP_SCHEMA, "teams", k).select(
+    return _items(docs, payload, "teams", k).select(
         *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("name").alias("name"), _e("short_name").alias("short_name"),
         safe_int(_e("strength"), "int").alias("strength"),
     )
@@ -85,7 +90,7 @@ def parse_teams(docs: DataFrame, payload: str = "payload", keep: list[str] | Non
 
 def parse_positions(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
-    return _items(docs, payload, BOOTSTRAP_SCHEMA, "element_types", k).select(
+    return _items(docs, payload, "element_types", k).select(
         *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("singular_name_short").alias("singular_name_short"),
         _e("singular_name").alias("singular_name"), safe_int(_e("squad_select"), "int").alias("squad_select"),
     )
@@ -93,7 +98,7 @@ def parse_positions(docs: DataFrame, payload: str = "payload", keep: list[str] |
 
 def parse_events(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
-    return _items(docs, payload, BOOTSTRAP_SCHEMA, "events", k).select(
+    return _items(docs, payload, "events", k).select(
         *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("name").alias("name"), safe_ts_utc(_e("deadline_time")).alias("deadline_time"),
         safe_bool(_e("finished")).alias("finished"), safe_bool(_e("is_current")).alias("is_current"),
         safe_bool(_e("is_next")).alias("is_next"),
@@ -106,7 +111,7 @@ def parse_players(docs: DataFrame, payload: str = "payload", keep: list[str] | N
     ints = {"minutes": "int", "total_points": "int", "now_cost": "int"}
     floats = ("selected_by_percent", "form", "points_per_game", "expected_goals", "expected_assists",
               "expected_goal_involvements", "expected_goals_conceded")
-    return _items(docs, payload, BOOTSTRAP_SCHEMA, "elements", k).select(
+    return _items(docs, payload, "elements", k).select(
         *_kept(k, pos),
         safe_int(_e("id")).alias("id"),
         _e("web_name").alias("web_name"),
@@ -125,7 +130,7 @@ def parse_players(docs: DataFrame, payload: str = "payload", keep: list[str] | N
 def parse_fixtures(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     """Top-level array of fixtures; ``event``→event_id."""
     k = keep or []
-    return _items(docs, payload, FIXTURES_SCHEMA, None, k).select(
+    return _items(docs, payload, None, k).select(
         *_kept(k, pos),
         safe_int(_e("id")).alias("id"),
         safe_int(_e("event")).alias("event_id"),
@@ -152,7 +157,7 @@ def parse_history(
     position (0-based) feeds the synthetic key of games without a fixture id.
     """
     k = [player] + (keep or [])
-    rows = _items(docs, payload, SUMMARY_SCHEMA, "history", k)
+    rows = _items(docs, payload, "history", k)
     fid = safe_int(_e("fixture"))
     eid = safe_int(_e("round"))
     ints = ("minutes", "total_points", "goals_scored", "assists", "clean_sheets", "goals_conceded")
@@ -172,7 +177,7 @@ def parse_future(
 ) -> DataFrame:
     """``fixtures`` of a per-player document → upcoming fixtures of that player."""
     k = [player] + (keep or [])
-    return _items(docs, payload, SUMMARY_SCHEMA, "fixtures", k).select(
+    return _items(docs, payload, "fixtures", k).select(
         *_kept(k, pos),
         safe_int(_e("id")).alias("fixture_id"),
         safe_int(_e("event")).alias("event_id"),
@@ -185,7 +190,7 @@ def parse_future(
 
 def parse_picks(docs: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """Squad picks in document order; vice-captain also flags ``multiplier = 0``."""
-    rows = _items(docs, payload, PICKS_SCHEMA, "picks", keep)
+    rows = _items(docs, payload, "picks", keep)
     vice = F.coalesce(safe_bool(_e("is_vice_captain")), F.lit(False)) | F.coalesce(
         safe_int(_e("multiplier")) == 0, F.lit(False)
     )
@@ -201,10 +206,7 @@ def parse_picks(docs: DataFrame, keep: list[str], payload: str = "payload") -> D
 
 def parse_entry(docs: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """``entry_history`` of a picks document: bank, value, transfers (raw ints)."""
-    doc = docs.select(*keep, F.from_json(F.col(payload), PICKS_SCHEMA).alias("_doc"))
-    return doc.select(
-        *keep, *[safe_int(F.col(f"_doc.entry_history.{f}")).alias(f) for f in ENTRY_FIELDS]
-    )
+    return docs.select(*keep, *[safe_int(_leaf(docs, payload, f"$.entry_history.{f}")).alias(f) for f in ENTRY_FIELDS])
 
 
 def squad_from_picks(docs: DataFrame, keep: list[str], payload: str = "payload") -> tuple[DataFrame, DataFrame]:
@@ -213,19 +215,18 @@ def squad_from_picks(docs: DataFrame, keep: list[str], payload: str = "payload")
     picks = parse_picks(docs, keep, payload).where(F.col("element").isNotNull())
     w_keep = keep
     members = picks.select(*w_keep, "pick_index", F.col("element").alias("player_id"))
-    doc = docs.select(*keep, F.from_json(F.col(payload), PICKS_SCHEMA).alias("_doc"))
-    raw = F.trim(F.col("_doc.entry_history.bank"))
+    raw = F.trim(_leaf(docs, payload, "$.entry_history.bank"))
     bank_int = F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("bigint"))
-    bank = doc.select(*keep, F.coalesce(bank_int.cast("double") / F.lit(10.0), F.lit(0.0)).alias("bank_million"))
+    bank = docs.select(*keep, F.coalesce(bank_int.cast("double") / F.lit(10.0), F.lit(0.0)).alias("bank_million"))
     return members, bank
 
 
 def parse_entry_history(docs: DataFrame, keep: list[str], payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(current gameweeks, past seasons) of an entry history document."""
-    cur = _items(docs, payload, ENTRY_HISTORY_SCHEMA, "current", keep).select(
+    cur = _items(docs, payload, "current", keep).select(
         *keep, F.col("_i").cast("int").alias("idx"), *[safe_int(_e(f)).alias(f) for f in CURRENT_FIELDS]
     )
-    past = _items(docs, payload, ENTRY_HISTORY_SCHEMA, "past", keep).select(
+    past = _items(docs, payload, "past", keep).select(
         *keep, F.col("_i").cast("int").alias("idx"), _e("season_name").alias("season_name"),
         safe_int(_e("total_points")).alias("total_points"), safe_int(_e("rank")).alias("rank"),
     )
@@ -234,17 +235,17 @@ def parse_entry_history(docs: DataFrame, keep: list[str], payload: str = "payloa
 
 def entry_summary(docs: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """Per document: latest gameweek (last array element) and number of past seasons."""
-    doc = docs.select(*keep, F.from_json(F.col(payload), ENTRY_HISTORY_SCHEMA).alias("_doc"))
-    last = F.element_at(F.col("_doc.current"), -1)
+    doc = docs.select(*keep, _array(docs, payload, "current").alias("_current"), _array(docs, payload, "past").alias("_past"))
+    last = F.try_element_at(F.col("_current"), F.lit(-1))
     return doc.select(
         *keep,
-        F.coalesce(F.size(F.col("_doc.current")), F.lit(0)).cast("int").alias("n_current"),
-        safe_int(last["event"]).alias("latest_event"),
-        safe_int(last["points"]).alias("latest_points"),
-        safe_int(last["total_points"]).alias("latest_total_points"),
-        safe_int(last["value"]).alias("latest_value"),
-        safe_int(last["event_transfers"]).alias("latest_event_transfers"),
-        F.greatest(F.coalesce(F.size(F.col("_doc.past")), F.lit(0)), F.lit(0)).cast("int").alias("n_past"),
+        F.coalesce(F.size("_current"), F.lit(0)).cast("int").alias("n_current"),
+        safe_int(_text(last, "event")).alias("latest_event"),
+        safe_int(_text(last, "points")).alias("latest_points"),
+        safe_int(_text(last, "total_points")).alias("latest_total_points"),
+        safe_int(_text(last, "value")).alias("latest_value"),
+        safe_int(_text(last, "event_transfers")).alias("latest_event_transfers"),
+        F.greatest(F.coalesce(F.size("_past"), F.lit(0)), F.lit(0)).cast("int").alias("n_past"),
     )
 
 
@@ -257,28 +258,58 @@ def parse_id_list(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     )
 
 
+#: A line of a bronze file: one fetch.
+ENVELOPE = StructType([StructField(n, StringType()) for n in ("request_key", "fetched_at_utc", "url", "payload")])
+
+
 def write_bronze(fetches: DataFrame, root: str) -> None:
     """Append raw fetches as JSON Lines partitioned by endpoint and fetch date.
 
-    ``fetches``: (endpoint, request_key, fetched_at_utc, payload). Many fetches
-    share a file (no small-file explosion); partition folders keep per-endpoint
-    and per-day reads pruned. The per-fetch file path of the source system is
-    available as :func:`leagueflow.functions.keys.bronze_path` for lineage.
+    ``fetches``: (endpoint, request_key, fetched_at_utc, payload) and, where
+    known, url. Many fetches share a file (no small-file explosion); partition
+    folders keep per-endpoint and per-day reads pruned. The per-fetch file path
+    of the source system is available as
+    :func:`leagueflow.functions.keys.bronze_path`.
     """
+    url = F.col("url") if "url" in fetches.columns else F.lit(None).cast("string").alias("url")
+    line = F.struct("request_key", F.date_format("fetched_at_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at_utc"), url, "payload")
     (
         fetches.withColumn("fetch_date", F.date_format("fetched_at_utc", "yyyy-MM-dd"))
-        .select(
-            "endpoint",
-            "fetch_date",
-            F.to_json(
-                F.struct(
-                    "request_key",
-                    F.date_format("fetched_at_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at_utc"),
-                    F.col("payload"),
-                )
-            ).alias("value"),
-        )
+        .select("endpoint", "fetch_date", F.to_json(line).alias("value"))
         .write.mode("append")
         .partitionBy("endpoint", "fetch_date")
         .text(root)
     )
+
+
+#: Partition folders of a bronze root, stated so that no reader has to look for them.
+BRONZE_SCHEMA = "value string, endpoint string, fetch_date string"
+
+
+def _with_file(lines: DataFrame) -> DataFrame:
+    """Lines with the file they are in and its modification time, as UTC."""
+    return lines.select("*", F.col("_metadata.file_path").alias("payload_path"), F.to_timestamp_ntz(F.to_utc_timestamp(F.col("_metadata.file_modification_time"), F.current_timezone())).alias("file_time_utc"))
+
+
+def _pruned(lines: DataFrame, endpoint: str | None, first_day: str | None, last_day: str | None) -> DataFrame:
+    if endpoint is not None:
+        lines = lines.where(F.col("endpoint") == endpoint)
+    if first_day is not None:
+        lines = lines.where(F.col("fetch_date") >= first_day)
+    return lines if last_day is None else lines.where(F.col("fetch_date") <= last_day)
+
+
+def read_bronze(spark: SparkSession, root: str, endpoint: str | None = None, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """Lines of bronze files: ``value, endpoint, fetch_date, payload_path, file_time_utc``.
+
+    Only the folders of the endpoint and of the days (both ends included) are listed.
+    """
+    return _with_file(_pruned(spark.read.schema(BRONZE_SCHEMA).format("text").load(root), endpoint, first_day, last_day))
+
+
+def stream_bronze(spark: SparkSession, root: str, files_per_batch: int = 20, endpoint: str | None = None) -> DataFrame:
+    """The same lines as a stream of new files; a root without partition folders is read whole."""
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
+    if endpoint is None:
+        return _with_file(lines.load(root))
+    return _with_file(_pruned(lines.schema(BRONZE_SCHEMA).load(root), endpoint, None, None))

@@ -9,7 +9,13 @@ row per key; :meth:`TableStore.compact` folds buckets with many deltas into a
 base, ``{table}/base={seq}-{id}/_bucket={k}``, that stands for everything
 before it in the buckets it has. Folders are never overwritten, their names
 are unique, and one counts only once its ``_SUCCESS`` marker exists, so a
-failed or repeated write does no harm and two writers cannot collide.
+failed or repeated write does no harm and two writers cannot collide. What a
+base stands for stays on disk for readers that have begun, until
+:meth:`TableStore.remove_superseded`.
+
+A keyed table carries a descriptor, ``{table}/_descriptor``, written when it is
+created: columns, key and number of buckets. Every later writer goes by it,
+whatever number it was opened with; another key or other columns are an error.
 
 Append-only tables are folders of parts, ``{table}/part={name}``; writing a
 part of the same name again (a replayed batch) replaces that part alone.
@@ -17,10 +23,12 @@ part of the same name again (a replayed batch) replaces that part alone.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,
@@ -65,6 +73,7 @@ SCHEMAS: dict[str, StructType] = {
                                  ("opponent_team", L), ("kickoff_time", T), ("difficulty", I), ("ingested_at_utc", T)),
     "player_expected_points": _s(("player_id", L), ("event_id", L), ("xmins", D), ("xpts", D), ("xpts_att", D),
                                  ("xpts_def", D), ("xpts_app", D), ("computed_at_utc", T)),
+    "last_fetches": _s(("request_key", S), ("endpoint", S), ("last_fetched", T)),
 }
 
 KEYS: dict[str, list[str]] = {
@@ -76,9 +85,13 @@ KEYS: dict[str, list[str]] = {
     "player_match_history": ["player_id", "fixture_id_effective"],
     "player_future_fixtures": ["player_id", "fixture_id"],
     "player_expected_points": ["player_id", "event_id"],
+    "last_fetches": ["request_key"],
 }
 
-STAMP = {t: ("computed_at_utc" if t == "player_expected_points" else "ingested_at_utc") for t in KEYS}
+#: Columns whose largest value wins for a key, whichever delta it came with; other tables go by the delta alone.
+GREATEST = {"last_fetches": ["last_fetched"]}
+
+STAMP = {t: ("computed_at_utc" if t == "player_expected_points" else "ingested_at_utc") for t in KEYS if t != "last_fetches"}
 
 # (child table, child column, parent table, parent column)
 FOREIGN_KEYS = [
@@ -157,15 +170,25 @@ def all_orphans(tables: dict[str, DataFrame]) -> DataFrame:
 # ------------------------------------------------------------------ table store
 _FOLDER = re.compile(r"^(delta|base)=(\d{10}-[0-9a-f]{8})$")
 _SEQ = StructField("_seq", StringType())
+#: Folders that make up a bucket before a job compacts it.
+MOST_DELTAS = 16
+
+
+class DescriptorError(RuntimeError):
+    """A table on disk has another key, other columns or no descriptor."""
 
 
 class TableStore:
-    """Keyed and append-only Parquet tables under one root folder (local or shared FS)."""
+    """Keyed and append-only Parquet tables under one root folder (local or shared FS).
+
+    ``buckets`` is the number of buckets of tables that this store creates.
+    """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
+        self._described: dict[str, int] = {}
 
     # -------------------------------------------------------------- folders
     def _fs(self):
@@ -173,33 +196,36 @@ class TableStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _list(self, path: str) -> list[str]:
+    def _match(self, pattern: str) -> list[tuple[str, ...]]:
+        """Last two names of every path under the root that matches, from one listing."""
         fs, to_path = self._fs()
-        p = to_path(path)
-        return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+        found = fs.globStatus(to_path(f"{self.root}/{pattern}")) or []
+        return sorted((st.getPath().getParent().getName(), st.getPath().getName()) for st in found)
 
     def _complete(self, table: str) -> list[str]:
         """Names of the table's finished folders, in order."""
-        fs, to_path = self._fs()
-        return [n for n in self._list(f"{self.root}/{table}") if "=" in n and fs.exists(to_path(f"{self.root}/{table}/{n}/_SUCCESS"))]
+        return [folder for folder, _ in self._match(f"{table}/*/_SUCCESS") if "=" in folder]
+
+    def _held(self, table: str) -> dict[int, list[tuple[str, bool, str]]]:
+        """For each bucket all finished folders: number, whether a base, path."""
+        done, held = set(self._complete(table)), {}
+        for name, sub in self._match(f"{table}/*/_bucket=*"):
+            m = _FOLDER.match(name)
+            if m and name in done:
+                held.setdefault(int(sub[8:]), []).append((m.group(2), m.group(1) == "base", f"{self.root}/{table}/{name}/{sub}"))
+        return held
+
+    @staticmethod
+    def _current(folders: list[tuple[str, bool, str]]) -> list[tuple[str, bool, str]]:
+        base = max((f for f in folders if f[1]), default=None)
+        return [f for f in folders if base is None or f == base or (not f[1] and f[0][:10] > base[0][:10])]
 
     def _bucket_folders(self, table: str) -> dict[int, list[str]]:
         """For each bucket the folders that make its state: the latest base and the deltas after it."""
-        held: dict[int, list[tuple[str, bool, str]]] = {}
-        for name in self._complete(table):
-            m = _FOLDER.match(name)
-            if m:
-                for sub in self._list(f"{self.root}/{table}/{name}"):
-                    if sub.startswith("_bucket="):
-                        held.setdefault(int(sub[8:]), []).append((m.group(2), m.group(1) == "base", f"{self.root}/{table}/{name}/{sub}"))
-        out = {}
-        for bucket, folders in held.items():
-            base = max((f for f in folders if f[1]), default=None)
-            out[bucket] = [f[2] for f in folders if base is None or f == base or (not f[1] and f[0][:10] > base[0][:10])]
-        return out
+        return {bucket: [f[2] for f in self._current(folders)] for bucket, folders in self._held(table).items()}
 
     def _next(self, table: str) -> str:
-        last = max((m.group(2)[:10] for n in self._list(f"{self.root}/{table}") if (m := _FOLDER.match(n))), default="0" * 10)
+        last = max((m.group(2)[:10] for _, n in self._match(f"{table}/*") if (m := _FOLDER.match(n))), default="0" * 10)
         return f"{int(last) + 1:010d}-{uuid.uuid4().hex[:8]}"
 
     def exists(self, table: str) -> bool:
@@ -207,10 +233,46 @@ class TableStore:
         return fs.exists(to_path(f"{self.root}/{table}"))
 
     def init(self, tables: list[str] | None = None) -> None:
-        """Create the folder of every missing table; what exists is left alone."""
+        """Create the folder of every missing table and its descriptor; what exists is left alone."""
         fs, to_path = self._fs()
         for t in tables or list(SCHEMAS):
             fs.mkdirs(to_path(f"{self.root}/{t}"))
+            if t in KEYS:
+                self._bucket_count(t)
+
+    # ----------------------------------------------------------- descriptor
+    def _descriptor(self, table: str, buckets: int) -> dict:
+        return {"columns": [f"{f.name} {f.dataType.simpleString()}" for f in SCHEMAS[table]], "key": KEYS[table], "buckets": buckets}
+
+    def _bucket_count(self, table: str) -> int:
+        """The table's number of buckets by its descriptor, which is written if the table is new."""
+        if table in self._described:
+            return self._described[table]
+        fs, to_path = self._fs()
+        path = to_path(f"{self.root}/{table}/_descriptor")
+        if not fs.exists(path):
+            if self._complete(table):
+                raise DescriptorError(f"table {table} has data and no descriptor: its number of buckets is unknown")
+            self._create_text(path, json.dumps(self._descriptor(table, self.buckets)))
+        lines = self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(fs.open(path)))
+        try:
+            found = json.loads(lines.readLine())
+        finally:
+            lines.close()
+        if found != self._descriptor(table, found["buckets"]):
+            raise DescriptorError(f"table {table} was created as {found}")
+        self._described[table] = found["buckets"]
+        return found["buckets"]
+
+    def _create_text(self, path, text: str) -> None:
+        """Write a small file unless another writer has been faster."""
+        fs, to_path = self._fs()
+        own = to_path(f"{path.toString()}-{uuid.uuid4().hex}")
+        out = fs.create(own)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(path) or not fs.rename(own, path):
+            fs.delete(own, False)
 
     # -------------------------------------------------------------- reading
     def _state(self, table: str, paths: list[str]) -> DataFrame:
@@ -218,7 +280,7 @@ class TableStore:
         if not paths:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(StructType([*schema.fields, _SEQ])).parquet(*paths)
-        return latest_per_key(rows, KEYS[table], ["_seq"]).drop("_seq")
+        return latest_per_key(rows, KEYS[table], [*GREATEST.get(table, []), "_seq"]).drop("_seq")
 
     def read(self, table: str) -> DataFrame:
         if not self.exists(table):
@@ -229,9 +291,12 @@ class TableStore:
         return self.spark.read.schema(SCHEMAS[table]).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMAS[table])
 
     # -------------------------------------------------------------- writing
-    def _write(self, table: str, kind: str, seq: str, rows: DataFrame) -> None:
-        bucket = F.pmod(F.xxhash64(*KEYS[table]), F.lit(self.buckets)).cast("int")
-        rows.withColumn("_seq", F.lit(seq)).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.root}/{table}/{kind}={seq}")
+    def _write(self, table: str, kind: str, seq: str, rows: DataFrame, marked: bool = True) -> str:
+        bucket = F.pmod(F.xxhash64(*KEYS[table]), F.lit(self._bucket_count(table))).cast("int")
+        path = f"{self.root}/{table}/{kind}={seq}"
+        out = rows.withColumn("_seq", F.lit(seq)).withColumn("_bucket", bucket).write.partitionBy("_bucket")
+        out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(marked).lower()).parquet(path)
+        return path
 
     def upsert(
         self,
@@ -240,6 +305,7 @@ class TableStore:
         order_cols: list[str],
         as_of: str | None = None,
         orphans: str = "reject",
+        check: Check | None = None,
     ) -> int:
         """Keyed upsert into ``table``; returns the number of input rows.
 
@@ -249,8 +315,13 @@ class TableStore:
         ``reject`` raises :class:`IntegrityError` before anything is written,
         ``quarantine`` writes them to ``_orphans/{table}`` and stores the rest,
         ``ignore`` stores them.
+
+        ``check`` looks at the batch before it counts: its metrics are observed
+        in the pass that writes the delta, and the delta gets its marker only
+        if ``check`` accepts them; else its folder is removed, the table is as
+        it was and the error goes to the caller.
         """
-        stamp = (STAMP[table], as_of) if as_of is not None else None
+        stamp = (STAMP[table], as_of) if as_of is not None and table in STAMP else None
         columns = SCHEMAS[table].names
         ties = [F.col(c) for c in source.columns if c in columns]
         ranked = source.withColumn("_tie", F.struct(*ties))
@@ -264,7 +335,19 @@ class TableStore:
             rows = latest_per_key(source, KEYS[table], [*order_cols, "_tie"])
             if orphans != "ignore":
                 rows = self._with_parents(table, rows, orphans)
-            self._write(table, "delta", self._next(table), conform(rows, SCHEMAS[table], stamp))
+            rows = conform(rows, SCHEMAS[table], stamp)
+            if check is None or not check.metrics(table):
+                self._write(table, "delta", self._next(table), rows)
+                return n
+            seen = Observation()
+            path = self._write(table, "delta", self._next(table), rows.observe(seen, *check.metrics(table)), marked=False)
+            fs, to_path = self._fs()
+            try:
+                check.accept(table, seen.get)
+            except Exception:
+                fs.delete(to_path(path), True)  # never counted: it has no marker
+                raise
+            fs.create(to_path(f"{path}/_SUCCESS")).close()
             return n
         finally:
             source.unpersist()
@@ -282,11 +365,12 @@ class TableStore:
             rows = rows.join(bad.select(*KEYS[table]), KEYS[table], "left_anti")
         return rows
 
-    def compact(self, table: str, most_deltas: int = 8) -> list[int]:
+    def compact(self, table: str, most_deltas: int = MOST_DELTAS) -> list[int]:
         """Fold the buckets that have more than ``most_deltas`` folders into a base; returns those buckets.
 
         The base has the number of the last folder it covers. Run it while
-        nobody writes to the table.
+        nobody else writes to the table; the jobs and the stream do so after
+        their own write.
         """
         full = {b: p for b, p in self._bucket_folders(table).items() if len(p) > most_deltas}
         if full:
@@ -295,6 +379,35 @@ class TableStore:
             self._write(table, "base", f"{last}-{uuid.uuid4().hex[:8]}", rows)
         return sorted(full)
 
+    def remove_superseded(self, table: str) -> int:
+        """Remove the bucket folders that a base stands for; returns how many. No reader may be at work on an older state."""
+        fs, to_path = self._fs()
+        gone = 0
+        for folders in self._held(table).values():
+            current = self._current(folders)
+            for folder in folders:
+                if folder not in current:
+                    gone += bool(fs.delete(to_path(folder[2]), True))
+        return gone
+
     def append(self, table: str, rows: DataFrame, part: str | None = None) -> None:
         """Add rows to an append-only table; a ``part`` written before is replaced."""
         conform(rows, SCHEMAS[table]).write.mode("overwrite").parquet(f"{self.root}/{table}/part={part or uuid.uuid4().hex}")
+
+    def log_fetches(self, log: DataFrame, part: str | None = None) -> None:
+        """Append to the ingestion log and keep the last fetch of every key beside it.
+
+        ``last_fetches`` has one row per key, the largest time wins, so a
+        replayed part changes nothing and selection never reads the whole log.
+        """
+        self.append("meta_ingestions", log, part)
+        newest = log.groupBy("request_key").agg(F.max(F.struct("fetched_at_utc", "endpoint")).alias("f"))
+        known = newest.where(F.col("request_key").isNotNull() & F.col("f.fetched_at_utc").isNotNull())
+        self.upsert("last_fetches", known.select("request_key", F.col("f.endpoint").alias("endpoint"), F.col("f.fetched_at_utc").alias("last_fetched")), ["last_fetched"])
+
+
+class Check:
+    """What :meth:`TableStore.upsert` asks before a batch counts."""
+
+    def __init__(self, metrics: Callable[[str], list[Column]], accept: Callable[[str, dict], None]):
+        self.metrics, self.accept = metrics, accept

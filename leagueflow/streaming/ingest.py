@@ -8,51 +8,57 @@ upserted into the history and future-fixture tables, and its fetches are
 logged. A replayed batch stores the same rows again under the same keys and
 replaces its own log and quarantine parts, so it changes nothing. A line that
 is no envelope, or whose payload is no JSON object, goes to a quarantine folder
-instead of failing the batch.
+instead of failing the batch. Rows without a parent in the store are set aside.
+The file of every fetch goes into the log; a batch ends with compacting the
+buckets that have too many deltas.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from leagueflow.functions.casts import safe_ts_utc
-from leagueflow.functions.keys import key_id, payload_digest
+from leagueflow.functions.keys import key_id, payload_digest, variant_digest
 from leagueflow.sources import payloads
-from leagueflow.sources.tables import TableStore
-
-ENVELOPE = StructType(
-    [StructField("request_key", StringType()), StructField("fetched_at_utc", StringType()), StructField("payload", StringType())]
-)
-
+from leagueflow.sources.tables import MOST_DELTAS, TableStore
 
 def envelope(lines: DataFrame) -> DataFrame:
-    """Text lines → (request_key, player_id, fetched_at_utc, payload, ok).
+    """Text lines → (request_key, player_id, fetched_at_utc, url, payload_path, payload, _document, ok).
 
     ``ok``: the key names a player and the payload is a well-formed JSON object.
+    ``payload_path`` is the file of the line, where the reader kept it.
     """
-    e = lines.select(F.from_json(F.col("value"), ENVELOPE).alias("e"), F.col("value").alias("_raw"))
+    path = F.col("payload_path") if "payload_path" in lines.columns else F.lit(None).cast("string")
+    e = lines.select(F.from_json(F.col("value"), payloads.ENVELOPE).alias("e"), F.col("value").alias("_raw"), path.alias("payload_path"))
     out = e.select(
         F.col("e.request_key").alias("request_key"),
         key_id(F.col("e.request_key")).alias("player_id"),
         safe_ts_utc(F.col("e.fetched_at_utc")).alias("fetched_at_utc"),
+        F.col("e.url").alias("url"),
+        "payload_path",
         F.col("e.payload").alias("payload"),
         "_raw",
-    )
-    is_object = F.try_parse_json("payload").isNotNull() & F.ltrim("payload").startswith("{")
+    ).withColumn("_document", F.try_parse_json("payload"))
+    is_object = F.col("_document").isNotNull() & F.ltrim("payload").startswith("{")
     return out.withColumn("ok", F.coalesce(F.col("player_id").isNotNull() & is_object, F.lit(False)))
 
 
 def fetch_log(docs: DataFrame, endpoint: str, run_id: str | None = None) -> DataFrame:
-    """Ingestion log rows of fetched documents (``request_key``, ``fetched_at_utc``, ``payload``)."""
+    """Ingestion log rows of fetched documents (``request_key``, ``fetched_at_utc``, ``payload`` or its digest).
+
+    ``url`` and ``payload_path`` are those of the fetch, where the documents have them.
+    """
+    kept = lambda c: (F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c)
     return docs.select(
         F.lit(run_id).cast("string").alias("run_id"),
         "request_key",
         F.lit(endpoint).alias("endpoint"),
+        kept("url"),
         "fetched_at_utc",
         F.lit(200).alias("http_status"),
-        payload_digest("payload").alias("payload_sha256"),
+        kept("payload_path"),
+        F.col("payload_sha256") if "payload_sha256" in docs.columns else payload_digest("payload").alias("payload_sha256"),
     )
 
 
@@ -61,12 +67,22 @@ ORDER = ["fetched_at_utc", "_doc_digest", "_pos"]
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """Documents with the digest that orders them when their fetch times are equal, whatever their layout."""
-    return docs.withColumn("_doc_digest", F.sha2("payload", 256))
+    """Documents parsed once, with the digests of their text.
+
+    ``_doc_digest`` orders documents whose fetch times are equal, whatever
+    their layout; ``payload_sha256`` is for the log; ``payload`` is a VARIANT
+    from here on, so nothing reads the text again.
+    """
+    if "_document" not in docs.columns:
+        docs = docs.withColumn("_document", F.try_parse_json("payload"))
+    digests = docs.withColumns({"_doc_digest": F.sha2("payload", 256), "payload_sha256": variant_digest("_document")})
+    return digests.withColumn("payload", F.col("_document")).drop("_document")
 
 
-def process_batch(store: TableStore, batch: DataFrame, batch_id: int, run_id: str | None = None, orphans: str = "ignore") -> None:
-    """Parse one micro-batch, upsert history and future fixtures, log the fetches."""
+def process_batch(
+    store: TableStore, batch: DataFrame, batch_id: int, run_id: str | None = None, orphans: str = "quarantine", most_deltas: int = MOST_DELTAS
+) -> None:
+    """Parse one micro-batch, upsert history and future fixtures, log the fetches, compact what has grown too many deltas."""
     docs = envelope(batch).persist()
     try:
         bad = docs.where(~F.col("ok"))
@@ -74,9 +90,12 @@ def process_batch(store: TableStore, batch: DataFrame, batch_id: int, run_id: st
             bad.select("_raw").write.mode("overwrite").text(f"{store.root}/_quarantine/batch={batch_id}")
         good = ordered(docs.where(F.col("ok")))
         keep = ORDER[:2]
-        store.upsert("player_match_history", payloads.parse_history(good, keep=keep, pos="_pos"), ORDER, orphans=orphans)
-        store.upsert("player_future_fixtures", payloads.parse_future(good, keep=keep, pos="_pos"), ORDER, orphans=orphans)
-        store.append("meta_ingestions", fetch_log(good, "element-summary", run_id), part=f"stream-{run_id or 0}-{batch_id}")
+        parse = {"player_match_history": payloads.parse_history, "player_future_fixtures": payloads.parse_future}
+        for table, rows in parse.items():
+            store.upsert(table, rows(good, keep=keep, pos="_pos"), ORDER, orphans=orphans)
+        store.log_fetches(fetch_log(good, "element-summary", run_id), part=f"stream-{run_id or 0}-{batch_id}")
+        for table in [*parse, "last_fetches"]:
+            store.compact(table, most_deltas)
     finally:
         docs.unpersist()
 
@@ -88,14 +107,21 @@ def ingest_stream(
     checkpoint: str,
     files_per_batch: int = 20,
     run_id: str | None = None,
-    orphans: str = "ignore",
+    orphans: str = "quarantine",
+    most_deltas: int = MOST_DELTAS,
+    endpoint: str | None = None,
 ) -> None:
-    """Drain everything currently in ``in_dir`` (``availableNow``) into the store."""
+    """Drain everything currently in ``in_dir`` (``availableNow``) into the store.
+
+    ``endpoint`` names the partition to read where ``in_dir`` is a bronze root.
+    Rows whose player or fixture the store does not have are set aside; a store
+    without those tables has nothing to hold them against.
+    """
     store = TableStore(spark, store_root)
-    store.init(["player_match_history", "player_future_fixtures", "meta_ingestions"])
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(in_dir)
+    store.init(["player_match_history", "player_future_fixtures", "meta_ingestions", "last_fetches"])
+    lines = payloads.stream_bronze(spark, in_dir, files_per_batch, endpoint)
     q = (
-        lines.writeStream.foreachBatch(lambda df, bid: process_batch(store, df, bid, run_id, orphans))
+        lines.writeStream.foreachBatch(lambda df, bid: process_batch(store, df, bid, run_id, orphans, most_deltas))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

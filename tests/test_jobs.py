@@ -1,10 +1,14 @@
 import json
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from leagueflow import jobs
 from leagueflow.operators import learn, quality, scoring
+from leagueflow.operators import squads as sq
 from leagueflow.plans.roles import role
 from leagueflow.sources import tables
 from leagueflow.sources.tables import TableStore
@@ -64,7 +68,7 @@ def test_requests_lead_to_documents(spark, tmp_path):
     jobs.build_xpts(spark, store, AS_OF, level="warn", orphans="quarantine")
     squads = _squads(spark, store, ((1, 15), (2, 14)))
     docs = [(s, json.dumps({"picks": [{"element": r.player_id} for r in squads.where(F.col("squad_id") == s).orderBy("slot").collect()], "entry_history": {"bank": 25}})) for s in (1, 2)]
-    given = spark.createDataFrame([(1, 0.0)], "squad_id bigint, bank_million double")
+    given = spark.createDataFrame([(1, 0.0, None)], "squad_id bigint, bank_million double, event_id bigint")
     rows = {r.squad_id: r for r in jobs.answer_requests(spark, store, spark.createDataFrame(docs, "squad_id bigint, payload string"), given, 3).collect()}
     assert rows[2].status == "bad_squad_size" and rows[2].document is None
     answer = json.loads(rows[1].document)
@@ -127,3 +131,50 @@ def test_train_save_load_score(spark, tmp_path):
 def test_missing_model_is_a_clear_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         learn.load_model(spark, str(tmp_path / "nope"))
+
+
+def test_callers_name_their_period(spark, tmp_path):
+    """One squad, asked for by three callers: without a period, with a later one, and with one that has no scores."""
+    store = _store(spark, tmp_path)
+    jobs.build_xpts(spark, store, AS_OF, level="warn", orphans="quarantine")
+    one = _squads(spark, store, ((1, 15),))
+    squads = one.unionByName(one.withColumn("squad_id", F.lit(2).cast("bigint"))).unionByName(one.withColumn("squad_id", F.lit(3).cast("bigint")))
+    periods = sorted(r[0] for r in store.read("player_expected_points").select("event_id").distinct().collect())
+    docs = [(s, json.dumps({"picks": [{"element": r.player_id} for r in one.orderBy("slot").collect()], "entry_history": {"bank": 9}})) for s in (1, 2, 3)]
+    sent = spark.createDataFrame([(1, None, None), (2, None, periods[1]), (3, None, 10**6)], "squad_id bigint, bank_million double, event_id bigint")
+    answers = jobs.answer_requests(spark, store, spark.createDataFrame(docs, "squad_id bigint, payload string"), sent, 2)
+    rows = {r.squad_id: r for r in answers.collect()}
+    assert [rows[s].event_id for s in (1, 2, 3)] == [periods[0], periods[1], 10**6]
+    body = {s: json.loads(rows[s].document) for s in rows}
+    assert [body[s]["event_id"] for s in (1, 2, 3)] == [periods[0], periods[1], 10**6] and body[3]["current_team_xpts"] == 0
+    alone = jobs.suggest_transfers(spark, store, squads.where("squad_id = 2"), spark.createDataFrame([(2, 9, periods[1])], "squad_id bigint, bank_tenths bigint, event_id bigint"), 2, "service")
+    assert body[2]["current_team_xpts"] == alone.first()["current_team_xpts"]
+    # published: a second run of one period leaves the others
+    root = str(tmp_path / "documents")
+    jobs.publish_documents(answers, root)
+    jobs.publish_documents(answers.where("squad_id = 2").withColumn("document", F.lit("{}")), root)
+    published = {r.squad_id: (r.event_id, r.document) for r in sq.read_documents(spark, root).collect()}
+    assert published == {1: (periods[0], rows[1].document), 2: (periods[1], "{}"), 3: (10**6, rows[3].document)}
+
+
+def test_a_gate_before_the_write_keeps_the_table(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    before = store.read("player_match_history").count()
+    player = store.read("players").first()["id"]
+    docs = spark.createDataFrame([(player, json.dumps({"history": [{"fixture": None, "round": 3, "minutes": 500}]}))], "player_id bigint, payload string")
+    with pytest.raises(quality.QualityError):
+        jobs.update_summaries(spark, store, docs, AS_OF, gate_first=True)
+    assert store.read("player_match_history").count() == before
+
+
+def test_weighted_vectors_predict_as_single_rows(spark):
+    rows = spark.range(400).select(
+        "id", (F.col("id") % 4 + 1).cast("int").alias("element_type_id"), (F.col("id") % 5 + 1).cast("int").alias("team_strength"), F.lit(3).alias("opponent_strength"),
+        (F.col("id") % 2).cast("int").alias("is_home"), (F.col("id") % 3 + 1).cast("int").alias("difficulty"), (F.col("id") % 6 / 2).alias("form"), F.lit(1.0).alias("points_per_game"),
+        F.lit(60.0).alias("minutes_per_game"), F.lit(1).alias("status_available"), (F.col("id") * 7919 % 13).cast("int").alias("total_points"), F.col("id").alias("player_id"), F.lit(1).alias("game_id"))
+    fit = learn.train(rows, max_iter=5)
+    assert fit.n_train + fit.n_val == 400 and fit.n_vectors == 60
+    single = Pipeline(stages=[VectorAssembler(inputCols=learn.FEATURES, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol="total_points", maxIter=5, maxDepth=learn.MAX_DEPTH, stepSize=learn.LEARNING_RATE, seed=0)])
+    raw = single.fit(rows.where(~learn.in_validation(0.2)))
+    a, b = ({r["id"]: r["prediction"] for r in m.transform(rows).collect()} for m in (fit.model, raw))
+    assert a == pytest.approx(b, abs=1e-9)

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from leagueflow.plans.roles import role
 from leagueflow.sources import payloads
@@ -102,3 +103,60 @@ def test_stream_stores_every_row_and_replays_change_nothing(spark, tmp_path):
         ingest.process_batch(store, lines, 99)
         assert store.read("player_match_history").count() == hist.count()
         assert store.read("meta_ingestions").count() == 2 * logged
+
+
+def test_one_bad_element_spoils_its_array_and_a_repeated_key_the_document(spark):
+    spoilt = ['{"teams": [{"id": 1}, 5]}', '{"teams": [{"id": 1}, null]}', '{"a": 1, "a": 2, "teams": [{"id": 3}]}']
+    assert payloads.parse_teams(docs_of(spark, *spoilt)).count() == 0
+    assert [r.id for r in payloads.parse_teams(docs_of(spark, '{"teams": [{"id": 1, "id2": {}}, {}]}')).collect()] == [1, None]
+
+
+def test_a_document_is_parsed_once_for_all_its_tables(spark):
+    body = {"teams": [{"id": 4, "strength": "3"}], "events": [{"id": 5}], "elements": [{"id": 6, "team": 4}], "element_types": [{"id": 7}]}
+    docs = payloads.parsed(docs_of(spark, body)).persist()
+    try:
+        for parse, want in ((payloads.parse_teams, 4), (payloads.parse_events, 5), (payloads.parse_players, 6), (payloads.parse_positions, 7)):
+            rows = parse(docs)
+            assert [r.id for r in rows.collect()] == [want]
+            above = rows._jdf.queryExecution().optimizedPlan().toString()
+            assert "parse_json" not in above.split("InMemoryRelation")[0]
+    finally:
+        docs.unpersist()
+    good = ingest.ordered(ingest.envelope(spark.createDataFrame([('{"request_key": "element-summary:5", "payload": {"history": []}}',)], "value string")).where("ok"))
+    assert good._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 2  # the filter, and the document that everything else reads
+
+
+def test_a_long_stream_leaves_few_deltas(spark, tmp_path):
+    """Batches of one file each: no bucket has more folders than stated, and every row is there."""
+    bronze, silver = tmp_path / "bronze", str(tmp_path / "silver")
+    bronze.mkdir()
+    for k in range(12):
+        line = {"request_key": f"element-summary:{k % 3}", "fetched_at_utc": f"2024-01-01T00:00:{k:02d}Z", "payload": {"history": [{"fixture": k % 10, "minutes": k}]}}
+        (bronze / f"f{k:02d}.txt").write_text(json.dumps(line) + "\n")
+    store = TableStore(spark, silver, buckets=2)
+    store.init(["player_match_history", "last_fetches"])
+    ingest.ingest_stream(spark, str(bronze), silver, str(tmp_path / "ck"), files_per_batch=1, most_deltas=3)
+    assert len(store._complete("meta_ingestions")) == 12
+    for table in ("player_match_history", "last_fetches"):
+        assert all(len(p) <= 3 for p in store._bucket_folders(table).values())
+    want = {}
+    for k in range(12):
+        want[k % 3, k % 10] = k
+    assert {(r.player_id, r.fixture_id): r.minutes for r in store.read("player_match_history").collect()} == want
+    assert {r.request_key: r.last_fetched.second for r in store.read("last_fetches").collect()} == {"element-summary:0": 9, "element-summary:1": 10, "element-summary:2": 11}
+
+
+def test_bronze_files_are_pruned_and_named(spark, tmp_path):
+    root = str(tmp_path / "bronze")
+    fetches = spark.range(40).select((F.when(F.col("id") % 2 == 0, F.lit("element-summary")).otherwise(F.lit("fixtures"))).alias("endpoint"),
+                                     F.concat(F.lit("element-summary:"), F.col("id").cast("string")).alias("request_key"),
+                                     F.expr("timestamp_ntz'2024-03-01 12:00:00' + make_interval(0, 0, 0, cast(id % 4 as int))").alias("fetched_at_utc"), F.lit("{}").alias("payload"))
+    payloads.write_bronze(fetches, root)
+    lines = payloads.read_bronze(spark, root, "element-summary", "2024-03-02", "2024-03-03")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "fetch_date" in plan.split("PartitionFilters")[1]
+    rows = ingest.envelope(lines).collect()
+    assert sorted(r.player_id for r in rows) == [i for i in range(40) if i % 4 == 2]
+    assert all("/endpoint=element-summary/fetch_date=2024-03-03/" in r.payload_path and r.url is None for r in rows)
+    # a root without partition folders, as a stream of plain files has it
+    assert all(r.payload_path for r in payloads._with_file(spark.read.text(f"{root}/endpoint=fixtures/fetch_date=2024-03-02")).collect())

@@ -128,3 +128,76 @@ def test_fk_guard_rejects_orphans(spark, tmp_path):
     assert store.read("players").count() == 0
     assert store.upsert("players", bad, ["id"], orphans="quarantine") == 2
     assert [r.id for r in store.read("players").collect()] == [11]
+
+
+def test_the_number_of_buckets_belongs_to_the_table(spark, tmp_path):
+    """Opened with another number, upserted and compacted: every row stays."""
+    root = str(tmp_path / "silver")
+    first = tables.TableStore(spark, root, buckets=8)
+    first.upsert("teams", spark.createDataFrame([(i, f"t{i}", "S", 1) for i in range(200)], TEAM), ["id"])
+    other = tables.TableStore(spark, root, buckets=16)
+    other.upsert("teams", spark.createDataFrame([(i, "new", "S", 2) for i in range(0, 200, 3)], TEAM), ["id"])
+    assert other.compact("teams", most_deltas=1)
+    rows = {r.id: r.name for r in tables.TableStore(spark, root, buckets=4).read("teams").collect()}
+    assert rows == {i: "new" if i % 3 == 0 else f"t{i}" for i in range(200)}
+    assert set(first._bucket_folders("teams")) <= set(range(8))
+
+
+def test_a_table_of_another_shape_is_refused(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "silver")
+    tables.TableStore(spark, root).init(["teams"])
+    monkeypatch.setitem(tables.KEYS, "teams", ["name"])
+    with pytest.raises(tables.DescriptorError):
+        tables.TableStore(spark, root).init(["teams"])
+    monkeypatch.undo()
+    store = tables.TableStore(spark, root)
+    store.upsert("teams", spark.createDataFrame([(1, "A", "AAA", 4)], TEAM), ["id"])
+    (tmp_path / "silver" / "teams" / "_descriptor").unlink()
+    with pytest.raises(tables.DescriptorError):
+        tables.TableStore(spark, root).compact("teams", most_deltas=0)
+
+
+def test_superseded_folders_go_when_asked(spark, tmp_path):
+    store = tables.TableStore(spark, str(tmp_path / "silver"), buckets=2)
+    for k in range(4):
+        store.upsert("teams", spark.createDataFrame([(i, f"n{k}", "S", k) for i in range(20)], TEAM), ["id"])
+    before = sorted(map(tuple, store.read("teams").collect()))
+    assert store.remove_superseded("teams") == 0
+    assert store.compact("teams", most_deltas=3) == [0, 1]
+    assert store.remove_superseded("teams") == 8
+    assert sorted(map(tuple, store.read("teams").collect())) == before
+    assert {b: len(p) for b, p in store._held("teams").items()} == {0: 1, 1: 1}
+
+
+def test_last_fetches_equal_the_aggregate_and_replays_change_nothing(spark, tmp_path):
+    from leagueflow.operators import incremental
+
+    store = tables.TableStore(spark, str(tmp_path / "silver"))
+    log = spark.range(60).select(F.concat(F.lit("element-summary:"), (F.col("id") % 7).cast("string")).alias("request_key"), F.lit("e").alias("endpoint"),
+                                 F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id * 37 % 60 as int))").alias("fetched_at_utc"))
+    parts = [log.where(f"hash(fetched_at_utc) % 3 = {k}") for k in (-2, -1, 0, 1, 2)]
+    for k in (4, 0, 2, 1, 3, 0, 4):
+        store.log_fetches(parts[k], part=f"p{k}")
+    want = {tuple(r) for r in log.groupBy("request_key").agg(F.max("fetched_at_utc")).collect()}
+    assert {(r.request_key, r.last_fetched) for r in store.read("last_fetches").collect()} == want
+    both = [incremental.last_fetch(store.read(t)).orderBy("player_id").collect() for t in ("last_fetches", "meta_ingestions")]
+    assert both[0] == both[1] and len(both[0]) == 7
+    assert store.read("meta_ingestions").count() == 60
+
+
+def test_a_batch_that_fails_the_gate_does_not_count(spark, tmp_path):
+    store = tables.TableStore(spark, str(tmp_path / "silver"))
+    hist = "player_id bigint, fixture_id_effective bigint, minutes int, total_points int"
+    good = spark.createDataFrame([(1, 1, 90, 5), (2, 1, 10, 99)], hist)
+    bad = spark.createDataFrame([(1, 1, 131, 5), (3, 1, 1, 1)], hist)
+    gate = quality.BatchGate(spark, "hard")
+    store.upsert("player_match_history", good, ["player_id"], check=gate)
+    with pytest.raises(quality.QualityError):
+        store.upsert("player_match_history", bad, ["player_id"], check=gate)
+    assert sorted((r.player_id, r.minutes) for r in store.read("player_match_history").collect()) == [(1, 90), (2, 10)]
+    assert [r.n for r in gate.reports["player_match_history"].where("check = 'minutes_range'").collect()] == [1]
+    assert len(store._match("player_match_history/delta=*")) == 1
+    with pytest.raises(quality.QualityError):  # a warning fails a strict gate
+        store.upsert("player_match_history", good, ["player_id"], check=quality.BatchGate(spark, "strict"))
+    store.upsert("player_match_history", bad, ["player_id"], check=quality.BatchGate(spark, "warn"))
+    assert store.read("player_match_history").count() == 3
