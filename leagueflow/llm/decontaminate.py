@@ -19,9 +19,10 @@ tasks and keeps windows that no item has out of the join; it saves work and
 decides nothing.
 
 Defined results for odd input: null and empty texts have no windows; an item
-of fewer words than a window is one window of its own length; windows of
-numbers are no evidence, so an item without others never matches; repeated rows
-give their pairs once; empty tables give no rows.
+of fewer words than a window is one window of its own length, met word for
+word (but for case) if it has too few plain words for a template; windows of
+nothing but numbers are no evidence, so an item without other words never
+matches; repeated rows give their pairs once; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -50,18 +51,30 @@ FLOOR_WORDS = 8
 #: The bit map has 2 ** MAP_BITS bits.
 MAP_BITS = 22
 
-#: Words that are a unit when they follow a number.
+#: Words that are a unit when they follow a number, in English, German, Spanish and French.
 UNITS = frozenset(
-    "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec min h hr hrs ms inch inches foot feet yard yards mile miles meter meters metre metres "
-    "kilometer kilometers kilometre kilometres centimeter centimeters gram grams kilogram kilograms ounce ounces pound pounds ton tons liter liters "
-    "litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro "
-    "euros percent degrees".split()
+    "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec min h hr hrs ms "
+    "inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters gram grams "
+    "kilogram kilograms ounce ounces pound pounds ton tons liter liters litre litres gallon gallons second seconds minute minutes hour hours day days "
+    "week weeks month months year years dollar dollars cent cents euro euros percent degrees "
+    "zoll meilen gramm kilogramm pfund tonne tonnen sekunde sekunden stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad minuten "
+    "pulgada pulgadas pie pies milla millas metro metros kilómetro kilómetros centímetro centímetros gramo gramos kilo kilos kilogramo kilogramos tonelada toneladas "
+    "litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares céntimo céntimos grados "
+    "pouce pouces mètre mètres kilomètre kilomètres centimètre centimètres gramme grammes kilogramme kilogrammes livre livres seconde secondes heure heures "
+    "jour jours semaine semaines mois an ans année années centime centimes degrés".split()
 )
-#: Numbers that are written out.
+#: Numbers that are written out, in the same languages; articles that also count are left out.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty "
-    "forty fifty sixty seventy eighty ninety hundred thousand million".split()
+    "forty fifty sixty seventy eighty ninety hundred thousand million "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig "
+    "fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta "
+    "cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille".split()
 )
+#: German writes tens and ones in one word, the ones first.
+_GERMAN_COMPOUND = re.compile(r"(?:ein|zwei|drei|vier|fünf|sechs|sieben|acht|neun)und(?:zwanzig|dreißig|vierzig|fünfzig|sechzig|siebzig|achtzig|neunzig)")
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:%|st|nd|rd|th)?")
 OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 
@@ -76,7 +89,7 @@ def word_form(word: str) -> tuple[str, bool, bool, bool, bool]:
     ends = word.endswith((".", "!", "?", ":")) or word[:-1].endswith((".", "!", "?"))
     bare = OUTER.sub("", word)
     low = bare.casefold()
-    number = bool(NUMBER.fullmatch(low)) or low in NUMBER_WORDS
+    number = bool(NUMBER.fullmatch(low)) or low in NUMBER_WORDS or bool(_GERMAN_COMPOUND.fullmatch(low))
     name = not number and len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
     return low, number, name, low in UNITS, ends
 
@@ -110,14 +123,14 @@ class Templates:
         self.sizes = np.bincount(self.row, minlength=len(sizes))
         self.begins = np.cumsum(self.sizes) - self.sizes
 
-    def windows(self, size: int, least_plain: int = LEAST_PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, size: int, least_plain: int = LEAST_PLAIN, least_words: int = LEAST_PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each window that is evidence, the place of its first word, and its form (EXACT, NUMBERS or NAMES: what has slots in it).
 
         A window with names counts as a template with slots for them if it has
         enough plain words. Each window counts with its names as words: with
         slots for numbers and units if enough other words are left, else word
-        for word if enough of its words are no numbers. That form does not
-        depend on the case of the words.
+        for word if enough of its words (``least_words``) are no numbers. That
+        form does not depend on the case of the words.
         """
         n = len(self.code) - size + 1
         if n <= 0:
@@ -137,7 +150,7 @@ class Templates:
         is_name = self.kind == NAME
         one_row = self.row[:n] == self.row[size - 1 :]
         named = np.flatnonzero(one_row & (count(is_name) > 0) & (count(self.kind == PLAIN) >= least_plain))
-        folded = np.flatnonzero(one_row & (count(self.kind != NUM) >= least_plain))
+        folded = np.flatnonzero(one_row & (count(self.kind != NUM) >= least_words))
         template = hashed(np.where(is_name, self.literal, self.code), size)
         with_slots = count((self.kind == PLAIN) | is_name) >= least_plain
         h = np.where(with_slots, template, hashed(self.literal, size + 100))
@@ -167,6 +180,11 @@ def _emit(columns: list[pa.Array], names: list[str], found: list[tuple[Templates
     return pa.RecordBatch.from_arrays(arrays, [*names, "pos", "size", "words", "window", "slots"])
 
 
+def _least_words(size: int, window: int) -> int:
+    """Words that must be no numbers: of a whole short item one is enough, as all its words have to be there."""
+    return LEAST_PLAIN if size == window else 1
+
+
 WINDOW_COLUMNS = "pos long, size long, words long, window long, slots array<string>"
 
 
@@ -184,7 +202,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text: str = "tex
                 for first_is_name in (False, True):
                     t = Templates(part.column(1), first_is_name)
                     for n in range(1, window + 1):
-                        h, at, form = t.windows(n)
+                        h, at, form = t.windows(n, least_words=_least_words(n, window))
                         full = t.sizes[t.row[at]]
                         use = (n == window) | (full == n)
                         if first_is_name:
@@ -197,7 +215,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text: str = "tex
     return rows.mapInArrow(run, f"item {rows.schema['item'].dataType.simpleString()}, {WINDOW_COLUMNS}")
 
 
-def document_windows(docs: DataFrame, sizes: list[int], bit_map: np.ndarray, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def document_windows(docs: DataFrame, sizes: list[int], bit_map: np.ndarray, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Windows of the documents whose bit is set: ``id``, ``body`` (a hash of the text), position, length and slots."""
     held = docs.sparkSession.sparkContext.broadcast(bit_map)  # 2 ** MAP_BITS bits, whatever the benchmark's size
 
@@ -208,7 +226,7 @@ def document_windows(docs: DataFrame, sizes: list[int], bit_map: np.ndarray, id_
                 t = Templates(part.column(2))
                 found = []
                 for n in sizes:
-                    h, at, form = t.windows(n)
+                    h, at, form = t.windows(n, least_words=_least_words(n, window))
                     place = h >> np.uint64(64 - MAP_BITS)
                     hit = bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
                     found.append((t, n, h[hit], at[hit], form[hit]))
@@ -257,7 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = item_windows(benchmark, item_col, item_text, window)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [window]  # at most ``window`` numbers
     totals = items.groupBy("item").agg(F.count_distinct("pos").alias("of"), F.collect_set("pos").alias("all"), F.max("size").alias("size"))
-    found = document_windows(docs, sizes, _bit_map(items), id_col, text)
+    found = document_windows(docs, sizes, _bit_map(items), id_col, text, window)
     known = items.select("item", F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))
     hits = found.select("id", "body", "pos", "window", "slots").join(known, "window")
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("item"), z["slots"].alias("doc")))

@@ -10,9 +10,22 @@ from dataclasses import dataclass
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
-#: Elements without content, and elements whose content is no text of the page.
+#: Elements of formulas and drawings; their text stands in the block around them.
+FORMULA = frozenset(
+    "math mi mo mn ms mtext mrow msup msub msubsup mmultiscripts mprescripts mfrac msqrt mroot mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom "
+    "menclose merror maction semantics".split()
+)
+DRAWING = frozenset(
+    "svg g path rect circle ellipse line polyline polygon text tspan textpath image use symbol marker mask pattern clippath lineargradient radialgradient stop filter switch view animate set".split()
+)
+#: Elements that show what they hold where they can't show themselves; they part words, not blocks.
+EMBEDDED = frozenset("object canvas audio video map text switch".split())
+#: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math title textarea noembed noframes xmp canvas audio video select".split())
+#: Elements whose content is no markup and no text of the page; without an end they run to the end of the page.
+RAW = frozenset("script style iframe title textarea noembed noframes xmp".split())
+#: Elements with markup inside that is no text of the page; without an end they end with the element around them.
+SKIPPED = frozenset("template noscript select datalist annotation annotation-xml desc metadata defs".split())
 #: An open element (key) ends when one of these begins.
 ENDED_BY = {
     "p": frozenset("p div ul ol dl li table h1 h2 h3 h4 h5 h6 section article aside nav header footer form pre blockquote hr main address fieldset figure details".split()),
@@ -56,12 +69,13 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, ...]] = []  # block-level elements that are open
     pieces: list[str] = []
+    skipped: list[str] = []  # elements that are open inside one that is skipped, and that one
     links = depth_of_a = 0
     at = 0
 
     def text(a: int, b: int) -> None:
         nonlocal links
-        if a < b:
+        if a < b and not skipped:
             piece = page[a:b]
             if "&" in piece:
                 piece = html.unescape(piece)
@@ -89,11 +103,26 @@ def blocks(page: str | None) -> list[Block]:
             if not closing and not (m[3] or "").endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            if tag not in INLINE:
-                pieces.append(" ")
-        elif tag == "br":
             pieces.append(" ")
-        elif tag in INLINE:
+            continue
+        if skipped:
+            if not closing:
+                if tag not in VOID and not (m[3] or "").endswith("/"):
+                    skipped.append(tag)
+                continue
+            if tag in skipped:
+                del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
+                continue
+            if all(e[0] != tag for e in stack):
+                continue
+            skipped.clear()  # it was never closed: what is around it ends, and so does it
+        if tag in SKIPPED:
+            if not closing and not (m[3] or "").endswith("/"):
+                skipped.append(tag)
+            pieces.append(" ")
+        elif tag == "br" or tag in EMBEDDED:
+            pieces.append(" ")
+        elif tag in INLINE or tag in FORMULA or tag in DRAWING:
             if tag == "a":
                 depth_of_a = 0 if closing else 1
         else:

@@ -331,17 +331,19 @@ def _cover(size: int, with_bytes: bool):
         n = len(v["bytes"])
         cover = np.cumsum(np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
         text = v["bytes"]
-        removed, spans, digests, kept = [], [], [], []
+        removed, spans, digests, kept, runs = [], [], [], [], []
         for a, size_ in zip(offset.tolist(), v["sizes"].tolist(), strict=True):
             gone = cover[a : a + size_]
+            edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0)).tolist()  # begins and ends in turn
             removed.append(int(gone.sum()))
-            spans.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (size_ > 0 and gone[0])))
+            spans.append(len(edges) // 2)
+            runs.append(",".join(f"{x}:{y}" for x, y in zip(edges[::2], edges[1::2], strict=True)))
             stays = text[a : a + size_][~gone].tobytes()
             digests.append(hashlib.sha256(stays).hexdigest())
             if with_bytes:
                 kept.append(stays)
         ids = pa.array(row["ids"], blocks.schema.field("ids").type.value_type)
-        columns = {"id": ids, "n_bytes": pa.array(v["sizes"]), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests)}
+        columns = {"id": ids, "n_bytes": pa.array(v["sizes"]), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests), "spans": pa.array(runs, pa.string())}
         return pa.table(columns | ({"kept": pa.array(kept, pa.binary())} if with_bytes else {}))
 
     return run
@@ -358,7 +360,9 @@ def remove_repeats(
     buckets: int | None = None,
     with_bytes: bool = False,
 ) -> DataFrame:
-    """One row per document: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept``, the bytes that stay).
+    """One row per document: ``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (and ``kept``, the bytes that stay).
+
+    ``spans`` has the removed runs as ``begin:end`` in bytes, comma-joined.
 
     ``buckets`` is the number of hash ranges (by default the session's shuffle
     partitions); the stretches of all blocks, about one per 150 bytes of text
@@ -381,9 +385,10 @@ def remove_repeats(
     columns = ["block", "stretch", "starts"]
     found = settled.filter("stretch = -1").select(columns).unionByName(searched.filter("stretch >= 0").select(columns)).unionByName(merged)
     needed = blocks.select("block", "ids", "sizes", "bytes", "text", "start", "windows")
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string" + (", kept binary" if with_bytes else "")
     return needed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cover(size, with_bytes), schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return found.withColumns({"n_kept": F.col("n_bytes") - F.col("n_removed"), "has_repeats": F.col("n_removed") > 0})

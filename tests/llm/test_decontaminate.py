@@ -1,5 +1,7 @@
 import itertools
+import math
 import re
+from collections import Counter
 
 from leagueflow.llm import decontaminate as D
 
@@ -22,37 +24,52 @@ def plain_template(text, first_is_name=False):
 
 
 def plain_windows(t, n):
+    """Each window in its forms: with slots for names, and with names as words (slots for numbers and units, or word for word)."""
     for p in range(len(t) - n + 1):
         w = t[p : p + n]
-        slots = tuple(v for k, v in w if k != D.PLAIN)
-        if sum(k == D.PLAIN for k, _ in w) >= D.LEAST_PLAIN:
-            yield p, tuple((k, v if k == D.PLAIN else "") for k, v in w), slots
-        elif sum(k != D.NUM for k, _ in w) >= D.LEAST_PLAIN:
-            yield p, tuple(v for _, v in w), slots
+        kinds = [k for k, _ in w]
+        if D.NAME in kinds and kinds.count(D.PLAIN) >= D.LEAST_PLAIN:
+            yield p, ("template", *((k, v if k == D.PLAIN else "") for k, v in w)), tuple(v for k, v in w if k != D.PLAIN)
+        if sum(k != D.NUM for k in kinds) >= (D.LEAST_PLAIN if n == D.WINDOW else 1):
+            if sum(k in (D.PLAIN, D.NAME) for k in kinds) >= D.LEAST_PLAIN:
+                worded = [(D.PLAIN if k == D.NAME else k, v) for k, v in w]
+                yield p, ("template", *((k, v if k == D.PLAIN else "") for k, v in worded)), tuple(v for k, v in worded if k != D.PLAIN)
+            else:
+                yield p, ("words", *(v for _, v in w)), ()
+
+
+def covered(places, n):
+    return len({p + k for p in places for k in range(n)})
+
+
+def item_windows(text, n):
+    """The item's windows; those at its begin also as inside a sentence, where the first word could be a name."""
+    inside = plain_template(text, True)
+    own = set(plain_windows(plain_template(text), n))
+    return own | {w for w in plain_windows(inside, n) if w[0] == 0 and inside[0][0] == D.NAME and any(k == (D.NAME, "") for k in w[1])}
 
 
 def plain_pairs(docs, items):
     out = set()
-    for (i, it) in items:
-        windows = set()
-        base = plain_template(it)
-        n = min(D.WINDOW, len(base))
-        for first in (False, True):
-            windows |= {w for w in plain_windows(plain_template(it, first), n) if n} if n else set()
+    for i, it in items:
+        n = min(D.WINDOW, len(plain_template(it)))
+        windows = item_windows(it, n) if n else set()
         places = {w[0] for w in windows}
+        words = covered(places, n)
+        needed = min(words, max(D.FLOOR_WORDS, min(D.LEAST_WORDS, math.ceil(D.LEAST_SHARE * words))))
         for d, text in docs:
-            t = plain_template(text)
-            shifts = {}
-            for (p, key, slots), (ip, ikey, islots) in itertools.product(list(plain_windows(t, n)) if n else [], windows):
+            alignments = {}
+            for (p, key, slots), (ip, ikey, islots) in itertools.product(list(plain_windows(plain_template(text), n)) if n else [], windows):
                 if key == ikey:
-                    s = shifts.setdefault(p - ip, (set(), set()))
-                    s[0].add(ip)
-                    s[1].update(zip(islots, slots))
+                    alignments.setdefault(p - ip, set()).add((ip, tuple(zip(islots, slots, strict=True))))
             found = set()
-            for ips, pairs in shifts.values():
-                if len({a for a, _ in pairs}) == len(pairs):
-                    found |= ips
-            if found and len(found) >= min(len(places), max(1, D.LEAST_WORDS + 1 - n)):
+            for met in alignments.values():
+                votes = Counter(pair for _, pairs in met for pair in pairs)
+                best = {}
+                for (own, other), n_votes in votes.items():
+                    best[own] = max(best.get(own, (0, False, "")), (n_votes, own == other, other))
+                found |= {ip for ip, pairs in met if all(own == other or best[own][2] == other for own, other in pairs)}
+            if places and covered(found, n) >= needed:
                 out.add((d, i, len(found), len(places)))
     return out
 
@@ -81,7 +98,7 @@ def test_other_numbers_and_names_are_caught_if_consistent(spark, frame):
     docs = [(1, f"Intro words. {ITEM} and more"), (2, f"Some text then {other}"), (3, f"See {mixed}"), (4, part), (5, ITEM.upper()), (6, "clean words with 12 apples")]
     got, verbatim = run(frame, docs, [(7, ITEM)], spark)
     assert got == plain_pairs(docs, [(7, ITEM)])
-    assert {d for d, *_ in got} >= {1, 2} and not {4, 6} & {d for d, *_ in got}
+    assert {d for d, *_ in got} >= {1, 2, 3, 5} and not {4, 6} & {d for d, *_ in got}
     assert verbatim[1, 7] and not verbatim[2, 7]
 
 
@@ -94,6 +111,32 @@ def test_passages_full_of_names_are_caught_word_for_word(spark, frame):
     assert {p[:2] for p in got} == {(1, 1)}
 
 
+def test_changed_copies_as_brute_force_sees_them(spark, frame):
+    """One slot changed, in turn, one word changed, in turn, and other cases."""
+    words = ITEM.split()
+    docs = [(k, "so " + " ".join([*words[:k], "77" if words[k].isdigit() else "Zoe" if words[k][0].isupper() else "other", *words[k + 1 :]]) + " end") for k in range(len(words))]
+    docs += [(100, ITEM.title()), (101, ITEM.lower()), (102, ITEM.upper().replace("12", "13")), (103, " ".join(words[5:])), (104, " ".join(words[:11] + ["x"] + words[11:]))]
+    got, _ = run(frame, docs, [(7, ITEM)], spark)
+    assert got == plain_pairs(docs, [(7, ITEM)]) and {d for d, *_ in got} >= {*range(len(words)), 100, 101}
+
+
+def test_short_items_are_met_word_for_word(spark, frame):
+    items = [(1, "Osmosis"), (2, "Photosynthesis explained"), (3, "Capital of France?"), (4, "Who wrote Hamlet, really?"), (5, "Route 66 map of Ohio"), (6, "1 2 3")]
+    docs = [(i, f"Before it {t} after it") for i, t in items] + [(10, "before osmosis after"), (11, "who WROTE hamlet really"), (12, "the capital of spain"), (13, "Route 67 map of Ohio"), (14, "1 2 3 4")]
+    got, _ = run(frame, docs, items, spark)
+    assert got == plain_pairs(docs, items)
+    assert {p[:2] for p in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (10, 1), (11, 4), (13, 5)}
+
+
+def test_numbers_and_units_of_four_languages(spark, frame):
+    items = [(1, "wie viele kisten kann der alte wagen mit zwölf kilogramm noch bis zum abend tragen"), (2, "cuántas cajas puede llevar el viejo carro con doce kilos hasta la tarde del lunes"),
+             (3, "combien de caisses la vieille voiture peut porter avec douze kilogrammes avant le soir de lundi"), (4, "how many boxes can the old cart with twelve pounds still carry until the evening comes")]
+    other = [(1, "einundzwanzig"), (2, "veinte"), (3, "vingt"), (4, "thirty")]
+    docs = [(i, t.replace({1: "zwölf", 2: "doce", 3: "douze", 4: "twelve"}[i], n)) for (i, t), (_, n) in zip(items, other, strict=True)]
+    got, verbatim = run(frame, docs, items, spark)
+    assert got == plain_pairs(docs, items) and {p[:2] for p in got} == {(i, i) for i in range(1, 5)} and not any(verbatim.values())
+
+
 def test_odd_rows(spark, frame):
     docs = [(1, None), (2, ""), (3, "..."), (None, ITEM), (4, ITEM), (4, ITEM), (5, "tiny plain word item"), (6, "w " * 50000 + ITEM)]
     items = [(1, ITEM), (2, None), (3, ""), (4, "tiny plain word item"), (5, "1 2 3 4 5 6 7 8"), (6, ITEM)]

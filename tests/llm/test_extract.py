@@ -111,3 +111,32 @@ def test_odd_rows(spark, model):
     assert by[4, "u"].text.count("\n") == 19999
     empty = df.limit(0)
     assert X.extract(empty, X.fit(empty)).count() == 0
+
+
+def texts(body):
+    return [b.text for b in dom.blocks(f"<body><div>{body}</div><p>And so on.</p></body>")]
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> here</p>", "Energy is E=mc2 here"),
+        ("<p>Energy is <math><semantics><mi>E</mi><annotation encoding=tex>E_0<b>x</b></annotation></semantics></math> here</p>", "Energy is E here"),
+        ("<p>See <svg><title>no</title><style>.a{}</style><g><text>North</text><text>South</text></g><path d='M0'/></svg> now</p>", "See North South now"),
+        ("<p>A <object data=x><object data=y>inner words</object></object> end</p>", "A inner words end"),
+        ("<p>A <canvas>drawn words</canvas> and <video src=v>clip words</video> end</p>", "A drawn words and clip words end"),
+        ("<p>A <noscript><b>hidden</b></noscript><template><p>hidden</p></template> end</p>", "A end"),
+        # unclosed: they lose nothing, or what stands before the end of their parent
+        ("<p>Energy is <math><mi>E</mi> here</p>", "Energy is E here"),
+        ("<p>See <svg><text>North</p>", "See North"),
+        ("<p>A <object data=x>inner</p>", "A inner"),
+        ("<p>A <noscript><b>hidden</p>", "A"),
+        ("<p>A <select><option>one<option>two</p>", "A"),
+    ],
+)
+def test_what_a_reader_sees_stays(body, want):
+    assert texts(body) == [want, "And so on."]
+
+
+def test_an_unclosed_script_runs_to_the_end():
+    assert texts("<p>Before</p><script>if (a < b) { x('</p>') }") == ["Before"]

@@ -21,7 +21,9 @@ def plain(rows, size):
             if seen[hashlib.blake2b(t[i : i + size], digest_size=16).digest()] > 1:
                 gone[i + 1 : i + size + 1] = True
         kept = bytes(b for b, g in zip(t, gone[1:-1]) if not g)
-        out.append((d, len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+        begins, ends = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(gone[:-1] & ~gone[1:])
+        spans = ",".join(f"{a}:{b}" for a, b in zip(begins, ends, strict=True))
+        out.append((d, len(t), int(gone.sum()), len(begins), hashlib.sha256(kept).hexdigest(), spans))
     return sorted(out, key=str)
 
 
@@ -58,9 +60,10 @@ def test_long_runs_and_long_copies():
 def test_query_matches_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = S.op7_suffix_dedup(spark, SF)
-    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_kept", "has_repeats"]
     got = sorted((tuple(r) for r in got.collect()), key=str)
-    assert got == plain(rows, 400) and any(r[2] for r in got)
+    assert [r[:6] for r in got] == plain(rows, 400) and any(r[2] for r in got)
+    assert all(r[6:] == (r[1] - r[2], r[2] > 0) for r in got)
 
 
 def corpus(seed):
