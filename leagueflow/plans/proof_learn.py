@@ -16,11 +16,11 @@ from leagueflow.plans.proof import (
     squad_inputs,
 )
 from leagueflow.plans.proof_ingest import FUTURE_SQL, HISTORY_BODY, HISTORY_SQL, pick_docs
-from leagueflow.plans.proof_squads_sql import answers_sql, suggestion_docs_sql, suggestion_requests_sql
+from leagueflow.plans.proof_squads_sql import answers_sql, best_xi_uncapped_sql, suggestion_docs_sql, suggestion_requests_sql, swaps_service_sql
 from leagueflow.plans.roles import AS_OF, role, role_cte
 from leagueflow.session import cut_lineage, ensure_checkpoint_dir
 from leagueflow.sources import payloads
-from leagueflow.sources.tables import TableStore
+from leagueflow.sources.tables import KEYS, SCHEMAS, TableStore
 from leagueflow.streaming import ingest
 
 
@@ -126,12 +126,13 @@ def q_train_step(spark, sf):
     return spark.createDataFrame([(fit.n_train, fit.n_val, fit.n_vectors, round(float(fit.mae), 9))], "n_train bigint, n_val bigint, n_vectors bigint, mae double")
 
 
+SHARES_SQL = f"""CASE WHEN coalesce(position, 0) IN (1, 2) THEN {D(0.4)} WHEN coalesce(position, 0) = 3 THEN {D(0.7)} ELSE {D(0.9)} END AS att_share,
+       CASE WHEN coalesce(position, 0) IN (1, 2) THEN {D(0.6)} WHEN coalesce(position, 0) = 3 THEN {D(0.3)} ELSE {D(0.1)} END AS def_share"""
+
+
 @proof("score_ml", f"""
 WITH grid AS ({ORACLES["score_features"]}),
-shares AS (SELECT *, {STEP_SQL} AS points,
-                  CASE WHEN coalesce(position, 0) IN (1, 2) THEN {D(0.4)} WHEN coalesce(position, 0) = 3 THEN {D(0.7)} ELSE {D(0.9)} END AS att_share,
-                  CASE WHEN coalesce(position, 0) IN (1, 2) THEN {D(0.6)} WHEN coalesce(position, 0) = 3 THEN {D(0.3)} ELSE {D(0.1)} END AS def_share
-           FROM grid)
+shares AS (SELECT *, {STEP_SQL} AS points, {SHARES_SQL} FROM grid)
 SELECT player_id, event_id, {round2_sql('xmins')} AS xmins, points AS xpts, {round2_sql('points * att_share')} AS xpts_att,
        {round2_sql('points * def_share')} AS xpts_def, {D(0.0)} AS xpts_app FROM shares""")
 def q_score_ml(spark, sf):
@@ -251,6 +252,70 @@ def q_documents_sink(spark, sf):
     return _listed(sq.read_documents(spark, root).withColumn("status", F.lit("ok")))
 
 
+SWAP_COLUMNS = ("squad_id", "event_id", "rank", "out_player_id", "in_player_id", "out_web_name", "in_web_name", "team_xpts_delta", "new_team_xpts", "cost_delta_million", "current_team_xpts")
+
+
+@proof("suggest_job", f"""
+WITH found AS (SELECT {', '.join(SWAP_COLUMNS)} FROM ({swaps_service_sql(TOP_N)}) AS s)
+SELECT * FROM found UNION ALL
+SELECT squad_id, event_id, {', '.join('NULL' for _ in SWAP_COLUMNS[2:-1])}, team_xpts FROM ({best_xi_uncapped_sql()}) AS b WHERE squad_id NOT IN (SELECT squad_id FROM found)""")
+def q_suggest_job(spark, sf):
+    """The job over a store: swaps of every squad, and one row with its total for a squad without any."""
+    from leagueflow import jobs
+
+    r = _roles(spark, sf, "squads", "squad_players", "squad_scores", "squad_bank")
+    store = TableStore(spark, _scratch(spark, "suggest"))
+    store.upsert("players", r["squad_players"], ["id"], as_of=AS_OF, orphans="ignore")
+    store.upsert("player_expected_points", r["squad_scores"], ["player_id"], as_of=AS_OF, orphans="ignore")
+    return jobs.suggest_transfers(spark, store, r["squads"], r["squad_bank"], TOP_N, "service").select(*SWAP_COLUMNS)
+
+
+@proof("suggestions_clamped", f"""
+SELECT 0 AS asked, squad_id, rank, out_player_id, in_player_id FROM ({swaps_service_sql(1)}) AS a
+UNION ALL SELECT 99, squad_id, rank, out_player_id, in_player_id FROM ({swaps_service_sql(50)}) AS b""")
+def q_suggestions_clamped(spark, sf):
+    """A service gives 1 to 50 suggestions, whatever it is asked for."""
+    i = squad_inputs(spark, sf)
+    one, fifty = (sq.service_suggestions(i["squads"], i["players"], i["scores"], i["requests"], n).withColumn("asked", F.lit(n)) for n in (0, 99))
+    return one.unionByName(fifty).select("asked", "squad_id", "rank", "out_player_id", "in_player_id")
+
+
+@proof("store_init", "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({'(SELECT count(*) FROM nation)' if t == 'teams' else 0} AS BIGINT) AS n" for t in SCHEMAS))
+def q_store_init(spark, sf):
+    """All tables exist after ``init``, empty; one that has rows keeps them when it is called again."""
+    store = TableStore(spark, _scratch(spark, "init"))
+    store.init()
+    store.upsert("teams", role(spark, sf, "teams"), ["id"], as_of=AS_OF)
+    store.init()
+    out = None
+    for t in SCHEMAS:
+        c = store.read(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+ALWAYS = 4  # points of every game in the proof of the training job
+
+
+@proof("train_job", f"""
+WITH grid AS ({ORACLES["score_features"]}), shares AS (SELECT *, {SHARES_SQL} FROM grid)
+SELECT player_id, event_id, {round2_sql('xmins')} AS xmins, {D(ALWAYS)} AS xpts, {round2_sql(f'{D(ALWAYS)} * att_share')} AS xpts_att,
+       {round2_sql(f'{D(ALWAYS)} * def_share')} AS xpts_def, {D(0.0)} AS xpts_app, {D(0.0)} AS mae FROM shares""")
+def q_train_job(spark, sf):
+    """Training and scoring as jobs over a store in which every game has the same points."""
+    from leagueflow import jobs
+
+    store = TableStore(spark, _scratch(spark, "train"))
+    for t in ("teams", "element_types", "events", "players", "fixtures", "player_match_history"):
+        rows = role(spark, sf, t)
+        if t == "player_match_history":
+            rows = rows.withColumn("total_points", F.lit(ALWAYS))
+        store.upsert(t, rows, KEYS[t], as_of=AS_OF, orphans="ignore")
+    path = _scratch(spark, "model")
+    mae = jobs.train_xpts(spark, store, path)
+    return jobs.compute_scores(spark, store, HORIZON, "ml", path).withColumn("mae", F.lit(round(float(mae), 9)))
+
+
 # players whose team is unknown are set aside on the way in, so they have no scores
 @proof(
     "scores_refresh",
