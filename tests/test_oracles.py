@@ -64,7 +64,7 @@ def test_results_do_not_depend_on_the_number_of_partitions(spark, name):
     assert found[0] == found[1]
 
 
-@pytest.mark.parametrize("name", ["xpts_baseline", "player_latest", "score_features", "dq_report", "best_xi_capped", "parse_history", "select_incremental", "upsert_latest"])
+@pytest.mark.parametrize("name", ["xpts_baseline", "player_latest", "score_features", "dq_report", "best_xi_capped", "parse_history", "train_features", "upsert_latest"])
 def test_building_a_plan_starts_no_job(spark, name):
     group = f"plan-{name}"
     spark.sparkContext.setJobGroup(group, group)
