@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leagueflow.functions.casts import round2
-from leagueflow.session import BROADCAST_MAX_ROWS, cut_lineage
+from leagueflow.session import BROADCAST_MAX_BYTES, cut_lineage
 
 MAX_PER_TEAM = 3
 # Formations (GK, DEF, MID, FWD) of the capped rule set, in try order.
@@ -385,6 +385,10 @@ def _rises(ps: Preset, n_forms: int) -> Column:
     return ~F.col("o_role").isin(*ROLES) | F.coalesce(ok, F.lit(False))
 
 
+#: What a row of the short lists takes in a broadcast hash table: seven numbers, a key and its place.
+LIST_ROW_BYTES = 128
+
+
 def short_lists(cands: DataFrame, sellers: DataFrame, top_n: int, squad_size: int) -> DataFrame:
     """Buyers that can rank for some seller, per (period, position, price limit): see the module's plan, step 3.
 
@@ -447,7 +451,7 @@ def swap_suggestions(
     rising, other = sellers.where(F.col("_rises")), sellers.where(~F.col("_rises"))
     lists = cut_lineage(short_lists(cands, rising, top_n, size)).withColumnRenamed("price_limit", "_limit")
     on = [("event_id", "c_event"), ("o_role", "c_role"), ("price_limit", "_limit")]
-    if lists.count() <= BROADCAST_MAX_ROWS:
+    if lists.count() * LIST_ROW_BYTES <= BROADCAST_MAX_BYTES:
         cond = (rising["event_id"] == lists["c_event"]) & (rising["o_role"] == lists["c_role"]) & (rising["price_limit"] == lists["_limit"])
         near = rising.join(F.broadcast(lists), cond)
     else:

@@ -15,11 +15,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bounds under which a side may be broadcast: bytes by the optimizer's estimate,
-# rows where a table has been written and counted. A side that grows with the
+# Bytes under which a side may be broadcast: by the optimizer's estimate, or by
+# its counted rows where a table has been written. A side that grows with the
 # data is shuffled instead of being shipped to every executor.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def get_spark(app: str = "leagueflow", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
