@@ -231,8 +231,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "
     """``id``, ``body``, ``fp`` and ``component_id`` (the smallest id that can be reached) of each row."""
     prints = checkpointed(fingerprints(docs, id_col, text, words_in_shingle))
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    rooted = classes.join(fingerprint_components(prints, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both sides of the join on a root are written tables, so the join can split a component with very many fingerprints
+    rooted = checkpointed(classes.join(fingerprint_components(prints, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
