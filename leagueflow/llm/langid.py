@@ -272,6 +272,9 @@ def calibrate(models: Models, h: np.ndarray, noise: np.ndarray, langs: list[str]
     """Temperature by likelihood; rejection bounds between the documents of a language and shuffled documents.
 
     ``h``: cross-entropies of labelled documents; ``noise``: the lowest one of each after shuffling.
+    A language without a calibration document, or whose documents come out no
+    better than shuffled ones, gets the bound of all languages together; only
+    where those are no better either there is nothing to reject by.
     """
     models.reject = np.full(len(models.langs), np.inf)
     use = [i for i, lang in enumerate(langs) if lang in models.langs]
@@ -286,10 +289,11 @@ def calibrate(models: Models, h: np.ndarray, noise: np.ndarray, langs: list[str]
         if best is None or loss < best[0]:
             best = (loss, t)
     models.temperature = float(best[1])
+    pooled = np.quantile(own[np.arange(len(use)), truth], EDGE)
     for k in range(len(models.langs)):
-        if (truth == k).any():
-            near = np.quantile(own[truth == k, k], EDGE)
-            models.reject[k] = (near + far) / 2 if far > near else np.inf
+        near = np.quantile(own[truth == k, k], EDGE) if (truth == k).any() else np.inf
+        near = near if far > near else pooled
+        models.reject[k] = (near + far) / 2 if far > near else np.inf
 
 
 def _gram_counts(order: int):

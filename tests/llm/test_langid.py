@@ -127,3 +127,12 @@ def test_nothing_to_learn_from(frame):
         assert models.langs == []
         out = L.identify(frame(rows), models).collect()
         assert all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in out) and len(out) == len(rows)
+
+
+def test_a_language_without_calibration_documents_gets_the_pooled_bound():
+    models = L.Models(["aa", "bb", "cc"], 3, [], np.zeros(3))
+    h = np.array([[2.0, 3.0, 3.0]] * 50 + [[3.0, 2.2, 3.0]] * 50)
+    L.calibrate(models, h, np.full(100, 2.9), ["aa"] * 50 + ["bb"] * 50)
+    assert models.reject.tolist() == pytest.approx([2.45, 2.55, 2.55])
+    L.calibrate(models, h, np.full(100, 1.0), ["aa"] * 50 + ["bb"] * 50)
+    assert np.isinf(models.reject).all()
