@@ -26,7 +26,7 @@ zeros, so an empty vector scores 0 with every row; equal scores go by the
 smaller id, null ids last; a row with a null id is never an anchor; repeated
 rows count each, also as anchors, and the copy of an anchor is another row;
 components of 2^23 and more have no 32-bit integer and are refused with an
-error; further columns are not looked at; an empty table gives no rows.
+error; ids and labels are whole numbers; further columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
