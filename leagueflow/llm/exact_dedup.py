@@ -3,8 +3,10 @@
 Three keys, each finer and dearer than the one before: the text's length in
 bytes, a hash of its first bytes, and SHA-256 of the whole text. A document
 whose length (then prefix) nobody shares leaves the search at that step, so
-the whole-text groups are formed among the survivors only. Everything after
-the scan moves keys of a few dozen bytes, never the texts.
+the whole-text groups are formed among the survivors only. Where the digest of
+every text is part of the result all keys come from one scan, and what follows
+moves keys of a few dozen bytes, never the texts; where only the rows that stay
+are asked for, whole texts are hashed and grouped for survivors alone.
 
 Defined results for odd input: a null text counts as empty; a null ``doc_id``
 never wins against a number; rows repeated with the same ``doc_id`` and text
@@ -71,18 +73,33 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     )
 
 
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that two or more rows have, counted before the shuffle and written."""
+    return checkpointed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(*keys))
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns.
 
     Of equal texts the row with the largest id stays; ties on the id go to the
-    largest of the remaining columns in their order, so reruns agree. Whole
-    rows move once; copies meet in the partial aggregate before the shuffle.
+    largest of the remaining columns in their order, so reruns agree. Lengths
+    are counted first, then prefix hashes among rows of a shared length. Rows
+    that share both are hashed and grouped as a whole, copies meeting in the
+    partial aggregate; the others stay without more ado. The joins meet written
+    keys, so they can split a length or prefix that a third of the rows have.
     """
     others = [c for c in docs.columns if c not in (id_col, text)]
-    row = F.struct(F.col(id_col).alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(text).alias("t"))
-    kept = docs.groupBy(*[k.alias(f"__{i}") for i, k in enumerate(refinement_keys(docs, text))]).agg(F.max(row).alias("__row"))
-    back = {id_col: "__row.id", text: "__row.t"} | {c: f"__row.c{i}" for i, c in enumerate(others)}
-    return kept.select(*[F.col(back[c]).alias(c) for c in docs.columns])
+    fields = [F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text}`").alias("t")]
+    length, prefix, _ = refinement_keys(docs, text)
+    lengths = _shared(docs.select(length), "length_key")
+    prefixes = _shared(docs.select(length, prefix).join(lengths, "length_key", "left_semi"), "length_key", "prefix_key")
+    row = docs.select(F.struct(*fields).alias("row"), length, prefix)
+    met = row.join(prefixes.withColumn("shared", F.lit(True)), ["length_key", "prefix_key"], "left")
+    alone = met.filter("shared IS NULL").select("row")
+    whole = F.sha2(text_or_empty("row.t").cast("binary"), 256).alias("text_sha256")
+    grouped = met.filter("shared").groupBy("length_key", "prefix_key", whole).agg(F.max("row").alias("row")).select("row")
+    back = {id_col: "row.id", text: "row.t"} | {c: f"row.c{i}" for i, c in enumerate(others)}
+    return alone.unionAll(grouped).select(*[F.col(back[c]).alias(c) for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
