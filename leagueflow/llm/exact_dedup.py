@@ -73,9 +73,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     )
 
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys that two or more rows have, counted before the shuffle and written."""
-    return checkpointed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(*keys))
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that two or more rows have, counted before the shuffle."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(*keys)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,7 +83,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
     Of equal texts the row with the largest id stays; ties on the id go to the
     largest of the remaining columns in their order, so reruns agree. Lengths
-    are counted first, then prefix hashes among rows of a shared length. Rows
+    are counted, then prefix hashes among the shared lengths. Rows
     that share both are hashed and grouped as a whole, copies meeting in the
     partial aggregate; the others stay without more ado. The joins meet written
     keys, so they can split a length or prefix that a third of the rows have.
@@ -91,8 +91,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
     others = [c for c in docs.columns if c not in (id_col, text)]
     fields = [F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col(f"`{text}`").alias("t")]
     length, prefix, _ = refinement_keys(docs, text)
-    lengths = _shared(docs.select(length), "length_key")
-    prefixes = _shared(docs.select(length, prefix).join(lengths, "length_key", "left_semi"), "length_key", "prefix_key")
+    lengths = _counted(docs.select(length), "length_key")
+    # counts per key meet the lengths, not rows: a hot length is a few counts by then
+    prefixes = checkpointed(_counted(docs.select(length, prefix), "length_key", "prefix_key").join(lengths, "length_key", "left_semi"))
     row = docs.select(F.struct(*fields).alias("row"), length, prefix)
     met = row.join(prefixes.withColumn("shared", F.lit(True)), ["length_key", "prefix_key"], "left")
     alone = met.filter("shared IS NULL").select("row")
