@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,28 +17,43 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
 
 
-def plain(rows, prior=L.PRIOR):
-    """Scores by walking an automaton of dicts, token by token."""
+def plain(rows, priors=L.PRIORS, order=L.ORDER):
+    """Scores by walking an automaton of dicts, token by token, from state to state."""
     part = lambda d: zlib.crc32(str(d).encode()) % 7
     learn = [tokens(t) for d, t in rows if d is not None and part(d) != 2]
     words = Counter(w for x in learn for w in x)
-    pairs = Counter(p for x in learn for p in zip(["<s>"] + x, x))
     n, v = sum(words.values()), len(words)
     once, twice = sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values())
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    p = lambda w: max(words[w] - discount, 0) / n + discount * v / (n * (v + 1)) if n else 1 / (v + 1)
+    seen = Counter()  # grams of two words and more; "<s>" is the first word of a text's first grams
+    states = Counter({(): n})
+    for x in learn:
+        x = ["<s>", *x]
+        for i in range(len(x)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0 and (k > 1 or i > 0):
+                    seen[tuple(x[i - k + 1 : i + 1])] += 1
+                if k < order and i - k + 1 >= 0 and i + 1 < len(x):
+                    states[tuple(x[i - k + 1 : i + 1])] += 1
+
+    def prob(h, w):
+        if not h:
+            return max(words[w] - discount, 0) / n + discount * v / (n * (v + 1)) if n else 1 / (v + 1)
+        m = priors[min(len(h), len(priors)) - 1]
+        return (seen[(*h, w)] + m * prob(h[1:], w)) / (states[h] + m)
+
     out = []
     for d, t in rows:
         x = tokens(t)
         base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in x)
-        score, state = 0.0, "<s>"
+        score, state = 0.0, ("<s>",) if order > 1 and learn else ()
         for w in x:
-            c = len(learn) if state == "<s>" else words[state]
-            if pairs[state, w]:
-                score += math.log10((pairs[state, w] + prior * p(w)) / (c + prior))
-            else:
-                score += (math.log10(prior / (c + prior)) if c else 0.0) + math.log10(p(w))
-            state = w
+            while state and (*state, w) not in seen:  # failure arcs
+                m = priors[min(len(state), len(priors)) - 1]
+                score += math.log10(m / (states[state] + m))
+                state = state[1:]
+            score += math.log10(prob(state, w))
+            state = (*state, w)[1 - order :] if order > 1 and words[w] else ()
         out.append((d, d is not None and part(d) == 2, len(x), sum(words[w] > 0 for w in x), n, pytest.approx(base, rel=1e-9, abs=1e-9), pytest.approx(score, rel=1e-9, abs=1e-9)))
     return out
 
@@ -68,6 +84,30 @@ def test_blocks_and_ranges_do_not_change_scores(spark, tmp_path):
     assert all(a[6] == pytest.approx(b[6]) and a[5] == pytest.approx(b[5]) for a, b in zip(whole, small))
 
 
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_other_orders(spark, order):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    rows = [tuple(r) for r in docs.collect()]
+    priors = (50.0, 7.0)
+    assert sorted(scored(docs, order=order, priors=priors, block_bytes=30000), key=key) == sorted(plain(rows, priors, order), key=key)
+
+
+def test_pieces_of_a_long_text_are_read_in_the_state_before_them(frame):
+    rows = [(i, " ".join(f"w{(i * k * k) % 11}" for k in range(900 + i))) for i in range(12)]
+    whole = sorted(scored(frame(rows)))
+    assert whole == sorted(plain(rows))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        x = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (L.unpack_sorted(L.pack_sorted(x)) == x).all()
+        y = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        assert (L.unpack_numbers(L.pack_numbers(y)) == y).all()
+    assert (L.unpack_sorted(L.pack_sorted(np.array([5, 5, 5], np.uint64))) == 5).all()
+
+
 def test_odd_rows(frame):
     rows = [(1, None), (2, ""), (3, " \t "), (None, "a b"), (4, "A b é É"), (4, "A b é É"), (4, "a  B\né É"), (5, "x " * 40000), (9, "new words only")]
     got = scored(frame(rows, extra=True))
