@@ -45,7 +45,7 @@ from leagueflow.llm.tokens import slices, words
 #: Words in the longest gram.
 ORDER = 3
 #: Weight of the prior of pairs, triples and so on (the last one holds for longer grams): so many words of evidence.
-PRIORS = (100.0, 100.0)
+PRIORS = (100.0, 5.0)
 #: Bits of the hash of a gram; words have 64. With 10^13 different grams, one unseen gram in 7,000 would meet another's count.
 GRAM_BITS = 56
 #: Bytes of questions that a hash range should get, and what a byte of text asks.
