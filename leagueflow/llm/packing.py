@@ -46,7 +46,11 @@ WINDOW = 1024
 #: Token that ends a document.
 END_ID = 0
 #: Stretches whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
+#: Stretches that are encoded at once: the tokenizer's answer holds far more than the ids until they are read off.
+ENCODED = 1 << 12
+#: Bytes of text that are cut into stretches at a time.
+SLICE = 1 << 20
 
 
 # ---------------------------------------------------------------- token ids
@@ -110,10 +114,13 @@ class Encoder:
         self._sizes, self._pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
-        ids = [x.ids for x in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes, pool = [self._sizes], [self._pool]
+        for a in range(0, len(new), ENCODED):
+            ids = [x.ids for x in self._tokenizer.encode_batch_fast(new[a : a + ENCODED], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            pool.append(np.fromiter(chain.from_iterable(ids), np.uint32))
         self._known |= dict(zip(new, range(len(self._sizes), len(self._sizes) + len(new)), strict=True))
-        self._sizes = np.append(self._sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
-        self._pool = np.append(self._pool, np.fromiter(chain.from_iterable(ids), np.uint32))
+        self._sizes, self._pool = np.concatenate(sizes), np.concatenate(pool)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
@@ -142,7 +149,7 @@ def _pieces(path: str, window: int, end: int, with_ids: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 ids, each = _with_end(*encode(part.column(1)), end)
                 whole, first = -(-each // window), np.cumsum(each) - each
                 doc = np.repeat(np.arange(len(each)), whole)

@@ -127,3 +127,23 @@ def test_sequences_hold_the_ids(frame, tokenizer):
         for p in r["pieces"]:
             want = [*tokenizer.encode(texts[p["id"]], add_special_tokens=False).ids, 0]
             assert ids[p["offset"] : p["offset"] + p["length"]].tolist() == want[p["start"] : p["start"] + p["length"]]
+
+
+def test_the_tokenizer_gets_few_stretches_at_once(monkeypatch):
+    """What it answers is far larger than the ids, so a slice of new words does not go to it whole."""
+    encode, seen = packing.Encoder(packing.tokenizer_path()), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.append(len(texts))
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    texts = pa.array([" ".join(f"w{i}x" for i in range(3 * 4096))])
+    want = encode(texts)[0].tolist()
+    encode._forget()
+    encode._tokenizer = Counted(encode._tokenizer)
+    assert encode(texts)[0].tolist() == want
+    assert len(seen) > 1 and max(seen) <= 4096
