@@ -49,11 +49,13 @@ PRIORS = (100.0, 5.0)
 #: Bits of the hash of a gram; words have 64. With 10^13 different grams, one unseen gram in 7,000 would meet another's count.
 GRAM_BITS = 56
 #: Bytes of questions that a hash range should get, and what a byte of text asks.
-RANGE_BYTES, ASKED = 128 << 20, 1.7
+RANGE_BYTES, ASKED = 32 << 20, 1.7
 #: Tokens of a text that are read in one go; its next piece starts in the state that the last words before it lead to.
 PIECE = 256
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Tokens of a block that are read at a time, in whole texts: their weights take far more than the counts.
+SCORED = 1 << 18
 #: Hashes of the start and the end of a text, which are no words.
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (" start", " end"))
 
@@ -86,6 +88,7 @@ def grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[n
         h = before * _A + tokens * _B
         h ^= h >> np.uint64(32)
         last = (h * _A) >> np.uint64(64 - GRAM_BITS)
+        del before, h
         places = np.flatnonzero(offset >= k - 2)
         yield places, last[places]
 
@@ -130,10 +133,12 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
             held.append((part.column(0), *(part.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (1, 2)), tokens, sizes))
             size += part.column(3).nbytes
             if size >= most:
-                yield join()
-                held, size = [], 0
+                block, held, size = join(), [], 0
+                yield block
+                del block
     if held:
-        yield join()
+        block, held = join(), []
+        yield block
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -181,15 +186,22 @@ def _ranges(hashes: np.ndarray, buckets: int, bits: int) -> list[np.ndarray]:
     return list(zip(cut[:-1], cut[1:], strict=True))
 
 
+def _asked(block: Block, learned: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct words, then pairs and so on, each with their counts in training texts; one length is held at a time."""
+    distinct, inverse = np.unique(block.tokens, return_inverse=True)
+    counts = np.bincount(inverse[learned], minlength=len(distinct)).astype(np.uint32)
+    del inverse
+    yield distinct, counts
+    for places, hashes in grams(block.tokens, block.sizes, order):
+        yield distinct_grams(hashes, learned[places])
+
+
 def _questions(most: int, buckets: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most):
             learned = np.repeat(block.train, block.sizes)
             columns = [pa.array(np.full(buckets, block.name)), pa.array(np.arange(buckets))]
-            words_, inverse = np.unique(block.tokens, return_inverse=True)
-            asked = [(words_, np.bincount(inverse, learned, len(words_)).astype(np.uint32))]
-            asked += [distinct_grams(hashes, learned[places]) for places, hashes in grams(block.tokens, block.sizes, order)]
-            for k, (distinct, counts) in enumerate(asked):
+            for k, (distinct, counts) in enumerate(_asked(block, learned, order)):
                 parts = _ranges(distinct, buckets, GRAM_BITS if k else 64)
                 columns += [pa.array([pack_sorted(distinct[a:b]) for a, b in parts], pa.binary()), pa.array([_pack(counts[a:b]) for a, b in parts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", *(f"{x}{k}" for k in range(1, order + 1) for x in ("asked", "counts"))])
@@ -203,15 +215,20 @@ def _answers(order: int):
     def run(bucket: pa.Table) -> pa.Table:
         out, facts = [], None
         for k in range(1, order + 1):
-            asked = [unpack_sorted(x) for x in bucket[f"asked{k}"].to_pylist()]
-            counts = np.concatenate([_unpack(x, np.uint32) for x in bucket[f"counts{k}"].to_pylist()])
-            distinct, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-            totals = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+            asked = [unpack_sorted(x.as_py()) for x in bucket[f"asked{k}"]]
+            lengths = [len(a) for a in asked]
+            asked = np.concatenate(asked)
+            inverse = np.unique(asked, return_inverse=True)[1]
+            del asked
+            counts = np.concatenate([_unpack(x.as_py(), np.uint32) for x in bucket[f"counts{k}"]])
+            totals = np.bincount(inverse, counts).astype(np.int64)
+            del counts
             if k == 1:
                 facts = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())]
             # totals that fit are sent in four bytes
             wide = np.int64 if len(totals) and totals.max() > 0xFFFFFFFF else np.uint32
-            each = np.split(totals[inverse].astype(wide), np.cumsum([len(a) for a in asked])[:-1])
+            each = np.split(totals.astype(wide)[inverse], np.cumsum(lengths)[:-1])
+            del inverse
             out.append(pa.array([bytes([np.dtype(wide).itemsize]) + _pack(x) for x in each], pa.binary()))
         n = bucket.num_rows
         # the facts of a range stand in one of its rows
@@ -309,7 +326,7 @@ def traverse(counts: np.ndarray, arcs: np.ndarray, fails: np.ndarray, sizes: np.
 def _score(corpus: Corpus, priors: tuple[float, ...], buckets: int, order: int):
     def totals(answers: pa.Table, k: int) -> np.ndarray:
         parts = [(_unpack(x[1:], np.int64 if x[0] == 8 else np.uint32)) for x in answers[f"total{k}"].to_pylist()]
-        return np.concatenate(parts).astype(np.int64)
+        return np.concatenate(parts)  # four bytes each, unless one of them needs more
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         alike = texts.num_rows  # blocks of one name have the same rows
@@ -320,23 +337,34 @@ def _score(corpus: Corpus, priors: tuple[float, ...], buckets: int, order: int):
         sizes, distinct, place = _unpack(row["sizes"], np.int64), unpack_sorted(row["words"]), unpack_numbers(row["places"])
         numbers = np.argsort(place)[unpack_numbers(row["numbers"])]
         known = totals(answers, 1)
+        learned = int(known[np.searchsorted(distinct, END)])  # as many texts start as end
+        counts = [known[numbers]]
         tokens = distinct[numbers]
-        counts = np.zeros((order, len(tokens)), np.int64)
-        counts[0] = known[numbers]
-        for k, (places, hashes) in enumerate(grams(tokens, sizes, order), 1):
-            counts[k][places] = totals(answers, k + 1)[np.unique(hashes, return_inverse=True)[1]]
+        del numbers, place
+        for k, (places, hashes) in enumerate(grams(tokens, sizes, order), 2):
+            inverse = np.unique(hashes, return_inverse=True)[1]
+            own = totals(answers, k)
+            counts.append(np.zeros(len(tokens), own.dtype))
+            counts[-1][places] = own[inverse]
+            del places, hashes, inverse, own
+        del tokens
         begins = np.cumsum(sizes) - sizes
-        learned = int(known[np.searchsorted(distinct, END)])  # as many texts start as end
-        weights = traverse(counts, *arc_weights(corpus, counts, begins, learned, priors), sizes, learned > 0)
-        total = lambda x: np.add.reduceat(x, begins)
+        seen, base, score = np.empty(len(sizes), np.int64), np.empty(len(sizes)), np.empty(len(sizes))
+        edges = np.flatnonzero(np.diff(begins // SCORED, prepend=-1)).tolist()
+        for a, b in zip(edges, [*edges[1:], len(sizes)], strict=True):
+            each, first = sizes[a:b], begins[a:b] - begins[a]
+            some = np.stack([c[begins[a] : begins[b - 1] + sizes[b - 1]].astype(np.int64) for c in counts])
+            weights = traverse(some, *arc_weights(corpus, some, first, learned, priors), each, learned > 0)
+            for out, x in ((seen, (some[0] > 0).astype(np.int64)), (base, corpus.base(some[0])), (score, weights)):
+                out[a:b] = np.add.reduceat(x, first)
         columns = [
             pa.array(row["ids"], texts.schema.field("ids").type.value_type),
             pa.array(np.frombuffer(row["held_out"], bool)),
             pa.array(sizes),
-            pa.array(total((counts[0] > 0).astype(np.int64))),
+            pa.array(seen),
             pa.array(np.full(len(sizes), corpus.n)),
-            pa.array(total(corpus.base(counts[0]))),
-            pa.array(total(weights)),
+            pa.array(base),
+            pa.array(score),
         ]
         scored = pa.table(columns, [c.split()[0] for c in SCORE_COLUMNS.split(", ")])
         return pa.concat_tables([scored] * alike)

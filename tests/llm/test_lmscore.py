@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,20 @@ def test_odd_rows(frame):
 def test_blocks_that_are_alike(spark):
     df = spark.createDataFrame([(4, "a b a")] * 6, "doc_id long, text string").repartition(3).checkpoint()
     assert sorted(scored(df)) == plain([(4, "a b a")] * 6)
+
+
+def test_weights_are_made_for_few_texts_at_a_time(monkeypatch):
+    """A block's arcs and failure arcs take far more than its counts, so no block is read whole."""
+    rng, seen, real = np.random.default_rng(3), [], L.traverse
+    texts = [" ".join(rng.choice(list("abcdefg"), n)) for n in rng.integers(0, 90, 60)]
+    rows = list(enumerate(texts))
+    batch = pa.RecordBatch.from_pydict({"id": [d for d, _ in rows], "train": [zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows], "held_out": [False] * 60, "text": texts})
+    asked = pa.Table.from_batches(L._questions(1 << 30, 1, 3)(iter([batch])))
+    answers = L._answers(3)(asked)
+    n, v, once, twice = (sum(answers[c].to_pylist()) for c in ("n", "v", "n1", "n2"))
+    packed = pa.Table.from_batches(L._texts(1 << 30)(iter([batch])))
+    monkeypatch.setattr(L, "SCORED", 100)
+    monkeypatch.setattr(L, "traverse", lambda counts, *a: seen.append(counts.shape[1]) or real(counts, *a))
+    got = L._score(L.Corpus(n, v, once / (once + 2 * twice) if once and twice else 0.5), L.PRIORS, 1, 3)(packed, answers)
+    assert [(r["id"], r["score"]) for r in got.to_pylist()] == [(r[0], r[6]) for r in plain(rows)]
+    assert len(seen) > 5 and max(seen) <= 200
