@@ -324,17 +324,18 @@ class TableStore:
         stamp = (STAMP[table], as_of) if as_of is not None and table in STAMP else None
         columns = SCHEMAS[table].names
         ties = [F.col(c) for c in source.columns if c in columns]
+        n = source.count()
+        if n == 0:
+            return 0
+        self.init([table])
         ranked = source.withColumn("_tie", F.struct(*ties))
-        # read by the count, the FK checks and the write: kept for this write only
-        source = ranked.persist()
+        kept = conform(latest_per_key(ranked, KEYS[table], [*order_cols, "_tie"]), SCHEMAS[table])
         try:
-            n = source.count()
-            if n == 0:
-                return 0
-            self.init([table])
-            rows = latest_per_key(source, KEYS[table], [*order_cols, "_tie"])
+            rows = kept
             if orphans != "ignore":
-                rows = self._with_parents(table, rows, orphans)
+                # read by the FK checks and the write: kept for this write only, a row per key in the partitions of
+                # the shuffle, not in those of the input, of which one may hold a whole file
+                rows = self._with_parents(table, kept.persist(), orphans)
             rows = conform(rows, SCHEMAS[table], stamp)
             if check is None or not check.metrics(table):
                 self._write(table, "delta", self._next(table), rows)
@@ -350,7 +351,7 @@ class TableStore:
             fs.create(to_path(f"{path}/_SUCCESS")).close()
             return n
         finally:
-            source.unpersist()
+            kept.unpersist()
 
     def _with_parents(self, table: str, rows: DataFrame, orphans: str) -> DataFrame:
         for child, fk, parent, pk in FOREIGN_KEYS:

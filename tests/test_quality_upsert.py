@@ -201,3 +201,24 @@ def test_a_batch_that_fails_the_gate_does_not_count(spark, tmp_path):
         store.upsert("player_match_history", good, ["player_id"], check=quality.BatchGate(spark, "strict"))
     store.upsert("player_match_history", bad, ["player_id"], check=quality.BatchGate(spark, "warn"))
     assert store.read("player_match_history").count() == 3
+
+
+def test_an_upsert_keeps_no_copy_of_its_input(spark, tmp_path, monkeypatch):
+    """An input of one partition is not held whole by the task that reads it: what is kept has gone through the shuffle by key."""
+    from pyspark.sql import DataFrame
+
+    kept, real = [], DataFrame.persist
+
+    def persist(df, *a):
+        kept.append(df.columns)
+        return real(df, *a)
+
+    monkeypatch.setattr(DataFrame, "persist", persist)
+    rows = spark.range(50).selectExpr("id % 20 AS id", "cast(id AS string) AS name", "cast(id AS int) AS strength").coalesce(1)
+    store = tables.TableStore(spark, str(tmp_path))
+    assert store.upsert("teams", rows, ["strength"], orphans="ignore") == 50
+    assert kept == []
+    players = spark.range(30).selectExpr("id % 10 AS id", "cast(id AS int) AS minutes", "id % 25 AS team_id").coalesce(1)
+    assert store.upsert("players", players, ["minutes"], orphans="quarantine") == 30
+    assert all("_tie" not in c for c in kept)
+    assert {(r["id"], r["minutes"]) for r in store.read("players").collect()} == {(i, 20 + i) for i in range(10) if (20 + i) % 25 < 20}
