@@ -198,7 +198,8 @@ def _requests(store: TableStore, squads: DataFrame, asked: DataFrame) -> tuple[D
     scores = store.read("player_expected_points")
     nxt = marts.next_period_id(scores).scalar()
     period = F.coalesce(F.col("event_id").cast("bigint"), nxt) if "event_id" in asked.columns else nxt
-    requests = (
+    # read by the scores, the buyers, the sellers and the elevens: written once
+    requests = cut_lineage(
         squads.select("squad_id").distinct()
         .join(asked, "squad_id", "left")
         .withColumn("_next", nxt)
@@ -222,7 +223,7 @@ def suggest_transfers(
     scores, requests = _requests(store, squads, bank_tenths)
     players = store.read("players")
     suggest = sq.cli_suggestions if preset == "cli" else sq.service_suggestions
-    found = suggest(squads, players, scores, requests, top_n)
+    found = cut_lineage(suggest(squads, players, scores, requests, top_n))
     current = sq.best_eleven(squads, players, scores, requests, preset)
     none = current.join(found.select("squad_id").distinct(), "squad_id", "left_anti")
     return found.unionByName(none.select("squad_id", "event_id", F.col("team_xpts").alias("current_team_xpts")), allowMissingColumns=True)
@@ -238,8 +239,14 @@ def answer_requests(
     next one). Returns ``squad_id, event_id, status, document``; squads that
     the rules refuse have their status and no document.
     """
-    members, bank = payloads.squad_from_picks(payloads.parsed(picks_docs), ["squad_id"])
-    asked = sq.suggestion_requests(members, bank, given_bank, store.read("player_expected_points"))
+    # each document is parsed once; the picks, at most a squad's, and what is asked are read more than once
+    docs = payloads.parsed(picks_docs).persist()
+    try:
+        members, bank = payloads.squad_from_picks(docs, ["squad_id"])
+        members = cut_lineage(members)
+        asked = cut_lineage(sq.suggestion_requests(members, bank, given_bank, store.read("player_expected_points")))
+    finally:
+        docs.unpersist()
     ok = asked.where(F.col("status") == "ok")
     squads = members.join(ok.select("squad_id"), "squad_id", "left_semi").select("squad_id", F.col("pick_index").cast("int").alias("slot"), "player_id")
     money = ok.select("squad_id", "bank_tenths")

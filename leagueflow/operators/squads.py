@@ -31,7 +31,9 @@ Set-based plan (no per-swap re-solve, no Python):
    full (m: squad size). With K = top_n + m, a buyer with K cheap enough
    buyers of its own team before it can go, and of the rest the first
    (m/3 + 1)·K suffice. These lists exist once per (period, position, price
-   limit), so a seller meets a bounded number of buyers however many there are.
+   limit), in both orders, as two arrays. A seller meets its two arrays in one
+   row, keeps the first ``top_n`` feasible buyers of each and is evaluated for
+   these alone: at most 2 * ``top_n`` rows a seller are made and sorted.
 4. sellers whose total could fall as x rises (rare) meet all buyers.
 5. ``row_number() <= top_n`` per squad.
 
@@ -225,6 +227,15 @@ def _cap_binds(known: Column, cap: int | None) -> Column:
     return F.exists(F.array_distinct(teams), lambda t: F.size(F.filter(teams, lambda x: x.eqNullSafe(t))) > cap)
 
 
+def _spread(squads: DataFrame) -> DataFrame:
+    """Squads in the session's number of shuffle partitions, whatever their bytes.
+
+    By a hash of the squad: a repartition by the column itself is dropped where
+    the rows are partitioned by it already, and their shuffle is merged by size.
+    """
+    return squads.repartition(int(squads.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("squad_id"))
+
+
 def _squad_arrays(members: DataFrame) -> DataFrame:
     """One row per squad: ``known`` (all known members) and ``order`` (positions 1 to 4 in greedy order).
 
@@ -234,8 +245,7 @@ def _squad_arrays(members: DataFrame) -> DataFrame:
     """
     e = F.struct("role", (-F.col("score")).alias("neg"), "slot", "score", "team", "player_id", "cost")
     g = members.groupBy("squad_id", "event_id").agg(F.array_sort(F.collect_list(e)).alias("known"))
-    g = g.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "squad_id")
-    return g.withColumn("order", F.filter("known", lambda m: m["role"].isin(*ROLES)))
+    return _spread(g).withColumn("order", F.filter("known", lambda m: m["role"].isin(*ROLES)))
 
 
 def _numbered(i: int):
@@ -300,6 +310,7 @@ def _seller_rows(members: DataFrame, requests: DataFrame, ps: Preset, cli: bool)
     teams = F.array_compact(F.transform("known", lambda m: m["team"]))
     s = (
         arrays.join(requests.select("squad_id", "bank_tenths"), "squad_id")
+        .transform(_spread)
         .withColumn("owned", F.array_sort(F.array_distinct(F.transform("known", lambda m: m["player_id"]))))
         .withColumn("_teams", teams)
         .withColumn("o", F.explode("known"))
@@ -385,7 +396,7 @@ def _rises(ps: Preset, n_forms: int) -> Column:
     return ~F.col("o_role").isin(*ROLES) | F.coalesce(ok, F.lit(False))
 
 
-#: What a row of the short lists takes in a broadcast hash table: seven numbers, a key and its place.
+#: What a buyer of the short lists takes in a broadcast hash table: five numbers in each of two arrays.
 LIST_ROW_BYTES = 128
 
 
@@ -411,6 +422,26 @@ def short_lists(cands: DataFrame, sellers: DataFrame, top_n: int, squad_size: in
     return out.distinct()
 
 
+def _listed(lists: DataFrame) -> DataFrame:
+    """One row per (period, position, price limit): its buyers by id and by score (then id), a bounded number."""
+    keys = ["c_event", "c_role", "price_limit"]
+    by_id = F.struct("c_id", (-F.col("x")).alias("neg"), "x", "c_team", "c_cost")
+    by_score = F.struct((-F.col("x")).alias("neg"), "c_id", "x", "c_team", "c_cost")
+    return lists.groupBy(*keys).agg(F.array_sort(F.collect_list(by_id)).alias("_by_id"), F.array_sort(F.collect_list(by_score)).alias("_by_score"))
+
+
+def _first_feasible(near: DataFrame, top_n: int) -> DataFrame:
+    """Of each seller's two arrays the first ``top_n`` feasible buyers, a row each: every swap that can rank is among them."""
+
+    def first(order: str) -> Column:
+        fits = lambda c: ~F.array_contains("owned", c["c_id"]) & ~F.coalesce(F.array_contains("blocked", c["c_team"]), F.lit(False))
+        return F.transform(F.slice(F.filter(order, fits), 1, top_n), lambda c: F.struct(*[c[k].alias(k) for k in ("c_id", "c_team", "c_cost", "x")]))
+
+    both = near.withColumn("_c", F.array_union(first("_by_id"), first("_by_score"))).drop("_by_id", "_by_score")
+    # outer: a plain explode is preceded by a filter on the array's size, which makes the array once more
+    return both.withColumn("_c", F.explode_outer("_c")).where("_c IS NOT NULL").select(*[c for c in both.columns if c != "_c"], "_c.*")
+
+
 def _salted(sellers: DataFrame, buyers: DataFrame, on: list[tuple[str, str]], salts: int) -> DataFrame:
     """Equi-join whose keys have few values: the buyer side goes to every salt."""
     left = sellers.withColumn("_salt", F.pmod(F.xxhash64("squad_id", "o_slot"), F.lit(salts)))
@@ -437,11 +468,12 @@ def swap_suggestions(
     in_player_id, out_cost, in_cost, team_xpts_delta, new_team_xpts,
     current_team_xpts (hundredths converted back to two-decimal doubles).
 
-    The scores of the requested periods, the buyers, the seller rows (≤ 15 per
-    squad) and the short lists are checkpointed in the shared folder: each is
+    The requests, the scores of their periods, the buyers, the seller rows (≤ 15
+    per squad) and the short lists are checkpointed in the shared folder: each is
     read more than once.
     """
     ps = PRESETS[preset]
+    requests = cut_lineage(requests)
     sc = cut_lineage(requested_scores(scores, requests))
     members = squad_members(squads, players, sc, requests, ps)
     n_forms = len(ps.formations)
@@ -449,14 +481,15 @@ def swap_suggestions(
     size = sellers.agg(F.coalesce(F.max(F.size("owned")), F.lit(0))).first()[0]
     cands = cut_lineage(candidates(players, sc, requests, ps))
     rising, other = sellers.where(F.col("_rises")), sellers.where(~F.col("_rises"))
-    lists = cut_lineage(short_lists(cands, rising, top_n, size)).withColumnRenamed("price_limit", "_limit")
+    lists = cut_lineage(_listed(short_lists(cands, rising, top_n, size))).withColumnRenamed("price_limit", "_limit")
     on = [("event_id", "c_event"), ("o_role", "c_role"), ("price_limit", "_limit")]
-    if lists.count() * LIST_ROW_BYTES <= BROADCAST_MAX_BYTES:
+    listed = lists.agg(F.coalesce(F.sum(F.size("_by_id")), F.lit(0))).first()[0]
+    if listed * LIST_ROW_BYTES <= BROADCAST_MAX_BYTES:
         cond = (rising["event_id"] == lists["c_event"]) & (rising["o_role"] == lists["c_role"]) & (rising["price_limit"] == lists["_limit"])
         near = rising.join(F.broadcast(lists), cond)
     else:
         near = _salted(rising, lists, on, salts)
-    pairs = near.drop("_limit").unionByName(_salted(other, cands, on[:2], salts))
+    pairs = _first_feasible(near.drop("_limit"), top_n).unionByName(_salted(other, cands, on[:2], salts))
     feasible = pairs.where(
         (F.col("c_cost") <= F.col("price_limit"))
         & ~F.array_contains("owned", F.col("c_id"))

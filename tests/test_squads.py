@@ -87,3 +87,27 @@ def test_the_service_answers_with_1_to_50_suggestions(spark, asked, given):
     R = spark.createDataFrame([(s, e, 90) for s, e, _ in bank], "squad_id bigint, event_id bigint, bank_tenths bigint")
     X = spark.createDataFrame(scores, "player_id bigint, event_id bigint, xpts double")
     assert sq.service_suggestions(S, P, X, R, asked).count() == given
+
+
+def test_squads_keep_their_partitions_and_few_buyers_are_evaluated(spark):
+    """Costly folds over few bytes: neither the arrays nor the sellers are merged into one task by size."""
+    from pyspark.sql import functions as F
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = spark.range(600).select(
+        (F.col("id") % 40).alias("squad_id"), F.lit(1).cast("long").alias("event_id"), (1 + F.col("id") % 4).alias("role"), F.col("id").alias("score"),
+        F.col("id").cast("int").alias("slot"), (F.col("id") % 5).alias("team"), F.col("id").alias("player_id"), F.lit(50).cast("long").alias("cost"),
+    ).repartition(parts, "squad_id", "event_id")
+    arrays = sq._squad_arrays(members)
+    assert arrays.rdd.getNumPartitions() == parts
+    requests = spark.range(40).select(F.col("id").alias("squad_id"), F.lit(1).cast("long").alias("event_id"), F.lit(5).cast("long").alias("bank_tenths"))
+    ps = sq.PRESETS["service"]
+    assert sq._seller_rows(members, requests, ps, False).rdd.getNumPartitions() == parts
+
+
+def test_a_seller_keeps_the_first_feasible_buyers_of_both_orders(spark):
+    lists = spark.createDataFrame([(1, 2, 60, c, c % 3, 50, (7 * c) % 31) for c in range(30)], "c_event long, c_role long, price_limit long, c_id long, c_team long, c_cost long, x long")
+    near = sq._listed(lists).selectExpr("*", "1 AS squad_id", "array(0L, 3L) AS owned", "array(1L) AS blocked")
+    got = sorted(r["c_id"] for r in sq._first_feasible(near, 4).collect())
+    fit = [c for c in range(30) if c not in (0, 3) and c % 3 != 1]
+    assert got == sorted({*fit[:4], *sorted(fit, key=lambda c: (-((7 * c) % 31), c))[:4]})
