@@ -46,9 +46,8 @@ def safe_int(c: Column | str, dtype: str = "bigint") -> Column:
     goes through DOUBLE.
     """
     s = F.trim(_col(c).cast("string"))
-    d = F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
-    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
-    return F.when(s.rlike(INTEGER_PATTERN), s.try_cast(dtype)).when(finite, d.try_cast(dtype))
+    # an infinity, as of 1e999, does not fit the integer, and try_cast gives NULL
+    return F.when(s.rlike(INTEGER_PATTERN), s.try_cast(dtype)).when(s.rlike(NUMBER_PATTERN), s.try_cast("double").try_cast(dtype))
 
 
 def safe_bool(c: Column | str) -> Column:

@@ -13,6 +13,8 @@ each line, and prune by the partition folders ``endpoint`` and ``fetch_date``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, VariantType
@@ -40,10 +42,6 @@ ENTRY_FIELDS = ("bank", "value", "event_transfers", "event_transfers_cost")
 CURRENT_FIELDS = ("event", "points", "total_points", "rank", "event_transfers", "event_transfers_cost", "value", "points_on_bench")
 PAST_FIELDS = ("season_name", "total_points", "rank")
 
-#: Elements of an array in a document, with their leaves unread.
-_ELEMENTS = "array<map<string,variant>>"
-
-
 def parsed(docs: DataFrame, payload: str = "payload") -> DataFrame:
     """Documents whose payload is a VARIANT: one parse, whatever is read from it afterwards."""
     return docs.withColumn(payload, _document(docs, payload))
@@ -57,14 +55,21 @@ def _leaf(docs: DataFrame, payload: str, path: str) -> Column:
     return F.try_variant_get(_document(docs, payload), path, "string")
 
 
-def _array(docs: DataFrame, payload: str, field: str | None) -> Column:
-    """The array of objects in a field, or the document itself if it is one."""
-    found = F.try_variant_get(_document(docs, payload), "$" if field is None else f"$.{field}", _ELEMENTS)
-    return F.when(F.forall(found, lambda x: x.isNotNull()), found)  # what is no object has become NULL
+def _array(docs: DataFrame, payload: str, field: str | None, names: Iterable[str]) -> Column:
+    """The array of objects in a field, or the document itself if it is one; of each object the leaves ``names`` as text."""
+    elements = f"array<struct<{','.join(f'`{n}`:string' for n in names)}>>"
+    return F.try_variant_get(_document(docs, payload), "$" if field is None else f"$.{field}", elements)
+
 
+def _whole(array: str) -> Column:
+    """The array, unless one of its elements is no object: it has become NULL."""
+    return F.when(F.forall(array, lambda x: x.isNotNull()), F.col(array))
 
-def _items(docs: DataFrame, payload: str, field: str | None, keep: list[str]) -> DataFrame:
-    return docs.select(*keep, F.posexplode(_array(docs, payload, field)).alias("_i", "_e"))
+
+def _items(docs: DataFrame, payload: str, field: str | None, keep: list[str], names: Iterable[str]) -> DataFrame:
+    # read before it is looked through: a generator would evaluate it once for each use
+    arrays = docs.select(*keep, _array(docs, payload, field, names).alias("_a"))
+    return arrays.select(*keep, F.posexplode(_whole("_a")).alias("_i", "_e"))
 
 
 def _kept(keep: list[str] | None, pos: str | None) -> list[Column]:
@@ -72,17 +77,13 @@ def _kept(keep: list[str] | None, pos: str | None) -> list[Column]:
     return [F.col(c) for c in keep or []] + ([F.col("_i").cast("int").alias(pos)] if pos else [])
 
 
-def _text(element: Column, name: str) -> Column:
-    return F.try_variant_get(element[name], "$", "string")
-
-
 def _e(name: str) -> Column:
-    return _text(F.col("_e"), name)
+    return F.col("_e")[name]
 
 
 def parse_teams(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
-    return _items(docs, payload, "teams", k).select(
+    return _items(docs, payload, "teams", k, TEAM_FIELDS).select(
         *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("name").alias("name"), _e("short_name").alias("short_name"),
         safe_int(_e("strength"), "int").alias("strength"),
     )
@@ -90,7 +91,7 @@ def parse_teams(docs: DataFrame, payload: str = "payload", keep: list[str] | Non
 
 def parse_positions(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
-    return _items(docs, payload, "element_types", k).select(
+    return _items(docs, payload, "element_types", k, POSITION_FIELDS).select(
         *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("singular_name_short").alias("singular_name_short"),
         _e("singular_name").alias("singular_name"), safe_int(_e("squad_select"), "int").alias("squad_select"),
     )
@@ -98,7 +99,7 @@ def parse_positions(docs: DataFrame, payload: str = "payload", keep: list[str] |
 
 def parse_events(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     k = keep or []
-    return _items(docs, payload, "events", k).select(
+    return _items(docs, payload, "events", k, EVENT_FIELDS).select(
         *_kept(k, pos), safe_int(_e("id")).alias("id"), _e("name").alias("name"), safe_ts_utc(_e("deadline_time")).alias("deadline_time"),
         safe_bool(_e("finished")).alias("finished"), safe_bool(_e("is_current")).alias("is_current"),
         safe_bool(_e("is_next")).alias("is_next"),
@@ -111,7 +112,7 @@ def parse_players(docs: DataFrame, payload: str = "payload", keep: list[str] | N
     ints = {"minutes": "int", "total_points": "int", "now_cost": "int"}
     floats = ("selected_by_percent", "form", "points_per_game", "expected_goals", "expected_assists",
               "expected_goal_involvements", "expected_goals_conceded")
-    return _items(docs, payload, "elements", k).select(
+    return _items(docs, payload, "elements", k, ELEMENT_FIELDS).select(
         *_kept(k, pos),
         safe_int(_e("id")).alias("id"),
         _e("web_name").alias("web_name"),
@@ -130,7 +131,7 @@ def parse_players(docs: DataFrame, payload: str = "payload", keep: list[str] | N
 def parse_fixtures(docs: DataFrame, payload: str = "payload", keep: list[str] | None = None, pos: str | None = None) -> DataFrame:
     """Top-level array of fixtures; ``event``→event_id."""
     k = keep or []
-    return _items(docs, payload, None, k).select(
+    return _items(docs, payload, None, k, FIXTURE_FIELDS).select(
         *_kept(k, pos),
         safe_int(_e("id")).alias("id"),
         safe_int(_e("event")).alias("event_id"),
@@ -157,7 +158,7 @@ def parse_history(
     position (0-based) feeds the synthetic key of games without a fixture id.
     """
     k = [player] + (keep or [])
-    rows = _items(docs, payload, "history", k)
+    rows = _items(docs, payload, "history", k, HISTORY_FIELDS)
     fid = safe_int(_e("fixture"))
     eid = safe_int(_e("round"))
     ints = ("minutes", "total_points", "goals_scored", "assists", "clean_sheets", "goals_conceded")
@@ -177,7 +178,7 @@ def parse_future(
 ) -> DataFrame:
     """``fixtures`` of a per-player document → upcoming fixtures of that player."""
     k = [player] + (keep or [])
-    return _items(docs, payload, "fixtures", k).select(
+    return _items(docs, payload, "fixtures", k, FUTURE_FIELDS).select(
         *_kept(k, pos),
         safe_int(_e("id")).alias("fixture_id"),
         safe_int(_e("event")).alias("event_id"),
@@ -190,7 +191,7 @@ def parse_future(
 
 def parse_picks(docs: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """Squad picks in document order; vice-captain also flags ``multiplier = 0``."""
-    rows = _items(docs, payload, "picks", keep)
+    rows = _items(docs, payload, "picks", keep, PICK_FIELDS)
     vice = F.coalesce(safe_bool(_e("is_vice_captain")), F.lit(False)) | F.coalesce(
         safe_int(_e("multiplier")) == 0, F.lit(False)
     )
@@ -223,10 +224,10 @@ def squad_from_picks(docs: DataFrame, keep: list[str], payload: str = "payload")
 
 def parse_entry_history(docs: DataFrame, keep: list[str], payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(current gameweeks, past seasons) of an entry history document."""
-    cur = _items(docs, payload, "current", keep).select(
+    cur = _items(docs, payload, "current", keep, CURRENT_FIELDS).select(
         *keep, F.col("_i").cast("int").alias("idx"), *[safe_int(_e(f)).alias(f) for f in CURRENT_FIELDS]
     )
-    past = _items(docs, payload, "past", keep).select(
+    past = _items(docs, payload, "past", keep, PAST_FIELDS).select(
         *keep, F.col("_i").cast("int").alias("idx"), _e("season_name").alias("season_name"),
         safe_int(_e("total_points")).alias("total_points"), safe_int(_e("rank")).alias("rank"),
     )
@@ -235,16 +236,17 @@ def parse_entry_history(docs: DataFrame, keep: list[str], payload: str = "payloa
 
 def entry_summary(docs: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
     """Per document: latest gameweek (last array element) and number of past seasons."""
-    doc = docs.select(*keep, _array(docs, payload, "current").alias("_current"), _array(docs, payload, "past").alias("_past"))
+    arrays = docs.select(*keep, _array(docs, payload, "current", CURRENT_FIELDS).alias("_current"), _array(docs, payload, "past", PAST_FIELDS).alias("_past"))
+    doc = arrays.select(*keep, _whole("_current").alias("_current"), _whole("_past").alias("_past"))
     last = F.try_element_at(F.col("_current"), F.lit(-1))
     return doc.select(
         *keep,
         F.coalesce(F.size("_current"), F.lit(0)).cast("int").alias("n_current"),
-        safe_int(_text(last, "event")).alias("latest_event"),
-        safe_int(_text(last, "points")).alias("latest_points"),
-        safe_int(_text(last, "total_points")).alias("latest_total_points"),
-        safe_int(_text(last, "value")).alias("latest_value"),
-        safe_int(_text(last, "event_transfers")).alias("latest_event_transfers"),
+        safe_int(last["event"]).alias("latest_event"),
+        safe_int(last["points"]).alias("latest_points"),
+        safe_int(last["total_points"]).alias("latest_total_points"),
+        safe_int(last["value"]).alias("latest_value"),
+        safe_int(last["event_transfers"]).alias("latest_event_transfers"),
         F.greatest(F.coalesce(F.size("_past"), F.lit(0)), F.lit(0)).cast("int").alias("n_past"),
     )
 

@@ -294,7 +294,8 @@ class TableStore:
     def _write(self, table: str, kind: str, seq: str, rows: DataFrame, marked: bool = True) -> str:
         bucket = F.pmod(F.xxhash64(*KEYS[table]), F.lit(self._bucket_count(table))).cast("int")
         path = f"{self.root}/{table}/{kind}={seq}"
-        out = rows.withColumn("_seq", F.lit(seq)).withColumn("_bucket", bucket).write.partitionBy("_bucket")
+        # a bucket's rows come together, so a folder has as many files as its bytes need, not one per bucket and task
+        out = rows.withColumn("_seq", F.lit(seq)).withColumn("_bucket", bucket).hint("rebalance", "_bucket").write.partitionBy("_bucket")
         out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(marked).lower()).parquet(path)
         return path
 
@@ -323,19 +324,27 @@ class TableStore:
         """
         stamp = (STAMP[table], as_of) if as_of is not None and table in STAMP else None
         columns = SCHEMAS[table].names
-        ties = [F.col(c) for c in source.columns if c in columns]
-        n = source.count()
-        if n == 0:
-            return 0
-        self.init([table])
-        ranked = source.withColumn("_tie", F.struct(*ties))
-        kept = conform(latest_per_key(ranked, KEYS[table], [*order_cols, "_tie"]), SCHEMAS[table])
+        ties = [c for c in source.columns if c in columns and c not in KEYS[table]]
+        counted = Observation()
+        held: list[DataFrame] = []
         try:
-            rows = kept
-            if orphans != "ignore":
+            if orphans == "ignore":
+                n = source.count()
+                if n:
+                    self.init([table])
+                rows = conform(latest_per_key(source, KEYS[table], [*order_cols, *ties]), SCHEMAS[table])
+            else:
                 # read by the FK checks and the write: kept for this write only, a row per key in the partitions of
-                # the shuffle, not in those of the input, of which one may hold a whole file
-                rows = self._with_parents(table, kept.persist(), orphans)
+                # the shuffle, not in those of the input, of which one may hold a whole file; the pass that fills it counts the input
+                seen_rows = source.observe(counted, F.count(F.lit(1)).alias("n"))
+                rows = conform(latest_per_key(seen_rows, KEYS[table], [*order_cols, *ties]), SCHEMAS[table]).persist()
+                held.append(rows)
+                n = counted.get["n"] if rows.count() else 0
+                if n:
+                    self.init([table])
+                    rows = self._with_parents(table, rows, orphans, held)
+            if n == 0:
+                return 0
             rows = conform(rows, SCHEMAS[table], stamp)
             if check is None or not check.metrics(table):
                 self._write(table, "delta", self._next(table), rows)
@@ -351,14 +360,25 @@ class TableStore:
             fs.create(to_path(f"{path}/_SUCCESS")).close()
             return n
         finally:
-            kept.unpersist()
-
-    def _with_parents(self, table: str, rows: DataFrame, orphans: str) -> DataFrame:
+            for frame in held:
+                frame.unpersist()
+
+    def _ids(self, table: str, pk: str) -> DataFrame:
+        """Values of a key column in any folder of the table: which of a key's rows is the latest does not matter here."""
+        if KEYS[table] != [pk]:
+            return self.read(table).select(pk)
+        paths = [p for folders in self._bucket_folders(table).values() for p in folders]
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*paths).select(pk) if paths else self.spark.createDataFrame([], SCHEMAS[table]).select(pk)
+
+    def _with_parents(self, table: str, rows: DataFrame, orphans: str, held: list[DataFrame]) -> DataFrame:
+        """The rows that have their parents; what is kept for the write, beside the rows, is added to ``held``."""
         for child, fk, parent, pk in FOREIGN_KEYS:
             if child != table or fk not in rows.columns or not self.exists(parent):
                 continue
-            bad = fk_violations(rows, fk, self.read(parent), pk)
-            if bad.isEmpty():
+            # found in one pass over the parents: looked at, written and taken out
+            bad = fk_violations(rows, fk, self._ids(parent, pk), pk).persist()
+            held.append(bad)
+            if not bad.count():
                 continue
             if orphans == "reject":
                 raise IntegrityError(f"{table}.{fk} has values missing from {parent}.{pk}")

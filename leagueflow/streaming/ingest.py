@@ -83,12 +83,13 @@ def process_batch(
     store: TableStore, batch: DataFrame, batch_id: int, run_id: str | None = None, orphans: str = "quarantine", most_deltas: int = MOST_DELTAS
 ) -> None:
     """Parse one micro-batch, upsert history and future fixtures, log the fetches, compact what has grown too many deltas."""
-    docs = envelope(batch).persist()
+    # parsed and digested once; the line itself is kept only where it is set aside
+    docs = ordered(envelope(batch)).withColumn("_raw", F.when(~F.col("ok"), F.col("_raw"))).persist()
     try:
         bad = docs.where(~F.col("ok"))
         if not bad.isEmpty():
             bad.select("_raw").write.mode("overwrite").text(f"{store.root}/_quarantine/batch={batch_id}")
-        good = ordered(docs.where(F.col("ok")))
+        good = docs.where(F.col("ok"))
         keep = ORDER[:2]
         parse = {"player_match_history": payloads.parse_history, "player_future_fixtures": payloads.parse_future}
         for table, rows in parse.items():

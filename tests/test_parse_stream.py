@@ -160,3 +160,11 @@ def test_bronze_files_are_pruned_and_named(spark, tmp_path):
     assert all("/endpoint=element-summary/fetch_date=2024-03-03/" in r.payload_path and r.url is None for r in rows)
     # a root without partition folders, as a stream of plain files has it
     assert all(r.payload_path for r in payloads._with_file(spark.read.text(f"{root}/endpoint=fixtures/fetch_date=2024-03-02")).collect())
+
+
+def test_a_generator_reads_its_array_once(spark):
+    """The array is made below the generator, which would evaluate it for each use."""
+    rows = payloads.parse_history(payloads.parsed(docs_of(spark, {"history": [{"fixture": 4, "minutes": "12.9"}]}, player_id=3)))
+    above = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate posexplode" in x]
+    assert above and not any("variant_get" in x.lower() for x in above)
+    assert [(r.player_id, r.fixture_id, r.minutes) for r in rows.collect()] == [(3, 4, 12)]

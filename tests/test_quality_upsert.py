@@ -222,3 +222,29 @@ def test_an_upsert_keeps_no_copy_of_its_input(spark, tmp_path, monkeypatch):
     assert store.upsert("players", players, ["minutes"], orphans="quarantine") == 30
     assert all("_tie" not in c for c in kept)
     assert {(r["id"], r["minutes"]) for r in store.read("players").collect()} == {(i, 20 + i) for i in range(10) if (20 + i) % 25 < 20}
+
+
+def test_an_upsert_reads_its_input_once_and_writes_one_file_per_bucket(spark, tmp_path):
+    """Rows of one bucket come from many tasks; orphans of all of them are set aside."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    store = tables.TableStore(spark, str(tmp_path / "store"), buckets=3)
+    store.upsert("players", spark.range(400).where("id % 5 <> 0"), ["id"], orphans="ignore")
+    rows = spark.range(2000).selectExpr("id % 400 as player_id", "id % 500 as fixture_id_effective", "cast(id as int) as minutes").repartition(7)
+    assert store.upsert("player_match_history", rows.mapInArrow(counted, rows.schema), ["minutes"], orphans="quarantine") == 2000
+    assert read.value == 2000
+    files = list((tmp_path / "store" / "player_match_history").glob("delta=*/_bucket=*/*.parquet"))
+    assert len(files) == 3
+    kept = store.read("player_match_history")
+    assert kept.count() == kept.where("player_id % 5 <> 0").count() == 1600
+    assert spark.read.parquet(str(tmp_path / "store" / "_orphans" / "player_match_history")).count() == 400
+    # a player stored twice is one parent
+    store.upsert("players", spark.range(7).where("id % 5 <> 0"), ["id"], orphans="ignore")
+    assert store.upsert("player_match_history", rows.where("player_id % 5 <> 0"), ["minutes"]) == 1600
+    assert store.read("player_match_history").count() == 1600
+    assert store.upsert("player_match_history", rows.where("false"), ["minutes"], orphans="quarantine") == 0
