@@ -30,7 +30,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,30 +111,35 @@ class Encoder:
 
     def _forget(self) -> None:
         self._known: dict[str, int] = {}
-        self._sizes, self._pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._sizes, self._begins, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
         sizes, pool = [self._sizes], [self._pool]
         for a in range(0, len(new), ENCODED):
             ids = [x.ids for x in self._tokenizer.encode_batch_fast(new[a : a + ENCODED], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            pool.append(np.fromiter(chain.from_iterable(ids), np.uint32))
-        self._known |= dict(zip(new, range(len(self._sizes), len(self._sizes) + len(new)), strict=True))
-        self._sizes, self._pool = np.concatenate(sizes), np.concatenate(pool)
+            pool.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        self._known.update(zip(new, range(len(self._sizes), len(self._sizes) + len(new)), strict=True))
+        added = np.concatenate(sizes[1:]) if new else sizes[0][:0]
+        self._begins = np.append(self._begins, len(self._pool) + np.cumsum(added) - added)
+        self._sizes, self._pool = np.append(self._sizes, added), np.concatenate(pool)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
         parts, counts = stretches(column)
         coded = parts.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)  # strings made at once: to_pylist makes a scalar for each
         if len(self._known) > REMEMBERED:
             self._forget()
-        self._learn([x for x in distinct if x not in self._known])
-        own = np.fromiter(map(self._known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        place = np.fromiter(map(self._known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        place[new] = np.arange(len(self._sizes), len(self._sizes) + len(new))
+        self._learn(distinct[new].tolist())
+        own = place[coded.indices.to_numpy(zero_copy_only=False)]
         length = self._sizes[own]
         ends = np.cumsum(length)
         # place in the pool of each id: begin of its stretch there plus its number in the stretch
-        shift = (np.cumsum(self._sizes) - self._sizes)[own] - (ends - length)
+        shift = self._begins[own] - (ends - length)
         ids = self._pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, length)]
         return ids, np.diff(np.append(0, ends)[np.append(0, np.cumsum(counts))])
 

@@ -147,3 +147,31 @@ def test_the_tokenizer_gets_few_stretches_at_once(monkeypatch):
     encode._tokenizer = Counted(encode._tokenizer)
     assert encode(texts)[0].tolist() == want
     assert len(seen) > 1 and max(seen) <= 4096
+
+
+def test_each_distinct_stretch_is_looked_up_once(tokenizer):
+    """Also when a later slice knows some of them already; ids stay those of the whole texts."""
+    asked = []
+
+    class Counting(dict):
+        def __contains__(self, key):
+            asked.append(key)
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    encode = packing.Encoder(packing.tokenizer_path())
+    encode._known = Counting()
+    for texts in (["one two two three"], ["two four, one", "", "five two"], ["one two"]):
+        del asked[:]
+        ids, each = encode(pa.array(texts, pa.large_string()))
+        distinct = packing.stretches(pa.array(texts, pa.large_string()))[0].unique()
+        assert len(asked) == len(distinct)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert each.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
