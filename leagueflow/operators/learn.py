@@ -143,8 +143,9 @@ def in_validation(fraction: float, player: str = "player_id", game: str = "game_
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") < int(fraction * 2**32)
 
 
-#: Vectors in a partition of the fit; every boosting round runs jobs over all of them, so few partitions cost little.
-VECTORS_PER_PARTITION = 100_000
+#: Rows in a partition of the fit as long as there are more cores than partitions, and the most in one. Every boosting
+#: round runs jobs over all partitions, so few cost little, and one more than the cores would double each job's time.
+ROWS_PER_PARTITION, MOST_PER_PARTITION = 100_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -163,6 +164,12 @@ def weighted_vectors(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*FEATURES).agg(F.avg(F.col(LABEL).cast("double")).alias(LABEL), F.count(F.lit(1)).cast("double").alias("_weight"))
 
 
+def fit_partitions(n: int, cores: int) -> int:
+    """Partitions for ``n`` rows: fewer than the cores for few rows, else a whole number of waves."""
+    few = -(-n // ROWS_PER_PARTITION)
+    return max(1, few) if few < cores else cores * -(-n // (cores * MOST_PER_PARTITION))
+
+
 def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0, max_iter: int = N_TREES) -> Fit:
     """Fit the pipeline on the rows that are not held out.
 
@@ -170,12 +177,13 @@ def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0,
     for the counts, the fit and the evaluation each. Raises ``ValueError`` with
     fewer than 10 rows.
     """
-    rows = cut_lineage(features.withColumn("_val", in_validation(validation_fraction)))
+    rows = cut_lineage(features.select(*FEATURES, LABEL, in_validation(validation_fraction).alias("_val")))
     sizes = {r["_val"]: r["count"] for r in rows.groupBy("_val").count().collect()}
     n_train, n_val = sizes.get(False, 0), sizes.get(True, 0)
     if n_train + n_val < MIN_ROWS:
         raise ValueError(f"not enough training rows ({n_train + n_val}); need at least {MIN_ROWS}: ingest history first")
-    vectors = cut_lineage(weighted_vectors(rows.where(~F.col("_val"))))
+    parts = fit_partitions(n_train, rows.sparkSession.sparkContext.defaultParallelism)
+    vectors = cut_lineage(weighted_vectors(rows.where(~F.col("_val"))).repartition(parts))
     n_vectors = vectors.count()
     pipe = Pipeline(
         stages=[
@@ -184,8 +192,7 @@ def train(features: DataFrame, validation_fraction: float = 0.2, seed: int = 0,
                          stepSize=LEARNING_RATE, seed=seed),
         ]
     )
-    parts = -(-n_vectors // VECTORS_PER_PARTITION)
-    model = pipe.fit(vectors.coalesce(max(1, parts)))
+    model = pipe.fit(vectors)
     scored = model.transform(rows.where("_val").select(*FEATURES, F.col(LABEL).cast("double").alias(LABEL)))
     mae = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mae").evaluate(scored)
     return Fit(model, mae, n_train, n_val, n_vectors)

@@ -178,3 +178,18 @@ def test_weighted_vectors_predict_as_single_rows(spark):
     raw = single.fit(rows.where(~learn.in_validation(0.2)))
     a, b = ({r["id"]: r["prediction"] for r in m.transform(rows).collect()} for m in (fit.model, raw))
     assert a == pytest.approx(b, abs=1e-9)
+
+
+def _games(spark, n, form):
+    columns = {c: F.lit(1) for c in learn.FEATURES} | {"difficulty": F.col("id") % 5 + 1, "form": form, "points_per_game": F.lit(1.0), "minutes_per_game": F.lit(60.0)}
+    return spark.range(n).select("id", F.col("id").alias("player_id"), F.lit(1).alias("game_id"), *(v.cast("double" if c in ("form", "points_per_game", "minutes_per_game") else "int").alias(c) for c, v in columns.items()), (F.col("id") * 7919 % 13).cast("int").alias("total_points"))
+
+
+def test_vectors_of_the_fit_fill_whole_waves(spark, monkeypatch):
+    """One partition more than the cores would double the time of each of some 500 jobs."""
+    assert [learn.fit_partitions(n, 12) for n in (0, 100_000, 100_001, 1_150_000, 12_000_000, 12_000_001)] == [1, 1, 2, 12, 12, 24]
+    seen, fit, cores = [], learn.Pipeline.fit, spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(learn.Pipeline, "fit", lambda self, df: (seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]), fit(self, df))[1])
+    monkeypatch.setattr(learn, "ROWS_PER_PARTITION", 50, raising=False)
+    found = learn.train(_games(spark, 4000, F.col("id") / 10), max_iter=1)
+    assert len(seen[0]) % cores == 0 and sum(seen[0]) == found.n_vectors and max(seen[0]) <= 2 * min(seen[0])
