@@ -145,7 +145,7 @@ def in_validation(fraction: float, player: str = "player_id", game: str = "game_
 
 #: Rows in a partition of the fit as long as there are more cores than partitions, and the most in one. Every boosting
 #: round runs jobs over all partitions, so few cost little, and one more than the cores would double each job's time.
-ROWS_PER_PARTITION, MOST_PER_PARTITION = 100_000, 1_000_000
+ROWS_PER_PARTITION, MOST_PER_PARTITION = 100_000, 5_000_000
 
 
 @dataclass(frozen=True)

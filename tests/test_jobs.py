@@ -187,7 +187,7 @@ def _games(spark, n, form):
 
 def test_vectors_of_the_fit_fill_whole_waves(spark, monkeypatch):
     """One partition more than the cores would double the time of each of some 500 jobs."""
-    assert [learn.fit_partitions(n, 12) for n in (0, 100_000, 100_001, 1_150_000, 12_000_000, 12_000_001)] == [1, 1, 2, 12, 12, 24]
+    assert [learn.fit_partitions(n, 12) for n in (0, 100_000, 100_001, 1_150_000, 60_000_000, 60_000_001)] == [1, 1, 2, 12, 12, 24]
     seen, fit, cores = [], learn.Pipeline.fit, spark.sparkContext.defaultParallelism
     monkeypatch.setattr(learn.Pipeline, "fit", lambda self, df: (seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]), fit(self, df))[1])
     monkeypatch.setattr(learn, "ROWS_PER_PARTITION", 50, raising=False)
