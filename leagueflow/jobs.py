@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leagueflow.operators import incremental, learn, marts, quality, scoring
 from leagueflow.operators import squads as sq
-from leagueflow.session import cut_lineage
+from leagueflow.session import cut_lineage, keyed
 from leagueflow.sources import payloads
 from leagueflow.sources.tables import MOST_DELTAS, TableStore
 from leagueflow.streaming.ingest import ORDER, fetch_log, ordered
@@ -201,7 +201,7 @@ def _requests(store: TableStore, squads: DataFrame, asked: DataFrame) -> tuple[D
     # read by the scores, the buyers, the sellers and the elevens: written once
     requests = cut_lineage(
         squads.select("squad_id").distinct()
-        .join(asked, "squad_id", "left")
+        .join(keyed(asked), "squad_id", "left")
         .withColumn("_next", nxt)
         .where(F.col("_next").isNotNull())
         .select("squad_id", period.alias("event_id"), F.coalesce("bank_tenths", F.lit(0)).cast("bigint").alias("bank_tenths"))
@@ -251,7 +251,7 @@ def answer_requests(
     squads = members.join(ok.select("squad_id"), "squad_id", "left_semi").select("squad_id", F.col("pick_index").cast("int").alias("slot"), "player_id")
     money = ok.select("squad_id", "bank_tenths")
     if "event_id" in given_bank.columns:
-        money = money.join(given_bank.select("squad_id", "event_id"), "squad_id", "left")
+        money = money.join(keyed(given_bank.select("squad_id", "event_id")), "squad_id", "left")
     scores, requests = _requests(store, squads, money)
     players = store.read("players")
     current = sq.best_eleven(squads, players, scores, requests, "service")

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leagueflow.functions.casts import round2
-from leagueflow.session import BROADCAST_MAX_BYTES, cut_lineage
+from leagueflow.session import BROADCAST_MAX_BYTES, cut_lineage, keyed
 
 MAX_PER_TEAM = 3
 # Formations (GK, DEF, MID, FWD) of the capped rule set, in try order.
@@ -120,19 +120,19 @@ def requested_scores(scores: DataFrame, requests: DataFrame) -> DataFrame:
 def squad_members(squads: DataFrame, players: DataFrame, sc: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
     """Known squad members with role, team, cost and score (0 when missing); ``sc``: :func:`requested_scores`.
 
-    Every join is keyed: squads ⋈ requests on squad, ⋈ info on player,
-    ⋈ scores on (player, period).
+    Every join is keyed, and no side is broadcast by its estimate: squads ⋈
+    requests on squad, ⋈ info on player, ⋈ scores on (player, period).
     """
-    info = player_info(players, preset)
-    m = squads.select("squad_id", "slot", "player_id").join(requests.select("squad_id", "event_id"), "squad_id")
-    m = m.join(info, "player_id", "inner")
+    info, sc = player_info(players, preset), keyed(sc)
+    m = keyed(squads.select("squad_id", "slot", "player_id")).join(requests.select("squad_id", "event_id"), "squad_id")
+    m = m.join(keyed(info), "player_id", "inner")
     m = m.join(sc, (m["player_id"] == sc["_sp"]) & (m["event_id"] == sc["_se"]), "left")
     return m.withColumn("score", F.coalesce(F.col("x"), F.lit(0).cast("bigint"))).drop("_sp", "_se", "x")
 
 
 def candidates(players: DataFrame, sc: DataFrame, requests: DataFrame, preset: Preset) -> DataFrame:
     """Buyers per requested period: (c_id, c_role, c_team, c_cost, c_event, x)."""
-    info = player_info(players, preset)
+    info, sc = player_info(players, preset), keyed(sc)
     c = info.withColumn("c_event", F.explode(_requested(requests)))
     how = "inner" if preset.require_score else "left"
     c = c.join(sc, (c["player_id"] == sc["_sp"]) & (c["c_event"] == sc["_se"]), how).drop("_sp", "_se")
@@ -478,7 +478,7 @@ def swap_suggestions(
     members = squad_members(squads, players, sc, requests, ps)
     n_forms = len(ps.formations)
     sellers = cut_lineage(_seller_rows(members, requests, ps, cli=(preset == "cli")).withColumn("_rises", _rises(ps, n_forms)))
-    size = sellers.agg(F.coalesce(F.max(F.size("owned")), F.lit(0))).first()[0]
+    size, others = sellers.agg(F.coalesce(F.max(F.size("owned")), F.lit(0)), F.count_if(~F.col("_rises"))).first()
     cands = cut_lineage(candidates(players, sc, requests, ps))
     rising, other = sellers.where(F.col("_rises")), sellers.where(~F.col("_rises"))
     lists = cut_lineage(_listed(short_lists(cands, rising, top_n, size))).withColumnRenamed("price_limit", "_limit")
@@ -489,7 +489,9 @@ def swap_suggestions(
         near = rising.join(F.broadcast(lists), cond)
     else:
         near = _salted(rising, lists, on, salts)
-    pairs = _first_feasible(near.drop("_limit"), top_n).unionByName(_salted(other, cands, on[:2], salts))
+    pairs = _first_feasible(near.drop("_limit"), top_n)
+    if others:  # else every buyer would be sent to every salt for no seller
+        pairs = pairs.unionByName(_salted(other, cands, on[:2], salts))
     feasible = pairs.where(
         (F.col("c_cost") <= F.col("price_limit"))
         & ~F.array_contains("owned", F.col("c_id"))
@@ -517,7 +519,7 @@ def swap_suggestions(
 
 def with_names(suggestions: DataFrame, players: DataFrame, missing: str = "") -> DataFrame:
     """Decorate suggestions with both players' names (missing → ``missing`` or the id text)."""
-    names = players.select(F.col("id").alias("_nid"), F.col("web_name").alias("_name"))
+    names = keyed(players.select(F.col("id").alias("_nid"), F.col("web_name").alias("_name")))
     o = names.alias("o")
     i = names.alias("i")
 
@@ -609,7 +611,7 @@ def suggestion_requests(members: DataFrame, api_bank: DataFrame, given_bank: Dat
     has_scores = scores.select(F.lit(True)).limit(1).scalar()
     g = given_bank.select("squad_id", F.col("bank_million").alias("_given"))
     a = api_bank.select("squad_id", F.col("bank_million").alias("_api"))
-    r = n.join(a, "squad_id", "left").join(g, "squad_id", "left").withColumn("_has", has_scores)
+    r = n.join(keyed(a), "squad_id", "left").join(keyed(g), "squad_id", "left").withColumn("_has", has_scores)
     bank = F.when(F.coalesce(F.col("_given"), F.lit(0.0)) != 0.0, F.col("_given")).otherwise(F.coalesce(F.col("_api"), F.lit(0.0)))
     status = (
         F.when(F.col("n_picks") != 15, F.lit("bad_squad_size"))

@@ -142,7 +142,7 @@ def pick_docs(spark, sf):
         F.when(F.col("slot") > 11, F.lit(0)).otherwise(F.lit(1)).alias("multiplier"),
     )
     docs = r["squads"].groupBy("squad_id").agg(F.array_sort(F.collect_list(pick)).alias("picks"))
-    docs = docs.join(r["squad_bank"], "squad_id", "left")
+    docs = docs.join(r["squad_bank"].hint("shuffle_hash"), "squad_id", "left")
     eh = F.struct(F.col("bank_tenths").alias("bank"), (F.col("bank_tenths") * 10).alias("value"),
                   F.lit(1).alias("event_transfers"), F.lit(0).alias("event_transfers_cost"))
     return docs.select("squad_id", F.to_json(F.struct("picks", eh.alias("entry_history"))).alias("payload"))

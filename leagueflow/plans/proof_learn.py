@@ -212,7 +212,8 @@ def _service(spark, sf) -> tuple[TableStore, DataFrame]:
     store = TableStore(spark, _scratch(spark, "service"))
     store.upsert("players", r["squad_players"], ["id"], as_of=AS_OF, orphans="ignore")
     store.upsert("player_expected_points", r["squad_scores"], ["player_id"], as_of=AS_OF, orphans="ignore")
-    docs = pick_docs(spark, sf)
+    # a document per squad, made from all line items: made once, not for each reader
+    docs = cut_lineage(pick_docs(spark, sf))
     return store, jobs.answer_requests(spark, store, docs, _sent(docs, r["squad_scores"]), TOP_N)
 
 

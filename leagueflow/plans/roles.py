@@ -165,6 +165,10 @@ SELECT event_id AS id,
 FROM {events}""",
 }
 
+# Tables that grow with the data and that a role joins: hashed by key within tasks (a row or few per key), never broadcast
+# because their files compress well.
+HASHED_BY_KEY = {"squads": ("part",)}
+
 _PLACEHOLDER = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
 
 
@@ -180,6 +184,7 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The role view as a Spark DataFrame over the parquet tables in ``sf_dir``."""
     text = ROLE_SQL[name]
     frames = {t: read_table(spark, sf_dir, t) for t in role_tables(name)}
+    frames |= {t: frames[t].hint("shuffle_hash") for t in HASHED_BY_KEY.get(name, ())}
     return spark.sql(text, **frames)
 
 

@@ -111,3 +111,41 @@ def test_a_seller_keeps_the_first_feasible_buyers_of_both_orders(spark):
     got = sorted(r["c_id"] for r in sq._first_feasible(near, 4).collect())
     fit = [c for c in range(30) if c not in (0, 3) and c % 3 != 1]
     assert got == sorted({*fit[:4], *sorted(fit, key=lambda c: (-((7 * c) % 31), c))[:4]})
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_grows_is_not_broadcast_by_its_estimate(spark, tmp_path):
+    """Files of a few bytes can hold millions of rows: players, scores, names and members meet by a shuffle of both sides."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(600)
+    role = "CASE WHEN id % 15 < 2 THEN 1L WHEN id % 15 < 7 THEN 2L WHEN id % 15 < 12 THEN 3L ELSE 4L END"
+    rows.selectExpr("id", "'n' web_name", f"{role} element_type_id", "id % 5 team_id", "50L now_cost").write.parquet(f"{tmp_path}/players")
+    rows.selectExpr("id player_id", "1L event_id", "1.5D xpts").write.parquet(f"{tmp_path}/scores")
+    rows.selectExpr("id div 15 squad_id", "id player_id", "cast(1 + id % 15 as int) slot").write.parquet(f"{tmp_path}/squads")
+    spark.range(40).selectExpr("id squad_id", "1L event_id", "5L bank_tenths").write.parquet(f"{tmp_path}/requests")
+    P, X, S, R = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("players", "scores", "squads", "requests"))
+    ps = sq.PRESETS["service"]
+    sc = sq.requested_scores(X, R)
+    members = sq.squad_members(S, P, sc, R, ps)
+    found = S.select("squad_id", F.col("player_id").alias("out_player_id"), F.col("player_id").alias("in_player_id"))
+    for joined in (members, sq.candidates(P, sc, R, ps), sq.with_names(found, P)):
+        assert "SortMergeJoin" in _plan(joined) and "BroadcastHashJoin" not in _plan(joined)
+    asked = sq.suggestion_requests(S, R.selectExpr("squad_id", "0.5D bank_million"), R.selectExpr("squad_id", "0.0D bank_million"), X)
+    assert "BroadcastHashJoin" not in _plan(asked)
+    assert members.count() == 600 and asked.where("status = 'ok' AND bank_tenths = 5").count() == 40
+    # all sellers rise: no buyer is sent to the salts of the others
+    assert "_bsalt" not in _plan(sq.swap_suggestions(S, P, X, R, "service", 3))
+
+
+def test_parts_of_squads_are_not_broadcast(spark, tmp_path):
+    from leagueflow.plans.roles import role
+
+    spark.range(200).selectExpr("id % 7 l_suppkey", "id % 50 l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).selectExpr("id p_partkey", "cast(id as int) p_size").write.parquet(f"{tmp_path}/part.parquet")
+    squads = role(spark, str(tmp_path), "squads")
+    assert "ShuffledHashJoin" in _plan(squads) and "BroadcastHashJoin" not in _plan(squads)
+    assert squads.count() == 7 * 15
